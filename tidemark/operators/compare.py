@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import status as st
+from ..session import materialize as _materialize
 
 POLICIES = ("keep", "drop")
 
@@ -107,21 +108,35 @@ def _reached(on_unhashed: str):
     )
 
 
-def classify(lake: DataFrame, lib: DataFrame, on_unhashed: str = "keep") -> DataFrame:
+def library_keys(lib: DataFrame, pin: bool = True) -> DataFrame:
+    """Distinct (size, prefix hash, full hash) triples of the library: one scan of its content,
+    partially aggregated.  ``pin`` computes them once (checkpoint to the shared folder, or a
+    persist when the session names none): Catalyst re-derives each key set from the scan when
+    they are declared separately, which would read the library three times."""
+    triples = lib.select("file_size", "prefix_hash", "full_hash").distinct()
+    return _materialize(triples) if pin else triples
+
+
+def classify(lake: DataFrame, lib: DataFrame, on_unhashed: str = "keep", keys: DataFrame | None = None,
+             pin: bool = True) -> DataFrame:
     """J6 for manifests that already carry both hashes (tables): one pass, one row per lake row,
     with ``stage``, ``stage_no`` and ``processing_status``.
 
-    Three left joins to distinct library key sets; each lake row is shuffled once per key
-    (narrow rows: paths, size, two digests), never the content.
+    Three left joins to distinct library key sets (from :func:`library_keys`, read once); each
+    lake row is shuffled as a narrow row (paths, size, two digests), never its content.  All
+    three joins carry ``file_size`` in their key (equal content has equal size), so with
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` the lake is partitioned once on
+    ``file_size`` for the two large joins, and AQE broadcasts whichever key set is small.
     """
     _check_policy(on_unhashed)
-    sizes = key_set(lib, ["file_size"], "_m1")
-    prefixes = key_set(lib, ["file_size", "prefix_hash"], "_m2")
-    fulls = key_set(lib, ["full_hash"], "_m3")
+    triples = keys if keys is not None else library_keys(lib, pin)
+    sizes = key_set(triples, ["file_size"], "_m1")
+    prefixes = key_set(triples, ["file_size", "prefix_hash"], "_m2")
+    fulls = key_set(triples, ["file_size", "full_hash"], "_m3")
     j = (
         lake.join(sizes, "file_size", "left")
         .join(prefixes, ["file_size", "prefix_hash"], "left")
-        .join(fulls, "full_hash", "left")
+        .join(fulls, ["file_size", "full_hash"], "left")
     )
     stage = _stage_column(on_unhashed)
     out = (
