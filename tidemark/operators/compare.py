@@ -209,8 +209,11 @@ def missing_from(lake: DataFrame, lib: DataFrame, on_unhashed: str = "keep") ->
 # --- lookups (J7-J9, J13) ---------------------------------------------------------------
 
 
-def _carry(lib: DataFrame, carry: tuple[str, ...]):
-    return [F.col(c).alias(f"library_{c}") for c in carry]
+def _order_struct(carry: tuple[str, ...]):
+    """(position, full_path, carried...) without repeats: ``min``/``max`` of it picks the first/last
+    row in input order and carries the wanted columns along."""
+    fields = ["position", "full_path"] + [c for c in carry if c not in ("position", "full_path")]
+    return F.struct(*fields)
 
 
 def lookup_by_size(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = ("full_path",)) -> DataFrame:
@@ -219,7 +222,7 @@ def lookup_by_size(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = ("f
     first (partial aggregation handles a hot size)."""
     per_size = lib.groupBy("file_size").agg(
         F.count(F.lit(1)).alias("library_matches"),
-        F.min(F.struct("position", "full_path", *carry)).alias("_first"),
+        F.min(_order_struct(carry)).alias("_first"),
     )
     out = lake.join(per_size, "file_size", "inner")
     return out.select(*lake.columns, "library_matches", *[F.col(f"_first.{c}").alias(f"library_{c}") for c in carry])
@@ -230,7 +233,7 @@ def lookup_by_prefix(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = (
     keys = ["file_size", "prefix_hash"]
     per_key = lib.where(F.col("prefix_hash").isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("library_matches"),
-        F.min(F.struct("position", "full_path", *carry)).alias("_first"),
+        F.min(_order_struct(carry)).alias("_first"),
     )
     out = lake.join(per_key, keys, "inner")
     return out.select(*lake.columns, "library_matches", *[F.col(f"_first.{c}").alias(f"library_{c}") for c in carry])
@@ -241,7 +244,7 @@ def last_by_full_hash(lib: DataFrame, carry: tuple[str, ...] = ("full_path",)) -
     return (
         lib.where(F.col("full_hash").isNotNull())
         .groupBy("full_hash")
-        .agg(F.count(F.lit(1)).alias("library_copies"), F.max(F.struct("position", "full_path", *carry)).alias("_last"))
+        .agg(F.count(F.lit(1)).alias("library_copies"), F.max(_order_struct(carry)).alias("_last"))
         .select("full_hash", "library_copies", *[F.col(f"_last.{c}").alias(f"library_{c}") for c in carry])
     )
 

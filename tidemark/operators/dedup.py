@@ -98,3 +98,31 @@ def dedup_tiered(missing: DataFrame) -> DedupResult:
 def dedup_content(missing: DataFrame) -> DedupResult:
     """Dedup by full content hash only (the safe default)."""
     return _dedup(content_key(missing), missing.columns)
+
+
+def complete_hashes(missing: DataFrame, add_hashes, pin=None) -> DataFrame:
+    """Make content dedup exact for file manifests without hashing every file.
+
+    Rows decided at stage 1 or 2 carry no full hash.  A file can only equal another whose size
+    it shares, so the same cheap-first cascade runs inside the lake: rows whose size occurs more
+    than once get a prefix hash, rows whose (size, prefix) occurs more than once get a full hash.
+    A row left without a full hash is then provably unique.  Group counts are aggregates (hot
+    sizes are pre-aggregated), and only the rows that need bytes are read.  ``pin`` (default:
+    :func:`tidemark.session.materialize`) keeps each hashed set so no file is read twice.
+    """
+    if pin is None:
+        from ..session import materialize as pin
+    cols = missing.columns
+    multi_size = missing.groupBy("file_size").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("file_size")
+    need1 = missing.join(multi_size, "file_size", "left_semi")
+    rest1 = missing.join(multi_size, "file_size", "left_anti")
+    with_prefix = pin(add_hashes(need1, "1k").select(*cols))
+    keys = ["file_size", "prefix_hash"]
+    multi_pref = (
+        with_prefix.where(F.col("prefix_hash").isNotNull())
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+    )
+    need2 = with_prefix.join(multi_pref, keys, "left_semi")
+    rest2 = with_prefix.join(multi_pref, keys, "left_anti")
+    with_full = pin(add_hashes(need2, "full").select(*cols))
+    return rest1.unionByName(rest2).unionByName(with_full)

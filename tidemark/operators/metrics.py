@@ -36,7 +36,7 @@ def full_groups(df: DataFrame, carry: tuple[str, ...] = ("full_path",)) -> DataF
     return (
         df.where(F.col("full_hash").isNotNull())
         .groupBy("full_hash")
-        .agg(F.count(F.lit(1)).alias("n_files"), F.max(F.struct("position", *carry)).alias("_last"))
+        .agg(F.count(F.lit(1)).alias("n_files"), F.max(F.struct("position", *[c for c in carry if c != "position"])).alias("_last"))
         .select("full_hash", "n_files", *[F.col(f"_last.{c}").alias(c) for c in carry])
     )
 

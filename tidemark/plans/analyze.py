@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import compare as cmp
 from ..operators import dedup as dd
@@ -55,13 +56,68 @@ def analyze(
         )
     if materialize:
         flagged = _materialize(flagged)
-    return finish(flagged, dedup)
+    return finish(flagged, dedup, add_hashes, materialize)
 
 
-def finish(flagged: DataFrame, dedup: str = "content") -> AnalyzeResult:
+def finish(flagged: DataFrame, dedup: str = "content", add_hashes=None, materialize: bool = False) -> AnalyzeResult:
+    """Dedup and summaries over a flagged frame.  For file manifests (``add_hashes`` given) the
+    content dedup first completes the hashes that can matter (:func:`dd.complete_hashes`)."""
     missing = cmp.missing_only(flagged)
+    if add_hashes is not None and dedup == "content":
+        missing = dd.complete_hashes(missing, add_hashes)
+        if materialize:
+            missing = _materialize(missing)
     summary = mt.stage_summary(flagged)
     if dedup == "none":
-        return AnalyzeResult(flagged, missing, missing.sparkSession.createDataFrame([], "duplicate_path string, original_path string, method string, file_size string, filename string"), summary, None)
+        empty = missing.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in dd.REPORT_COLUMNS))
+        return AnalyzeResult(flagged, missing, empty, summary, None)
     res = dd.dedup_content(missing) if dedup == "content" else dd.dedup_tiered(missing)
     return AnalyzeResult(flagged, res.kept, res.duplicates, summary, res.summary)
+
+
+def run_analysis(
+    spark,
+    lake_root: str,
+    library_root: str,
+    output: str,
+    *,
+    extensions=None,
+    resume_from: str | None = None,
+    dedup: str = "content",
+    on_unhashed: str = "keep",
+    fmt: str = "csv",
+    include_hidden: bool = True,
+    hasher=None,
+) -> dict:
+    """E1 over file trees: scan both roots, compare, dedup, write the manifest of missing items
+    (``output``) and, when there are any, the duplicates report (``output + '_duplicates'``).
+
+    ``resume_from`` is a prior manifest: its paths are not analysed again and its rows are kept
+    (re-checked against the current library).  Returns the per-stage counts (a few rows).
+    """
+    from ..functions.paths import DEFAULT_EXTENSIONS
+    from ..sources.files import scan_manifest
+    from ..sources.manifest_io import read_manifest, write_duplicates, write_manifest
+    from ..sources.readers import file_hasher
+    from ..streaming.incremental import resume_merge
+
+    exts = DEFAULT_EXTENSIONS if extensions is None else extensions
+    add = file_hasher(hasher)
+    lake = scan_manifest(spark, lake_root, exts, include_hidden=include_hidden)
+    lib = _materialize(scan_manifest(spark, library_root, exts, include_hidden=include_hidden))
+    if resume_from is not None:
+        prior, _ = read_manifest(spark, resume_from, fmt)
+        prior = prior.select(*[c for c in lake.columns if c in prior.columns])
+        for c in lake.columns:
+            if c not in prior.columns:
+                prior = prior.withColumn(c, F.lit(None).cast(lake.schema[c].dataType))
+        res = resume_merge(lake, lib, prior.select(*lake.columns), dedup=dedup, on_unhashed=on_unhashed,
+                           add_hashes=add)
+    else:
+        res = analyze(lake, lib, dedup=dedup, on_unhashed=on_unhashed, add_hashes=add, materialize=True)
+    missing = _materialize(res.missing)
+    write_manifest(missing, output, fmt)
+    write_duplicates(res.duplicates, output + "_duplicates")
+    counts = {r["stage"]: int(r["n_files"]) for r in res.summary.collect()}
+    counts["written"] = missing.count()
+    return counts

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare as cmp
 from ..plans.analyze import AnalyzeResult, analyze, finish
+from ..session import materialize as _materialize
 
 
 def resume(lake: DataFrame, prior: DataFrame) -> DataFrame:
@@ -38,13 +39,15 @@ def resume_merge(
     if add_hashes is None:
         flagged_new = cmp.classify(new, lib, on_unhashed)
     else:
-        flagged_new = cmp.classify_staged(new, lib, add_hashes, on_unhashed)
+        flagged_new = cmp.classify_staged(new, lib, add_hashes, on_unhashed, materialize=_materialize)
     prior_rows = prior.select(*cols)
-    if recheck_prior:
+    if recheck_prior and add_hashes is not None:
+        flagged_prior = cmp.classify_staged(prior_rows, lib, add_hashes, on_unhashed, materialize=_materialize)
+    elif recheck_prior:
         flagged_prior = cmp.classify(prior_rows, lib, on_unhashed)
     else:
         flagged_prior = prior.select(*cols, "stage", "stage_no", "processing_status")
-    return finish(flagged_new.unionByName(flagged_prior), dedup)
+    return finish(flagged_new.unionByName(flagged_prior), dedup, add_hashes)
 
 
 __all__ = ["resume", "resume_merge", "analyze"]
