@@ -85,7 +85,11 @@ def start_ingest(
     max_files_per_trigger: int | None = None,
 ):
     """Start the ingest query.  ``library`` is a library manifest (pinned by the caller)."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", "true")
+    )
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.load(lake_root)
