@@ -16,17 +16,18 @@ from ..functions.paths import file_name
 from ..operators import copyjob, copyplan
 from ..operators.metrics import copy_summary
 from ..sources import fs
+from ..sources.files import list_names
 from ..sources.manifest_io import read_manifest
 from ..sources.readers import probe_exists
 
 
 def existing_names(spark: SparkSession, target_root: str) -> DataFrame:
-    """Names already present at the top of the target folder (the copy target is flat)."""
+    """Names already present at the top of the target folder (the copy target is flat); listed
+    by a task."""
     root = fs.strip_file_scheme(target_root)
     if fs.kind(root) != "dir":
         return spark.createDataFrame([], "filename string")
-    entries = [(p.rsplit("/", 1)[-1],) for p, is_dir, _, _ in fs.list_dir(root) if not is_dir]
-    return spark.createDataFrame(entries, "filename string")
+    return list_names(spark, root)
 
 
 def plan(

@@ -2,10 +2,9 @@
 
 Two listers:
 
-* ``include_hidden=True`` (default, parity with a tree walk): the driver lists the root's own
-  entries (one directory), and each subdirectory is walked by a Spark task (``mapInPandas``),
-  so listing a tree of millions of files is spread over the cluster.  Empty files and names
-  starting with ``.`` or ``_`` are included.
+* ``include_hidden=True`` (default, parity with a tree walk): a breadth-first walk whose levels
+  are listed by Spark tasks (``mapInPandas``), so listing a tree of millions of files is spread
+  over the cluster.  Empty files and names starting with ``.`` or ``_`` are included.
 * ``include_hidden=False``: Spark's ``binaryFile`` source with only ``path, length,
   modificationTime`` selected (the ``content`` column is pruned, never read).  Spark's file
   index skips zero-byte files and names starting with ``.`` or ``_`` (SURVEY Q1).
@@ -23,13 +22,6 @@ from pyspark.sql import types as T
 from ..functions.paths import DEFAULT_EXTENSIONS, extension_match, file_name, matched_extension, relative_to
 from . import fs
 
-LISTING_SCHEMA = T.StructType(
-    [
-        T.StructField("full_path", T.StringType(), False),
-        T.StructField("file_size", T.LongType(), False),
-        T.StructField("mtime_ms", T.LongType(), False),
-    ]
-)
 
 
 def check_root(root: str) -> None:
@@ -41,28 +33,64 @@ def check_root(root: str) -> None:
         raise NotADirectoryError(f"Base path is not a directory: {root}")
 
 
-def _walk_partition(batches):
+ENTRY_SCHEMA = T.StructType(
+    [
+        T.StructField("full_path", T.StringType(), False),
+        T.StructField("is_dir", T.BooleanType(), False),
+        T.StructField("file_size", T.LongType(), False),
+        T.StructField("mtime_ms", T.LongType(), False),
+    ]
+)
+_CHUNK = 50_000  # rows per Arrow batch out of a listing task
+
+
+def _list_level(batches):
+    """Entries of each directory of the batch (one level), streamed out in chunks so that a
+    directory of millions of entries never sits whole in one task's memory."""
     for pdf in batches:
-        rows = []
+        buf = []
         for d in pdf["dir"]:
-            rows.extend(fs.walk_files(d))
-        yield pd.DataFrame(rows, columns=["full_path", "file_size", "mtime_ms"]).astype(
-            {"file_size": "int64", "mtime_ms": "int64"}
+            for entry in fs.list_dir(d):
+                buf.append(entry)
+                if len(buf) >= _CHUNK:
+                    yield pd.DataFrame(buf, columns=list(ENTRY_SCHEMA.fieldNames()))
+                    buf = []
+        yield pd.DataFrame(buf, columns=list(ENTRY_SCHEMA.fieldNames())).astype(
+            {"is_dir": bool, "file_size": "int64", "mtime_ms": "int64"}
         )
 
 
-def list_files(spark: SparkSession, root: str, max_tasks: int | None = None) -> DataFrame:
-    """Every regular file below ``root`` (hidden and empty ones included), listed by tasks."""
+def list_files(spark: SparkSession, root: str, dirs_per_task: int = 64, max_tasks: int | None = None) -> DataFrame:
+    """Every regular file below ``root`` (hidden and empty ones included).
+
+    A breadth-first walk on the executors: each level's directories are a DataFrame, spread over
+    tasks and listed there; the entries of a level are pinned (shared checkpoint folder) and
+    split into files (kept) and subdirectories (the next level).  The driver only counts the
+    directories of each level; neither the listing nor the directory set passes through it, so
+    wide, deep and flat trees all spread over the cluster.
+    """
+    from ..session import materialize
+
     root = fs.strip_file_scheme(root).rstrip("/") if not fs.is_uri(root) else root.rstrip("/")
-    top = fs.list_dir(root)
-    files = [(p, s, m) for p, is_dir, s, m in top if not is_dir]
-    dirs = [p for p, is_dir, _, _ in top if is_dir]
-    listed = spark.createDataFrame(files, LISTING_SCHEMA)
-    if dirs:
-        n = max(1, min(len(dirs), max_tasks or spark.sparkContext.defaultParallelism * 4))
-        dirs_df = spark.createDataFrame([(d,) for d in dirs], "dir string").repartition(n)
-        listed = listed.unionByName(dirs_df.mapInPandas(_walk_partition, LISTING_SCHEMA))
-    return listed
+    cap = max_tasks or max(1, spark.sparkContext.defaultParallelism * 4)
+    frontier = spark.createDataFrame([(root,)], "dir string")
+    n_dirs = 1
+    files = None
+    while n_dirs > 0:
+        parts = max(1, min(cap, -(-n_dirs // dirs_per_task)))
+        entries = materialize(frontier.repartition(parts).mapInPandas(_list_level, ENTRY_SCHEMA))
+        level_files = entries.where(~F.col("is_dir")).select("full_path", "file_size", "mtime_ms")
+        files = level_files if files is None else files.unionByName(level_files)
+        frontier = entries.where(F.col("is_dir")).select(F.col("full_path").alias("dir"))
+        n_dirs = frontier.count()
+    return files
+
+
+def list_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the files directly in ``folder`` (one listing task; nothing on the driver)."""
+    folder = fs.strip_file_scheme(folder).rstrip("/") if not fs.is_uri(folder) else folder.rstrip("/")
+    entries = spark.createDataFrame([(folder,)], "dir string").mapInPandas(_list_level, ENTRY_SCHEMA)
+    return entries.where(~F.col("is_dir")).select(F.element_at(F.split("full_path", "/"), -1).alias("filename"))
 
 
 def list_files_binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

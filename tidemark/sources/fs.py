@@ -92,18 +92,3 @@ def list_dir(path: str) -> list[tuple[str, bool, int, int]]:
     except OSError:
         return []
     return sorted(out)
-
-
-def walk_files(path: str):
-    """All regular files below ``path`` (depth first, sorted): (path, size, mtime_ms)."""
-    stack = [path]
-    while stack:
-        d = stack.pop()
-        entries = list_dir(d)
-        subdirs = []
-        for full, is_dir, size, mt in entries:
-            if is_dir:
-                subdirs.append(full)
-            else:
-                yield full, size, mt
-        stack.extend(reversed(subdirs))

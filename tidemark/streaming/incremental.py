@@ -33,21 +33,24 @@ def resume_merge(
     recheck_prior: bool = True,
     add_hashes=None,
 ) -> AnalyzeResult:
-    """Analyse only new paths, merge with the prior result, dedup over both."""
+    """Analyse only new paths, merge with the prior result, dedup over both.
+
+    With ``recheck_prior`` the prior rows go through the cascade again together with the new
+    rows (one pass, the library's key sets read once); their known hashes are reused, so only
+    rows that now need a hash they lack are read."""
     cols = lake.columns
     new = resume(lake, prior)
-    if add_hashes is None:
-        flagged_new = cmp.classify(new, lib, on_unhashed)
-    else:
-        flagged_new = cmp.classify_staged(new, lib, add_hashes, on_unhashed, materialize=_materialize)
     prior_rows = prior.select(*cols)
-    if recheck_prior and add_hashes is not None:
-        flagged_prior = cmp.classify_staged(prior_rows, lib, add_hashes, on_unhashed, materialize=_materialize)
-    elif recheck_prior:
-        flagged_prior = cmp.classify(prior_rows, lib, on_unhashed)
+    pin = _materialize if add_hashes is not None else None
+    if recheck_prior:
+        rows = new.unionByName(prior_rows)
+        flagged = (cmp.classify(rows, lib, on_unhashed) if add_hashes is None
+                   else cmp.classify_staged(rows, lib, add_hashes, on_unhashed, materialize=pin))
     else:
-        flagged_prior = prior.select(*cols, "stage", "stage_no", "processing_status")
-    return finish(flagged_new.unionByName(flagged_prior), dedup, add_hashes)
+        flagged_new = (cmp.classify(new, lib, on_unhashed) if add_hashes is None
+                       else cmp.classify_staged(new, lib, add_hashes, on_unhashed, materialize=pin))
+        flagged = flagged_new.unionByName(prior.select(*cols, "stage", "stage_no", "processing_status"))
+    return finish(flagged, dedup, add_hashes)
 
 
 __all__ = ["resume", "resume_merge", "analyze"]
