@@ -440,6 +440,34 @@ def q_analyze_against_benchmark(spark, sf_dir):
     return res.summary
 
 
+def q_stage1_dedup_counts(spark, sf_dir):
+    """Stage-1 survivors: how many the tiered rule keeps (one per size) against how many distinct
+    contents there are (SURVEY Q3: the difference is what the tiered rule loses).  One aggregate
+    pass; the distinct counts are exact."""
+    lake, lib = lake_library(spark, sf_dir)
+    s1 = cmp.missing_from(lake, lib).where(F.col("stage") == "size")
+    return s1.agg(
+        F.count(F.lit(1)).alias("stage1_unique"),
+        F.count_distinct("full_hash").alias("distinct_contents"),
+        F.count_distinct("file_size").alias("kept_by_size_only"),
+    )
+
+
+def _conv_manifest(conv: DataFrame, root: str) -> DataFrame:
+    rel = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/t"), F.col("turn").cast("string"), F.lit(".txt"))
+    pos = F.col("conv_id") * 100000 + F.col("turn")
+    return table_manifest(conv, "text", root, rel, pos, keep=("conv_id", "turn"))
+
+
+def q_analyze_conversations(spark, sf_dir):
+    """Turns of odd conversations (lake) against turns of even ones (library)."""
+    conv = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    lake = _conv_manifest(conv.where(F.col("conv_id") % 2 == 1), LAKE_ROOT)
+    lib = _conv_manifest(conv.where(F.col("conv_id") % 2 == 0), LIBRARY_ROOT)
+    res = analyze(lake, lib, dedup="content")
+    return res.missing.select("conv_id", "turn", "file_size", "stage")
+
+
 QUERIES = {
     "manifest_table": q_manifest_table,
     "content_hashes": q_content_hashes,
@@ -486,4 +514,6 @@ QUERIES = {
     "analyze_documents_tiered": q_analyze_documents_tiered,
     "analyze_pages": q_analyze_pages,
     "analyze_against_benchmark": q_analyze_against_benchmark,
+    "stage1_dedup_counts": q_stage1_dedup_counts,
+    "analyze_conversations": q_analyze_conversations,
 }

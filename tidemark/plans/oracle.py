@@ -196,6 +196,14 @@ def _pages(parity: int, root: str) -> str:
     FROM pages WHERE page_id % 2 = {parity}"""
 
 
+def _conv(parity: int, root: str) -> str:
+    return f"""SELECT conv_id, turn, CAST(octet_length(encode(text)) AS BIGINT) AS file_size,
+      sha256(encode(text)[1:1024]) AS prefix_hash, sha256(encode(text)) AS full_hash,
+      '{root}/c' || CAST(conv_id AS VARCHAR) || '/t' || CAST(turn AS VARCHAR) || '.txt' AS full_path,
+      conv_id * 100000 + turn AS doc_id
+    FROM conversations WHERE conv_id % 2 = {parity}"""
+
+
 ORACLE = {
     "manifest_table": f"""WITH mk AS ({_mk('documents')})
 SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'lake' ELSE 'library' END AS side,
@@ -316,4 +324,13 @@ SELECT page_id, file_size, full_path, stage FROM r WHERE rn = 1""",
                  sha256(encode(text)[1:1024]) AS prefix_hash, sha256(encode(text)) AS full_hash FROM benchmark),
   {_classified('lake', 'lib', 'keep')}
 SELECT stage, count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS total_bytes FROM c GROUP BY stage""",
+    "stage1_dedup_counts": f"""{LL},
+  {_classified('lake', 'lib', 'keep')},
+  s1 AS (SELECT * FROM c WHERE stage = 'size')
+SELECT count(*) AS stage1_unique, count(DISTINCT full_hash) AS distinct_contents,
+       count(DISTINCT file_size) AS kept_by_size_only FROM s1""",
+    "analyze_conversations": f"""WITH lake AS ({_conv(1, '/lake')}), lib AS ({_conv(0, '/library')}),
+  {_classified('lake', 'lib', 'keep')},
+  missing AS (SELECT * FROM c WHERE stage IN ('size', 'prefix', 'full')), {_content('missing')}
+SELECT conv_id, turn, file_size, stage FROM r WHERE rn = 1""",
 }

@@ -85,7 +85,10 @@ def hash_files(
     out = df if "error_message" in df.columns else df.withColumn("error_message", F.lit(None).cast("string"))
     if stage == "full" and balance:
         todo = out.where(F.col("full_hash").isNull())
-        out = balance_by_bytes(todo, bytes_per_task).unionByName(out.where(F.col("full_hash").isNotNull()))
+        # O3 re-aimed: inside each byte-balanced task the largest files go first, so the task's
+        # longest reads start early (longest-processing-time-first) instead of ending it late
+        todo = balance_by_bytes(todo, bytes_per_task).sortWithinPartitions(F.col("file_size").desc())
+        out = todo.unionByName(out.where(F.col("full_hash").isNotNull()))
     return out.mapInPandas(_reader(stage, h.name, path_col, prefix_bytes), out.schema)
 
 
