@@ -43,32 +43,39 @@ def key_set(df: DataFrame, keys: list[str], flag: str | None = None) -> DataFram
 # --- stage by stage (J1-J5) -------------------------------------------------------------
 
 
-def stage_size(lake: DataFrame, lib: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unique by size, candidates for stage 2)."""
-    sizes = key_set(lib, ["file_size"])
+def stage_size(lake: DataFrame, lib: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(unique by size, candidates for stage 2).  ``keys``: pinned library key triples
+    (:func:`library_keys`) so a chain of stages reads the library once."""
+    sizes = key_set(keys if keys is not None else lib, ["file_size"])
     return lake.join(sizes, "file_size", "left_anti"), lake.join(sizes, "file_size", "left_semi")
 
 
-def stage_prefix(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep") -> tuple[DataFrame, DataFrame]:
+def stage_prefix(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep",
+                 keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(unique by size and prefix hash, candidates for stage 3)."""
     _check_policy(on_unhashed)
-    keys = key_set(lib, ["file_size", "prefix_hash"])
-    hashed = candidates.where(F.col("prefix_hash").isNotNull())
-    unique = hashed.join(keys, ["file_size", "prefix_hash"], "left_anti")
-    if on_unhashed == "keep":
-        unique = unique.unionByName(candidates.where(F.col("prefix_hash").isNull()))
-    return unique, hashed.join(keys, ["file_size", "prefix_hash"], "left_semi")
+    return _unique_and_matched(candidates, keys if keys is not None else lib, ["file_size", "prefix_hash"],
+                               "prefix_hash", on_unhashed)
 
 
-def stage_full(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep") -> tuple[DataFrame, DataFrame]:
+def stage_full(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep",
+               keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(unique by full hash, duplicates of a library file)."""
     _check_policy(on_unhashed)
-    keys = key_set(lib, ["full_hash"])
-    hashed = candidates.where(F.col("full_hash").isNotNull())
-    unique = hashed.join(keys, "full_hash", "left_anti")
-    if on_unhashed == "keep":
-        unique = unique.unionByName(candidates.where(F.col("full_hash").isNull()))
-    return unique, hashed.join(keys, "full_hash", "left_semi")
+    return _unique_and_matched(candidates, keys if keys is not None else lib, ["file_size", "full_hash"],
+                               "full_hash", on_unhashed)
+
+
+def _unique_and_matched(candidates: DataFrame, lib: DataFrame, keys: list[str], hash_col: str,
+                        on_unhashed: str) -> tuple[DataFrame, DataFrame]:
+    """(unique, matched) of one stage; each output reads ``candidates`` once.  ``unique`` is a
+    left join with a NULL flag (a NULL hash never matches, so policy ``keep`` keeps such rows
+    and ``drop`` filters them); ``matched`` is a semi join."""
+    ks = key_set(lib, keys, "_m")
+    unique = candidates.join(ks, keys, "left").where(F.col("_m").isNull())
+    if on_unhashed == "drop":
+        unique = unique.where(F.col(hash_col).isNotNull())
+    return unique.select(*candidates.columns), candidates.join(key_set(lib, keys), keys, "left_semi")
 
 
 def prune_library_by_size(lib: DataFrame, candidates: DataFrame) -> DataFrame:

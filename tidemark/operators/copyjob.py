@@ -117,13 +117,21 @@ def _is_own_retry(dst: str, src: str) -> bool:
         return False
 
 
-def run_copy(plan: DataFrame, mode: str = "rename", verify: str = "size", hasher=None) -> DataFrame:
+def run_copy(plan: DataFrame, mode: str = "rename", verify: str = "size", hasher=None,
+             pinned: bool = False) -> DataFrame:
     """Execute a plan from :func:`tidemark.operators.copyplan.plan_copy`; returns one
-    result row per plan row (same columns, ``success``/``message``/``outcome`` updated)."""
+    result row per plan row (same columns, ``success``/``message``/``outcome`` updated).
+
+    The plan is pinned first (unless ``pinned``): a retried copy task must see the same targets,
+    not a plan recomputed against a target folder that other tasks have already filled."""
     check_mode(mode)
     if verify not in ("none", "size", "hash"):
         raise ValueError("verify must be 'none', 'size' or 'hash'")
     h = get_hasher(hasher)
+    if not pinned:
+        from ..session import materialize
+
+        plan = materialize(plan)
     return plan.mapInPandas(_runner(mode, verify, h.name), plan.schema)
 
 

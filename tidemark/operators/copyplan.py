@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import suffix
+from ..session import materialize
 
 MODES = ("rename", "skip", "overwrite")
 
@@ -85,6 +86,9 @@ def plan_copy(
         rows = rows.join(taken, "filename", "left")
     else:
         rows = rows.withColumn("_exists", F.lit(None).cast("boolean"))
+    # The per-name aggregates and the rename clash checks read these rows several times; pin them
+    # once (narrow rows, shared checkpoint folder) so the manifest and lookups are computed once.
+    rows = materialize(rows)
     live = F.col("_src").isNotNull()
     ends = (
         rows.where(live)

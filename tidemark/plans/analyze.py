@@ -37,7 +37,7 @@ def analyze(
     dedup: str = "content",
     on_unhashed: str = "keep",
     add_hashes=None,
-    materialize: bool = False,
+    materialize: bool = True,
 ) -> AnalyzeResult:
     """``lake``/``lib`` are manifests.  Table manifests carry both hashes already (one pass);
     file manifests pass ``add_hashes`` (see :func:`tidemark.sources.readers.hash_files`) and are
@@ -45,6 +45,9 @@ def analyze(
 
     ``dedup='content'`` (default) dedups by full content hash; ``'tiered'`` reproduces the
     reference's size / size+1k / full tiers (drops never-compared files of equal size: SURVEY Q3).
+
+    ``materialize`` (default) pins the flagged frame: the dedup reads it twice (keepers, then
+    the report's join back), and without the pin the lake's content would be read twice.
     """
     if dedup not in DEDUP_MODES:
         raise ValueError(f"dedup must be one of {DEDUP_MODES}, got {dedup!r}")

@@ -20,6 +20,7 @@ from ..operators.routing import route_files
 from ..sources.manifest_io import manifest_counts, parse_manifest
 from ..sources.tables import table_manifest
 from ..streaming.incremental import resume, resume_merge
+from ..session import materialize
 from .analyze import analyze
 
 # Fixed parameters of the registered queries.
@@ -179,50 +180,59 @@ def q_full_groups(spark, sf_dir):
 # --- J1-J5 ------------------------------------------------------------------------------
 
 
+def _chain(spark, sf_dir, altered=False):
+    """Lake, library and the library's key triples read once (pinned) for a chain of stages."""
+    lake, lib = (lake_plus_altered if altered else lake_library)(spark, sf_dir)
+    return lake, lib, cmp.library_keys(lib)
+
+
 def q_stage1_unique(spark, sf_dir):
-    lake, lib = lake_library(spark, sf_dir)
-    return cmp.stage_size(lake, lib)[0].select("doc_id", "file_size")
+    lake, lib, keys = _chain(spark, sf_dir)
+    return cmp.stage_size(lake, lib, keys)[0].select("doc_id", "file_size")
 
 
 def q_stage1_candidates(spark, sf_dir):
-    lake, lib = lake_library(spark, sf_dir)
-    return cmp.stage_size(lake, lib)[1].select("doc_id", "file_size")
+    lake, lib, keys = _chain(spark, sf_dir)
+    return cmp.stage_size(lake, lib, keys)[1].select("doc_id", "file_size")
 
 
 def q_stage2_library_pruned(spark, sf_dir):
-    lake, lib = lake_library(spark, sf_dir)
-    cand = cmp.stage_size(lake, lib)[1]
+    lake, lib, keys = _chain(spark, sf_dir)
+    cand = cmp.stage_size(lake, lib, keys)[1]
     return cmp.prune_library_by_size(lib, cand).select("doc_id", "file_size")
 
 
 def q_stage2_unique(spark, sf_dir):
-    lake, lib = lake_library(spark, sf_dir)
-    cand = cmp.stage_size(lake, lib)[1]
-    return cmp.stage_prefix(cand, lib)[0].select("doc_id", "file_size", "prefix_hash")
+    lake, lib, keys = _chain(spark, sf_dir)
+    cand = cmp.stage_size(lake, lib, keys)[1]
+    return cmp.stage_prefix(cand, lib, keys=keys)[0].select("doc_id", "file_size", "prefix_hash")
 
 
 def q_stage2_candidates(spark, sf_dir):
-    lake, lib = lake_library(spark, sf_dir)
-    cand = cmp.stage_size(lake, lib)[1]
-    return cmp.stage_prefix(cand, lib)[1].select("doc_id", "file_size", "prefix_hash")
+    lake, lib, keys = _chain(spark, sf_dir)
+    cand = cmp.stage_size(lake, lib, keys)[1]
+    return cmp.stage_prefix(cand, lib, keys=keys)[1].select("doc_id", "file_size", "prefix_hash")
+
+
+def _stage3_candidates(spark, sf_dir):
+    lake, lib, keys = _chain(spark, sf_dir, altered=True)
+    cand = cmp.stage_prefix(cmp.stage_size(lake, lib, keys)[1], lib, keys=keys)[1]
+    return cand, lib, keys
 
 
 def q_stage3_library_pruned(spark, sf_dir):
-    lake, lib = lake_plus_altered(spark, sf_dir)
-    cand = cmp.stage_prefix(cmp.stage_size(lake, lib)[1], lib)[1]
+    cand, lib, _ = _stage3_candidates(spark, sf_dir)
     return cmp.prune_library_by_prefix(lib, cand).select("doc_id", "file_size", "prefix_hash")
 
 
 def q_stage3_unique(spark, sf_dir):
-    lake, lib = lake_plus_altered(spark, sf_dir)
-    cand = cmp.stage_prefix(cmp.stage_size(lake, lib)[1], lib)[1]
-    return cmp.stage_full(cand, lib)[0].select("doc_id", "full_hash")
+    cand, lib, keys = _stage3_candidates(spark, sf_dir)
+    return cmp.stage_full(cand, lib, keys=keys)[0].select("doc_id", "full_hash")
 
 
 def q_stage3_duplicates(spark, sf_dir):
-    lake, lib = lake_plus_altered(spark, sf_dir)
-    cand = cmp.stage_prefix(cmp.stage_size(lake, lib)[1], lib)[1]
-    return cmp.stage_full(cand, lib)[1].select("doc_id", "full_hash")
+    cand, lib, keys = _stage3_candidates(spark, sf_dir)
+    return cmp.stage_full(cand, lib, keys=keys)[1].select("doc_id", "full_hash")
 
 
 # --- J6, P7, P8 -------------------------------------------------------------------------
@@ -286,8 +296,9 @@ def q_side_summary(spark, sf_dir):
 
 
 def _missing_plain(spark, sf_dir):
+    """Missing rows, pinned: dedup reads them twice (keepers, then the report's join back)."""
     lake, lib = lake_library(spark, sf_dir)
-    return cmp.missing_from(lake, lib)
+    return materialize(cmp.missing_from(lake, lib))
 
 
 def q_dedup_summary(spark, sf_dir):

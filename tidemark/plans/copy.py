@@ -19,6 +19,7 @@ from ..sources import fs
 from ..sources.files import list_names
 from ..sources.manifest_io import read_manifest
 from ..sources.readers import probe_exists
+from ..session import materialize
 
 
 def existing_names(spark: SparkSession, target_root: str) -> DataFrame:
@@ -61,12 +62,12 @@ def copy_manifest(
         manifest, _rejects = read_manifest(spark, manifest)
     if "relative_path" not in manifest.columns:
         manifest = manifest.withColumn("relative_path", file_name("full_path"))
-    p = plan(spark, manifest, target_root, mode)
+    # The plan is fixed (written to the shared checkpoint folder) before any copy starts: a copy
+    # task retried after an executor loss must not re-plan against a target folder that earlier
+    # tasks have already filled, or its rename decisions could change.
+    p = materialize(plan(spark, manifest, target_root, mode))
     if dry_run:
         return p, copy_summary(p)
     copyjob.check_target_root(target_root)
-    results = copyjob.run_copy(p, mode=mode, verify=verify)
-    from ..session import materialize
-
-    results = materialize(results)  # copy once; results and summary read the same rows
+    results = materialize(copyjob.run_copy(p, mode=mode, verify=verify, pinned=True))  # copy once
     return results, copy_summary(results)
