@@ -5,7 +5,8 @@ library, so a join never fans out, whatever the skew of the keys.  The physical
 left to Catalyst and AQE: a key set that turns out small at runtime is broadcast (AQE measures
 it first, so the broadcast is size-checked), otherwise both sides are hash-partitioned on the
 key; a hot lake key (one size shared by a third of the files) is split by AQE's skew-join
-handling, which is valid for the left outer / semi / anti joins used here.
+handling, which is valid for the left outer / semi / anti joins used here and applies because
+the library's key sets are pinned (see :func:`library_keys`).
 
 Two NULL policies mirror the two entry points of the reference:
 
@@ -17,6 +18,8 @@ A library row with a NULL hash never matches anything.  ``NOT IN`` is never used
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ def key_set(df: DataFrame, keys: list[str], flag: str | None = None) -> DataFram
 def stage_size(lake: DataFrame, lib: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(unique by size, candidates for stage 2).  ``keys``: pinned library key triples
     (:func:`library_keys`) so a chain of stages reads the library once."""
-    sizes = key_set(keys if keys is not None else lib, ["file_size"])
+    sizes = _keys_for(keys, lib, "sizes", ["file_size"])
     return lake.join(sizes, "file_size", "left_anti"), lake.join(sizes, "file_size", "left_semi")
 
 
@@ -54,28 +57,28 @@ def stage_prefix(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep
                  keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(unique by size and prefix hash, candidates for stage 3)."""
     _check_policy(on_unhashed)
-    return _unique_and_matched(candidates, keys if keys is not None else lib, ["file_size", "prefix_hash"],
-                               "prefix_hash", on_unhashed)
+    return _unique_and_matched(candidates, _keys_for(keys, lib, "prefixes", ["file_size", "prefix_hash"]),
+                               ["file_size", "prefix_hash"], "prefix_hash", on_unhashed)
 
 
 def stage_full(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep",
                keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(unique by full hash, duplicates of a library file)."""
     _check_policy(on_unhashed)
-    return _unique_and_matched(candidates, keys if keys is not None else lib, ["file_size", "full_hash"],
-                               "full_hash", on_unhashed)
+    return _unique_and_matched(candidates, _keys_for(keys, lib, "fulls", ["file_size", "full_hash"]),
+                               ["file_size", "full_hash"], "full_hash", on_unhashed)
 
 
-def _unique_and_matched(candidates: DataFrame, lib: DataFrame, keys: list[str], hash_col: str,
+def _unique_and_matched(candidates: DataFrame, distinct_keys: DataFrame, keys: list[str], hash_col: str,
                         on_unhashed: str) -> tuple[DataFrame, DataFrame]:
     """(unique, matched) of one stage; each output reads ``candidates`` once.  ``unique`` is a
     left join with a NULL flag (a NULL hash never matches, so policy ``keep`` keeps such rows
-    and ``drop`` filters them); ``matched`` is a semi join."""
-    ks = key_set(lib, keys, "_m")
+    and ``drop`` filters them); ``matched`` is a semi join.  ``distinct_keys`` has no repeats."""
+    ks = distinct_keys.withColumn("_m", F.lit(True))
     unique = candidates.join(ks, keys, "left").where(F.col("_m").isNull())
     if on_unhashed == "drop":
         unique = unique.where(F.col(hash_col).isNotNull())
-    return unique.select(*candidates.columns), candidates.join(key_set(lib, keys), keys, "left_semi")
+    return unique.select(*candidates.columns), candidates.join(distinct_keys, keys, "left_semi")
 
 
 def prune_library_by_size(lib: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -115,35 +118,64 @@ def _reached(on_unhashed: str):
     )
 
 
-def library_keys(lib: DataFrame, pin: bool = True) -> DataFrame:
-    """Distinct (size, prefix hash, full hash) triples of the library: one scan of its content,
-    partially aggregated.  ``pin`` computes them once (checkpoint to the shared folder, or a
-    persist when the session names none): Catalyst re-derives each key set from the scan when
-    they are declared separately, which would read the library three times."""
-    triples = lib.select("file_size", "prefix_hash", "full_hash").distinct()
-    return _materialize(triples) if pin else triples
+@dataclass
+class LibraryKeys:
+    """The library's distinct key sets, each with a TRUE flag column (``_m1``/``_m2``/``_m3``)."""
+
+    sizes: DataFrame  # file_size
+    prefixes: DataFrame  # file_size, prefix_hash
+    fulls: DataFrame  # file_size, full_hash
+
+
+def library_keys(lib: DataFrame, pin: bool = True) -> LibraryKeys:
+    """The three key sets of the library from one read of its content.
+
+    The three sets are one ``GROUPING SETS`` aggregation (one scan, partial aggregation, one
+    shuffle), pinned once.  Pinning matters twice at scale: Catalyst would otherwise re-derive
+    each set from the scan (three reads of the library), and a join whose build side is an
+    aggregate directly on its shuffle cannot be split by AQE's skew handling, while a join
+    against a pinned set can (``SortMergeJoin(skew=true)``): a hot size or content in the lake
+    is spread over several tasks.  A small set is broadcast by AQE after it measured it.
+    """
+    # one pass, one shuffle: GROUPING SETS (size), (size, prefix), (size, full), tagged by grouping_id
+    g = lib.groupingSets(
+        [["file_size"], ["file_size", "prefix_hash"], ["file_size", "full_hash"]],
+        "file_size", "prefix_hash", "full_hash",
+    ).agg(F.grouping_id().alias("_g"))
+    if pin:
+        g = _materialize(g)
+    size_ok = F.col("file_size").isNotNull()
+    return LibraryKeys(
+        g.where((F.col("_g") == 3) & size_ok).select("file_size", F.lit(True).alias("_m1")),
+        g.where((F.col("_g") == 1) & size_ok & F.col("prefix_hash").isNotNull())
+        .select("file_size", "prefix_hash", F.lit(True).alias("_m2")),
+        g.where((F.col("_g") == 2) & size_ok & F.col("full_hash").isNotNull())
+        .select("file_size", "full_hash", F.lit(True).alias("_m3")),
+    )
+
+
+def _keys_for(keys, lib: DataFrame, which: str, cols: list[str]) -> DataFrame:
+    if isinstance(keys, LibraryKeys):
+        return getattr(keys, which).select(*cols)
+    return key_set(keys if keys is not None else lib, cols)
 
 
-def classify(lake: DataFrame, lib: DataFrame, on_unhashed: str = "keep", keys: DataFrame | None = None,
+def classify(lake: DataFrame, lib: DataFrame, on_unhashed: str = "keep", keys: LibraryKeys | None = None,
              pin: bool = True) -> DataFrame:
     """J6 for manifests that already carry both hashes (tables): one pass, one row per lake row,
     with ``stage``, ``stage_no`` and ``processing_status``.
 
-    Three left joins to distinct library key sets (from :func:`library_keys`, read once); each
-    lake row is shuffled as a narrow row (paths, size, two digests), never its content.  All
-    three joins carry ``file_size`` in their key (equal content has equal size), so with
-    ``spark.sql.requireAllClusterKeysForCoPartition=false`` the lake is partitioned once on
-    ``file_size`` for the two large joins, and AQE broadcasts whichever key set is small.
+    Three left joins to the library's distinct key sets (:func:`library_keys`, read once); each
+    lake row is shuffled as a narrow row (paths, size, two digests), never its content.  Stage 3
+    joins on ``(file_size, full_hash)``: equal content has equal size, and the size in the key
+    spreads a hot digest no worse than the digest alone.
     """
     _check_policy(on_unhashed)
-    triples = keys if keys is not None else library_keys(lib, pin)
-    sizes = key_set(triples, ["file_size"], "_m1")
-    prefixes = key_set(triples, ["file_size", "prefix_hash"], "_m2")
-    fulls = key_set(triples, ["file_size", "full_hash"], "_m3")
+    k = keys if keys is not None else library_keys(lib, pin)
     j = (
-        lake.join(sizes, "file_size", "left")
-        .join(prefixes, ["file_size", "prefix_hash"], "left")
-        .join(fulls, ["file_size", "full_hash"], "left")
+        lake.join(k.sizes, "file_size", "left")
+        .join(k.prefixes, ["file_size", "prefix_hash"], "left")
+        .join(k.fulls, ["file_size", "full_hash"], "left")
     )
     stage = _stage_column(on_unhashed)
     out = (

@@ -90,7 +90,8 @@ def plan_copy(
     # once (narrow rows, shared checkpoint folder) so the manifest and lookups are computed once.
     rows = materialize(rows)
     live = F.col("_src").isNotNull()
-    ends = (
+    # one row per name, pinned so the join back can be split by AQE when one name is hot
+    ends = materialize(
         rows.where(live)
         .groupBy("filename")
         .agg(F.min("position").alias("_first"), F.max("position").alias("_last"))

@@ -58,13 +58,19 @@ def content_key(df: DataFrame) -> DataFrame:
     return df.withColumn("method", F.lit(METHOD_FULL)).withColumn("_key", key)
 
 
-def _dedup(keyed: DataFrame, cols: list[str]) -> DedupResult:
+def _dedup(keyed: DataFrame, cols: list[str], pin: bool = True) -> DedupResult:
     order = ["stage_no", "full_path", "position"] if "stage_no" in cols else ["full_path", "position"]
     rest = [c for c in cols if c not in order]
     groups = keyed.groupBy("method", "_key").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min(F.struct(*order, *rest)).alias("_k"),
     )
+    if pin:
+        # one row per group, pinned: the kept set, the report and the summary read it without
+        # recomputing, and the report's join to it can be split by AQE when one group is hot
+        from ..session import materialize
+
+        groups = materialize(groups)
     kept = groups.select(*[F.col(f"_k.{c}").alias(c) for c in cols], "method")
     originals = groups.where(F.col("_n") > 1).select("method", "_key", F.col("_k.full_path").alias("original_path"))
     report = (
@@ -89,15 +95,15 @@ def _dedup(keyed: DataFrame, cols: list[str]) -> DedupResult:
     return DedupResult(kept, report, summary)
 
 
-def dedup_tiered(missing: DataFrame) -> DedupResult:
+def dedup_tiered(missing: DataFrame, pin: bool = True) -> DedupResult:
     """W1 + W2: the reference's tiered first-seen dedup.  Unsafe by design: files of equal size
     that were never compared are dropped as duplicates (SURVEY Q3); kept for parity."""
-    return _dedup(tiered_key(missing), missing.columns)
+    return _dedup(tiered_key(missing), missing.columns, pin)
 
 
-def dedup_content(missing: DataFrame) -> DedupResult:
+def dedup_content(missing: DataFrame, pin: bool = True) -> DedupResult:
     """Dedup by full content hash only (the safe default)."""
-    return _dedup(content_key(missing), missing.columns)
+    return _dedup(content_key(missing), missing.columns, pin)
 
 
 def complete_hashes(missing: DataFrame, add_hashes, pin=None) -> DataFrame:
