@@ -155,8 +155,12 @@ def library_keys(lib: DataFrame, pin: bool = True) -> LibraryKeys:
 
 
 def _keys_for(keys, lib: DataFrame, which: str, cols: list[str]) -> DataFrame:
+    """Distinct keys of one stage: from pinned :class:`LibraryKeys`, from a DataFrame that already
+    holds exactly these distinct keys, or computed from the library rows."""
     if isinstance(keys, LibraryKeys):
         return getattr(keys, which).select(*cols)
+    if keys is not None and sorted(keys.columns) == sorted(cols):
+        return keys
     return key_set(keys if keys is not None else lib, cols)
 
 
@@ -207,13 +211,17 @@ def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: st
             .withColumn("processing_status", st.processing_status(F.lit(stage)))
         )
 
-    unique1, cand1 = stage_size(lake, lib)
+    # key sets of each stage are pinned (one row per key) so AQE can split a hot lake key
+    sizes = _materialize(key_set(lib, ["file_size"]))
+    unique1, cand1 = stage_size(lake, lib, sizes)
     lib2 = pin(add_hashes(prune_library_by_size(lib, cand1), "1k"))
     cand1h = pin(add_hashes(cand1, "1k").select(*cols))
-    unique2, cand2 = stage_prefix(cand1h, lib2, on_unhashed)
+    prefixes = _materialize(key_set(lib2, ["file_size", "prefix_hash"]))
+    unique2, cand2 = stage_prefix(cand1h, lib2, on_unhashed, keys=prefixes)
     lib3 = pin(add_hashes(prune_library_by_prefix(lib2, cand2), "full"))
     cand2h = pin(add_hashes(cand2, "full").select(*cols))
-    unique3, dup3 = stage_full(cand2h, lib3, on_unhashed)
+    fulls = _materialize(key_set(lib3, ["file_size", "full_hash"]))
+    unique3, dup3 = stage_full(cand2h, lib3, on_unhashed, keys=fulls)
     parts = [
         tag(unique1, st.STAGE_SIZE),
         tag(unique2, st.STAGE_PREFIX),
@@ -258,11 +266,12 @@ def _order_struct(carry: tuple[str, ...]):
 def lookup_by_size(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = ("full_path",)) -> DataFrame:
     """For each lake row, how many library files share its size and the first of them
     (lowest position).  Pairs are never materialised: the library is reduced to one row per size
-    first (partial aggregation handles a hot size)."""
-    per_size = lib.groupBy("file_size").agg(
+    first (partial aggregation handles a hot size) and pinned, so the join to it can be split by
+    AQE when a size is hot on the lake side."""
+    per_size = _materialize(lib.groupBy("file_size").agg(
         F.count(F.lit(1)).alias("library_matches"),
         F.min(_order_struct(carry)).alias("_first"),
-    )
+    ))
     out = lake.join(per_size, "file_size", "inner")
     return out.select(*lake.columns, "library_matches", *[F.col(f"_first.{c}").alias(f"library_{c}") for c in carry])
 
@@ -270,10 +279,10 @@ def lookup_by_size(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = ("f
 def lookup_by_prefix(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = ("full_path",)) -> DataFrame:
     """As J7 on (size, prefix hash)."""
     keys = ["file_size", "prefix_hash"]
-    per_key = lib.where(F.col("prefix_hash").isNotNull()).groupBy(*keys).agg(
+    per_key = _materialize(lib.where(F.col("prefix_hash").isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("library_matches"),
         F.min(_order_struct(carry)).alias("_first"),
-    )
+    ))
     out = lake.join(per_key, keys, "inner")
     return out.select(*lake.columns, "library_matches", *[F.col(f"_first.{c}").alias(f"library_{c}") for c in carry])
 
@@ -290,7 +299,7 @@ def last_by_full_hash(lib: DataFrame, carry: tuple[str, ...] = ("full_path",)) -
 
 def lookup_by_full_hash(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = ("full_path",)) -> DataFrame:
     """For each lake row, the library file with the same full hash (last added wins)."""
-    return lake.join(last_by_full_hash(lib, carry), "full_hash", "inner").select(
+    return lake.join(_materialize(last_by_full_hash(lib, carry)), "full_hash", "inner").select(
         *lake.columns, *[f"library_{c}" for c in carry]
     )
 

@@ -119,12 +119,14 @@ def complete_hashes(missing: DataFrame, add_hashes, pin=None) -> DataFrame:
     if pin is None:
         from ..session import materialize as pin
     cols = missing.columns
-    multi_size = missing.groupBy("file_size").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("file_size")
+    multi_size = pin(
+        missing.groupBy("file_size").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("file_size")
+    )
     need1 = missing.join(multi_size, "file_size", "left_semi")
     rest1 = missing.join(multi_size, "file_size", "left_anti")
     with_prefix = pin(add_hashes(need1, "1k").select(*cols))
     keys = ["file_size", "prefix_hash"]
-    multi_pref = (
+    multi_pref = pin(
         with_prefix.where(F.col("prefix_hash").isNotNull())
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
     )
