@@ -3,7 +3,7 @@ items are not recorded again, a replayed batch is idempotent."""
 
 from tidemark.session import materialize
 from tidemark.sources.files import scan_manifest
-from tidemark.streaming.ingest import start_ingest
+from tidemark.streaming.ingest import read_state, start_ingest
 
 
 def _w(p, data):
@@ -20,12 +20,33 @@ def test_two_waves(spark, tmp_path):
     state, ckpt = str(tmp_path / "state"), str(tmp_path / "ckpt")
     q = start_ingest(spark, str(lake), library, state, ckpt)
     q.awaitTermination()
-    first = {r["relative_path"] for r in spark.read.parquet(state).collect()}
+    first = {r["relative_path"] for r in read_state(spark, state).collect()}
     assert first == {"w1/a.pdf"}
     _w(lake / "w2" / "b.pdf", b"second wave b")
     _w(lake / "w2" / "a_again.pdf", b"first wave a")  # same content as an item already recorded
     q = start_ingest(spark, str(lake), library, state, ckpt)
     q.awaitTermination()
-    rows = spark.read.parquet(state).collect()
+    rows = read_state(spark, state).collect()
     assert sorted(r["relative_path"] for r in rows) == ["w1/a.pdf", "w2/b.pdf"]
     assert len({r["batch_id"] for r in rows}) == 2
+
+
+def test_library_digests_are_cached_across_batches(spark, tmp_path):
+    from tidemark.streaming.ingest import library_cache_path
+
+    lake, lib = tmp_path / "lake", tmp_path / "lib"
+    content = b"L" * 2000
+    _w(lib / "book.pdf", content)
+    _w(lake / "w1" / "copy1.pdf", content)  # a duplicate: the library file's full digest is computed
+    library = materialize(scan_manifest(spark, str(lib)))
+    state, ckpt = str(tmp_path / "state"), str(tmp_path / "ckpt")
+    start_ingest(spark, str(lake), library, state, ckpt).awaitTermination()
+    cached = spark.read.parquet(library_cache_path(state)).collect()
+    assert {r["full_path"] for r in cached} == {str(lib / "book.pdf")}
+    assert read_state(spark, state).count() == 0
+    # the library file can no longer be read: only the cached digest can show that the next
+    # lake copy is a duplicate (re-reading would leave the hash NULL and record it as missing)
+    (lib / "book.pdf").unlink()
+    _w(lake / "w2" / "copy2.pdf", content)
+    start_ingest(spark, str(lake), library, state, ckpt).awaitTermination()
+    assert read_state(spark, state).count() == 0

@@ -191,13 +191,16 @@ def classify(lake: DataFrame, lib: DataFrame, on_unhashed: str = "keep", keys: L
     return out.select(*lake.columns, "stage", "stage_no", "processing_status")
 
 
-def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: str = "keep", materialize=None) -> DataFrame:
+def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: str = "keep", materialize=None,
+                    hashed_library: list | None = None) -> DataFrame:
     """J6 for manifests whose hashes are expensive (files): stage by stage, hashing only
     survivors, and on the library side only rows that can still match (J4, J5).
 
     ``add_hashes(df, stage)`` returns ``df`` with ``prefix_hash`` (stage ``"1k"``) or
     ``full_hash`` (stage ``"full"``) filled in.  ``materialize`` (e.g.
     :func:`tidemark.session.materialize`) pins each hashed set so no file is read twice.
+    ``hashed_library``, when a list, receives the library rows hashed here (stage 2 and 3) so a
+    caller can keep their digests (the stream ingest caches them across batches).
     """
     _check_policy(on_unhashed)
     pin = materialize or (lambda d: d)
@@ -222,6 +225,8 @@ def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: st
     cand2h = pin(add_hashes(cand2, "full").select(*cols))
     fulls = _materialize(key_set(lib3, ["file_size", "full_hash"]))
     unique3, dup3 = stage_full(cand2h, lib3, on_unhashed, keys=fulls)
+    if hashed_library is not None:
+        hashed_library.extend([lib2, lib3])
     parts = [
         tag(unique1, st.STAGE_SIZE),
         tag(unique2, st.STAGE_PREFIX),

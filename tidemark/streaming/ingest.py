@@ -9,7 +9,8 @@ checkpoint which files it has seen, so each file is handled once.  Every micro-b
 (``foreachBatch``):
 
 1. builds the manifest rows of the new files;
-2. runs the cascade against the library snapshot (hashing survivors only);
+2. runs the cascade against the library snapshot (hashing survivors only; library digests
+   computed by earlier batches are reused from a cache table next to the state);
 3. runs the same cascade against the state table (items kept by earlier batches), so a new file
    whose content was already recorded is a duplicate, not a new item;
 4. dedups inside the batch by content (hashing only what can collide);
@@ -34,14 +35,54 @@ from ..sources.readers import file_hasher
 from ..sources import fs
 
 
-def _read_state(spark: SparkSession, state_path: str, exclude_batch: int) -> DataFrame | None:
+# Fixed layouts of the state tables (explicit, so an empty table still reads).
+STATE_DDL = (
+    "full_path string, relative_path string, filename string, file_extension string, file_size bigint, "
+    "prefix_hash string, full_hash string, position bigint, error_message string, stage string, "
+    "stage_no int, processing_status string, batch_id bigint"
+)
+CACHE_DDL = "full_path string, file_size bigint, prefix_hash string, full_hash string, batch_id bigint"
+
+
+def read_state(spark: SparkSession, state_path: str, ddl: str = STATE_DDL) -> DataFrame:
+    """The items recorded so far (no rows when nothing was recorded yet)."""
     try:
-        st = spark.read.parquet(state_path)
+        return spark.read.schema(ddl).parquet(state_path)
     except AnalysisException:
-        return None
+        return spark.createDataFrame([], ddl)
+
+
+def _read_state(spark: SparkSession, state_path: str, exclude_batch: int, ddl: str = STATE_DDL) -> DataFrame | None:
+    st = read_state(spark, state_path, ddl)
     return st.where(F.col("batch_id") != exclude_batch)
 
 
+def library_cache_path(state_path: str) -> str:
+    return state_path.rstrip("/") + "_library_hashes"
+
+
+def _with_cached_hashes(spark: SparkSession, library: DataFrame, state_path: str, batch_id: int) -> DataFrame:
+    """Fill library digests known from earlier batches (keyed by path and size: library files are
+    taken as immutable while the stream runs), so no batch re-reads a library file."""
+    cache = _read_state(spark, library_cache_path(state_path), batch_id, CACHE_DDL)
+    known = cache.groupBy("full_path", "file_size").agg(
+        F.max("prefix_hash").alias("_p"), F.max("full_hash").alias("_f")
+    )
+    out = library.join(known, ["full_path", "file_size"], "left")
+    return out.withColumn("prefix_hash", F.coalesce("prefix_hash", "_p")).withColumn(
+        "full_hash", F.coalesce("full_hash", "_f")
+    ).select(*library.columns)
+
+
+def _write_partition(df: DataFrame, path: str) -> None:
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("batch_id")
+        .parquet(path)
+    )
+
+
 def process_batch(spark: SparkSession, listing: DataFrame, batch_id: int, lake_root: str, library: DataFrame,
                   state_path: str, extensions=DEFAULT_EXTENSIONS, hasher=None) -> None:
     """One micro-batch (also usable on its own for a batch of new paths)."""
@@ -50,10 +91,12 @@ def process_batch(spark: SparkSession, listing: DataFrame, batch_id: int, lake_r
     m = m.withColumn("position", F.lit(batch_id).cast("bigint") * F.lit(1 << 40) + F.col("position"))
     m = materialize(m)
     cols = m.columns
-    flagged = cmp.classify_staged(m, library, add, materialize=materialize)
+    lib = _with_cached_hashes(spark, library, state_path, batch_id)
+    hashed_lib: list = []
+    flagged = cmp.classify_staged(m, lib, add, materialize=materialize, hashed_library=hashed_lib)
     missing = cmp.missing_only(flagged)
     prior = _read_state(spark, state_path, batch_id)
-    if prior is not None:
+    if not prior.isEmpty():
         # items already recorded act as a library: a match in content is a duplicate
         prior_lib = prior.select(*[c for c in cols])
         again = cmp.classify_staged(missing.select(*cols), prior_lib, add, materialize=materialize)
@@ -65,12 +108,18 @@ def process_batch(spark: SparkSession, listing: DataFrame, batch_id: int, lake_r
     out = kept.select(*cols, "stage", "stage_no", "processing_status").withColumn(
         "batch_id", F.lit(batch_id).cast("bigint")
     )
-    (
-        out.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(state_path)
-    )
+    _write_partition(out, state_path)
+    # library digests computed in this batch, for the next ones
+    digests = None
+    for part in hashed_lib:
+        rows = part.select("full_path", "file_size", "prefix_hash", "full_hash")
+        digests = rows if digests is None else digests.unionByName(rows)
+    if digests is not None:
+        _write_partition(
+            digests.where(F.col("prefix_hash").isNotNull() | F.col("full_hash").isNotNull())
+            .withColumn("batch_id", F.lit(batch_id).cast("bigint")),
+            library_cache_path(state_path),
+        )
 
 
 def start_ingest(
