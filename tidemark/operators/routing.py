@@ -35,15 +35,33 @@ def route_files(df: DataFrame, processed: DataFrame | None = None, threshold: in
     return out.withColumn("route", route).drop("_seen").select(*df.columns, "route")
 
 
-def balance_by_bytes(df: DataFrame, bytes_per_task: int = 512 * 1024 * 1024, max_tasks: int | None = None) -> DataFrame:
+def balance_by_bytes(
+    df: DataFrame,
+    bytes_per_task: int = 512 * 1024 * 1024,
+    max_tasks: int | None = None,
+    large_threshold: int | None = LARGE_FILE_BYTES,
+) -> DataFrame:
     """Repartition a manifest so each task reads about ``bytes_per_task`` bytes.
 
-    The total is one aggregate (a single number to the driver).  Rows are spread by a hash of
-    the path, so by the law of large numbers each bucket gets its share of bytes; a file larger
-    than the budget is alone in its time anyway (a digest is sequential).
+    One aggregate gives the totals (a few numbers to the driver).  Rows of the ``small`` route
+    are spread by a hash of the path over ``ceil(small_bytes / bytes_per_task)`` partitions, so by
+    the law of large numbers each gets its share of bytes.  Rows of the ``large`` route (P6:
+    ``file_size >= large_threshold``) get partitions of their own, one per large file up to
+    ``max_tasks``, so a huge file never holds up a task full of small ones (a digest is
+    sequential, so one file cannot be split further).
     """
-    total = df.agg(F.sum("file_size")).first()[0] or 0
-    n = max(1, math.ceil(total / max(1, bytes_per_task)))
+    big = F.col("file_size") >= F.lit(large_threshold if large_threshold is not None else 1 << 62)
+    t = df.agg(
+        F.sum(F.when(~big, F.col("file_size"))).alias("small_bytes"),
+        F.count_if(big).alias("n_large"),
+    ).first()
+    small_bytes, n_large = (t["small_bytes"] or 0), (t["n_large"] or 0)
+    n_small = max(1, math.ceil(small_bytes / max(1, bytes_per_task)))
     if max_tasks:
-        n = min(n, max_tasks)
-    return df.repartition(n, F.pmod(F.xxhash64("full_path"), F.lit(n)))
+        n_small = min(n_small, max_tasks)
+        n_large = min(n_large, max_tasks)
+    # a union keeps the partitions of both sides: large files never share a task with small ones
+    small = df.where(~big).repartition(n_small, F.xxhash64("full_path"))
+    if n_large == 0:
+        return small
+    return small.unionByName(df.where(big).repartition(n_large))

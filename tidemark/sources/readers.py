@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import PREFIX_BYTES, READ_CHUNK_BYTES, get_hasher
+from ..functions.hashing import LARGE_FILE_BYTES, PREFIX_BYTES, READ_CHUNK_BYTES, get_hasher
 from ..operators.routing import balance_by_bytes
 from . import fs
 
@@ -76,6 +76,7 @@ def hash_files(
     balance: bool = True,
     bytes_per_task: int = 512 * 1024 * 1024,
     prefix_bytes: int = PREFIX_BYTES,
+    large_threshold: int = LARGE_FILE_BYTES,
 ) -> DataFrame:
     """P5: fill ``prefix_hash`` (``stage='1k'``) or ``full_hash`` (``stage='full'``) by reading
     the files; returns the same columns plus ``error_message``."""
@@ -87,7 +88,9 @@ def hash_files(
         todo = out.where(F.col("full_hash").isNull())
         # O3 re-aimed: inside each byte-balanced task the largest files go first, so the task's
         # longest reads start early (longest-processing-time-first) instead of ending it late
-        todo = balance_by_bytes(todo, bytes_per_task).sortWithinPartitions(F.col("file_size").desc())
+        todo = balance_by_bytes(todo, bytes_per_task, large_threshold=large_threshold).sortWithinPartitions(
+            F.col("file_size").desc()
+        )
         out = todo.unionByName(out.where(F.col("full_hash").isNotNull()))
     return out.mapInPandas(_reader(stage, h.name, path_col, prefix_bytes), out.schema)
 
