@@ -77,3 +77,14 @@ def test_overlapping_extensions_one_row(spark, tmp_path):
 def test_sizes_from_listing(spark, tmp_path):
     _touch(tmp_path / "a.pdf", b"12345")
     assert scan_manifest(spark, str(tmp_path)).where(F.col("filename") == "a.pdf").first()["file_size"] == 5
+
+
+def test_walk_in_rounds_with_small_budget(spark, tmp_path):
+    from tidemark.sources.files import list_files
+
+    for i in range(6):
+        for j in range(4):
+            _touch(tmp_path / f"d{i}" / f"e{j}" / f"f{i}{j}.pdf")
+    _touch(tmp_path / "top.pdf")
+    got = sorted(r["full_path"] for r in list_files(spark, str(tmp_path), budget=3).collect())
+    assert len(got) == 25 and got[-1] == str(tmp_path / "top.pdf")

@@ -217,12 +217,10 @@ def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: st
     # key sets of each stage are pinned (one row per key) so AQE can split a hot lake key
     sizes = _materialize(key_set(lib, ["file_size"]))
     unique1, cand1 = stage_size(lake, lib, sizes)
-    lib2 = pin(add_hashes(prune_library_by_size(lib, cand1), "1k"))
-    cand1h = pin(add_hashes(cand1, "1k").select(*cols))
+    cand1h, lib2 = _hash_together(cand1, prune_library_by_size(lib, cand1), "1k", add_hashes, pin)
     prefixes = _materialize(key_set(lib2, ["file_size", "prefix_hash"]))
     unique2, cand2 = stage_prefix(cand1h, lib2, on_unhashed, keys=prefixes)
-    lib3 = pin(add_hashes(prune_library_by_prefix(lib2, cand2), "full"))
-    cand2h = pin(add_hashes(cand2, "full").select(*cols))
+    cand2h, lib3 = _hash_together(cand2, prune_library_by_prefix(lib2, cand2), "full", add_hashes, pin)
     fulls = _materialize(key_set(lib3, ["file_size", "full_hash"]))
     unique3, dup3 = stage_full(cand2h, lib3, on_unhashed, keys=fulls)
     if hashed_library is not None:
@@ -248,6 +246,19 @@ def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: st
     return out
 
 
+def _hash_together(lake_rows: DataFrame, lib_rows: DataFrame, stage: str, add_hashes, pin):
+    """Hash the lake candidates and the library rows of one stage in a single reader pass (one
+    set of byte-balanced tasks, one pin), then split them by side again."""
+    both = lake_rows.withColumn("_side", F.lit(0)).unionByName(
+        lib_rows.withColumn("_side", F.lit(1)), allowMissingColumns=True
+    )
+    hashed = pin(add_hashes(both, stage))
+    return (
+        hashed.where(F.col("_side") == 0).select(*lake_rows.columns),
+        hashed.where(F.col("_side") == 1).select(*lib_rows.columns),
+    )
+
+
 def missing_only(flagged: DataFrame) -> DataFrame:
     """Rows unique at some stage: the lake items the library lacks."""
     return flagged.where(F.col("stage").isin(*st.MISSING_STAGES))

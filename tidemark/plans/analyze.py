@@ -34,6 +34,7 @@ def analyze(
     lake: DataFrame,
     lib: DataFrame,
     *,
+    prior: DataFrame | None = None,
     dedup: str = "content",
     on_unhashed: str = "keep",
     add_hashes=None,
@@ -46,11 +47,18 @@ def analyze(
     ``dedup='content'`` (default) dedups by full content hash; ``'tiered'`` reproduces the
     reference's size / size+1k / full tiers (drops never-compared files of equal size: SURVEY Q3).
 
+    ``prior`` (a previous result with the lake's columns) turns this into a resumed run (R1).
+
     ``materialize`` (default) pins the flagged frame: the dedup reads it twice (keepers, then
     the report's join back), and without the pin the lake's content would be read twice.
     """
     if dedup not in DEDUP_MODES:
         raise ValueError(f"dedup must be one of {DEDUP_MODES}, got {dedup!r}")
+    if prior is not None:
+        # Only paths absent from the prior result are new; prior rows are kept and re-checked
+        from ..streaming.incremental import resume_merge
+
+        return resume_merge(lake, lib, prior, dedup=dedup, on_unhashed=on_unhashed, add_hashes=add_hashes)
     if add_hashes is None:
         flagged = cmp.classify(lake, lib, on_unhashed)
     else:
@@ -58,6 +66,8 @@ def analyze(
             lake, lib, add_hashes, on_unhashed, materialize=_materialize if materialize else None
         )
     if materialize:
+        # the flagged rows feed the summary, the dedup keepers and the report: pin them once
+        # (for tables they hold the digests computed while reading the content)
         flagged = _materialize(flagged)
     return finish(flagged, dedup, add_hashes, materialize)
 
@@ -118,7 +128,7 @@ def run_analysis(
                            add_hashes=add)
     else:
         res = analyze(lake, lib, dedup=dedup, on_unhashed=on_unhashed, add_hashes=add, materialize=True)
-    missing = _materialize(res.missing)
+    missing = res.missing
     write_manifest(missing, output, fmt)
     write_duplicates(res.duplicates, output + "_duplicates")
     counts = {r["stage"]: int(r["n_files"]) for r in res.summary.collect()}

@@ -19,7 +19,7 @@ from ..operators import metrics as mt
 from ..operators.routing import route_files
 from ..sources.manifest_io import manifest_counts, parse_manifest
 from ..sources.tables import table_manifest
-from ..streaming.incremental import resume, resume_merge
+from ..streaming.incremental import resume
 from ..session import materialize
 from .analyze import analyze
 
@@ -341,7 +341,7 @@ def q_resume_merge(spark, sf_dir):
     lake, lib = lake_library(spark, sf_dir)
     prior_lake = processed_paths(spark, sf_dir)
     prior = analyze(prior_lake, lib, dedup="content").missing
-    merged = resume_merge(lake, lib, prior, dedup="content")
+    merged = analyze(lake, lib, prior=prior, dedup="content")
     return merged.missing.select("doc_id", "stage")
 
 

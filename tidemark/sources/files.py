@@ -2,9 +2,9 @@
 
 Two listers:
 
-* ``include_hidden=True`` (default, parity with a tree walk): a breadth-first walk whose levels
-  are listed by Spark tasks (``mapInPandas``), so listing a tree of millions of files is spread
-  over the cluster.  Empty files and names starting with ``.`` or ``_`` are included.
+* ``include_hidden=True`` (default, parity with a tree walk): a walk in rounds by Spark tasks
+  (``mapInPandas``), each task bounded by an entry budget, so listing a tree of millions of files
+  is spread over the cluster.  Empty files and names starting with ``.`` or ``_`` are included.
 * ``include_hidden=False``: Spark's ``binaryFile`` source with only ``path, length,
   modificationTime`` selected (the ``content`` column is pruned, never read).  Spark's file
   index skips zero-byte files and names starting with ``.`` or ``_`` (SURVEY Q1).
@@ -42,32 +42,63 @@ ENTRY_SCHEMA = T.StructType(
     ]
 )
 _CHUNK = 50_000  # rows per Arrow batch out of a listing task
-
-
-def _list_level(batches):
-    """Entries of each directory of the batch (one level), streamed out in chunks so that a
-    directory of millions of entries never sits whole in one task's memory."""
+WALK_BUDGET = 100_000  # entries one task lists before handing the rest of its subtree on
+
+
+def _walker(budget: int):
+    """Walk the batch's directories depth first; after ``budget`` entries the directories not yet
+    opened are emitted (``is_dir``) for the next round, so one task never walks an unbounded
+    subtree.  Rows stream out in chunks."""
+    cols = list(ENTRY_SCHEMA.fieldNames())
+
+    def run(batches):
+        for pdf in batches:
+            pending = list(pdf["dir"])[::-1]
+            listed, buf = 0, []
+            while pending:
+                d = pending.pop()
+                if listed >= budget:
+                    buf.append((d, True, 0, 0))
+                    continue
+                subdirs = []
+                for full, is_dir, size, mt in fs.list_dir(d):
+                    listed += 1
+                    if is_dir:
+                        subdirs.append(full)
+                    else:
+                        buf.append((full, False, size, mt))
+                    if len(buf) >= _CHUNK:
+                        yield pd.DataFrame(buf, columns=cols)
+                        buf = []
+                pending.extend(reversed(subdirs))
+            yield pd.DataFrame(buf, columns=cols).astype({"is_dir": bool, "file_size": "int64", "mtime_ms": "int64"})
+
+    return run
+
+
+def _one_level(batches):
+    cols = list(ENTRY_SCHEMA.fieldNames())
     for pdf in batches:
         buf = []
         for d in pdf["dir"]:
             for entry in fs.list_dir(d):
                 buf.append(entry)
                 if len(buf) >= _CHUNK:
-                    yield pd.DataFrame(buf, columns=list(ENTRY_SCHEMA.fieldNames()))
+                    yield pd.DataFrame(buf, columns=cols)
                     buf = []
-        yield pd.DataFrame(buf, columns=list(ENTRY_SCHEMA.fieldNames())).astype(
-            {"is_dir": bool, "file_size": "int64", "mtime_ms": "int64"}
-        )
+        yield pd.DataFrame(buf, columns=cols).astype({"is_dir": bool, "file_size": "int64", "mtime_ms": "int64"})
 
 
-def list_files(spark: SparkSession, root: str, dirs_per_task: int = 64, max_tasks: int | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str, dirs_per_task: int = 16, max_tasks: int | None = None,
+               budget: int = WALK_BUDGET) -> DataFrame:
     """Every regular file below ``root`` (hidden and empty ones included).
 
-    A breadth-first walk on the executors: each level's directories are a DataFrame, spread over
-    tasks and listed there; the entries of a level are pinned (shared checkpoint folder) and
-    split into files (kept) and subdirectories (the next level).  The driver only counts the
-    directories of each level; neither the listing nor the directory set passes through it, so
-    wide, deep and flat trees all spread over the cluster.
+    Rounds of a walk on the executors: the directories still to open are a DataFrame, spread over
+    tasks; each task walks its directories until it has listed ``budget`` entries and hands the
+    unopened ones to the next round.  Each round's output is pinned (shared checkpoint folder).
+    A small tree is listed in one round; a tree of any size or shape (deep, wide, one huge
+    folder) spreads over the cluster round by round.  Neither the listing nor the directory set
+    passes through the driver, which only asks whether another round is needed.
     """
     from ..session import materialize
 
@@ -78,18 +109,18 @@ def list_files(spark: SparkSession, root: str, dirs_per_task: int = 64, max_task
     files = None
     while n_dirs > 0:
         parts = max(1, min(cap, -(-n_dirs // dirs_per_task)))
-        entries = materialize(frontier.repartition(parts).mapInPandas(_list_level, ENTRY_SCHEMA))
+        entries = materialize(frontier.repartition(parts).mapInPandas(_walker(budget), ENTRY_SCHEMA))
         level_files = entries.where(~F.col("is_dir")).select("full_path", "file_size", "mtime_ms")
         files = level_files if files is None else files.unionByName(level_files)
         frontier = entries.where(F.col("is_dir")).select(F.col("full_path").alias("dir"))
-        n_dirs = frontier.count()
+        n_dirs = 0 if frontier.isEmpty() else frontier.count()
     return files
 
 
 def list_names(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the files directly in ``folder`` (one listing task; nothing on the driver)."""
     folder = fs.strip_file_scheme(folder).rstrip("/") if not fs.is_uri(folder) else folder.rstrip("/")
-    entries = spark.createDataFrame([(folder,)], "dir string").mapInPandas(_list_level, ENTRY_SCHEMA)
+    entries = spark.createDataFrame([(folder,)], "dir string").mapInPandas(_one_level, ENTRY_SCHEMA)
     return entries.where(~F.col("is_dir")).select(F.element_at(F.split("full_path", "/"), -1).alias("filename"))
 
 
