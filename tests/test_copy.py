@@ -150,3 +150,23 @@ def test_target_is_a_file(spark, tmp_path):
     (tmp_path / "tfile").write_text("x")
     with pytest.raises(FileExistsError):
         copy_manifest(spark, _manifest(spark, src), str(tmp_path / "tfile"))
+
+
+def test_rebase_sources_onto_another_mount(spark, tmp_path):
+    moved = _tree(tmp_path)  # the tree as mounted here
+    # the manifest was written where the tree lived under another root
+    manifest = spark.createDataFrame(
+        [("/old/mount/x/book.pdf", "x/book.pdf", "book.pdf", 3, 0)],
+        "full_path string, relative_path string, filename string, file_size bigint, position bigint",
+    )
+    results, summary = copy_manifest(spark, manifest, str(tmp_path / "tgt"), source_root=str(moved))
+    r = results.first()
+    assert r["source"] == str(moved / "x/book.pdf") and r["success"]
+    assert (tmp_path / "tgt" / "book.pdf").read_bytes() == b"one"
+
+
+def test_overwrite_onto_itself_is_failed(mk):
+    m = mk([("book.pdf", 1, None, None)], "/t")  # the source already lives in the target folder
+    r = cp.plan_copy(m, "/t", "overwrite").first()
+    assert (r["outcome"], r["success"]) == ("failed", False)
+    assert r["message"] == "Source and target are the same file: /t/book.pdf"

@@ -17,7 +17,7 @@ from ..operators import copyjob, copyplan
 from ..operators.metrics import copy_summary
 from ..sources import fs
 from ..sources.files import list_names
-from ..sources.manifest_io import read_manifest
+from ..sources.manifest_io import read_manifest, rebase
 from ..sources.readers import probe_exists
 from ..session import materialize
 
@@ -54,12 +54,16 @@ def copy_manifest(
     mode: str = "rename",
     dry_run: bool = False,
     verify: str = "size",
+    source_root: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Returns (results, summary).  ``manifest`` is a DataFrame or the path of a CSV manifest
-    (rows that do not parse are left out, as the reference does)."""
+    (rows that do not parse are left out, as the reference does).  ``source_root`` rebases the
+    sources onto ``source_root/relative_path`` (SURVEY Q13)."""
     copyplan.check_mode(mode)
     if isinstance(manifest, str):
         manifest, _rejects = read_manifest(spark, manifest)
+    if source_root is not None:
+        manifest = rebase(manifest, source_root)
     if "relative_path" not in manifest.columns:
         manifest = manifest.withColumn("relative_path", file_name("full_path"))
     # The plan is fixed (written to the shared checkpoint folder) before any copy starts: a copy

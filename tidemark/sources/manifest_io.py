@@ -145,3 +145,15 @@ def processed_paths(manifest: DataFrame) -> DataFrame:
 def manifest_count(spark: SparkSession, path: str) -> int:
     """Number of data rows of a prior manifest (0 when it does not exist)."""
     return read_manifest_text(spark, path).count()
+
+
+def rebase(manifest: DataFrame, root: str) -> DataFrame:
+    """Q13: point ``full_path`` at ``root``/``relative_path`` (a manifest written on one machine,
+    used where the lake is mounted elsewhere).  Rows without a relative path keep their path."""
+    r = root.rstrip("/") + "/"
+    return manifest.withColumn(
+        "full_path",
+        F.when(F.col("relative_path").isNotNull(), F.concat(F.lit(r), F.col("relative_path"))).otherwise(
+            F.col("full_path")
+        ),
+    )
