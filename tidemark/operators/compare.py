@@ -46,15 +46,18 @@ def key_set(df: DataFrame, keys: list[str], flag: str | None = None) -> DataFram
 # --- stage by stage (J1-J5) -------------------------------------------------------------
 
 
-def stage_size(lake: DataFrame, lib: DataFrame, keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(unique by size, candidates for stage 2).  ``keys``: pinned library key triples
-    (:func:`library_keys`) so a chain of stages reads the library once."""
+def stage_size(lake: DataFrame, lib: DataFrame, keys=None) -> tuple[DataFrame, DataFrame]:
+    """(unique by size, candidates for stage 2).
+
+    ``keys`` (all stages): the library's pinned :class:`LibraryKeys` (so a chain of stages reads
+    the library once), or this stage's distinct key set (exactly its key columns), or ``None`` to
+    derive the keys from ``lib``."""
     sizes = _keys_for(keys, lib, "sizes", ["file_size"])
     return lake.join(sizes, "file_size", "left_anti"), lake.join(sizes, "file_size", "left_semi")
 
 
 def stage_prefix(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep",
-                 keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 keys=None) -> tuple[DataFrame, DataFrame]:
     """(unique by size and prefix hash, candidates for stage 3)."""
     _check_policy(on_unhashed)
     return _unique_and_matched(candidates, _keys_for(keys, lib, "prefixes", ["file_size", "prefix_hash"]),
@@ -62,7 +65,7 @@ def stage_prefix(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep
 
 
 def stage_full(candidates: DataFrame, lib: DataFrame, on_unhashed: str = "keep",
-               keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+               keys=None) -> tuple[DataFrame, DataFrame]:
     """(unique by full hash, duplicates of a library file)."""
     _check_policy(on_unhashed)
     return _unique_and_matched(candidates, _keys_for(keys, lib, "fulls", ["file_size", "full_hash"]),
