@@ -32,6 +32,30 @@ HEADLINE = (
 )
 
 
+def _replicated_analyze(spark, sf_dir: str, k: int) -> float:
+    """E1 over ``k`` replicas of the documents (derived by Spark: ids shifted, a replica marker
+    appended to the text so contents stay distinct): how throughput grows with the data."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans.analyze import analyze
+    from tidemark.plans.catalog import LAKE_ROOT, LIBRARY_ROOT, _doc_manifest
+
+    docs0 = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    docs = None
+    for r in range(k):
+        part = docs0.select(
+            (F.col("doc_id") + r * 10_000_000).alias("doc_id"),
+            (F.concat(F.col("text"), F.lit(f" ~r{r}")) if r else F.col("text")).alias("text"),
+            "source",
+        )
+        docs = part if docs is None else docs.unionByName(part)
+    t0 = time.perf_counter()
+    lake = _doc_manifest(docs.where(F.col("doc_id") % 2 == 1), LAKE_ROOT)
+    lib = _doc_manifest(docs.where(F.col("doc_id") % 2 == 0), LIBRARY_ROOT)
+    analyze(lake, lib).missing.write.format("noop").mode("overwrite").save()
+    return round(time.perf_counter() - t0, 3)
+
+
 def _write_tree(spark, sf_dir: str, root: str) -> None:
     """Untimed setup of the file benchmark: every document becomes a file, odd doc_id under
     ``root/lake``, even under ``root/library`` (written by Spark tasks, one file per row)."""
@@ -83,6 +107,9 @@ def main() -> None:
         if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
             _files_bench(spark, warm)
         times["analyze_files"] = _files_bench(spark, sf_dir)
+    reps = int(os.environ.get("BENCH_REPLICAS", "16"))
+    if reps > 1:
+        times[f"analyze_documents_x{reps}"] = _replicated_analyze(spark, sf_dir, reps)
     total = round(sum(times.values()), 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": times, "sf": sf}))

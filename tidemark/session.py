@@ -27,6 +27,8 @@ SCALE_CONF = {
     # broadcast only after AQE has measured the real size of a side (not from plan estimates)
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    # pinned (checkpointed) frames are deleted once no DataFrame refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
