@@ -72,3 +72,40 @@ def test_empty_library(spark, tmp_path):
     (tmp_path / "lib").mkdir()
     counts = run_analysis(spark, str(lake), str(tmp_path / "lib"), str(tmp_path / "o"))
     assert counts == {"size": 1, "written": 1}
+
+
+def test_resume_rechecks_prior_rows_against_a_changed_library(spark, tmp_path):
+    from tidemark.sources.manifest_io import read_manifest as rm
+
+    lake, lib = _trees(tmp_path)
+    first = str(tmp_path / "state1")
+    run_analysis(spark, str(lake), str(lib), first, fmt="parquet")
+    prior_rel = sorted(r["relative_path"] for r in rm(spark, first, fmt="parquet")[0].collect())
+    assert "only.epub" in prior_rel
+    # the library gains a copy of an item the first run found missing
+    _w(lib / "D" / "only_copy.epub", b"only in the lake")
+    second = str(tmp_path / "state2")
+    run_analysis(spark, str(lake), str(lib), second, resume_from=first, fmt="parquet")
+    rel = sorted(r["relative_path"] for r in rm(spark, second, fmt="parquet")[0].collect())
+    assert rel == [p for p in prior_rel if p != "only.epub"]
+
+
+def test_file_vanishing_before_hashing_is_kept_with_error(spark, tmp_path):
+    from tidemark.plans.analyze import analyze
+    from tidemark.session import materialize
+    from tidemark.sources.files import scan_manifest
+    from tidemark.sources.readers import file_hasher
+
+    lake, lib = tmp_path / "lake", tmp_path / "lib"
+    _w(lib / "a.pdf", b"x" * 40)
+    _w(lake / "gone.pdf", b"y" * 40)  # same size: needs a prefix hash
+    lake_m = materialize(scan_manifest(spark, str(lake)))
+    lib_m = materialize(scan_manifest(spark, str(lib)))
+    lake_m.count()
+    (lake / "gone.pdf").unlink()
+    res = analyze(lake_m, lib_m, add_hashes=file_hasher())
+    rows = res.flagged.collect()
+    assert [(r["filename"], r["stage"]) for r in rows] == [("gone.pdf", "prefix")]
+    assert rows[0]["prefix_hash"] is None and "FileNotFoundError" in rows[0]["error_message"]
+    drop = analyze(lake_m, lib_m, add_hashes=file_hasher(), on_unhashed="drop")
+    assert drop.missing.count() == 0
