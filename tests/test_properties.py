@@ -75,3 +75,51 @@ def test_cascade_and_dedup_match_brute_force(spark, lake, lib, parts, reverse):
     stages, keep = _model(lake, lib)
     assert got == stages
     assert kept == keep
+
+
+def _copy_model(rows, existing, mode):
+    """Sequential copier: rows in position order; a name taken (existing or written earlier) is a
+    conflict.  Returns outcome per position (rename targets are checked separately)."""
+    taken = set(existing)
+    out = {}
+    live_by_name = {}
+    for pos, name, live in rows:
+        if live:
+            live_by_name.setdefault(name, []).append(pos)
+    for pos, name, live in rows:
+        if not live:
+            out[pos] = "failed"
+        elif mode == "skip":
+            out[pos] = "skipped" if name in taken else "copied"
+            taken.add(name)
+        elif mode == "overwrite":
+            if pos != live_by_name[name][-1]:
+                out[pos] = "superseded"
+            else:
+                out[pos] = "overwritten" if name in existing else "copied"
+        else:
+            out[pos] = "renamed" if name in taken else "copied"
+            taken.add(name)
+    return out
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(st.tuples(st.sampled_from(["a.pdf", "b.pdf", "c", "a_x.pdf"]), st.booleans()), min_size=1, max_size=15),
+    existing=st.sets(st.sampled_from(["a.pdf", "c", "z.pdf"]), max_size=3),
+    mode=st.sampled_from(["skip", "overwrite", "rename"]),
+)
+def test_copy_plan_matches_sequential_model(spark, rows, existing, mode):
+    from tidemark.operators.copyplan import plan_copy
+
+    data = [(f"/src/d{i}/{name}", f"d{i}/{name}", name, 1, i) for i, (name, _) in enumerate(rows)]
+    m = spark.createDataFrame(data, "full_path string, relative_path string, filename string, file_size bigint, position bigint")
+    sources = spark.createDataFrame([(d[0],) for d, (_, live) in zip(data, rows) if live] or [("/none",)], "full_path string")
+    ex = spark.createDataFrame([(e,) for e in existing] or [("/none",)], "filename string")
+    plan = {r["position"]: r for r in plan_copy(m, "/t", mode, sources=sources, existing=ex).collect()}
+    model = _copy_model([(i, name, live) for i, (name, live) in enumerate(rows)], existing, mode)
+    assert {p: r["outcome"] for p, r in plan.items()} == model
+    written = [r["target"] for r in plan.values() if r["outcome"] in ("copied", "renamed", "overwritten")]
+    assert len(written) == len(set(written))  # no target named twice
+    if mode == "rename":
+        assert not ({t.rsplit("/", 1)[-1] for t in written} & set(existing))  # nothing existing is overwritten
