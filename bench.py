@@ -40,15 +40,17 @@ def _replicated_analyze(spark, sf_dir: str, k: int) -> float:
     from tidemark.plans.analyze import analyze
     from tidemark.plans.catalog import LAKE_ROOT, LIBRARY_ROOT, _doc_manifest
 
-    docs0 = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    docs = None
-    for r in range(k):
-        part = docs0.select(
-            (F.col("doc_id") + r * 10_000_000).alias("doc_id"),
-            (F.concat(F.col("text"), F.lit(f" ~r{r}")) if r else F.col("text")).alias("text"),
+    # one scan; each row expands into its k replicas (a generator, no join)
+    docs = (
+        spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+        .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        .select(
+            (F.col("doc_id") + F.col("r") * 10_000_000).alias("doc_id"),
+            F.when(F.col("r") == 0, F.col("text"))
+            .otherwise(F.concat(F.col("text"), F.lit(" ~r"), F.col("r").cast("string"))).alias("text"),
             "source",
         )
-        docs = part if docs is None else docs.unionByName(part)
+    )
     t0 = time.perf_counter()
     lake = _doc_manifest(docs.where(F.col("doc_id") % 2 == 1), LAKE_ROOT)
     lib = _doc_manifest(docs.where(F.col("doc_id") % 2 == 0), LIBRARY_ROOT)
@@ -109,6 +111,8 @@ def main() -> None:
         times["analyze_files"] = _files_bench(spark, sf_dir)
     reps = int(os.environ.get("BENCH_REPLICAS", "16"))
     if reps > 1:
+        if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
+            _replicated_analyze(spark, warm, reps)
         times[f"analyze_documents_x{reps}"] = _replicated_analyze(spark, sf_dir, reps)
     total = round(sum(times.values()), 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
