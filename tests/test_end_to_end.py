@@ -24,7 +24,7 @@ def _trees(tmp_path):
     _w(lake / "head.pdf", b"b" * 50)
     _w(lake / "d1" / "big.pdf", big)                     # two copies inside the lake, not in library
     _w(lake / "d2" / "big.pdf", big)
-    _w(lake / "notes.doc", b"not an ebook")
+    _w(lake / "notes.doc", b"not a requested type")
     return lake, lib
 
 

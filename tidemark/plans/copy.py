@@ -1,6 +1,6 @@
 """Copy the items of a manifest into one flat target folder.
 
-    results, summary = copy_manifest(spark, "missing.csv", "/calibre/import", mode="rename")
+    results, summary = copy_manifest(spark, "missing.csv", "/library/import", mode="rename")
 
 Steps, all on Spark: read the manifest (C1) -> list the names already in the target folder
 (J12) -> probe which sources still exist (J11, executors) -> plan (C2-C7, W3) -> copy (C8,
