@@ -50,7 +50,8 @@ def resume_merge(
         flagged_new = (cmp.classify(new, lib, on_unhashed) if add_hashes is None
                        else cmp.classify_staged(new, lib, add_hashes, on_unhashed, materialize=pin))
         flagged = flagged_new.unionByName(prior.select(*cols, "stage", "stage_no", "processing_status"))
-    return finish(flagged, dedup, add_hashes)
+    # pinned: the summary, the dedup keepers and the report all read it
+    return finish(_materialize(flagged), dedup, add_hashes, materialize=True)
 
 
 __all__ = ["resume", "resume_merge", "analyze"]
