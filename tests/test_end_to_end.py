@@ -31,8 +31,9 @@ def _trees(tmp_path):
 def test_analyze_then_copy(spark, tmp_path):
     lake, lib = _trees(tmp_path)
     out = str(tmp_path / "missing")
-    counts = run_analysis(spark, str(lake), str(lib), out)
+    counts = run_analysis(spark, str(lake), str(lib), out, large_threshold=2000)
     assert counts["duplicate"] == 1 and counts["size"] == 3 and counts["prefix"] == 1 and counts["full"] == 1
+    assert (counts["route_large"], counts["route_small"]) == (2, 4)  # the two 3000-byte copies are large
     good, _ = read_manifest(spark, out)
     rel = sorted(r["relative_path"] for r in good.collect())
     assert rel == ["d1/big.pdf", "head.pdf", "only.epub", "pref.pdf"]  # d2/big.pdf is a duplicate of d1
@@ -64,6 +65,7 @@ def test_resume_keeps_prior_rows(spark, tmp_path):
     rel = sorted(r["relative_path"] for r in read_manifest(spark, second)[0].collect())
     assert rel == ["d1/big.pdf", "head.pdf", "new/late.pdf", "only.epub", "pref.pdf"]
     assert counts["written"] == 5
+    assert counts["route_skip"] == 4 and counts["route_small"] == 3  # paths of the prior manifest are skipped
 
 
 def test_empty_library(spark, tmp_path):
@@ -71,7 +73,7 @@ def test_empty_library(spark, tmp_path):
     _w(lake / "a.pdf", b"1")
     (tmp_path / "lib").mkdir()
     counts = run_analysis(spark, str(lake), str(tmp_path / "lib"), str(tmp_path / "o"))
-    assert counts == {"size": 1, "written": 1}
+    assert counts == {"size": 1, "written": 1, "route_small": 1}
 
 
 def test_resume_rechecks_prior_rows_against_a_changed_library(spark, tmp_path):
@@ -137,6 +139,7 @@ def test_file_path_agrees_with_table_path(spark, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text")
     docs.repartition(4).mapInPandas(write, "n long").collect()
     counts = run_analysis(spark, f"{root}/lake", f"{root}/library", f"{root}/out")
+    counts = {k: v for k, v in counts.items() if not k.startswith("route_")}
     files_kept = {r["relative_path"] for r in read_manifest(spark, f"{root}/out")[0].collect()}
 
     lake, lib = lake_library(spark, sf)

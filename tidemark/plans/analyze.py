@@ -101,23 +101,31 @@ def run_analysis(
     fmt: str = "csv",
     include_hidden: bool = True,
     hasher=None,
+    large_threshold: int | None = None,
 ) -> dict:
     """E1 over file trees: scan both roots, compare, dedup, write the manifest of missing items
     (``output``) and, when there are any, the duplicates report (``output + '_duplicates'``).
 
     ``resume_from`` is a prior manifest: its paths are not analysed again and its rows are kept
-    (re-checked against the current library).  Returns the per-stage counts (a few rows).
+    (re-checked against the current library).  Returns the per-stage counts and the per-route
+    counts of the lake (A6: ``route_skip`` already in the prior manifest, ``route_large`` at or
+    over ``large_threshold``, ``route_small``), a few numbers.
     """
     from ..functions.paths import DEFAULT_EXTENSIONS
     from ..sources.files import scan_manifest
     from ..sources.manifest_io import read_manifest, write_duplicates, write_manifest
+    from ..functions.hashing import LARGE_FILE_BYTES
+    from ..operators.metrics import route_summary
+    from ..operators.routing import route_files
     from ..sources.readers import file_hasher
     from ..streaming.incremental import resume_merge
 
     exts = DEFAULT_EXTENSIONS if extensions is None else extensions
-    add = file_hasher(hasher)
-    lake = scan_manifest(spark, lake_root, exts, include_hidden=include_hidden)
+    threshold = LARGE_FILE_BYTES if large_threshold is None else large_threshold
+    add = file_hasher(hasher, large_threshold=threshold)
+    lake = _materialize(scan_manifest(spark, lake_root, exts, include_hidden=include_hidden))
     lib = _materialize(scan_manifest(spark, library_root, exts, include_hidden=include_hidden))
+    prior = None
     if resume_from is not None:
         prior, _ = read_manifest(spark, resume_from, fmt)
         prior = prior.select(*[c for c in lake.columns if c in prior.columns])
@@ -133,4 +141,7 @@ def run_analysis(
     write_duplicates(res.duplicates, output + "_duplicates")
     counts = {r["stage"]: int(r["n_files"]) for r in res.summary.collect()}
     counts["written"] = missing.count()
+    routed = route_files(lake, prior.select("full_path") if prior is not None else None, threshold)
+    for r in route_summary(routed).collect():
+        counts[f"route_{r['route']}"] = int(r["n_files"])
     return counts
