@@ -88,3 +88,13 @@ def test_walk_in_rounds_with_small_budget(spark, tmp_path):
     _touch(tmp_path / "top.pdf")
     got = sorted(r["full_path"] for r in list_files(spark, str(tmp_path), budget=3).collect())
     assert len(got) == 25 and got[-1] == str(tmp_path / "top.pdf")
+
+
+def test_symlink_cycle_is_not_followed(spark, tmp_path):
+    import os
+
+    _touch(tmp_path / "d" / "a.pdf")
+    os.symlink(tmp_path / "d", tmp_path / "d" / "loop")  # a directory link back to its parent
+    os.symlink(tmp_path / "d" / "a.pdf", tmp_path / "link.pdf")  # a link to a file counts as a file
+    got = sorted(r["relative_path"] for r in scan_manifest(spark, str(tmp_path), ["pdf"]).collect())
+    assert got == ["d/a.pdf", "link.pdf"]

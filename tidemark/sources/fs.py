@@ -82,13 +82,17 @@ def list_dir(path: str) -> list[tuple[str, bool, int, int]]:
         with os.scandir(p) as it:
             for e in it:
                 try:
+                    # directories are not entered through symbolic links (a link cycle would never
+                    # end); a link to a file counts as that file, with the target's size
+                    if e.is_dir(follow_symlinks=False):
+                        out.append((os.path.join(p, e.name), True, 0, 0))
+                        continue
                     st = e.stat(follow_symlinks=True)
                 except OSError:
                     continue
-                is_dir = _stat.S_ISDIR(st.st_mode)
-                if not is_dir and not _stat.S_ISREG(st.st_mode):
+                if not _stat.S_ISREG(st.st_mode):
                     continue
-                out.append((os.path.join(p, e.name), is_dir, 0 if is_dir else int(st.st_size), int(st.st_mtime * 1000)))
+                out.append((os.path.join(p, e.name), False, int(st.st_size), int(st.st_mtime * 1000)))
     except OSError:
         return []
     return sorted(out)
