@@ -42,28 +42,37 @@ def digest_full(path: str, hasher, chunk: int = READ_CHUNK_BYTES) -> str:
     return h.hexdigest()
 
 
-def _reader(stage: str, hasher_name: str, path_col: str, prefix_bytes: int):
+def _reader(stage: str, hasher_name: str, path_col: str, prefix_bytes: int, io_threads: int):
     target = STAGES[stage]
 
     def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
         hasher = get_hasher(hasher_name)
-        for pdf in batches:
-            hashes = pdf[target].astype(object).tolist()
-            errors = pdf["error_message"].astype(object).tolist() if "error_message" in pdf else [None] * len(pdf)
-            for i, (p, cur) in enumerate(zip(pdf[path_col].tolist(), hashes)):
-                if cur is not None and not (isinstance(cur, float) and pd.isna(cur)):
-                    continue
-                try:
-                    if stage == "1k":
-                        hashes[i] = digest_prefix(p, hasher, prefix_bytes)
-                    else:
-                        hashes[i] = digest_full(p, hasher)
-                except Exception as e:  # noqa: BLE001 - any failure isolates one file
-                    hashes[i] = None
-                    errors[i] = f"{type(e).__name__}: {e}"
-            pdf[target] = pd.Series(hashes, index=pdf.index, dtype=object)
-            pdf["error_message"] = pd.Series(errors, index=pdf.index, dtype=object)
-            yield pdf
+
+        def one(path):
+            try:
+                if stage == "1k":
+                    return digest_prefix(path, hasher, prefix_bytes), None
+                return digest_full(path, hasher), None
+            except Exception as e:  # noqa: BLE001 - any failure isolates one file
+                return None, f"{type(e).__name__}: {e}"
+
+        # reads are I/O bound (a small ranged read per file, or a stream): a few threads per task
+        # keep several reads in flight; hashlib releases the GIL on large buffers
+        with ThreadPoolExecutor(max_workers=max(1, io_threads)) as pool:
+            for pdf in batches:
+                hashes = pdf[target].astype(object).tolist()
+                errors = pdf["error_message"].astype(object).tolist() if "error_message" in pdf else [None] * len(pdf)
+                todo = [i for i, cur in enumerate(hashes) if cur is None or (isinstance(cur, float) and pd.isna(cur))]
+                paths = pdf[path_col].tolist()
+                for i, (h, err) in zip(todo, pool.map(one, [paths[i] for i in todo])):
+                    hashes[i] = h
+                    if err is not None:
+                        errors[i] = err
+                pdf[target] = pd.Series(hashes, index=pdf.index, dtype=object)
+                pdf["error_message"] = pd.Series(errors, index=pdf.index, dtype=object)
+                yield pdf
 
     return run
 
@@ -77,6 +86,7 @@ def hash_files(
     bytes_per_task: int = 512 * 1024 * 1024,
     prefix_bytes: int = PREFIX_BYTES,
     large_threshold: int = LARGE_FILE_BYTES,
+    io_threads: int = 8,
 ) -> DataFrame:
     """P5: fill ``prefix_hash`` (``stage='1k'``) or ``full_hash`` (``stage='full'``) by reading
     the files; returns the same columns plus ``error_message``."""
@@ -92,7 +102,7 @@ def hash_files(
             F.col("file_size").desc()
         )
         out = todo.unionByName(out.where(F.col("full_hash").isNotNull()))
-    return out.mapInPandas(_reader(stage, h.name, path_col, prefix_bytes), out.schema)
+    return out.mapInPandas(_reader(stage, h.name, path_col, prefix_bytes, io_threads), out.schema)
 
 
 def file_hasher(hasher=None, **kw):
