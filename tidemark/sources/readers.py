@@ -12,8 +12,6 @@ reference stores nothing on failure; SURVEY 1.4).  An unknown stage is rejected.
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,23 +87,24 @@ def hash_files(
     prefix_bytes: int = PREFIX_BYTES,
     large_threshold: int = LARGE_FILE_BYTES,
     io_threads: int = 8,
-    files_per_task: int = 20_000,
 ) -> DataFrame:
     """P5: fill ``prefix_hash`` (``stage='1k'``) or ``full_hash`` (``stage='full'``) by reading
     the files; returns the same columns plus ``error_message``.
 
-    The rows to read are spread first: prefix reads (tiny, latency bound) by count, about
-    ``files_per_task`` per task; full reads by bytes (:func:`balance_by_bytes`).  The incoming
-    partitioning is sized by manifest bytes (about 300 B per row), which would hand one task far
-    too many files."""
+    The rows to read are spread first: prefix reads (tiny, latency bound) by a hash of the path
+    over the session's shuffle partitions; full reads by bytes (:func:`balance_by_bytes`).  The
+    incoming partitioning is sized by manifest bytes (about 300 B per row), which would hand one
+    task far too many files."""
     if stage not in STAGES:
         raise ValueError(f"Unknown stage: {stage}")
     h = get_hasher(hasher)
     out = df if "error_message" in df.columns else df.withColumn("error_message", F.lit(None).cast("string"))
     if stage == "1k" and balance:
         todo = out.where(F.col("prefix_hash").isNull())
-        parts = max(1, math.ceil(todo.count() / max(1, files_per_task)))
-        todo = todo.repartition(parts, F.xxhash64(path_col))
+        # a fixed count (the session's shuffle partitions, sized to the data on a cluster): AQE
+        # does not coalesce it by bytes, and no counting job is needed
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        todo = todo.repartition(max(1, parts), F.xxhash64(path_col))
         out = todo.unionByName(out.where(F.col("prefix_hash").isNotNull()))
     if stage == "full" and balance:
         todo = out.where(F.col("full_hash").isNull())
