@@ -148,3 +148,12 @@ def test_file_path_agrees_with_table_path(spark, tmp_path):
     table_kept = {r["relative_path"] for r in res.missing.collect()}
     assert {k: v for k, v in counts.items() if k != "written"} == table_counts
     assert files_kept == table_kept and counts["written"] == len(table_kept)
+
+
+def test_binary_file_listing_gives_the_same_result(spark, tmp_path):
+    lake, lib = _trees(tmp_path)
+    a = run_analysis(spark, str(lake), str(lib), str(tmp_path / "o1"))
+    b = run_analysis(spark, str(lake), str(lib), str(tmp_path / "o2"), include_hidden=False)
+    assert a == b
+    rel = lambda p: sorted(r["relative_path"] for r in read_manifest(spark, p)[0].collect())
+    assert rel(str(tmp_path / "o1")) == rel(str(tmp_path / "o2"))
