@@ -157,3 +157,13 @@ def test_binary_file_listing_gives_the_same_result(spark, tmp_path):
     assert a == b
     rel = lambda p: sorted(r["relative_path"] for r in read_manifest(spark, p)[0].collect())
     assert rel(str(tmp_path / "o1")) == rel(str(tmp_path / "o2"))
+
+
+def test_duplicates_report_of_a_file_run(spark, tmp_path):
+    lake, lib = _trees(tmp_path)
+    out = str(tmp_path / "m")
+    run_analysis(spark, str(lake), str(lib), out)
+    rep = spark.read.option("header", True).csv(out + "_duplicates").collect()
+    assert [(r["duplicate_path"], r["original_path"], r["method"], r["file_size"], r["filename"]) for r in rep] == [
+        (str(lake / "d2" / "big.pdf"), str(lake / "d1" / "big.pdf"), "full_hash", "3000", "big.pdf")
+    ]
