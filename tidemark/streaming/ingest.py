@@ -52,7 +52,7 @@ def read_state(spark: SparkSession, state_path: str, ddl: str = STATE_DDL) -> Da
         return spark.createDataFrame([], ddl)
 
 
-def _read_state(spark: SparkSession, state_path: str, exclude_batch: int, ddl: str = STATE_DDL) -> DataFrame | None:
+def _read_state(spark: SparkSession, state_path: str, exclude_batch: int, ddl: str = STATE_DDL) -> DataFrame:
     st = read_state(spark, state_path, ddl)
     return st.where(F.col("batch_id") != exclude_batch)
 
