@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import find_matches
+from .ngram_join import similar_groups
 from .substring import repeated_passages
 
 
@@ -13,6 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(_read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.drop("matches")
@@ -25,6 +30,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op8_ngram_jaccard_join,
         op9_benchmark_decontamination,
         op10_substring_dedup,
     )
