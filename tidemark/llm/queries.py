@@ -9,6 +9,8 @@ from .decontam import find_matches
 from .ngram_join import similar_groups
 from .substring import repeated_passages
 
+from .quality import quality
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -27,9 +29,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents")).drop("removed_spans")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op5_quality_rules,
         op8_ngram_jaccard_join,
         op9_benchmark_decontamination,
         op10_substring_dedup,
