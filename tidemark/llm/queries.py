@@ -3,7 +3,7 @@ parameters, to its whole table; the columns a query adds are derived from the op
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from .decontam import find_matches
 from .ngram_join import similar_groups
@@ -11,6 +11,9 @@ from .substring import repeated_passages
 
 from .quality import quality
 
+from pyspark.sql import functions as F
+from .langid import identify
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -33,9 +36,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"))
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = identify(docs, docs.where(~_held_out()))
+    return found.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op5_quality_rules,
         op8_ngram_jaccard_join,
         op9_benchmark_decontamination,
