@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import KEY, DistinctTexts, shuffle_partitions, staged, with_key
+from .tables import KEY, DistinctTexts, pack_columns, shuffle_partitions, staged, unpack_columns, with_key
 from .words import cover_spans, inside, row_slices, split_words, utf8, window_hash
 
 #: a perfect difference set: every residue modulo 21 is a difference of two members
@@ -156,7 +156,7 @@ def _deal(e: np.ndarray, keys: np.ndarray, buckets: int, by: tuple[str, ...]):
     for b in np.flatnonzero(np.diff(cut)):
         part = e[cut[b] : cut[b + 1]].copy()
         own, part["owner"] = np.unique(part["owner"], return_inverse=True)
-        out.append((int(b), keys[own].tobytes(), part.tobytes()))
+        out.append((int(b), keys[own].tobytes(), pack_columns(part)))
     if out:
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())],
@@ -173,7 +173,7 @@ def _shared_places(dtype: np.dtype, by: tuple[str, ...]):
         for batch in batches:
             for own, ent in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 k = np.frombuffer(own, "<i8").reshape(-1, 2)
-                e = np.frombuffer(ent, dtype).copy()
+                e = unpack_columns(ent, dtype)
                 e["owner"] += base
                 base += len(k)
                 owners.append(k)
@@ -210,7 +210,7 @@ def _shared_places(dtype: np.dtype, by: tuple[str, ...]):
 def _deal_shared(texts: DataFrame, emit, dtype: np.dtype, by: tuple[str, ...], name: str) -> DataFrame:
     """(ka, kb, places) of what is found at two places, written out, one row per text."""
     n = shuffle_partitions(texts.sparkSession)
-    buckets = 4 * n
+    buckets = 2 * n
 
     def run(batches):
         yield from emit(batches, buckets)

@@ -154,5 +154,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def packed(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+def pack_columns(records: np.ndarray) -> bytes:
+    """Structured records as bytes, column after column (high bytes of small numbers end up next to
+    each other, which the shuffle's compression removes)."""
+    return b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
+
+
+def unpack_columns(data: bytes, dtype: np.dtype) -> np.ndarray:
+    n = len(data) // sum(dtype[f].itemsize for f in dtype.names)
+    out, at = np.empty(n, dtype), 0
+    for f in dtype.names:
+        out[f] = np.frombuffer(data, dtype[f], n, at)
+        at += n * dtype[f].itemsize
+    return out
