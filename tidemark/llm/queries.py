@@ -14,6 +14,8 @@ from .quality import quality
 from pyspark.sql import functions as F
 from .langid import identify
 
+from .pages import main_text
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -46,9 +48,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op7_html_extraction,
         op1_language_id,
         op5_quality_rules,
         op8_ngram_jaccard_join,
