@@ -46,6 +46,7 @@ _IS_COVER[list(COVER)] = True
 _ENTRY = "bucket int, owners binary, entries binary"
 _ANCHOR = np.dtype([("h", "<u8"), ("owner", "<u4"), ("pos", "<u4"), ("known", "u1")])
 _WINDOW = np.dtype([("h", "<u8"), ("g", "<u4"), ("owner", "<u4"), ("pos", "<u4"), ("known", "u1")])
+_PLACE = np.dtype([("owner", "<u4"), ("pos", "<u4")])
 _FOUND = "ka long, kb long, places binary"
 
 
@@ -105,7 +106,7 @@ def _window_batches(width: int):
                         near[first] += 1
                         near[int(w.first[r - lo + 1])] -= 1
                         continue
-                    at = np.concatenate([np.frombuffer(p, "<u4") for p in places[r] or [b""]]).astype(np.int64)
+                    at = np.frombuffer(places[r] or b"", "<u4").astype(np.int64)
                     np.add.at(near, first + np.maximum(at - (PERIOD - 1), 0), 1)
                     np.add.at(near, first + at + 1, -1)
                 at = np.flatnonzero((np.cumsum(near)[: len(ok)] > 0) & ok)
@@ -149,6 +150,11 @@ def _deal(e: np.ndarray, keys: np.ndarray, buckets: int, by: tuple[str, ...]):
     kind = np.concatenate([e["known"], np.full(len(extra), 2)]).astype("u1")
     e = np.concatenate([e, extra])
     e["known"] = kind
+    yield from _rows(e, keys, home, buckets)
+
+
+def _rows(e: np.ndarray, keys: np.ndarray, home: np.ndarray, buckets: int):
+    """One row (bucket, owners, entries) for each bucket that has entries."""
     order = np.argsort(home, kind="stable")
     e, home = e[order], home[order]
     cut = np.searchsorted(home, np.arange(buckets + 1))
@@ -164,49 +170,61 @@ def _deal(e: np.ndarray, keys: np.ndarray, buckets: int, by: tuple[str, ...]):
         )
 
 
-def _shared_places(dtype: np.dtype, by: tuple[str, ...]):
-    """Of one partition (all entries of its buckets): the places whose hash is found twice, as
-    rows (key of the text, places)."""
+def _gather(batches, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and entries of a partition's rows; an entry's owner is a place among the keys."""
+    owners, parts, base = [np.zeros((0, 2), "<i8")], [np.zeros(0, dtype)], 0
+    for batch in batches:
+        for own, ent in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            k = np.frombuffer(own, "<i8").reshape(-1, 2)
+            e = unpack_columns(ent, dtype)
+            e["owner"] += base
+            base += len(k)
+            owners.append(k)
+            parts.append(e)
+    return np.concatenate(owners), np.concatenate(parts)
+
+
+def _shared_places(dtype: np.dtype, by: tuple[str, ...], buckets: int):
+    """Of one partition (all entries of its buckets): the places whose hash is found twice, dealt out
+    by their text."""
 
     def run(batches):
-        owners, parts, base = [], [], 0
-        for batch in batches:
-            for own, ent in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                k = np.frombuffer(own, "<i8").reshape(-1, 2)
-                e = unpack_columns(ent, dtype)
-                e["owner"] += base
-                base += len(k)
-                owners.append(k)
-                parts.append(e)
-        if not parts:
-            return
-        keys = np.concatenate(owners)
-        e = np.concatenate(parts)
-        del owners, parts
+        keys, e = _gather(batches, dtype)
         sent = e[e["known"] == 2]
         e = e[e["known"] < 2]
         e = e[np.lexsort([e[c] for c in by[::-1]])]
         g = _same(e, by)
-        n = np.bincount(g) if len(g) else np.zeros(0, np.int64)
-        shared = (e["known"] == 1) | (n[g] > 1) if len(g) else np.zeros(0, bool)
-        e = np.concatenate([e[shared], sent])
-        if not len(e):
-            return
-        e = e[np.lexsort([e["pos"], e["owner"]])]
-        cut = np.flatnonzero(np.concatenate([[True], e["owner"][1:] != e["owner"][:-1]]))
-        ends = np.append(cut[1:], len(e))
-        own = keys[e["owner"][cut]]
-        pos = e["pos"].astype("<u4")
-        for lo in range(0, len(cut), 20_000):
-            s = slice(lo, lo + 20_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own[s, 0], pa.int64()), pa.array(own[s, 1], pa.int64()), pa.array([pos[i:j].tobytes() for i, j in zip(cut[s], ends[s])], pa.binary())],
-                names=["ka", "kb", "places"],
-            )
+        if len(e):
+            e = e[(e["known"] == 1) | (np.bincount(g)[g] > 1)]
+        e = np.concatenate([e, sent])
+        place = np.zeros(len(e), _PLACE)
+        place["owner"], place["pos"] = e["owner"], e["pos"]
+        del e, sent
+        yield from _rows(place, keys, (keys[place["owner"], 0].astype("<u8") % np.uint64(buckets)).astype(np.int64), buckets)
 
     return run
 
 
+def _places_of_texts(batches):
+    """Of one partition (all places of its texts): one row per text."""
+    keys, e = _gather(batches, _PLACE)
+    if not len(e):
+        return
+    keys, text = np.unique(keys, axis=0, return_inverse=True)
+    text = text.reshape(-1)[e["owner"]]
+    order = np.lexsort([e["pos"], text])
+    text, pos = text[order], e["pos"][order].astype("<u4")
+    cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    ends = np.append(cut[1:], len(text))
+    for lo in range(0, len(cut), 5_000):
+        s = slice(lo, lo + 5_000)
+        own = keys[text[cut[s]]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(own[:, 0], pa.int64()), pa.array(own[:, 1], pa.int64()), pa.array([pos[i:j].tobytes() for i, j in zip(cut[s], ends[s])], pa.binary())],
+            names=["ka", "kb", "places"],
+        )
+
+
 def _deal_shared(texts: DataFrame, emit, dtype: np.dtype, by: tuple[str, ...], name: str) -> DataFrame:
     """(ka, kb, places) of what is found at two places, written out, one row per text."""
     n = shuffle_partitions(texts.sparkSession)
@@ -216,8 +234,8 @@ def _deal_shared(texts: DataFrame, emit, dtype: np.dtype, by: tuple[str, ...], n
         yield from emit(batches, buckets)
 
     dealt = texts.mapInArrow(run, _ENTRY).repartition(n, "bucket")
-    found = dealt.mapInArrow(_shared_places(dtype, by), _FOUND)
-    return staged(found.groupBy(*KEY).agg(F.collect_list("places").alias("places")), name)
+    shared = dealt.mapInArrow(_shared_places(dtype, by, buckets), _ENTRY).repartition(n, "bucket")
+    return staged(shared.mapInArrow(_places_of_texts, _FOUND), name)
 
 
 def _removal(width: int):
@@ -236,8 +254,7 @@ def _removal(width: int):
                     a, b = int(w.first[r - lo]), int(w.first[r - lo + 1])
                     gone = np.zeros(b - a, bool)
                     if places[r]:
-                        at = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in places[r]])).astype(np.int64)
-                        gone = cover_spans(at, width, b - a)
+                        gone = cover_spans(np.frombuffer(places[r], "<u4").astype(np.int64), width, b - a)
                     kept = np.flatnonzero(~gone)
                     s, e = w.start[a:b][kept], w.end[a:b][kept]
                     text = b" ".join([data[i:j].tobytes() for i, j in zip(s, e)])
