@@ -216,40 +216,49 @@ def _gather(batches, dtype):
     return np.concatenate(owners), np.concatenate(parts)
 
 
-def _decided(owners, e):
-    """Rows (owner, removed lines, candidate lines)."""
-    order = np.lexsort([e["line"], e["owner"]])
-    e = e[order]
-    cut = np.flatnonzero(_heads(e["owner"]))
-    ends = np.append(cut[1:], len(e))
-    own = owners[e["owner"][cut]]
-    line, gone = e["line"].astype("<u4"), e["kind"] == _REMOVED
-    for s in range(0, len(cut), 20_000):
-        span = list(zip(cut[s : s + 20_000], ends[s : s + 20_000]))
-        yield pa.RecordBatch.from_arrays(
-            [
-                *(pa.array(own[s : s + 20_000, k], pa.int64()) for k in range(3)),
-                pa.array([line[i:j][gone[i:j]].tobytes() for i, j in span], pa.binary()),
-                pa.array([line[i:j][~gone[i:j]].tobytes() for i, j in span], pa.binary()),
-            ],
-            names=["_id", *KEY, "removed", "candidates"],
-        )
+def _second_round(buckets: int):
+    """Of one partition (all entries of its buckets): later copies, and lines with a shared half, dealt
+    out by their row."""
 
+    def run(batches):
+        owners, e = _gather(batches, _LINE)
+        later = _earliest(e[e["kind"] == _SAME], _rank(owners))[1]
+        half = e[e["kind"] == _HALF]
+        half = half[np.lexsort([half["tell"], half["key"]])]
+        half = half[_shared(half)]
+        half["kind"] = _CANDIDATE
+        found = np.concatenate([later, half, e[e["kind"] > _HALF]])
+        out = np.zeros(len(found), _FOUND)
+        for c in _FOUND.names:
+            out[c] = found[c]
+        yield from _deal(out, owners, owners[out["owner"], 1].astype("<u8") % _U(buckets), buckets)
 
+    return run
+
+
+_FOUND = np.dtype([("owner", "<u4"), ("line", "<u4"), ("kind", "u1")])
 _DECIDED = "_id long, ka long, kb long, removed binary, candidates binary"
 
 
-def _second_round(batches):
-    """Of one partition (all entries of its buckets): later copies, and lines with a shared half."""
-    owners, e = _gather(batches, _LINE)
+def _decided(batches):
+    """Of one partition (all that was found for its rows): one row (owner, removed, candidates) each."""
+    owners, e = _gather(batches, _FOUND)
     if not len(e):
         return
-    later = _earliest(e[e["kind"] == _SAME], _rank(owners))[1]
-    half = e[e["kind"] == _HALF]
-    half = half[np.lexsort([half["tell"], half["key"]])]
-    half = half[_shared(half)]
-    half["kind"] = _CANDIDATE
-    yield from _decided(owners, np.concatenate([later, half, e[e["kind"] > _HALF]]))
+    owners, row = np.unique(owners, axis=0, return_inverse=True)
+    row = row.reshape(-1)[e["owner"]]
+    order = np.lexsort([e["line"], row])
+    row, line, gone = row[order], e["line"][order].astype("<u4"), e["kind"][order] == _REMOVED
+    cut = np.flatnonzero(_heads(row))
+    ends = np.append(cut[1:], len(row))
+    for s in range(0, len(cut), 5_000):
+        span = list(zip(cut[s : s + 5_000], ends[s : s + 5_000]))
+        own = owners[row[cut[s : s + 5_000]]]
+        lists = [(line[i:j][gone[i:j]].tobytes(), np.unique(line[i:j][~gone[i:j]]).tobytes() or None) for i, j in span]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(own[:, k], pa.int64()) for k in range(3)), pa.array([x for x, _ in lists], pa.binary()), pa.array([y for _, y in lists], pa.binary())],
+            names=["_id", *KEY, "removed", "candidates"],
+        )
 
 
 # --- deletion neighbourhood -----------------------------------------------------------------------
@@ -423,8 +432,7 @@ def _rewrite(min_words: int):
             for r, t in enumerate(texts):
                 lines = t.split("\n") if t else []
                 gone = set(near[r] or [])
-                for part in removed[r] or []:
-                    gone.update(np.frombuffer(part, "<u4").tolist())
+                gone.update(np.frombuffer(removed[r] or b"", "<u4").tolist())
                 if later[r]:
                     gone = {i for i, x in enumerate(lines) if len(_WORD.findall(x)) >= min_words}
                 n_lines.append(len(lines))
@@ -455,16 +463,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = with_key(named, text).withColumns({"_id": F.col(src[id_col]).cast("long"), "_text": F.col(text).cast("string")}).drop(text)
     slim = rows.select(*row, "_text")
     dealt = slim.mapInArrow(_line_entries(min_words, edit_words, buckets), _ENTRY).repartition(n, "bucket")
-    marks = dealt.mapInArrow(_second_round, _DECIDED).groupBy(*row).agg(
-        F.collect_list("removed").alias("_removed"), F.collect_list(F.when(F.length("candidates") > 0, F.col("candidates"))).alias("_lists")
-    )
-    marks = staged(marks, "lines")
+    found = dealt.mapInArrow(_second_round(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_decided, _DECIDED)
+    marks = staged(found.withColumnsRenamed({"removed": "_removed", "candidates": "_candidates"}), "lines")
     copies = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     marked = rows.withColumn("_row", F.monotonically_increasing_id())
     for side in (marks, copies):
         marked = _left_join(marked, side, row)
-    candidates = F.when(F.size("_lists") > 0, F.expr("array_join(transform(_lists, x -> hex(x)), '')"))
-    marked = staged(marked.withColumn("_candidates", F.unhex(candidates)).drop("_lists"), "marked")
+    marked = staged(marked, "marked")
     # the few rows with candidate lines or copies of the whole row are looked at again
     again = "_candidates is not null or _copies is not null"
     special = marked.where(again)

@@ -4,20 +4,21 @@ parameters, to its whole table; the columns a query adds are derived from the op
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import find_matches
-from .ngram_join import similar_groups
-from .substring import repeated_passages
-
-from .quality import quality
-
-from pyspark.sql import functions as F
 from .langid import identify
-
+from .line_dedup import dedup_lines
+from .ngram_join import similar_groups
 from .pages import main_text
-
+from .quality import quality
+from .substring import repeated_passages
 from .url_rules import judge
 
+# pieces of the DuckDB statements
+_SPLIT = r"'[^\x20\x09-\x0D]+'"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -27,9 +28,6 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_read(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
-_SPLIT = r"'[^\x20\x09-\x0D]+'"
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 OP8_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPLIT}) AS w FROM documents),
 s AS (
@@ -125,9 +123,38 @@ FROM fits GROUP BY page_id, host, path
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(_read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+OP3_SQL = rf"""
+WITH pieces AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')),
+lines AS (
+  SELECT doc_id, n, w, row_number() OVER (ORDER BY doc_id, n) AS place
+  FROM (SELECT doc_id, n, regexp_extract_all(line, {_SPLIT}) AS w FROM pieces) WHERE len(w) >= 5),
+same AS (SELECT array_to_string(w, ' ') AS k, min(place) AS place FROM lines GROUP BY k),
+forms AS (
+  SELECT place, array_to_string(list_concat(list_concat(w[1:i - 1], [chr(9)]), w[i + 1:]), ' ') AS k
+  FROM (SELECT place, w, unnest(range(1, len(w) + 1)) AS i FROM lines WHERE len(w) >= 8)
+  UNION ALL
+  SELECT place, array_to_string(list_concat(list_concat(w[1:i], [chr(9)]), w[i + 1:]), ' ') AS k
+  FROM (SELECT place, w, unnest(range(0, len(w) + 1)) AS i FROM lines WHERE len(w) >= 8)),
+near AS (SELECT k, min(place) AS place FROM forms GROUP BY k HAVING count(*) > 1),
+gone AS (
+  SELECT l.place FROM lines l JOIN same s ON s.k = array_to_string(l.w, ' ') WHERE s.place < l.place
+  UNION SELECT f.place FROM forms f JOIN near n USING (k) WHERE n.place < f.place),
+marked AS (SELECT p.doc_id, p.n, p.line, g.place IS NOT NULL AS gone FROM pieces p LEFT JOIN lines l USING (doc_id, n) LEFT JOIN gone g ON g.place = l.place),
+done AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, md5(coalesce(done.text, '')) AS text_md5
+FROM documents d LEFT JOIN done USING (doc_id)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_line_dedup,
         op6_url_filters,
         op7_html_extraction,
         op1_language_id,
@@ -139,6 +166,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op6_url_filters": OP6_SQL,
     "op8_ngram_jaccard_join": OP8_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
