@@ -1,24 +1,28 @@
 """N-gram Jaccard join by parity sketches.
 
-Two texts link when the Jaccard similarity of their shingle sets reaches ``num / den``.
+Two texts link when the Jaccard similarity of their shingle sets reaches ``num / den``; texts are grouped
+by the connected components of the links.
 
 1. Sketch.  Each set's shingles flip bits of a parity sketch (``shingles.sketch_keys``), one sketch
    size per size band.  The Hamming distance of two sketches is a lower bound of the symmetric
    difference of the sets, so a linked pair has equal blocks: texts meet under their blocks' keys.
-2. Bucket.  The members of a key's bucket are compared with one member only, the pivot (the
-   least), so the work is linear in the bucket whatever its size.  Keys are dealt out as packed
-   arrays after a local round in each batch: a key that a third of all texts share sends one entry
-   per batch.
-3. Verify.  Each (member, pivot) pair is decided on the exact sets.  Members that do not link with
-   the pivot ("far") may still link with each other or with other members.  Relative to the pivot a
-   member is its difference set, and the symmetric difference of two members is that of their
-   difference sets.  A link with a far member needs a known least overlap of the difference
-   sets, so both hold a common element among the first few of them (prefix filter, elements new to
-   the pivot first, which are the rare ones).
-4. Repeat from 2 with (pivot, difference element) as keys, in buckets with a far member, until no
-   pair is left.  Pivots ascend along these rounds, so they end; no link is lost, no group's pairs are
-   listed, and nothing is capped.
-5. Connected components of the links, over distinct texts (``tables.components``).
+   Keys are dealt out as packed arrays after a local round in each batch: a key that a third of all texts
+   share sends one entry per batch.
+2. Stars.  The members of a key's bucket are compared with one of them, the pivot: work linear in the
+   bucket whatever its size.  A second, dense sketch rejects most pairs, the exact sets decide the rest.
+   Most buckets are copies of one another or of one text, and now lie in one component.
+3. Small buckets (up to ``SMALL`` members) whose members are still in different components compare
+   these members by their dense sketches inside one task; what the bound lets through is decided on the
+   exact sets.
+4. Large buckets are divided.  Relative to the pivot a member is its difference set, and the
+   symmetric difference of two members is that of their difference sets.  A link with a "far" member
+   (one that does not link with the pivot) needs a known least overlap of the difference sets, so both hold a
+   common element among the first few of them (prefix filter; elements that many members have come
+   last).  (pivot, element) are the keys of the next round, which goes on at 2.
+
+No link that could join two components is lost: buckets whose members are in one component, pairs that the
+bounds rule out and pairs already in one component are all that is passed over.  No bucket is cut or
+capped, and none is listed pair by pair.
 
 Defined results: NULL texts and texts without words have no shingles, link with nothing and are
 their own component; copies of a text with words link; repeated ids are separate rows with the
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import bands, shingle_sets, sketch_keys
+from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
 from .tables import KEY, DistinctTexts, components, release, shuffle_partitions, staged, with_key
 from .words import mix
 
@@ -44,7 +48,11 @@ _ENTRY = "bucket int, owners binary, entries binary"
 _DTYPE = np.dtype([("key", "<u8"), ("pivot", "<u4"), ("text", "<u4"), ("kind", "u1")])
 _PIVOT, _MEMBER, _SIZE = 0, 2, 4
 _MET = "kind int, key long, xa long, xb long, pa long, pb long, far boolean"
-_VERIFIED = "xa long, xb long, pa long, pb long, far boolean, keys binary"
+_PAIR = ["xa", "xb", "pa", "pb"]
+#: buckets of up to this many members are compared inside one task
+SMALL = 64
+#: an element counts as common where this share of a pivot's members (and four of them) have it
+COMMON = 0.02
 
 
 def _longs(batch, names) -> np.ndarray:
@@ -105,16 +113,23 @@ def _sketches(size: int, num: int, den: int, buckets: int):
 
 
 def _differences(buckets: int):
-    """The same for the difference keys of verified pairs."""
+    """The same for the difference keys of the members of large buckets."""
 
     def run(batches):
         for batch in batches:
             if not len(batch):
                 continue
+            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731,B023
             owners, row = np.unique(_longs(batch, ["xa", "xb"]), axis=0, return_inverse=True)
-            keys = [np.frombuffer(k, "<u8") for k in batch.column(batch.schema.get_field_index("keys")).to_pylist()]
+            pivots = _longs(batch, ["pa", "pb"]).astype("<u8")
+            keys = []
+            for tag, d, least, common in zip(mix(pivots[:, 0] ^ mix(pivots[:, 1])), col("difference"), col("least"), col("common")):
+                d = np.array(d, np.int64)
+                last = np.isin(d, np.array(common or [], np.int64))
+                d = d[np.lexsort([d, last])].view(np.uint64)
+                keys.append(mix(d[: max(0, len(d) - least + 1)] ^ tag))
             n = np.array([len(k) for k in keys])
-            far = batch.column(batch.schema.get_field_index("far")).to_numpy(zero_copy_only=False).astype(bool)
+            far = np.array(col("far"), bool)
             yield from _deal(owners, np.repeat(row.reshape(-1), n), np.concatenate(keys), np.repeat(far, n), buckets)
 
     return run
@@ -170,17 +185,17 @@ def _meet(batches):
         )
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """The distinct (member, pivot) pairs of the buckets that have a far member."""
-    pivots = met.where(F.col("kind") == _PIVOT).select(
+def _members(met: DataFrame) -> DataFrame:
+    """(key, x, p): the members of the buckets that have a far member, the pivot itself included."""
+    g = met.where(F.col("kind") == _PIVOT).select(
         "key", F.col("xa").alias("la"), F.col("xb").alias("lb"), F.col("pa").alias("ga"), F.col("pb").alias("gb"), F.col("far").alias("gfar")
     )
-    members = met.where(F.col("kind") == _MEMBER).join(
-        pivots, (met["key"] == pivots["key"]) & (met["pa"] == F.col("la")) & (met["pb"] == F.col("lb")), "left"
-    )
-    members = members.where(F.coalesce("gfar", "far")).select("xa", "xb", F.coalesce("ga", "pa").alias("pa"), F.coalesce("gb", "pb").alias("pb"))
-    stars = pivots.where("gfar").select(F.col("la").alias("xa"), F.col("lb").alias("xb"), F.col("ga").alias("pa"), F.col("gb").alias("pb"))
-    return stars.unionByName(members).where("not (xa = pa and xb = pb)").distinct()
+    m = met.where(F.col("kind") == _MEMBER).alias("m").join(g.alias("g"), F.expr("m.key = g.key and m.pa = g.la and m.pb = g.lb"), "left")
+    m = m.where(F.coalesce("gfar", "far")).select("m.key", "xa", "xb", F.coalesce("ga", "pa").alias("pa"), F.coalesce("gb", "pb").alias("pb"), F.col("ga").isNull().alias("alone"))
+    # a bucket known to one batch only has its pivot in no other row
+    own = m.where("alone").select("key", F.col("pa").alias("xa"), F.col("pb").alias("xb"), "pa", "pb").distinct()
+    stars = g.where("gfar").select("key", F.col("la").alias("xa"), F.col("lb").alias("xb"), F.col("ga").alias("pa"), F.col("gb").alias("pb"))
+    return stars.unionByName(m.drop("alone")).unionByName(own)
 
 
 def _set_rows(size: int):
@@ -188,55 +203,129 @@ def _set_rows(size: int):
         for batch in batches:
             first, shingles = shingle_sets(batch.column(batch.schema.get_field_index("text")), size)
             sets = [shingles[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in KEY), pa.array(sets, pa.binary())], names=[*KEY, "set"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(k)) for k in KEY), pa.array(np.diff(first), pa.int64()), pa.array(dense_sketches(first, shingles), pa.binary()), pa.array(sets, pa.binary())],
+                names=[*KEY, "n", "sketch", "set"],
+            )
+
+    return run
+
+
+def _most(n, m, num: int, den: int):
+    """The largest symmetric difference of linked sets of sizes n and m."""
+    return (den - num) * (n + m) // (den + num)
+
+
+def _possible(num: int, den: int):
+    """Keeps pairs that the sketches do not rule out, and all pairs of large buckets."""
+
+    def run(batches):
+        for batch in batches:
+            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731,B023
+            n, m = (np.array(col(c).to_pylist(), np.int64) for c in ("xn", "pn"))
+            keep = np.array(col("large").to_pylist(), bool)
+            most = _most(n, m, num, den)
+            for i in np.flatnonzero(~keep):
+                x, p = (np.frombuffer(col(c)[i].as_buffer(), np.uint8) for c in ("xs", "ps"))
+                size = min(len(x), len(p))
+                keep[i] = int(np.bitwise_count(fold(x, size) ^ fold(p, size)).sum()) <= most[i]
+            yield batch.filter(pa.array(keep, pa.bool_())).select([*_PAIR, "large"])
+
+    return run
+
+
+def _inside_buckets(num: int, den: int):
+    """Pairs of a bucket's members in different components that the sketches do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for members in batch.column(batch.schema.get_field_index("members")).to_pylist():
+                n = np.array([x["n"] for x in members], np.int64)
+                part = np.array([x["part"] for x in members], np.int64)
+                size = min(len(x["sketch"]) for x in members)
+                bits = np.stack([fold(np.frombuffer(x["sketch"], np.uint8), size) for x in members])
+                for i in range(len(members) - 1):
+                    rest = slice(i + 1, None)
+                    differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64)
+                    ok = (part[rest] != part[i]) & (differ <= _most(n[rest], n[i], num, den)) & (den * np.minimum(n[rest], n[i]) >= num * np.maximum(n[rest], n[i]))
+                    a = (members[i]["xa"], members[i]["xb"])
+                    for j in np.flatnonzero(ok):
+                        b = (members[i + 1 + j]["xa"], members[i + 1 + j]["xb"])
+                        found.append((*max(a, b), *min(a, b), False))
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.int64()) for k in range(4)), pa.array([False] * len(found), pa.bool_())], names=[*_PAIR, "large"])
 
     return run
 
 
 def _verify(num: int, den: int):
-    """Decides each pair on its sets; a member's difference keys relative to the pivot."""
+    """Decides each pair on its sets.  For large buckets also the member's difference set, and the least
+    overlap with the difference set of any partner that the next round is to find."""
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
             col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731,B023
-            pivots = _longs(batch, ["pa", "pb"]).astype("<u8")
-            tag = mix(pivots[:, 0] ^ mix(pivots[:, 1]))
-            far, keys = [], []
-            for t, x, p in zip(tag, col("x_set"), col("p_set")):
+            far, difference, leasts = [], [], []
+            for x, p, large in zip(col("x_set"), col("p_set"), col("large").to_pylist()):
                 x, p = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(p.as_buffer(), "<u8")
-                new = np.setdiff1d(x, p, assume_unique=True)
-                both = len(x) - len(new)
+                d = np.setxor1d(x, p, assume_unique=True)
+                both = (len(x) + len(p) - len(d)) // 2
                 linked = den * both >= num * (len(x) + len(p) - both)
-                gone = np.setdiff1d(p, x, assume_unique=True)
-                d = len(new) + len(gone)
                 if linked:  # a far partner shares more than num / (num + den) of the difference
-                    least = num * d // (num + den) + 1
+                    least = num * len(d) // (num + den) + 1
                 else:  # any partner differs from x in at most this many shingles
-                    least = max(1, d - (den - num) * len(x) // num)
-                prefix = np.concatenate([new, gone])[: max(0, d - least + 1)]
+                    least = max(1, len(d) - (den - num) * len(x) // num)
                 far.append(not linked)
-                keys.append(mix(prefix ^ t).tobytes())
+                difference.append(d.view(np.int64) if large else None)
+                leasts.append(least)
             yield pa.RecordBatch.from_arrays(
-                [*(col(c) for c in ("xa", "xb", "pa", "pb")), pa.array(far, pa.bool_()), pa.array(keys, pa.binary())],
-                names=["xa", "xb", "pa", "pb", "far", "keys"],
+                [*(col(c) for c in (*_PAIR, "large")), pa.array(far, pa.bool_()), pa.array(difference, pa.list_(pa.int64())), pa.array(leasts, pa.int32())],
+                names=[*_PAIR, "large", "far", "difference", "least"],
             )
 
     return run
 
 
-def _links(met: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    pairs = _pairs(met)
-    x = sets.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("set").alias("x_set"))
-    p = sets.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("set").alias("p_set"))
-    return staged(pairs.join(x, ["xa", "xb"]).join(p, ["pa", "pb"]).mapInArrow(_verify(num, den), _VERIFIED), name)
+def _decide(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
+    """The pairs (x, p, large) that the sketches let through, with the verdict of the exact sets."""
+    light, full = ("n", "sketch"), ("set",)
 
+    def side(cols, end, new):
+        return sets.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), *[F.col(c).alias(f"{end}{k}") for c, k in zip(cols, new)])
 
-def _open_pairs(verified: DataFrame) -> DataFrame:
-    """Pairs of the pivots that have a far member and another one."""
-    stats = verified.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("any_far")).where("n > 1 and any_far")
-    return verified.join(stats.select("pa", "pb"), ["pa", "pb"], "left_semi")
+    both = pairs.join(side(light, "x", ("n", "s")), ["xa", "xb"]).join(side(light, "p", ("n", "s")), ["pa", "pb"])
+    both = both.mapInArrow(_possible(num, den), "xa long, xb long, pa long, pb long, large boolean")
+    both = both.join(side(full, "x", ("_set",)), ["xa", "xb"]).join(side(full, "p", ("_set",)), ["pa", "pb"])
+    return staged(both.mapInArrow(_verify(num, den), "xa long, xb long, pa long, pb long, large boolean, far boolean, difference array<long>, least int"), name)
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    """(ka, kb, part): the component of every linked text, as the number of one of its texts."""
+    ends = links.select(F.col("xa").alias("ka"), F.col("xb").alias("kb")).unionByName(links.select(F.col("pa").alias("ka"), F.col("pb").alias("kb"))).distinct()
+    nodes = staged(ends.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    u = nodes.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("node").alias("u"))
+    v = nodes.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("node").alias("v"))
+    roots = components(links.join(u, ["xa", "xb"]).join(v, ["pa", "pb"]).select("u", "v"))
+    return staged(nodes.join(roots, "node").select(*KEY, F.col("root").alias("part")), "parts")
+
+
+def _with_part(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Adds each member's component; a text without links is a component of its own."""
+    of = parts.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), "part")
+    return members.join(of, ["xa", "xb"], "left").withColumn("part", F.coalesce("part", "xa"))
+
+
+def _next_keys(verified: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs of large buckets whose pivot has a far member and members of several components,
+    with the elements that many of the pivot's members have in their difference sets."""
+    large = _with_part(verified.where("large"), parts)
+    of = large.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any_far"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    of = of.where("members > 1 and any_far and lo <> hi").select("pa", "pb", "members")
+    open_pairs = staged(large.join(of, ["pa", "pb"]).select(*_PAIR, "far", "difference", "least", "members"), "open")
+    each = open_pairs.select("pa", "pb", "members", F.explode("difference").alias("e")).groupBy("pa", "pb", "e").agg(F.count(F.lit(1)).alias("n"), F.first("members").alias("members"))
+    # at most 1 / COMMON times the mean size of a difference set
+    common = each.where(F.col("n") >= F.greatest(F.lit(4.0), COMMON * F.col("members"))).groupBy("pa", "pb").agg(F.collect_list("e").alias("common"))
+    return open_pairs.join(common, ["pa", "pb"], "left").select(*_PAIR, "far", "difference", "least", "common")
 
 
 def similar_groups(
@@ -253,31 +342,41 @@ def similar_groups(
     dealt = texts.table.mapInArrow(_sketches(size, num, den, buckets), _ENTRY).repartition(n, "bucket")
     met = staged(dealt.mapInArrow(_meet, _MET), "met")
     del dealt
-    first_pairs = staged(_pairs(met), "pairs")
-    ends = first_pairs.select(F.col("xa").alias("ka"), F.col("xb").alias("kb")).unionByName(first_pairs.select(F.col("pa").alias("ka"), F.col("pb").alias("kb"))).distinct()
-    sets = staged(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, set binary"), "sets")
-    texts.drop()
     sizes = met.where(F.col("kind") == _SIZE).select(F.col("xa").alias("ka"), F.col("xb").alias("kb"), F.col("key").alias("n_shingles"))
-    links = None
-    level = met
-    while True:
-        verified = _links(level, sets, num, den, "verified")
-        near = verified.where("not far").select("xa", "xb", "pa", "pb")
+    members = staged(_members(met), "members")
+    ends = members.select(F.col("xa").alias("ka"), F.col("xb").alias("kb")).distinct()
+    sets = staged(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
+    texts.drop()
+    links = parts = None
+    while not members.isEmpty():
+        count = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        stars = members.join(count, "key").where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
+        verified = _decide(stars, sets, num, den, "stars")
+        near = verified.where("not far").select(*_PAIR)
         links = near if links is None else links.unionByName(near)
-        todo = _open_pairs(verified)
+        parts = _parts(links)
+        labelled = staged(_with_part(members, parts), "labelled")
+        mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+        mixed = mixed.where(F.col("n").between(3, SMALL) & (F.col("lo") != F.col("hi"))).select("key")
+        light = sets.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), "n", "sketch")
+        # at most SMALL members each
+        buckets_of = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", "n", "sketch")).alias("members"))
+        inside = buckets_of.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
+        found = _decide(inside, sets, num, den, "inside")
+        links = links.unionByName(found.where("not far").select(*_PAIR))
+        todo = _next_keys(verified, parts)
         if todo.isEmpty():
             break
-        level = staged(todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET), "level")
-    # components over numbered texts, then the least id of each component
-    nodes = links.select(F.col("xa").alias("ka"), F.col("xb").alias("kb")).unionByName(links.select(F.col("pa").alias("ka"), F.col("pb").alias("kb"))).distinct()
-    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    u = nodes.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("node").alias("u"))
-    v = nodes.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("node").alias("v"))
-    roots = components(links.join(u, ["xa", "xb"]).join(v, ["pa", "pb"]).select("u", "v"))
+        level = todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET)
+        members = staged(_members(staged(level, "level")), "members")
+    # the least id of each component
     least = ids.groupBy(*KEY).agg(F.min("id").alias("least"))
-    member = nodes.join(roots, "node").join(least, KEY).select(*KEY, "root", "least")
-    of_root = member.groupBy("root").agg(F.min("least").alias("component"))
-    grouped = member.join(of_root, "root").select(*KEY, "component")
+    if links is None:
+        grouped = least.limit(0).select(*KEY, F.col("least").alias("component"))
+    else:
+        member = _parts(links).join(least, KEY)
+        of_part = member.groupBy("part").agg(F.min("least").alias("component"))
+        grouped = member.join(of_part, "part").select(*KEY, "component")
     per_text = staged(
         least.join(sizes, KEY).join(grouped, KEY, "left").select(*KEY, "n_shingles", F.coalesce("component", "least").alias("component")), "groups"
     )

@@ -119,3 +119,23 @@ def sketch_keys(first: np.ndarray, shingles: np.ndarray, b: Bands):
         out_row.append(owner[keep])
         out_key.append(mix(value ^ tag)[keep])
     return np.concatenate(out_row), np.concatenate(out_key)
+
+
+def dense_sketches(first: np.ndarray, shingles: np.ndarray) -> list[bytes]:
+    """A parity sketch of each set as bytes; its bits are the power of two at or above the set's size (256 or
+    more), so the larger of two sketches folds (XOR of its halves) to the size of the smaller."""
+    n = np.diff(first)
+    bits = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(bits)])
+    row = np.repeat(np.arange(len(n)), n)
+    flips = np.bincount(base[row] + (mix(shingles ^ _U(0x51)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64), minlength=int(base[-1]))
+    packed = np.packbits((flips & 1).astype(np.uint8))
+    return [packed[i:j].tobytes() for i, j in zip(base[:-1] // 8, base[1:] // 8)]
+
+
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch folded to ``size`` bytes.  Bits are numbered by the low bits of one hash, so folding
+    gives the sketch that the smaller size would have had."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch

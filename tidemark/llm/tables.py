@@ -135,6 +135,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before the shuffle, so a hub of any degree is no hot task; each round is written out.
     """
     e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _fingerprint(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -142,18 +143,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = staged(large.where("u <> v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        nxt = staged(small.where("u <> v").distinct(), "small")
-        # done when no edge changes any more
-        same = nxt.count() == e.count() and nxt.join(e, ["u", "v"], "left_anti").isEmpty()
-        e = nxt
-        if same:
+        e = staged(small.where("u <> v").distinct(), "small")
+        now = _fingerprint(e)
+        if now == before:  # no edge changes any more
             break
+        before = now
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first())
+
+
 def pack_columns(records: np.ndarray) -> bytes:
     """Structured records as bytes, column after column (high bytes of small numbers end up next to
     each other, which the shuffle's compression removes)."""
