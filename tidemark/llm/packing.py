@@ -36,7 +36,7 @@ FILL = 0.98
 SHARD_TOKENS = 4_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: fixed value: the pre-tokenizer of that vocabulary
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load_encoding(content: bytes, pattern: str = PATTERN):

@@ -10,10 +10,12 @@ from .decontam import find_matches
 from .langid import identify
 from .line_dedup import dedup_lines
 from .ngram_join import similar_groups
+from .packing import pack
 from .pages import main_text
 from .quality import quality
 from .substring import repeated_passages
 from .url_rules import judge
+from .warc import audit, layout
 
 # pieces of the DuckDB statements
 _SPLIT = r"'[^\x20\x09-\x0D]+'"
@@ -151,9 +153,50 @@ FROM documents d LEFT JOIN done USING (doc_id)
 """
 
 
+def op4_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the archive of all pages; the second has lost some records and has a wrong
+    byte in the middle of others."""
+    html = F.coalesce("html", F.lit(""))
+    middle = (F.length(html) / 2).cast("int") + 1
+    damaged = (
+        F.when(F.col("page_id") % 503 == 11, F.lit(None).cast("string"))
+        .when(F.col("page_id") % 211 == 7, F.overlay(html, F.lit("\x01"), middle, F.lit(1)))
+        .otherwise(html)
+    )
+    place = layout(_read(spark, sf_dir, "pages"), replica_html=damaged)
+    return audit(place, place.withColumn("digest", F.col("replica_digest")))
+
+
+OP4_SQL = r"""
+WITH crlf AS (SELECT chr(13) || chr(10) AS e),
+pages_b AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+    CASE WHEN page_id % 503 = 11 THEN NULL WHEN page_id % 211 = 7
+      THEN substr(html, 1, length(html) // 2) || chr(1) || substr(html, length(html) // 2 + 2) ELSE coalesce(html, '') END AS other FROM pages),
+records AS (
+  SELECT DISTINCT page_id, url,
+    'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+      || 'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' AS head, html, other, e FROM pages_b, crlf),
+hashed AS (
+  SELECT page_id, url, sha256(head || strlen(html) || e || e || html || e || e) AS digest, strlen(head || strlen(html) || e || e || html || e || e) AS length,
+    sha256(head || strlen(other) || e || e || other || e || e) AS replica FROM records),
+placed AS (
+  SELECT *, ('0x' || substr(digest, 1, 12))::BIGINT % greatest(1, (SELECT (count(*) + 499) // 500 FROM hashed)) AS file FROM hashed),
+laid AS (SELECT *, (sum(length) OVER (PARTITION BY file ORDER BY page_id, url, digest) - length)::BIGINT AS "offset" FROM placed)
+SELECT file, "offset", length, CASE WHEN replica IS NULL THEN 'missing' ELSE 'changed' END AS kind, digest AS first_digest, replica AS second_digest
+FROM laid WHERE replica IS DISTINCT FROM digest
+"""
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_best_fit_packing,
+        op4_warc_fixity,
         op3_line_dedup,
         op6_url_filters,
         op7_html_extraction,
@@ -166,6 +209,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op4_warc_fixity": OP4_SQL,
     "op3_line_dedup": OP3_SQL,
     "op6_url_filters": OP6_SQL,
     "op8_ngram_jaccard_join": OP8_SQL,
