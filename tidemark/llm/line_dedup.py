@@ -155,7 +155,10 @@ def _line_entries(min_words: int, edit_words: int, buckets: int):
                         e["tell"], e["owner"], e["line"], e["kind"] = tell[pick], x.row[i] + lo, x.number[i], _HALF
                         parts.append(e)
             e = np.concatenate(parts) if parts else np.zeros(0, _LINE)
+            del parts
             yield from _first_round(e, owners, rank, buckets)
+            del e
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -9,7 +9,7 @@ by the connected components of the links.
    Keys are dealt out as packed arrays after a local round in each batch: a key that a third of all texts
    share sends one entry per batch.
 2. Stars.  The members of a key's bucket are compared with one of them, the pivot: work linear in the
-   bucket whatever its size.  A second, dense sketch rejects most pairs, the exact sets decide the rest.
+   bucket whatever its size; the pivot is the most central member.  A second, dense sketch rejects most pairs, the exact sets decide the rest.
    Most buckets are copies of one another or of one text, and now lie in one component.
 3. Small buckets (up to ``SMALL`` members) whose members are still in different components compare
    these members by their dense sketches inside one task; what the bound lets through is decided on the
@@ -186,16 +186,32 @@ def _meet(batches):
 
 
 def _members(met: DataFrame) -> DataFrame:
-    """(key, x, p): the members of the buckets that have a far member, the pivot itself included."""
-    g = met.where(F.col("kind") == _PIVOT).select(
-        "key", F.col("xa").alias("la"), F.col("xb").alias("lb"), F.col("pa").alias("ga"), F.col("pb").alias("gb"), F.col("far").alias("gfar")
-    )
+    """(key, xa, xb): the members of the buckets that have a far member."""
+    g = met.where(F.col("kind") == _PIVOT).select("key", F.col("xa").alias("la"), F.col("xb").alias("lb"), F.col("far").alias("gfar"))
     m = met.where(F.col("kind") == _MEMBER).alias("m").join(g.alias("g"), F.expr("m.key = g.key and m.pa = g.la and m.pb = g.lb"), "left")
-    m = m.where(F.coalesce("gfar", "far")).select("m.key", "xa", "xb", F.coalesce("ga", "pa").alias("pa"), F.coalesce("gb", "pb").alias("pb"), F.col("ga").isNull().alias("alone"))
-    # a bucket known to one batch only has its pivot in no other row
-    own = m.where("alone").select("key", F.col("pa").alias("xa"), F.col("pb").alias("xb"), "pa", "pb").distinct()
-    stars = g.where("gfar").select("key", F.col("la").alias("xa"), F.col("lb").alias("xb"), F.col("ga").alias("pa"), F.col("gb").alias("pb"))
-    return stars.unionByName(m.drop("alone")).unionByName(own)
+    m = m.where(F.coalesce("gfar", "far")).select("m.key", "xa", "xb", "pa", "pb", F.col("la").isNull().alias("alone"))
+    # a bucket known to one batch only has its local pivot in no other row
+    own = m.where("alone").select("key", F.col("pa").alias("xa"), F.col("pb").alias("xb")).distinct()
+    return g.where("gfar").select("key", F.col("la").alias("xa"), F.col("lb").alias("xb")).unionByName(m.select("key", "xa", "xb")).unionByName(own)
+
+
+def _centrality(members: DataFrame) -> DataFrame:
+    """(xa, xb, weight): a text weighs more the more and the larger buckets it shares.  The text that others
+    are copies of shares all its blocks with most of them, and makes the best pivot."""
+    n = members.groupBy("key").agg(F.log(F.count(F.lit(1))).alias("w"))
+    return members.join(n, "key").groupBy("xa", "xb").agg(F.sum("w").alias("weight"))
+
+
+def _buckets(members: DataFrame, weight: DataFrame, parts: DataFrame | None, name: str) -> DataFrame:
+    """(key, x, p, n): each member with its bucket's pivot and size; only buckets of several components.
+
+    The order of pivots is fixed, and a bucket's pivot is its greatest member: along the rounds pivots
+    descend, so the rounds end."""
+    m = members.join(weight, ["xa", "xb"])
+    m = _with_part(m, parts) if parts is not None else m.withColumn("part", F.col("xa"))
+    of = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("weight", "xa", "xb")).alias("top"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+    of = of.where("n > 1 and lo <> hi").select("key", "n", F.col("top.xa").alias("pa"), F.col("top.xb").alias("pb"))
+    return staged(m.select("key", "xa", "xb").join(of, "key"), name)
 
 
 def _set_rows(size: int):
@@ -344,39 +360,35 @@ def similar_groups(
     del dealt
     sizes = met.where(F.col("kind") == _SIZE).select(F.col("xa").alias("ka"), F.col("xb").alias("kb"), F.col("key").alias("n_shingles"))
     members = staged(_members(met), "members")
-    ends = members.select(F.col("xa").alias("ka"), F.col("xb").alias("kb")).distinct()
+    weight = staged(_centrality(members), "weight")
+    ends = weight.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"))
     sets = staged(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
     texts.drop()
     links = parts = None
-    while not members.isEmpty():
-        count = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        stars = members.join(count, "key").where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
+    while True:
+        members = _buckets(members, weight, parts, "buckets")
+        stars = members.where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
         verified = _decide(stars, sets, num, den, "stars")
         near = verified.where("not far").select(*_PAIR)
-        links = near if links is None else links.unionByName(near)
+        links = near if links is None else staged(links.unionByName(near), "links")
         parts = _parts(links)
-        labelled = staged(_with_part(members, parts), "labelled")
-        mixed = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-        mixed = mixed.where(F.col("n").between(3, SMALL) & (F.col("lo") != F.col("hi"))).select("key")
-        light = sets.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), "n", "sketch")
+        labelled = staged(_with_part(members.where(F.col("n").between(3, SMALL)), parts), "labelled")
+        mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+        light = sets.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("n").alias("size"), "sketch")
         # at most SMALL members each
-        buckets_of = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", "n", "sketch")).alias("members"))
-        inside = buckets_of.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
-        found = _decide(inside, sets, num, den, "inside")
-        links = links.unionByName(found.where("not far").select(*_PAIR))
+        of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
+        inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
+        links = staged(links.unionByName(_decide(inside, sets, num, den, "inside").where("not far").select(*_PAIR)), "links")
         todo = _next_keys(verified, parts)
         if todo.isEmpty():
             break
         level = todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET)
-        members = staged(_members(staged(level, "level")), "members")
+        members = _members(staged(level, "level"))
     # the least id of each component
     least = ids.groupBy(*KEY).agg(F.min("id").alias("least"))
-    if links is None:
-        grouped = least.limit(0).select(*KEY, F.col("least").alias("component"))
-    else:
-        member = _parts(links).join(least, KEY)
-        of_part = member.groupBy("part").agg(F.min("least").alias("component"))
-        grouped = member.join(of_part, "part").select(*KEY, "component")
+    member = _parts(links).join(least, KEY)
+    of_part = member.groupBy("part").agg(F.min("least").alias("component"))
+    grouped = member.join(of_part, "part").select(*KEY, "component")
     per_text = staged(
         least.join(sizes, KEY).join(grouped, KEY, "left").select(*KEY, "n_shingles", F.coalesce("component", "least").alias("component")), "groups"
     )

@@ -78,7 +78,7 @@ def _first_of_each(batches):
         if len(seen) > SEEN:
             for k in list(seen)[: len(seen) - SEEN]:
                 del seen[k]
-        yield batch.take(pa.array(keep, pa.int64()))
+        yield batch if len(keep) == len(batch) else batch.take(pa.array(keep, pa.int64()))
 
 
 def _all_distinct(batches):

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: word separators of `[^\x20\x09-\x0D]+`
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: texts are hashed in slices of about this many bytes (cut at separators), which bounds memory
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -45,12 +45,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; NULL counts as empty."""
+    """(bytes, offsets) of a string column, without copying the text; NULL counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    large = pa.types.is_large_string(column.type)
+    if not large and not pa.types.is_string(column.type):
+        column, large = column.cast(pa.large_string()), True
+    valid, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if column.null_count and np.diff(off)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        return utf8(pc.fill_null(column, ""))  # bytes under a NULL
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
