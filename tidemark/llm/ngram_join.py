@@ -17,8 +17,8 @@ by the connected components of the links.
 4. Large buckets are divided.  Relative to the pivot a member is its difference set, and the
    symmetric difference of two members is that of their difference sets.  A link with a "far" member
    (one that does not link with the pivot) needs a known least overlap of the difference sets, so both hold a
-   common element among the first few of them (prefix filter; elements that many members have come
-   last).  (pivot, element) are the keys of the next round, which goes on at 2.
+   common element among the first few of them (prefix filter; rare elements
+   come first).  (pivot, element) are the keys of the next round, which goes on at 2.
 
 No link that could join two components is lost: buckets whose members are in one component, pairs that the
 bounds rule out and pairs already in one component are all that is passed over.  No bucket is cut or
@@ -51,8 +51,8 @@ _MET = "kind int, key long, xa long, xb long, pa long, pb long, far boolean"
 _PAIR = ["xa", "xb", "pa", "pb"]
 #: buckets of up to this many members are compared inside one task
 SMALL = 64
-#: an element counts as common where this share of a pivot's members (and four of them) have it
-COMMON = 0.02
+#: members of one pivot handled together when large buckets are divided
+CHUNK = 512
 
 
 def _longs(batch, names) -> np.ndarray:
@@ -119,22 +119,43 @@ def _differences(buckets: int):
         for batch in batches:
             if not len(batch):
                 continue
-            col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: E731,B023
             owners, row = np.unique(_longs(batch, ["xa", "xb"]), axis=0, return_inverse=True)
-            pivots = _longs(batch, ["pa", "pb"]).astype("<u8")
-            keys = []
-            for tag, d, least, common in zip(mix(pivots[:, 0] ^ mix(pivots[:, 1])), col("difference"), col("least"), col("common")):
-                d = np.array(d, np.int64)
-                last = np.isin(d, np.array(common or [], np.int64))
-                d = d[np.lexsort([d, last])].view(np.uint64)
-                keys.append(mix(d[: max(0, len(d) - least + 1)] ^ tag))
+            keys = [np.frombuffer(k, "<u8") for k in batch.column(batch.schema.get_field_index("keys")).to_pylist()]
             n = np.array([len(k) for k in keys])
-            far = np.array(col("far"), bool)
+            far = np.array(batch.column(batch.schema.get_field_index("far")).to_pylist(), bool)
             yield from _deal(owners, np.repeat(row.reshape(-1), n), np.concatenate(keys), np.repeat(far, n), buckets)
 
     return run
 
 
+def _element_counts(key, table):
+    """How many of some of a pivot's members have each element in their difference sets (elements of
+    two or more)."""
+    e, n = np.unique(np.concatenate([np.frombuffer(d, "<u8") for d in table.column("difference").to_pylist()]), return_counts=True)
+    e, n = e[n > 1], n[n > 1]
+    return pa.table({
+        "pa": pa.array([key[0].as_py()], pa.int64()), "pb": pa.array([key[1].as_py()], pa.int64()), "chunks": table.column("chunks")[:1].combine_chunks(),
+        "elements": pa.array([e.tobytes()], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes()], pa.binary()),
+    })
+
+
+def _first_elements(key, pairs, counts):
+    """The keys of each member: the first elements of its difference set, rare ones first."""
+    if counts.num_rows:
+        known, n = np.frombuffer(counts.column("elements")[0].as_py(), "<u8"), np.frombuffer(counts.column("counts")[0].as_py(), "<u4")
+    else:
+        known, n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    keys = []
+    for a, b, d, least in zip(*(pairs.column(c).to_pylist() for c in ("pa", "pb", "difference", "least"))):
+        d = np.frombuffer(d, "<u8")
+        at = np.minimum(np.searchsorted(known, d), max(len(known) - 1, 0))
+        often = np.where(known[at] == d, n[at], 0) if len(known) else np.zeros(len(d), np.uint32)
+        d = d[np.lexsort([d, often])][: max(0, len(d) - least + 1)]
+        tag = mix(np.array([a], np.int64).view(np.uint64) ^ mix(np.array([b], np.int64).view(np.uint64)))
+        keys.append(mix(d ^ tag).tobytes())
+    return pa.table({**{c: pairs.column(c) for c in ("xa", "xb", "far")}, "keys": pa.array(keys, pa.binary())})
+
+
 def _meet(batches):
     """Of one partition (all entries of its buckets): keys with two or more local pivots, with the
     least of them; members and sizes pass through."""
@@ -292,10 +313,10 @@ def _verify(num: int, den: int):
                 else:  # any partner differs from x in at most this many shingles
                     least = max(1, len(d) - (den - num) * len(x) // num)
                 far.append(not linked)
-                difference.append(d.view(np.int64) if large else None)
+                difference.append(d.tobytes() if large else None)
                 leasts.append(least)
             yield pa.RecordBatch.from_arrays(
-                [*(col(c) for c in (*_PAIR, "large")), pa.array(far, pa.bool_()), pa.array(difference, pa.list_(pa.int64())), pa.array(leasts, pa.int32())],
+                [*(col(c) for c in (*_PAIR, "large")), pa.array(far, pa.bool_()), pa.array(difference, pa.binary()), pa.array(leasts, pa.int32())],
                 names=[*_PAIR, "large", "far", "difference", "least"],
             )
 
@@ -312,17 +333,17 @@ def _decide(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) ->
     both = pairs.join(side(light, "x", ("n", "s")), ["xa", "xb"]).join(side(light, "p", ("n", "s")), ["pa", "pb"])
     both = both.mapInArrow(_possible(num, den), "xa long, xb long, pa long, pb long, large boolean")
     both = both.join(side(full, "x", ("_set",)), ["xa", "xb"]).join(side(full, "p", ("_set",)), ["pa", "pb"])
-    return staged(both.mapInArrow(_verify(num, den), "xa long, xb long, pa long, pb long, large boolean, far boolean, difference array<long>, least int"), name)
+    return staged(both.mapInArrow(_verify(num, den), "xa long, xb long, pa long, pb long, large boolean, far boolean, difference binary, least int"), name)
 
 
 def _parts(links: DataFrame) -> DataFrame:
     """(ka, kb, part): the component of every linked text, as the number of one of its texts."""
     ends = links.select(F.col("xa").alias("ka"), F.col("xb").alias("kb")).unionByName(links.select(F.col("pa").alias("ka"), F.col("pb").alias("kb"))).distinct()
-    nodes = staged(ends.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = staged(ends.withColumn("node", F.monotonically_increasing_id()), "nodes", small=True)
     u = nodes.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("node").alias("u"))
     v = nodes.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("node").alias("v"))
     roots = components(links.join(u, ["xa", "xb"]).join(v, ["pa", "pb"]).select("u", "v"))
-    return staged(nodes.join(roots, "node").select(*KEY, F.col("root").alias("part")), "parts")
+    return staged(nodes.join(roots, "node").select(*KEY, F.col("root").alias("part")), "parts", small=True)
 
 
 def _with_part(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -332,16 +353,21 @@ def _with_part(members: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _next_keys(verified: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs of large buckets whose pivot has a far member and members of several components,
-    with the elements that many of the pivot's members have in their difference sets."""
+    """(x, far, keys) of the members of large buckets whose pivot has a far member and members of several
+    components.
+
+    The elements of a pivot's members are ordered by how often they occur in some ``CHUNK`` of the members
+    (any order gives the same links; rare elements first make small buckets).  Members are taken ``CHUNK``
+    at a time, so a pivot with any number of them is no large group."""
     large = _with_part(verified.where("large"), parts)
     of = large.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any_far"), F.min("part").alias("lo"), F.max("part").alias("hi"))
-    of = of.where("members > 1 and any_far and lo <> hi").select("pa", "pb", "members")
-    open_pairs = staged(large.join(of, ["pa", "pb"]).select(*_PAIR, "far", "difference", "least", "members"), "open")
-    each = open_pairs.select("pa", "pb", "members", F.explode("difference").alias("e")).groupBy("pa", "pb", "e").agg(F.count(F.lit(1)).alias("n"), F.first("members").alias("members"))
-    # at most 1 / COMMON times the mean size of a difference set
-    common = each.where(F.col("n") >= F.greatest(F.lit(4.0), COMMON * F.col("members"))).groupBy("pa", "pb").agg(F.collect_list("e").alias("common"))
-    return open_pairs.join(common, ["pa", "pb"], "left").select(*_PAIR, "far", "difference", "least", "common")
+    of = of.where("members > 1 and any_far and lo <> hi").select("pa", "pb", F.ceil(F.col("members") / CHUNK).alias("chunks"))
+    pairs = large.join(of, ["pa", "pb"]).select(*_PAIR, "far", "difference", "least", "chunks")
+    pairs = staged(pairs.withColumn("chunk", F.pmod(F.xxhash64("xa", "xb"), F.col("chunks"))), "open")
+    group = ["pa", "pb", "chunk"]
+    counts = pairs.where("chunk = 0").groupBy("pa", "pb").applyInArrow(_element_counts, "pa long, pb long, chunks long, elements binary, counts binary")
+    counts = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return pairs.groupBy(*group).cogroup(counts.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary")
 
 
 def similar_groups(
@@ -360,7 +386,7 @@ def similar_groups(
     del dealt
     sizes = met.where(F.col("kind") == _SIZE).select(F.col("xa").alias("ka"), F.col("xb").alias("kb"), F.col("key").alias("n_shingles"))
     members = staged(_members(met), "members")
-    weight = staged(_centrality(members), "weight")
+    weight = staged(_centrality(members), "weight", small=True)
     ends = weight.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"))
     sets = staged(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
     texts.drop()
@@ -370,16 +396,16 @@ def similar_groups(
         stars = members.where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
         verified = _decide(stars, sets, num, den, "stars")
         near = verified.where("not far").select(*_PAIR)
-        links = near if links is None else staged(links.unionByName(near), "links")
+        links = near if links is None else staged(links.unionByName(near), "links", small=True)
         parts = _parts(links)
-        labelled = staged(_with_part(members.where(F.col("n").between(3, SMALL)), parts), "labelled")
+        labelled = staged(_with_part(members.where(F.col("n").between(3, SMALL)), parts), "labelled", small=True)
         mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
         light = sets.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("n").alias("size"), "sketch")
         # at most SMALL members each
         of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
         inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
-        links = staged(links.unionByName(_decide(inside, sets, num, den, "inside").where("not far").select(*_PAIR)), "links")
-        todo = _next_keys(verified, parts)
+        links = staged(links.unionByName(_decide(inside, sets, num, den, "inside").where("not far").select(*_PAIR)), "links", small=True)
+        todo = staged(_next_keys(verified, parts), "keys", small=True)
         if todo.isEmpty():
             break
         level = todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET)

@@ -28,14 +28,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
+def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read back (``small``: nothing worth releasing)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
     schema = df.schema
     del df
-    release(spark)
+    if not small:
+        release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -134,16 +135,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     and the number of rounds grows with the logarithm of the longest path.  Minima are aggregated
     before the shuffle, so a hub of any degree is no hot task; each round is written out.
     """
-    e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", small=True)
     before = _fingerprint(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u <> v").distinct(), "large")
+        large = staged(large.where("u <> v").distinct(), "large", small=True)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = staged(small.where("u <> v").distinct(), "small")
+        e = staged(small.where("u <> v").distinct(), "small", small=True)
         now = _fingerprint(e)
         if now == before:  # no edge changes any more
             break
