@@ -8,17 +8,20 @@ with ``verify='hash'``, by digest).  Every outcome, failures included, is one re
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.hashing import get_hasher
+from ..session import materialize
 from ..sources import fs
 from ..sources.readers import digest_full
-from .copyplan import COPIED, FAILED, OVERWRITTEN, RENAMED, SKIPPED, check_mode
+from .copyplan import COPIED, FAILED, OVERWRITTEN, RENAMED, SKIPPED, SUPERSEDED, check_mode, check_unique_targets
 
 WRITES = (COPIED, RENAMED, OVERWRITTEN)
 
@@ -34,10 +37,32 @@ MSG_OTHER = "Error copying: "
 MSG_NO_TARGET = "Copy appeared to succeed but target file does not exist"
 MSG_EMPTY = "Copy appeared to succeed but target file is empty"
 MSG_SIZE = "Copy verification failed: size differs"
+MSG_LOST = "The later file of the same name was not copied: "
 MSG_HASH = "Copy verification failed: content differs"
 
 
-def _copy_one(src: str, dst: str, size: int, verify: str, hasher) -> tuple[bool, str, str]:
+class _Taken(Exception):
+    """The target appeared after planning."""
+
+
+def _place(tmp: str, dst: str, replace: bool) -> None:
+    """Give the finished copy its name; without ``replace`` a name taken meanwhile is left alone."""
+    if replace:
+        os.replace(tmp, dst)
+        return
+    try:
+        os.link(tmp, dst)  # fails, atomically, if the name is taken
+    except FileExistsError:
+        raise _Taken(dst) from None
+    except OSError:  # no hard links here
+        if os.path.lexists(dst):
+            raise _Taken(dst) from None
+        os.rename(tmp, dst)
+        return
+    os.remove(tmp)
+
+
+def _copy_one(src: str, dst: str, size: int, verify: str, hasher, replace: bool = False) -> tuple[bool, str, str]:
     """Returns (success, message, outcome-override or '')."""
     parent = os.path.dirname(dst)
     try:
@@ -50,7 +75,10 @@ def _copy_one(src: str, dst: str, size: int, verify: str, hasher) -> tuple[bool,
     try:
         shutil.copyfile(src, tmp)
         shutil.copystat(src, tmp)
-        os.replace(tmp, dst)
+        _place(tmp, dst, replace)
+    except _Taken:
+        _silent_remove(tmp)
+        raise
     except PermissionError as e:
         _silent_remove(tmp)
         return False, f"{MSG_PERM}{e}", FAILED
@@ -79,35 +107,65 @@ def _silent_remove(p: str) -> None:
         pass
 
 
-def _runner(mode: str, verify: str, hasher_name: str):
+def _other_name(dst: str, src: str, k: int) -> str:
+    """A name for a row whose planned one was taken after planning: the same on every retry."""
+    folder, name = os.path.split(dst)
+    base, ext = os.path.splitext(name)
+    return os.path.join(folder, f"{base}_{hashlib.sha256(f'{src}|{dst}|{k}'.encode()).hexdigest()[:16]}{ext}")
+
+
+def _execute(src: str, dst: str, size: int, outcome: str, mode: str, verify: str, hasher) -> tuple[bool, str, str, str]:
+    """One row: (success, message, outcome, target)."""
+    if not fs.exists(src):
+        return False, f"{MSG_MISSING}{src}", FAILED, dst
+    local = fs.strip_file_scheme(src)
+    planned = dst
+    for k in range(1, 100):
+        if mode != "overwrite" and os.path.lexists(dst):
+            if _is_own_retry(dst, src):
+                return True, MSG_OK, outcome if dst == planned else RENAMED, dst
+            if mode == "skip":
+                return False, f"{MSG_SKIP}{dst}", SKIPPED, dst
+            dst = _other_name(planned, src, k)
+            continue
+        try:
+            ok, msg, override = _copy_one(local, dst, size, verify, hasher, replace=mode == "overwrite")
+        except _Taken:
+            continue
+        return ok, msg, override or (outcome if dst == planned else RENAMED), dst
+    return False, f"{MSG_FS}no free name for {planned}", FAILED, planned
+
+
+def _runner(mode: str, verify: str, hasher):
     def run(batches):
-        hasher = get_hasher(hasher_name)
         for pdf in batches:
-            succ = pdf["success"].tolist()
-            msgs = pdf["message"].tolist()
-            outs = pdf["outcome"].tolist()
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                if row.outcome not in WRITES:
-                    continue  # skipped / failed / superseded: decided by the plan
-                src, dst = row.source, row.target
-                if not fs.exists(src):
-                    succ[i], msgs[i], outs[i] = False, f"{MSG_MISSING}{src}", FAILED
-                    continue
-                if mode == "skip" and os.path.exists(dst) and not _is_own_retry(dst, src):
-                    succ[i], msgs[i], outs[i] = False, f"{MSG_SKIP}{dst}", SKIPPED
-                    continue
-                ok, msg, override = _copy_one(fs.strip_file_scheme(src), dst, int(row.file_size), verify, hasher)
-                succ[i], msgs[i] = ok, msg
-                if override:
-                    outs[i] = override
-            pdf["success"] = pd.Series(succ, index=pdf.index, dtype=bool)
-            pdf["message"] = msgs
-            pdf["outcome"] = outs
+            done = [
+                _execute(r.source, r.target, int(r.file_size or 0), r.outcome, mode, verify, hasher)
+                if r.outcome in WRITES  # skipped / failed / superseded: decided by the plan
+                else (r.success, r.message, r.outcome, r.target)
+                for r in pdf.itertuples(index=False)
+            ]
+            for i, c in enumerate(("success", "message", "outcome", "target")):
+                pdf[c] = pd.Series([d[i] for d in done], index=pdf.index, dtype=bool if c == "success" else object)
             yield pdf
 
     return run
 
 
+def fail_superseded(results: DataFrame) -> DataFrame:
+    """Overwrite mode: a row that gave way to a later one has no copy of its own, so it fails where
+    the later one did."""
+    lost = materialize(
+        results.where((F.col("outcome") == FAILED) & F.col("target").isNotNull()).select("target").distinct().withColumn("_lost", F.lit(True))
+    )
+    gone = F.col("_lost").isNotNull() & (F.col("outcome") == SUPERSEDED)
+    return results.join(lost, "target", "left").withColumns({
+        "success": F.col("success") & ~gone,
+        "message": F.when(gone, F.concat(F.lit(MSG_LOST), F.col("target"))).otherwise(F.col("message")),
+        "outcome": F.when(gone, FAILED).otherwise(F.col("outcome")),
+    }).select(*results.columns)
+
+
 def _is_own_retry(dst: str, src: str) -> bool:
     """A target written by an earlier attempt of this very task (same bytes) is not a conflict."""
     try:
@@ -129,10 +187,10 @@ def run_copy(plan: DataFrame, mode: str = "rename", verify: str = "size", hasher
         raise ValueError("verify must be 'none', 'size' or 'hash'")
     h = get_hasher(hasher)
     if not pinned:
-        from ..session import materialize
-
         plan = materialize(plan)
-    return plan.mapInPandas(_runner(mode, verify, h.name), plan.schema)
+    check_unique_targets(plan)
+    results = materialize(plan.mapInPandas(_runner(mode, verify, h), plan.schema))  # copy once
+    return fail_superseded(results) if mode == "overwrite" else results
 
 
 def check_target_root(target_root: str) -> None:

@@ -4,11 +4,12 @@ whether and where it is copied into one flat target folder.
 The reference copies one file after another, so the first file of a name takes it and later ones
 meet a conflict.  Here the whole batch is planned at once (no per-row driver loop):
 
-* "first"/"last" of a name are ``min``/``max`` of ``position`` per file name (aggregate + join;
-  no window, so a name shared by a third of the rows is pre-aggregated map-side);
+* "first"/"last" of a name are ``min``/``max`` of (position, paths, row) per file name, so ties of
+  ``position`` never give two winners (aggregate + join; no window, so a name shared by a third of
+  the rows is pre-aggregated map-side);
 * rename targets are deterministic: ``<stem>_<8 hex of sha256(relative_path)><ext>``; a name that
   would still clash (with an existing file, a natural name or another renamed row) gets the whole
-  digest of ``relative_path|position``, unique per plan row;
+  digest of its paths, position and row, unique per plan row;
 * targets are fixed in the plan, never chosen inside a copy task, so a retried task is idempotent.
 
 Outcomes: ``copied``, ``renamed``, ``overwritten``, ``superseded`` (overwrite mode: a later row
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import suffix
 from ..session import materialize
+from ..sources import fs
 
 MODES = ("rename", "skip", "overwrite")
 
@@ -45,6 +47,22 @@ def check_mode(mode: str) -> None:
         raise ValueError(f"Invalid conflict_handling: {mode}")
 
 
+def target_folder(target_root: str) -> str:
+    """The target as a plain path.  Copies write through the local (or mounted) filesystem; any other
+    scheme is refused here, before anything is planned."""
+    if fs.is_uri(target_root):
+        raise ValueError(f"Cannot copy to {target_root!r}: the target must be a path (or file: URI) that all executors mount")
+    return fs.strip_file_scheme(target_root)
+
+
+def check_unique_targets(plan: DataFrame) -> None:
+    """Raises when two rows of a plan would write the same target."""
+    writes = plan.where(F.col("outcome").isin(COPIED, RENAMED, OVERWRITTEN))
+    twice = writes.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"{twice['n']} rows would write {twice['target']!r}")
+
+
 def stem(name: Column) -> Column:
     sfx = suffix(name)
     return F.when(sfx == "", name).otherwise(F.left(name, F.char_length(name) - F.char_length(sfx)))
@@ -54,8 +72,8 @@ def rename_short(filename: Column, relative_path: Column) -> Column:
     return F.concat(stem(filename), F.lit("_"), F.substring(F.sha2(relative_path, 256), 1, 8), suffix(filename))
 
 
-def rename_long(filename: Column, relative_path: Column, position: Column) -> Column:
-    digest = F.sha2(F.concat_ws("|", relative_path, position.cast("string")), 256)
+def rename_long(filename: Column, *identity: Column) -> Column:
+    digest = F.sha2(F.concat_ws("|", *[c.cast("string") for c in identity]), 256)
     return F.concat(stem(filename), F.lit("_"), digest, suffix(filename))
 
 
@@ -74,33 +92,35 @@ def plan_copy(
     ``existing``: names already in the target folder (``filename``) (J12).
     """
     check_mode(mode)
-    root = target_root.rstrip("/") + "/"
+    root = target_folder(target_root).rstrip("/") + "/"
     rows = manifest.select("full_path", "relative_path", "filename", "file_size", "position", *carry)
     if sources is not None:
-        present = sources.select("full_path").distinct().withColumn("_src", F.lit(True))
+        # build sides are pinned: AQE then measures them, and can split the rows' side when a name is hot
+        present = materialize(sources.select("full_path").distinct().withColumn("_src", F.lit(True)))
         rows = rows.join(present, "full_path", "left")
     else:
         rows = rows.withColumn("_src", F.lit(True))
     if existing is not None:
-        taken = existing.select("filename").distinct().withColumn("_exists", F.lit(True))
+        taken = materialize(existing.select("filename").distinct().withColumn("_exists", F.lit(True)))
         rows = rows.join(taken, "filename", "left")
     else:
         rows = rows.withColumn("_exists", F.lit(None).cast("boolean"))
     # The per-name aggregates and the rename clash checks read these rows several times; pin them
     # once (narrow rows, shared checkpoint folder) so the manifest and lookups are computed once.
-    rows = materialize(rows)
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    place = F.struct("position", "relative_path", "full_path", "_row")
     live = F.col("_src").isNotNull()
     # one row per name, pinned so the join back can be split by AQE when one name is hot
     ends = materialize(
         rows.where(live)
         .groupBy("filename")
-        .agg(F.min("position").alias("_first"), F.max("position").alias("_last"))
+        .agg(F.min(place)["_row"].alias("_first"), F.max(place)["_row"].alias("_last"))
     )
     rows = rows.join(ends, "filename", "left")
     natural = F.concat(F.lit(root), F.col("filename"))
     exists = F.coalesce(F.col("_exists"), F.lit(False))
-    first = F.col("position") == F.col("_first")
-    last = F.col("position") == F.col("_last")
+    first = F.col("_row") == F.col("_first")
+    last = F.col("_row") == F.col("_last")
 
     if mode == "skip":
         outcome = F.when(~live, FAILED).when(exists | ~first, SKIPPED).otherwise(COPIED)
@@ -117,21 +137,22 @@ def plan_copy(
     else:
         outcome = F.when(~live, FAILED).when(~exists & first, COPIED).otherwise(RENAMED)
         planned = rows.withColumn("outcome", outcome).withColumn(
-            "_short", rename_short(F.col("filename"), F.col("relative_path"))
+            "_short", rename_short(F.col("filename"), F.coalesce("relative_path", "full_path"))
         )
         # residual clashes of the short name: used twice, or equal to a name already taken
-        short_counts = (
+        short_counts = materialize(
             planned.where(F.col("outcome") == RENAMED).groupBy("_short").agg(F.count(F.lit(1)).alias("_uses"))
+            .where("_uses > 1")
         )
         taken_names = planned.where(F.col("outcome") == COPIED).select(F.col("filename").alias("_short"))
         if existing is not None:
             taken_names = taken_names.unionByName(existing.select(F.col("filename").alias("_short")))
-        taken_names = taken_names.distinct().withColumn("_taken", F.lit(True))
+        taken_names = materialize(taken_names.distinct().withColumn("_taken", F.lit(True)))
         planned = planned.join(short_counts, "_short", "left").join(taken_names, "_short", "left")
         clash = (F.col("_uses") > 1) | F.col("_taken").isNotNull()
         name = (
             F.when(F.col("outcome") == COPIED, F.col("filename"))
-            .when(clash, rename_long(F.col("filename"), F.col("relative_path"), F.col("position")))
+            .when(clash, rename_long(*[F.col(c) for c in ("filename", "relative_path", "full_path", "position", "_row")]))
             .otherwise(F.col("_short"))
         )
         planned = planned.withColumn("_name", name)

@@ -23,12 +23,12 @@ from ..session import materialize
 
 
 def existing_names(spark: SparkSession, target_root: str) -> DataFrame:
-    """Names already present at the top of the target folder (the copy target is flat); listed
-    by a task."""
-    root = fs.strip_file_scheme(target_root)
+    """Names already taken at the top of the target folder (the copy target is flat), by files or
+    folders; listed by a task, which fails if it cannot read the folder."""
+    root = copyplan.target_folder(target_root)
     if fs.kind(root) != "dir":
         return spark.createDataFrame([], "filename string")
-    return list_names(spark, root)
+    return list_names(spark, root, folders=True)
 
 
 def plan(
@@ -56,12 +56,15 @@ def copy_manifest(
     verify: str = "size",
     source_root: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Returns (results, summary).  ``manifest`` is a DataFrame or the path of a CSV manifest
-    (rows that do not parse are left out, as the reference does).  ``source_root`` rebases the
+    """Returns (results, summary).  ``manifest`` is a DataFrame or the path of a CSV manifest (rows that do
+    not parse cannot be copied; the summary counts them as ``rejected``).  ``source_root`` rebases the
     sources onto ``source_root/relative_path`` (SURVEY Q13)."""
     copyplan.check_mode(mode)
+    copyplan.target_folder(target_root)
+    rejected = 0
     if isinstance(manifest, str):
-        manifest, _rejects = read_manifest(spark, manifest)
+        manifest, rejects = read_manifest(spark, manifest)
+        rejected = rejects.count()
     if source_root is not None:
         manifest = rebase(manifest, source_root)
     if "relative_path" not in manifest.columns:
@@ -71,7 +74,11 @@ def copy_manifest(
     # tasks have already filled, or its rename decisions could change.
     p = materialize(plan(spark, manifest, target_root, mode))
     if dry_run:
-        return p, copy_summary(p)
+        return p, _counted(copy_summary(p), rejected)
     copyjob.check_target_root(target_root)
-    results = materialize(copyjob.run_copy(p, mode=mode, verify=verify, pinned=True))  # copy once
-    return results, copy_summary(results)
+    results = copyjob.run_copy(p, mode=mode, verify=verify, pinned=True)
+    return results, _counted(copy_summary(results), rejected)
+
+
+def _counted(summary: DataFrame, rejected: int) -> DataFrame:
+    return summary.withColumn("rejected", F.lit(rejected).cast("bigint")).withColumn("ok", F.col("ok") & (F.col("rejected") == 0))

@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for this workload at scale:
@@ -65,9 +64,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return None
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str | None:
-    """Read ``spark.checkpoint.dir``; only when it is unset and ``allow_local`` (tests, local
-    bench) choose a fresh scratch folder."""
+    """Read ``spark.checkpoint.dir``; only when it is unset and ``allow_local`` (a single-JVM
+    session: tests, local bench) choose a fresh scratch folder."""
     found = checkpoint_dir(spark)
     if found or not allow_local:
         return found
@@ -77,13 +81,15 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local: bool = False) -> str
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage.
+    """Compute ``df`` once, now, and cut its lineage.
 
-    With a checkpoint folder (the cluster's shared ``spark.checkpoint.dir``) the rows are written
-    there, so losing an executor later never re-reads or re-hashes the content.  Without one the
-    rows are persisted (memory and disk); a lost block is then recomputed from lineage, which is
-    slower but still correct.  ``localCheckpoint`` is never used.
+    The rows are written to the folder that ``spark.checkpoint.dir`` names (shared by the driver and all
+    executors), so losing an executor later never re-reads or re-hashes content; the files go when
+    nothing refers to the frame any more (``spark.cleaner.referenceTracking.cleanCheckpoints``).  A cluster
+    session that names no such folder is an error: there is no weaker fallback.  A local session (one
+    process) gets a scratch folder of its own.  ``localCheckpoint`` is never used.
     """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    if not ensure_checkpoint_dir(spark, allow_local=_is_local(spark)):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return df.checkpoint(eager=True)

@@ -14,6 +14,8 @@ Both give one row per path, even when requested extensions overlap.
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +43,14 @@ ENTRY_SCHEMA = T.StructType(
         T.StructField("mtime_ms", T.LongType(), False),
     ]
 )
+UNREADABLE = -1  # size of the entry of a folder that could not be listed
 _CHUNK = 50_000  # rows per Arrow batch out of a listing task
 WALK_BUDGET = 100_000  # entries one task lists before handing the rest of its subtree on
 
 
-def _walker(budget: int):
-    """Walk the batch's directories depth first; after ``budget`` entries the directories not yet
+def _walker(budget: int, root: str):
+    """Walk the batch's directories depth first (an unreadable one gives an entry with size -1, the root
+    must be readable); after ``budget`` entries the directories not yet
     opened are emitted (``is_dir``) for the next round, so one task never walks an unbounded
     subtree.  Rows stream out in chunks."""
     cols = list(ENTRY_SCHEMA.fieldNames())
@@ -60,17 +64,20 @@ def _walker(budget: int):
                 if listed >= budget:
                     buf.append((d, True, 0, 0))
                     continue
-                subdirs = []
-                for full, is_dir, size, mt in fs.list_dir(d):
-                    listed += 1
-                    if is_dir:
-                        subdirs.append(full)
-                    else:
-                        buf.append((full, False, size, mt))
-                    if len(buf) >= _CHUNK:
-                        yield pd.DataFrame(buf, columns=cols)
-                        buf = []
-                pending.extend(reversed(subdirs))
+                try:
+                    for full, is_dir, size, mt in fs.list_dir(d):
+                        listed += 1
+                        if is_dir and listed < budget:
+                            pending.append(full)
+                        else:  # a file, or a folder for the next round
+                            buf.append((full, is_dir, size, mt))
+                        if len(buf) >= _CHUNK:
+                            yield pd.DataFrame(buf, columns=cols)
+                            buf = []
+                except OSError as e:
+                    if d == root:
+                        raise OSError(f"cannot list {d} on this executor: {e}") from e
+                    buf.append((d, False, UNREADABLE, 0))
             yield pd.DataFrame(buf, columns=cols).astype({"is_dir": bool, "file_size": "int64", "mtime_ms": "int64"})
 
     return run
@@ -96,32 +103,40 @@ def list_files(spark: SparkSession, root: str, dirs_per_task: int = 16, max_task
     Rounds of a walk on the executors: the directories still to open are a DataFrame, spread over
     tasks; each task walks its directories until it has listed ``budget`` entries and hands the
     unopened ones to the next round.  Each round's output is pinned (shared checkpoint folder).
-    A small tree is listed in one round; a tree of any size or shape (deep, wide, one huge
-    folder) spreads over the cluster round by round.  Neither the listing nor the directory set
+    A small tree is listed in one round; a deep or wide tree spreads over the cluster round by round.
+    One folder is listed by one task (a directory can only be read in sequence), entry by entry.
+    The root must be readable on the executors; folders below it that are not are counted and
+    reported in a warning.  Neither the listing nor the directory set
     passes through the driver, which only asks whether another round is needed.
     """
     from ..session import materialize
 
-    root = fs.strip_file_scheme(root).rstrip("/") if not fs.is_uri(root) else root.rstrip("/")
+    root = fs.normalize(root)
     cap = max_tasks or max(1, spark.sparkContext.defaultParallelism * 4)
     frontier = spark.createDataFrame([(root,)], "dir string")
     n_dirs = 1
     files = None
     while n_dirs > 0:
         parts = max(1, min(cap, -(-n_dirs // dirs_per_task)))
-        entries = materialize(frontier.repartition(parts).mapInPandas(_walker(budget), ENTRY_SCHEMA))
-        level_files = entries.where(~F.col("is_dir")).select("full_path", "file_size", "mtime_ms")
+        entries = materialize(frontier.repartition(parts).mapInPandas(_walker(budget, root), ENTRY_SCHEMA))
+        unreadable = entries.where(F.col("file_size") == UNREADABLE).count()
+        if unreadable:
+            warnings.warn(f"{unreadable} folders below {root} cannot be read and were left out", stacklevel=2)
+        level_files = entries.where(~F.col("is_dir") & (F.col("file_size") != UNREADABLE)).select("full_path", "file_size", "mtime_ms")
         files = level_files if files is None else files.unionByName(level_files)
         frontier = entries.where(F.col("is_dir")).select(F.col("full_path").alias("dir"))
         n_dirs = 0 if frontier.isEmpty() else frontier.count()
     return files
 
 
-def list_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Names of the files directly in ``folder`` (one listing task; nothing on the driver)."""
-    folder = fs.strip_file_scheme(folder).rstrip("/") if not fs.is_uri(folder) else folder.rstrip("/")
+def list_names(spark: SparkSession, folder: str, folders: bool = False) -> DataFrame:
+    """Names of the files (and, on request, folders) directly in ``folder``: one listing task that streams
+    the entries; nothing on the driver."""
+    folder = fs.normalize(folder)
     entries = spark.createDataFrame([(folder,)], "dir string").mapInPandas(_one_level, ENTRY_SCHEMA)
-    return entries.where(~F.col("is_dir")).select(F.element_at(F.split("full_path", "/"), -1).alias("filename"))
+    if not folders:
+        entries = entries.where(~F.col("is_dir"))
+    return entries.select(F.element_at(F.split("full_path", "/"), -1).alias("filename"))
 
 
 def list_files_binary(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
@@ -141,9 +156,10 @@ def list_files_binary(spark: SparkSession, root: str, glob: str | None = None) -
 
 def manifest_from_listing(listing: DataFrame, root: str, extensions=DEFAULT_EXTENSIONS,
                           case_sensitive: bool = False) -> DataFrame:
-    """S2 + P1: filter by extension and derive the manifest columns.  ``position`` is the
-    listing order (deterministic for a given tree)."""
-    root = fs.strip_file_scheme(root).rstrip("/") if not fs.is_uri(root) else root.rstrip("/")
+    """S2 + P1: filter by extension and derive the manifest columns.  Manifest order is the order of
+    ``full_path``, whatever the listing's partitions, so every position is 0 here and readers that need one
+    row of many break ties by path."""
+    root = fs.normalize(root)
     name = file_name("full_path")
     df = listing
     if extensions is not None:
@@ -161,7 +177,7 @@ def manifest_from_listing(listing: DataFrame, root: str, extensions=DEFAULT_EXTE
         F.col("file_size").cast("bigint").alias("file_size"),
         F.lit(None).cast("string").alias("prefix_hash"),
         F.lit(None).cast("string").alias("full_hash"),
-        F.monotonically_increasing_id().alias("position"),
+        F.lit(0).cast("bigint").alias("position"),
         F.lit(None).cast("string").alias("error_message"),
     )
 
@@ -178,6 +194,7 @@ def scan_manifest(
 
     ``exclude`` (a DataFrame with ``full_path``) drops known paths (S3) with a ``left_anti``.
     """
+    root = fs.normalize(root)
     check_root(root)
     listing = list_files(spark, root) if include_hidden else list_files_binary(spark, root)
     m = manifest_from_listing(listing, root, extensions, case_sensitive)
