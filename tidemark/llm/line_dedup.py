@@ -45,9 +45,9 @@ _BASE = int(_random_odd(501, 1)[0])
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: an entry: a line (owner, number) under a key.  kind 0: the line's own words; 1: half of its words, ``tell``
-#: is the line's hash; 2 and 3: decided in its batch (2 removed, 3 candidate)
+#: is the line's hash; 2 to 4: decided in its batch (2 removed, 3 candidate, 4 a row that occurs again)
 _LINE = np.dtype([("key", "<u8"), ("tell", "<u8"), ("owner", "<u4"), ("line", "<u4"), ("kind", "u1")])
-_SAME, _HALF, _REMOVED, _CANDIDATE = 0, 1, 2, 3
+_SAME, _HALF, _REMOVED, _CANDIDATE, _COPIED = 0, 1, 2, 3, 4
 _ENTRY = "bucket int, owners binary, entries binary"
 _OWNER = ["_id", *KEY]
 
@@ -166,7 +166,7 @@ def _line_entries(min_words: int, edit_words: int, buckets: int):
 def _first_round(e, owners, rank, buckets):
     """Decides what the batch alone decides; deals out one entry per key (two for a shared half)."""
     same, half = e[e["kind"] == _SAME], e[e["kind"] == _HALF]
-    first, later = _earliest(same, rank)
+    first, later, copied = _earliest(same, rank)
     # only the earliest line of equal ones looks for partners
     half = half[np.isin(_place(half, rank), _place(first, rank))]
     half = half[np.lexsort([half["tell"], half["key"]])]
@@ -177,7 +177,7 @@ def _first_round(e, owners, rank, buckets):
     known["kind"] = _CANDIDATE
     known = known[np.unique(_place(known, rank), return_index=True)[1]]
     # first and last of a shared half are different lines, which is all that others need to know
-    out = np.concatenate([first, later, half[head | (last & shared)], known])
+    out = np.concatenate([first, later, copied, half[head | (last & shared)], known])
     home = np.where(out["kind"] <= _HALF, out["key"], owners[out["owner"], 1].astype("<u8")) % _U(buckets)
     yield from _deal(out, owners, home, buckets)
 
@@ -188,14 +188,16 @@ def _place(e: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _earliest(same: np.ndarray, rank: np.ndarray):
-    """(earliest line of each key, later ones): entries of one and the same line are not later."""
+    """(earliest line of each key, later lines, lines met twice at one place): the last are lines of rows
+    that agree in id and text, which are one row to all others."""
     at = _place(same, rank)
     order = np.lexsort([at, same["key"]])
     same, at = same[order], at[order]
     new = _heads(same["key"])
-    later = same[at != at[np.flatnonzero(new)][np.cumsum(new) - 1]] if len(same) else same
-    later["kind"] = _REMOVED
-    return same[new], later
+    head = at[np.flatnonzero(new)][np.cumsum(new) - 1] if len(same) else at
+    later, copied = same[at != head], same[~new & (at == head)]
+    later["kind"], copied["kind"] = _REMOVED, _COPIED
+    return same[new], later, copied
 
 
 def _shared(half: np.ndarray) -> np.ndarray:
@@ -225,12 +227,12 @@ def _second_round(buckets: int):
 
     def run(batches):
         owners, e = _gather(batches, _LINE)
-        later = _earliest(e[e["kind"] == _SAME], _rank(owners))[1]
+        _, later, copied = _earliest(e[e["kind"] == _SAME], _rank(owners))
         half = e[e["kind"] == _HALF]
         half = half[np.lexsort([half["tell"], half["key"]])]
         half = half[_shared(half)]
         half["kind"] = _CANDIDATE
-        found = np.concatenate([later, half, e[e["kind"] > _HALF]])
+        found = np.concatenate([later, copied, half, e[e["kind"] > _HALF]])
         out = np.zeros(len(found), _FOUND)
         for c in _FOUND.names:
             out[c] = found[c]
@@ -240,27 +242,28 @@ def _second_round(buckets: int):
 
 
 _FOUND = np.dtype([("owner", "<u4"), ("line", "<u4"), ("kind", "u1")])
-_DECIDED = "_id long, ka long, kb long, removed binary, candidates binary"
+_DECIDED = "_id long, ka long, kb long, _removed binary, _candidates binary, _copied boolean"
 
 
 def _decided(batches):
-    """Of one partition (all that was found for its rows): one row (owner, removed, candidates) each."""
+    """Of one partition (all that was found for its rows): one row (owner, removed, candidates, copied) each."""
     owners, e = _gather(batches, _FOUND)
     if not len(e):
         return
     owners, row = np.unique(owners, axis=0, return_inverse=True)
     row = row.reshape(-1)[e["owner"]]
     order = np.lexsort([e["line"], row])
-    row, line, gone = row[order], e["line"][order].astype("<u4"), e["kind"][order] == _REMOVED
+    row, line, kind = row[order], e["line"][order].astype("<u4"), e["kind"][order]
     cut = np.flatnonzero(_heads(row))
     ends = np.append(cut[1:], len(row))
     for s in range(0, len(cut), 5_000):
         span = list(zip(cut[s : s + 5_000], ends[s : s + 5_000]))
         own = owners[row[cut[s : s + 5_000]]]
-        lists = [(line[i:j][gone[i:j]].tobytes(), np.unique(line[i:j][~gone[i:j]]).tobytes() or None) for i, j in span]
+        of = lambda i, j, k: np.unique(line[i:j][kind[i:j] == k]).tobytes() or None
         yield pa.RecordBatch.from_arrays(
-            [*(pa.array(own[:, k], pa.int64()) for k in range(3)), pa.array([x for x, _ in lists], pa.binary()), pa.array([y for _, y in lists], pa.binary())],
-            names=["_id", *KEY, "removed", "candidates"],
+            [*(pa.array(own[:, k], pa.int64()) for k in range(3)), pa.array([of(i, j, _REMOVED) for i, j in span], pa.binary()),
+             pa.array([of(i, j, _CANDIDATE) for i, j in span], pa.binary()), pa.array([bool((kind[i:j] == _COPIED).any()) for i, j in span], pa.bool_())],
+            names=["_id", *KEY, "_removed", "_candidates", "_copied"],
         )
 
 
@@ -467,14 +470,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = rows.select(*row, "_text")
     dealt = slim.mapInArrow(_line_entries(min_words, edit_words, buckets), _ENTRY).repartition(n, "bucket")
     found = dealt.mapInArrow(_second_round(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_decided, _DECIDED)
-    marks = staged(found.withColumnsRenamed({"removed": "_removed", "candidates": "_candidates"}), "lines")
-    copies = rows.groupBy(*row).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
-    marked = rows.withColumn("_row", F.monotonically_increasing_id())
-    for side in (marks, copies):
-        marked = _left_join(marked, side, row)
-    marked = staged(marked, "marked")
+    marks = staged(found, "lines")
+    marked = staged(_left_join(rows.withColumn("_row", F.monotonically_increasing_id()), marks, row), "marked")
     # the few rows with candidate lines or copies of the whole row are looked at again
-    again = "_candidates is not null or _copies is not null"
+    again = "_candidates is not null or coalesce(_copied, false)"
     special = marked.where(again)
     wanted = special.where("_candidates is not null").select(*row, "_text", "_candidates")
     claims = staged(wanted.mapInArrow(_variants(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _CLAIM).distinct(), "claims")
@@ -483,7 +482,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # NULL ids were replaced by the greatest number on the way
     checked = claims.join(lines, [*row, "line"]).join(by, ["by_id", "by_ka", "by_kb", "by_line"]).mapInArrow(_verified, "_id long, ka long, kb long, line int")
     near = checked.groupBy(*row).agg(F.collect_set("line").alias("_near"))
-    first = special.where("_copies is not null").groupBy(*row).agg(F.min("_row").alias("_first"))
+    first = special.where("_copied").groupBy(*row).agg(F.min("_row").alias("_first"))
     special = _left_join(_left_join(special, near, row), first, row).withColumn("_later", F.coalesce(F.col("_row") > F.col("_first"), F.lit(False)))
     plain = marked.where(f"not ({again})").withColumns({"_near": F.lit(None).cast("array<int>"), "_later": F.lit(False)})
     kept = [c for c in rows.columns if c.startswith("_c")]
