@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
-from .tables import KEY, DistinctTexts, components, release, shuffle_partitions, staged, with_key
-from .words import mix
+from .tables import KEY, DistinctTexts, components, pack_columns, release, shuffle_partitions, staged, unpack_columns, with_key
+from .words import mix, row_slices, utf8
 
 _U = np.uint64
 _ENTRY = "bucket int, owners binary, entries binary"
@@ -92,7 +92,7 @@ def _deal(owners: np.ndarray, row: np.ndarray, key: np.ndarray, far: np.ndarray,
         part = e[cut[b] : cut[b + 1]].copy()
         own, inverse = np.unique(np.concatenate([part["pivot"], part["text"]]), return_inverse=True)
         part["pivot"], part["text"] = inverse[: len(part)], inverse[len(part) :]
-        out.append((int(b), owners[own].tobytes(), part.tobytes()))
+        out.append((int(b), owners[own].tobytes(), pack_columns(part)))
     if out:
         yield pa.RecordBatch.from_arrays(
             [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())],
@@ -100,14 +100,33 @@ def _deal(owners: np.ndarray, row: np.ndarray, key: np.ndarray, far: np.ndarray,
         )
 
 
+#: texts are shingled in slices of about this many bytes, which bounds a task's memory
+SLICE_BYTES = 4 << 20
+
+
+def _slices(column):
+    """(first row, slice of the column): about ``SLICE_BYTES`` of text each."""
+    off = utf8(column)[1]
+    for lo, hi in row_slices(off, SLICE_BYTES):
+        yield lo, column.slice(lo, hi - lo)
+
+
 def _sketches(size: int, num: int, den: int, buckets: int):
     def run(batches):
         b = bands(num, den)
         for batch in batches:
             owners = _longs(batch, KEY)
-            first, shingles = shingle_sets(batch.column(batch.schema.get_field_index("text")), size)
-            row, key = sketch_keys(first, shingles, b)
-            yield from _deal(owners, row, key, np.ones(len(row), bool), buckets, np.diff(first))
+            rows, keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for lo, part in _slices(batch.column(batch.schema.get_field_index("text"))):
+                first, shingles = shingle_sets(part, size)
+                row, key = sketch_keys(first, shingles, b)
+                rows.append(row + lo)
+                keys.append(key)
+                sizes.append(np.diff(first))
+            row = np.concatenate(rows)
+            yield from _deal(owners, row, np.concatenate(keys), np.ones(len(row), bool), buckets, np.concatenate(sizes))
+            del rows, keys, row
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -163,7 +182,7 @@ def _meet(batches):
     for batch in batches:
         for own, ent in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             k = np.frombuffer(own, "<i8").reshape(-1, 2)
-            e = np.frombuffer(ent, _DTYPE).copy()
+            e = unpack_columns(ent, _DTYPE)
             e["pivot"] += base
             e["text"] += base
             base += len(k)
@@ -238,12 +257,13 @@ def _buckets(members: DataFrame, weight: DataFrame, parts: DataFrame | None, nam
 def _set_rows(size: int):
     def run(batches):
         for batch in batches:
-            first, shingles = shingle_sets(batch.column(batch.schema.get_field_index("text")), size)
-            sets = [shingles[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(k)) for k in KEY), pa.array(np.diff(first), pa.int64()), pa.array(dense_sketches(first, shingles), pa.binary()), pa.array(sets, pa.binary())],
-                names=[*KEY, "n", "sketch", "set"],
-            )
+            for lo, part in _slices(batch.column(batch.schema.get_field_index("text"))):
+                first, shingles = shingle_sets(part, size)
+                sets = [shingles[i:j].tobytes() for i, j in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(batch.schema.get_field_index(k)).slice(lo, len(part)) for k in KEY), pa.array(np.diff(first), pa.int64()), pa.array(dense_sketches(first, shingles), pa.binary()), pa.array(sets, pa.binary())],
+                    names=[*KEY, "n", "sketch", "set"],
+                )
 
     return run
 
@@ -377,7 +397,7 @@ def similar_groups(
     id that links reach from it, its own included)."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    buckets = 4 * n
+    buckets = 2 * n
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = DistinctTexts(rows)
     ids = with_key(rows).select("id", *KEY)
