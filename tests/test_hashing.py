@@ -111,11 +111,8 @@ def test_prefix_reads_are_spread_over_tasks(spark, tmp_path):
         p.write_bytes(os.urandom(10))
         paths.append(str(p))
     m = _manifest(spark, paths).coalesce(1)  # all rows in one partition, as a byte-sized one could be
-    out = hash_files(m, "1k")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # rows to read are spread over the shuffle partitions (the union keeps, besides them, the
-    # partition(s) of rows already hashed, empty here)
+    out = hash_files(m, "1k", reads_per_task=5)
     per_task = out.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
-    assert out.rdd.getNumPartitions() == parts + 1
+    assert out.rdd.getNumPartitions() == 8
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 40
     assert out.where(F.col("prefix_hash").isNull()).count() == 0

@@ -87,13 +87,13 @@ def _unique_and_matched(candidates: DataFrame, distinct_keys: DataFrame, keys: l
 def prune_library_by_size(lib: DataFrame, candidates: DataFrame) -> DataFrame:
     """Library rows whose size occurs among the stage-2 candidates (only these need a
     prefix hash)."""
-    return lib.join(key_set(candidates, ["file_size"]), "file_size", "left_semi")
+    return lib.join(_materialize(key_set(candidates, ["file_size"])), "file_size", "left_semi")
 
 
 def prune_library_by_prefix(lib: DataFrame, candidates: DataFrame) -> DataFrame:
     """Library rows whose (size, prefix hash) occurs among the stage-3 candidates (only
     these need a full hash)."""
-    return lib.join(key_set(candidates, ["file_size", "prefix_hash"]), ["file_size", "prefix_hash"], "left_semi")
+    return lib.join(_materialize(key_set(candidates, ["file_size", "prefix_hash"])), ["file_size", "prefix_hash"], "left_semi")
 
 
 # --- whole cascade (J6) -----------------------------------------------------------------

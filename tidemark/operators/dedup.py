@@ -1,7 +1,8 @@
 """Dedup inside the lake result (W1, W2, W4) and its summary.
 
-Keeper choice is deterministic: the lowest ``(stage_no, full_path, position)`` of a group (the
-reference keeps the first in list order, which depends on the filesystem; see SURVEY Q7).
+Keeper choice is deterministic: rows of a prior run first (negative ``position``), then the lowest
+``(stage_no, full_path, position)`` of a group (the reference keeps the first in list order, which
+depends on the filesystem; see SURVEY Q7).
 
 No window is used: a window over a hot key (the same content a million times) would put the
 whole group in one task.  The kept set is one ``groupBy`` whose ``min(struct(...))`` carries the
@@ -52,9 +53,10 @@ def tiered_key(df: DataFrame) -> DataFrame:
 
 
 def content_key(df: DataFrame) -> DataFrame:
-    """W4 key: the full hash only.  A row without a full hash cannot be proven equal to any other
+    """W4 key: the full hash (and the size, for short digests).  A row without a full hash cannot be proven equal to any other
     and stays its own group."""
-    key = F.coalesce(F.col("full_hash"), F.concat(F.lit("\u0000path:"), F.col("full_path")))
+    digest = F.concat_ws(":", F.col("full_hash"), F.col("file_size").cast("string"))
+    key = F.when(F.col("full_hash").isNotNull(), digest).otherwise(F.concat(F.lit("\u0000path:"), F.col("full_path")))
     return df.withColumn("method", F.lit(METHOD_FULL)).withColumn("_key", key)
 
 
@@ -63,7 +65,7 @@ def _dedup(keyed: DataFrame, cols: list[str], pin: bool = True) -> DedupResult:
     rest = [c for c in cols if c not in order]
     groups = keyed.groupBy("method", "_key").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct(*order, *rest)).alias("_k"),
+        F.min(F.struct((F.col("position") >= 0).alias("_new"), *order, *rest)).alias("_k"),
     )
     if pin:
         # one row per group, pinned: the kept set, the report and the summary read it without
@@ -72,10 +74,10 @@ def _dedup(keyed: DataFrame, cols: list[str], pin: bool = True) -> DedupResult:
 
         groups = materialize(groups)
     kept = groups.select(*[F.col(f"_k.{c}").alias(c) for c in cols], "method")
-    originals = groups.where(F.col("_n") > 1).select("method", "_key", F.col("_k.full_path").alias("original_path"))
+    originals = groups.where(F.col("_n") > 1).select("method", "_key", F.col("_k.full_path").alias("original_path"), F.col("_k.position").alias("_at"))
     report = (
         keyed.join(originals, ["method", "_key"], "inner")
-        .where(F.col("full_path") != F.col("original_path"))
+        .where((F.col("full_path") != F.col("original_path")) | (F.col("position") != F.col("_at")))
         .select(
             F.col("full_path").alias("duplicate_path"),
             "original_path",

@@ -64,4 +64,5 @@ def balance_by_bytes(
     small = df.where(~big).repartition(n_small, F.xxhash64("full_path"))
     if n_large == 0:
         return small
-    return small.unionByName(df.where(big).repartition(n_large))
+    # by range of (size, path): a hash or round-robin start would put several large files in one task
+    return small.unionByName(df.where(big).repartitionByRange(n_large, "file_size", "full_path"))

@@ -107,13 +107,13 @@ def run_analysis(
     (``output``) and, when there are any, the duplicates report (``output + '_duplicates'``).
 
     ``resume_from`` is a prior manifest: its paths are not analysed again and its rows are kept
-    (re-checked against the current library).  Returns the per-stage counts and the per-route
+    (re-checked against the current library); it may be ``output`` itself.  Returns the per-stage counts and the per-route
     counts of the lake (A6: ``route_skip`` already in the prior manifest, ``route_large`` at or
     over ``large_threshold``, ``route_small``), a few numbers.
     """
     from ..functions.paths import DEFAULT_EXTENSIONS
     from ..sources.files import scan_manifest
-    from ..sources.manifest_io import read_manifest, write_duplicates, write_manifest
+    from ..sources.manifest_io import check_hasher, path_exists, read_manifest, write_duplicates, write_manifest
     from ..functions.hashing import LARGE_FILE_BYTES
     from ..operators.metrics import route_summary
     from ..operators.routing import route_files
@@ -127,17 +127,21 @@ def run_analysis(
     lib = _materialize(scan_manifest(spark, library_root, exts, include_hidden=include_hidden))
     prior = None
     if resume_from is not None:
+        if not path_exists(spark, resume_from):
+            raise FileNotFoundError(f"Manifest to resume from does not exist: {resume_from}")
         prior, _ = read_manifest(spark, resume_from, fmt)
+        check_hasher(prior, hasher)
         prior = prior.select(*[c for c in lake.columns if c in prior.columns])
         for c in lake.columns:
             if c not in prior.columns:
                 prior = prior.withColumn(c, F.lit(None).cast(lake.schema[c].dataType))
-        res = resume_merge(lake, lib, prior.select(*lake.columns), dedup=dedup, on_unhashed=on_unhashed,
+        prior = _materialize(prior.select(*lake.columns))  # ``output`` may be the same manifest
+        res = resume_merge(lake, lib, prior, dedup=dedup, on_unhashed=on_unhashed,
                            add_hashes=add)
     else:
         res = analyze(lake, lib, dedup=dedup, on_unhashed=on_unhashed, add_hashes=add, materialize=True)
     missing = res.missing
-    write_manifest(missing, output, fmt)
+    write_manifest(missing, output, fmt, hasher)
     write_duplicates(res.duplicates, output + "_duplicates")
     counts = {r["stage"]: int(r["n_files"]) for r in res.summary.collect()}
     counts["written"] = missing.count()

@@ -291,8 +291,14 @@ SELECT doc_id, stage FROM r WHERE rn = 1""",
     "resume_anti": f"""{LL},
   processed AS (SELECT full_path FROM lake WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = lake.doc_id))
 SELECT doc_id FROM lake WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.full_path = lake.full_path)""",
-    "resume_merge": f"""{MISSING_PLAIN}, {_content('missing')}
-SELECT doc_id, stage FROM r WHERE rn = 1""",
+    "resume_merge": f"""{MISSING_PLAIN},
+  prior AS (
+    SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY full_hash ORDER BY stage_no, full_path, doc_id) AS rn
+      FROM missing WHERE doc_id IN (SELECT doc_id FROM labels)) WHERE rn = 1),
+  ranked AS (
+    SELECT m.doc_id, m.stage, row_number() OVER (PARTITION BY full_hash ORDER BY p.doc_id IS NULL, stage_no, full_path, m.doc_id) AS rn
+    FROM missing m LEFT JOIN prior p ON p.doc_id = m.doc_id)
+SELECT doc_id, stage FROM ranked WHERE rn = 1""",
     "manifest_rejects": f"""{MANIFEST_TEXT}
 SELECT relative_path, file_size, reason FROM tf WHERE reason IS NOT NULL""",
     "manifest_parsed": f"""{MANIFEST_TEXT}

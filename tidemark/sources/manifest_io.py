@@ -8,11 +8,14 @@ form is the state table: it also carries both hashes, so a resumed run never re-
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hashing import get_hasher
 from ..functions.paths import file_name, lower_suffix
 
 # The CSV manifest layout.
@@ -38,26 +41,72 @@ def manifest_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def write_manifest(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:
-    """S5 + S10: write the manifest; an existing output is replaced (``mode='overwrite'``), and an
-    empty result still gets its header / schema (SURVEY Q5)."""
+# Names may hold blanks, quotes, commas and line breaks; all of them survive a round trip.
+_CSV_OPTIONS = {
+    "header": "true", "escape": '"', "encoding": "UTF-8", "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
+
+
+def write_manifest(df: DataFrame, path: str, fmt: str = "csv", hasher=None) -> None:
+    """S5 + S10: write the manifest; an existing output is replaced, and an empty result still gets its
+    header / schema (SURVEY Q5).
+
+    Rows are in the order of their stage (where it is known), then path.  The new manifest is written
+    aside and takes the old one's place when it is complete, so ``df`` may be derived from the manifest
+    that it replaces, and a failed run leaves the old one.  The Parquet form names the ``hasher`` of its
+    digests."""
+    if fmt not in ("csv", "parquet"):
+        raise ValueError(f"Unknown manifest format: {fmt}")
+    order = [c for c in ("stage_no", "full_path", "relative_path") if c in df.columns]
+    rows = df.orderBy(*order)
+    aside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
     if fmt == "csv":
-        (
-            manifest_rows(df).write.mode(mode)
-            .option("header", True).option("escape", '"').option("encoding", "UTF-8")
-            .csv(path)
-        )
-    elif fmt == "parquet":
-        df.withColumn("processed_at", F.current_timestamp()).write.mode(mode).parquet(path)
+        manifest_rows(rows).write.options(**_CSV_OPTIONS).csv(aside)
     else:
-        raise ValueError(f"Unknown manifest format: {fmt}")
+        name = get_hasher(hasher).name
+        rows.withColumns({"processed_at": F.current_timestamp(), "hasher": F.lit(name)}).write.parquet(aside)
+    _swap(df.sparkSession, aside, path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """``new`` takes the place of ``path``."""
+    fs, target = _hadoop(spark, path)
+    old = _hadoop(spark, f"{new}.old")[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} out of the way")
+    if not fs.rename(_hadoop(spark, new)[1], target):
+        raise OSError(f"cannot move {new} to {path}")
+    if had:
+        fs.delete(old, True)
+
+
+def check_hasher(prior: DataFrame, hasher) -> None:
+    """A prior manifest's digests can only be compared with digests of the same kind."""
+    if "hasher" not in prior.columns:
+        return
+    name = get_hasher(hasher).name
+    other = prior.select("hasher").where((F.col("hasher") != name) & (F.col("prefix_hash").isNotNull() | F.col("full_hash").isNotNull())).first()
+    if other is not None:
+        raise ValueError(f"the prior manifest holds {other['hasher']} digests, this run uses {name}")
 
 
 def write_duplicates(report: DataFrame, path: str) -> bool:
     """Write the duplicates report only when it has rows; returns whether it was written."""
     if report.isEmpty():
         return False
-    report.select(*REPORT_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    report.select(*REPORT_COLUMNS).write.mode("overwrite").options(**_CSV_OPTIONS).csv(path)
     return True
 
 
@@ -66,13 +115,14 @@ def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def read_manifest_text(spark: SparkSession, path: str) -> DataFrame:
-    """All-string read of a CSV manifest with an explicit ``position`` (file order within the
-    deterministic input splits).  A missing path gives no rows, as the reference does."""
+    """All-string read of a CSV manifest.  Order is that of the paths (as written), not of the input
+    splits: ``position`` is 0 for all rows and ties are broken by path.  A missing path gives no rows, as
+    the reference does."""
     try:
         raw = (
             spark.read.schema(CSV_SCHEMA)
-            .option("header", True).option("escape", '"').option("mode", "PERMISSIVE")
-            .option("nullValue", _NULL_SENTINEL).option("encoding", "UTF-8")
+            .options(**_CSV_OPTIONS).option("mode", "PERMISSIVE").option("multiLine", True)
+            .option("nullValue", _NULL_SENTINEL)
             .csv(path)
         )
         raw.schema  # noqa: B018 - resolve now so a missing path raises here
@@ -81,7 +131,7 @@ def read_manifest_text(spark: SparkSession, path: str) -> DataFrame:
             raw = _empty(spark, CSV_SCHEMA)
         else:
             raise
-    return raw.withColumn("position", F.monotonically_increasing_id())
+    return raw.withColumn("position", F.lit(0).cast("bigint"))
 
 
 def _flag(text: DataFrame) -> DataFrame:

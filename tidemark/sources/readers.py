@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashing import LARGE_FILE_BYTES, PREFIX_BYTES, READ_CHUNK_BYTES, get_hasher
 from ..operators.routing import balance_by_bytes
+from ..session import materialize
 from . import fs
 
 STAGES = {"1k": "prefix_hash", "full": "full_hash"}
@@ -42,14 +43,12 @@ def digest_full(path: str, hasher, chunk: int = READ_CHUNK_BYTES) -> str:
     return h.hexdigest()
 
 
-def _reader(stage: str, hasher_name: str, path_col: str, prefix_bytes: int, io_threads: int):
+def _reader(stage: str, hasher, path_col: str, prefix_bytes: int, io_threads: int):
     target = STAGES[stage]
 
     def run(batches):
         from concurrent.futures import ThreadPoolExecutor
 
-        hasher = get_hasher(hasher_name)
-
         def one(path):
             try:
                 if stage == "1k":
@@ -87,25 +86,26 @@ def hash_files(
     prefix_bytes: int = PREFIX_BYTES,
     large_threshold: int = LARGE_FILE_BYTES,
     io_threads: int = 8,
+    reads_per_task: int = 2_000,
 ) -> DataFrame:
     """P5: fill ``prefix_hash`` (``stage='1k'``) or ``full_hash`` (``stage='full'``) by reading
     the files; returns the same columns plus ``error_message``.
 
-    The rows to read are spread first: prefix reads (tiny, latency bound) by a hash of the path
-    over the session's shuffle partitions; full reads by bytes (:func:`balance_by_bytes`).  The
+    The rows to read are spread first: prefix reads (tiny, latency bound) by a hash of the path, about
+    ``reads_per_task`` of them a task; full reads by bytes (:func:`balance_by_bytes`).  The
     incoming partitioning is sized by manifest bytes (about 300 B per row), which would hand one
     task far too many files."""
     if stage not in STAGES:
         raise ValueError(f"Unknown stage: {stage}")
     h = get_hasher(hasher)
     out = df if "error_message" in df.columns else df.withColumn("error_message", F.lit(None).cast("string"))
+    if balance:
+        # pinned: counting, and splitting into rows to read and rows already known, would evaluate the
+        # joins that chose the candidates again and again
+        out = materialize(out)
     if stage == "1k" and balance:
-        todo = out.where(F.col("prefix_hash").isNull())
-        # a fixed count (the session's shuffle partitions, sized to the data on a cluster): AQE
-        # does not coalesce it by bytes, and no counting job is needed
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        todo = todo.repartition(max(1, parts), F.xxhash64(path_col))
-        out = todo.unionByName(out.where(F.col("prefix_hash").isNotNull()))
+        # the reader passes over known hashes, so all rows go the same way
+        out = out.repartition(max(1, -(-out.count() // reads_per_task)), F.xxhash64(path_col))
     if stage == "full" and balance:
         todo = out.where(F.col("full_hash").isNull())
         # O3 re-aimed: inside each byte-balanced task the largest files go first, so the task's
@@ -114,7 +114,7 @@ def hash_files(
             F.col("file_size").desc()
         )
         out = todo.unionByName(out.where(F.col("full_hash").isNotNull()))
-    return out.mapInPandas(_reader(stage, h.name, path_col, prefix_bytes, io_threads), out.schema)
+    return out.mapInPandas(_reader(stage, h, path_col, prefix_bytes, io_threads), out.schema)
 
 
 def file_hasher(hasher=None, **kw):

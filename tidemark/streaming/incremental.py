@@ -4,7 +4,8 @@ The reference's resume drops already-listed paths and then overwrites its manife
 new rows (SURVEY Q4).  Here the prior rows are kept and merged, and, because the library may have
 changed between runs, prior verdicts are re-checked against the current library
 (``recheck_prior=True``): the prior state carries both hashes, so the re-check joins digests
-and reads no bytes.
+and reads no bytes.  Prior rows have the position ``PRIOR_POSITION``, before every new row: an item that
+was kept once stays the keeper of its content, since it may have been imported already.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from ..plans.analyze import AnalyzeResult, analyze, finish
 from ..session import materialize as _materialize
 
 
+PRIOR_POSITION = -1
+
+
 def resume(lake: DataFrame, prior: DataFrame) -> DataFrame:
     """Lake rows whose path is not in the prior manifest (``left_anti`` on ``full_path``)."""
     seen = prior.select("full_path").where(F.col("full_path").isNotNull()).distinct()
@@ -40,7 +44,7 @@ def resume_merge(
     rows that now need a hash they lack are read."""
     cols = lake.columns
     new = resume(lake, prior)
-    prior_rows = prior.select(*cols)
+    prior_rows = prior.select(*cols).withColumn("position", F.lit(PRIOR_POSITION).cast("bigint"))
     pin = _materialize if add_hashes is not None else None
     if recheck_prior:
         rows = new.unionByName(prior_rows)
@@ -49,7 +53,9 @@ def resume_merge(
     else:
         flagged_new = (cmp.classify(new, lib, on_unhashed) if add_hashes is None
                        else cmp.classify_staged(new, lib, add_hashes, on_unhashed, materialize=pin))
-        flagged = flagged_new.unionByName(prior.select(*cols, "stage", "stage_no", "processing_status"))
+        flagged = flagged_new.unionByName(
+            prior.select(*cols, "stage", "stage_no", "processing_status").withColumn("position", F.lit(PRIOR_POSITION).cast("bigint"))
+        )
     # pinned: the summary, the dedup keepers and the report all read it
     return finish(_materialize(flagged), dedup, add_hashes, materialize=True)
 

@@ -14,23 +14,24 @@ checkpoint which files it has seen, so each file is handled once.  Every micro-b
 3. runs the same cascade against the state table (items kept by earlier batches), so a new file
    whose content was already recorded is a duplicate, not a new item;
 4. dedups inside the batch by content (hashing only what can collide);
-5. writes the kept rows to the state table under ``batch_id=<n>`` with dynamic partition
-   overwrite, so a batch replayed after a failure replaces its own partition: idempotent.
+5. writes the kept rows to the state table as its partition ``batch_id=<n>``, so a batch replayed
+   after a failure replaces its own partition (also with no rows): idempotent.
 
 Spark's file index skips zero-byte files and names starting with ``.`` or ``_`` (SURVEY Q1).
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import get_hasher
 from ..functions.paths import DEFAULT_EXTENSIONS
 from ..operators import compare as cmp
 from ..operators import dedup as dd
 from ..session import materialize
 from ..sources.files import manifest_from_listing
+from ..sources.manifest_io import check_hasher, path_exists
 from ..sources.readers import file_hasher
 from ..sources import fs
 
@@ -39,17 +40,17 @@ from ..sources import fs
 STATE_DDL = (
     "full_path string, relative_path string, filename string, file_extension string, file_size bigint, "
     "prefix_hash string, full_hash string, position bigint, error_message string, stage string, "
-    "stage_no int, processing_status string, batch_id bigint"
+    "stage_no int, processing_status string, hasher string, batch_id bigint"
 )
 CACHE_DDL = "full_path string, file_size bigint, prefix_hash string, full_hash string, batch_id bigint"
 
 
 def read_state(spark: SparkSession, state_path: str, ddl: str = STATE_DDL) -> DataFrame:
-    """The items recorded so far (no rows when nothing was recorded yet)."""
-    try:
-        return spark.read.schema(ddl).parquet(state_path)
-    except AnalysisException:
+    """The items recorded so far (no rows when nothing was recorded yet; any other trouble with the
+    state is an error, never an empty state)."""
+    if not path_exists(spark, state_path):
         return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(state_path)
 
 
 def _read_state(spark: SparkSession, state_path: str, exclude_batch: int, ddl: str = STATE_DDL) -> DataFrame:
@@ -61,26 +62,34 @@ def library_cache_path(state_path: str) -> str:
     return state_path.rstrip("/") + "_library_hashes"
 
 
-def _with_cached_hashes(spark: SparkSession, library: DataFrame, state_path: str, batch_id: int) -> DataFrame:
-    """Fill library digests known from earlier batches (keyed by path and size: library files are
-    taken as immutable while the stream runs), so no batch re-reads a library file."""
-    cache = _read_state(spark, library_cache_path(state_path), batch_id, CACHE_DDL)
-    known = cache.groupBy("full_path", "file_size").agg(
-        F.max("prefix_hash").alias("_p"), F.max("full_hash").alias("_f")
-    )
-    out = library.join(known, ["full_path", "file_size"], "left")
+def state_cache_path(state_path: str) -> str:
+    return state_path.rstrip("/") + "_state_hashes"
+
+
+def _with_cached_hashes(spark: SparkSession, items: DataFrame, cache_path: str, sizes: DataFrame, batch_id: int) -> DataFrame:
+    """Fill digests known from earlier batches (keyed by path and size: files are taken as immutable while
+    the stream runs), so no batch reads a file again.  Only items of a size that the batch has can be
+    compared, so only their cache rows are looked at."""
+    known = _read_state(spark, cache_path, batch_id, CACHE_DDL).join(sizes, "file_size", "left_semi")
+    known = known.groupBy("full_path", "file_size").agg(F.max("prefix_hash").alias("_p"), F.max("full_hash").alias("_f"))
+    out = items.join(known, ["full_path", "file_size"], "left")
     return out.withColumn("prefix_hash", F.coalesce("prefix_hash", "_p")).withColumn(
         "full_hash", F.coalesce("full_hash", "_f")
-    ).select(*library.columns)
+    ).select(*items.columns)
 
 
-def _write_partition(df: DataFrame, path: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+def _write_digests(parts: list, path: str, batch_id: int) -> None:
+    digests = None
+    for part in parts:
+        rows = part.select("full_path", "file_size", "prefix_hash", "full_hash")
+        digests = rows if digests is None else digests.unionByName(rows)
+    if digests is not None:
+        _write_partition(digests.where(F.col("prefix_hash").isNotNull() | F.col("full_hash").isNotNull()), path, batch_id)
+
+
+def _write_partition(df: DataFrame, path: str, batch_id: int) -> None:
+    """Replace exactly the partition of this batch, with no rows too."""
+    df.drop("batch_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
 def process_batch(spark: SparkSession, listing: DataFrame, batch_id: int, lake_root: str, library: DataFrame,
@@ -91,35 +100,28 @@ def process_batch(spark: SparkSession, listing: DataFrame, batch_id: int, lake_r
     m = m.withColumn("position", F.lit(batch_id).cast("bigint") * F.lit(1 << 40) + F.col("position"))
     m = materialize(m)
     cols = m.columns
-    lib = _with_cached_hashes(spark, library, state_path, batch_id)
+    sizes = materialize(m.select("file_size").distinct())
+    lib = _with_cached_hashes(spark, library, library_cache_path(state_path), sizes, batch_id)
     hashed_lib: list = []
     flagged = cmp.classify_staged(m, lib, add, materialize=materialize, hashed_library=hashed_lib)
     missing = cmp.missing_only(flagged)
     prior = _read_state(spark, state_path, batch_id)
+    check_hasher(prior, hasher)
+    hashed_prior: list = []
     if not prior.isEmpty():
         # items already recorded act as a library: a match in content is a duplicate
-        prior_lib = prior.select(*[c for c in cols])
-        again = cmp.classify_staged(missing.select(*cols), prior_lib, add, materialize=materialize)
+        prior_lib = _with_cached_hashes(spark, prior.select(*cols), state_cache_path(state_path), sizes, batch_id)
+        again = cmp.classify_staged(missing.select(*cols), prior_lib, add, materialize=materialize, hashed_library=hashed_prior)
         missing = missing.join(
             again.where(F.col("stage") == "duplicate").select("full_path"), "full_path", "left_anti"
         )
     missing = dd.complete_hashes(missing, add)
     kept = dd.dedup_content(missing).kept
-    out = kept.select(*cols, "stage", "stage_no", "processing_status").withColumn(
-        "batch_id", F.lit(batch_id).cast("bigint")
-    )
-    _write_partition(out, state_path)
-    # library digests computed in this batch, for the next ones
-    digests = None
-    for part in hashed_lib:
-        rows = part.select("full_path", "file_size", "prefix_hash", "full_hash")
-        digests = rows if digests is None else digests.unionByName(rows)
-    if digests is not None:
-        _write_partition(
-            digests.where(F.col("prefix_hash").isNotNull() | F.col("full_hash").isNotNull())
-            .withColumn("batch_id", F.lit(batch_id).cast("bigint")),
-            library_cache_path(state_path),
-        )
+    out = kept.select(*cols, "stage", "stage_no", "processing_status").withColumn("hasher", F.lit(get_hasher(hasher).name))
+    _write_partition(out, state_path, batch_id)
+    # digests computed in this batch, for the next ones
+    _write_digests(hashed_lib, library_cache_path(state_path), batch_id)
+    _write_digests(hashed_prior, state_cache_path(state_path), batch_id)
 
 
 def start_ingest(
