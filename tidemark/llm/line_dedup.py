@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import KEY, pack_columns, shuffle_partitions, staged, unpack_columns, with_key
-from .words import _random_odd, mix, row_slices, split_words, utf8
+from .words import _random_odd, give_back, mix, row_slices, split_words, utf8
 
 MIN_WORDS = 5
 EDIT_WORDS = 8
@@ -158,7 +158,7 @@ def _line_entries(min_words: int, edit_words: int, buckets: int):
             del parts
             yield from _first_round(e, owners, rank, buckets)
             del e
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 

@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
-from .tables import KEY, DistinctTexts, components, pack_columns, release, shuffle_partitions, staged, unpack_columns, with_key
-from .words import mix, row_slices, utf8
+from .tables import KEY, Bucketed, DistinctTexts, components, pack_columns, release, shuffle_partitions, staged, unpack_columns, with_key
+from .words import give_back, mix, row_slices, utf8
 
 _U = np.uint64
 _ENTRY = "bucket int, owners binary, entries binary"
@@ -126,7 +126,7 @@ def _sketches(size: int, num: int, den: int, buckets: int):
             row = np.concatenate(rows)
             yield from _deal(owners, row, np.concatenate(keys), np.ones(len(row), bool), buckets, np.concatenate(sizes))
             del rows, keys, row
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
@@ -223,6 +223,8 @@ def _meet(batches):
             ],
             names=["kind", "key", "xa", "xb", "pa", "pb", "far"],
         )
+    del names, e, rest, kind, key, x, p, far
+    give_back()
 
 
 def _members(met: DataFrame) -> DataFrame:
@@ -264,6 +266,7 @@ def _set_rows(size: int):
                     [*(batch.column(batch.schema.get_field_index(k)).slice(lo, len(part)) for k in KEY), pa.array(np.diff(first), pa.int64()), pa.array(dense_sketches(first, shingles), pa.binary()), pa.array(sets, pa.binary())],
                     names=[*KEY, "n", "sketch", "set"],
                 )
+            give_back()
 
     return run
 
@@ -335,6 +338,7 @@ def _verify(num: int, den: int):
                 far.append(not linked)
                 difference.append(d.tobytes() if large else None)
                 leasts.append(least)
+            give_back()
             yield pa.RecordBatch.from_arrays(
                 [*(col(c) for c in (*_PAIR, "large")), pa.array(far, pa.bool_()), pa.array(difference, pa.binary()), pa.array(leasts, pa.int32())],
                 names=[*_PAIR, "large", "far", "difference", "least"],
@@ -408,7 +412,8 @@ def similar_groups(
     members = staged(_members(met), "members")
     weight = staged(_centrality(members), "weight", small=True)
     ends = weight.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"))
-    sets = staged(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
+    kept = Bucketed(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
+    sets = kept.table
     texts.drop()
     links = parts = None
     while True:
@@ -432,6 +437,7 @@ def similar_groups(
         members = _members(staged(level, "level"))
     # the least id of each component
     least = ids.groupBy(*KEY).agg(F.min("id").alias("least"))
+    kept.drop()
     member = _parts(links).join(least, KEY)
     of_part = member.groupBy("part").agg(F.min("least").alias("component"))
     grouped = member.join(of_part, "part").select(*KEY, "component")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import KEY, DistinctTexts, pack_columns, shuffle_partitions, staged, unpack_columns, with_key
-from .words import cover_spans, inside, row_slices, split_words, utf8, window_hash
+from .words import cover_spans, give_back, inside, row_slices, split_words, utf8, window_hash
 
 #: a perfect difference set: every residue modulo 21 is a difference of two members
 PERIOD = 21
@@ -82,6 +82,8 @@ def _anchor_batches(width: int):
                 e["pos"] = pos[at]
                 parts.append(e)
             yield from _deal(np.concatenate(parts) if parts else np.zeros(0, _ANCHOR), keys, buckets, ("h",))
+            del parts
+            give_back()
 
     return run
 
@@ -118,6 +120,8 @@ def _window_batches(width: int):
                 e["known"] = copies[e["owner"]] > 1
                 parts.append(e)
             yield from _deal(np.concatenate(parts) if parts else np.zeros(0, _WINDOW), keys, buckets, ("h", "g"))
+            del parts
+            give_back()
 
     return run
 

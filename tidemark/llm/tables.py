@@ -95,25 +95,16 @@ def _all_distinct(batches):
         yield batch.take(pa.array(keep, pa.int64()))
 
 
-class DistinctTexts:
-    """The distinct texts of a column, as a table bucketed by their key.
-
-    Copies (one text may be a third of all rows) are dropped per task before the one shuffle of
-    the texts.  The table is bucketed by ``ka, kb``: joining it with per-text results moves the
-    results and not the texts, however often a method comes back to them.
-    """
-
-    def __init__(self, docs: DataFrame, text_col: str = "text"):
-        self.spark = spark = docs.sparkSession
-        self.name = f"llm_texts_{uuid.uuid4().hex}"
-        self.path = scratch_path(spark, "texts")
-        n = shuffle_partitions(spark)
-        texts = with_key(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-        texts = texts.select(*KEY, "text")
-        once = texts.mapInArrow(_first_of_each, texts.schema).repartition(n, *KEY).mapInArrow(_all_distinct, texts.schema)
-        once.write.bucketBy(n, *KEY).option("path", self.path).saveAsTable(self.name)
-        del once, texts
-        release(spark)
+class Bucketed:
+    """A scratch table bucketed by ``KEY``: joining it with per-text results moves the results and not
+    its rows, however often a method comes back to it."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark = df.sparkSession
+        self.name = f"llm_{name}_{uuid.uuid4().hex}"
+        self.path = scratch_path(self.spark, name)
+        df.write.bucketBy(shuffle_partitions(self.spark), *KEY).option("path", self.path).saveAsTable(self.name)
+        release(self.spark)
 
     @property
     def table(self) -> DataFrame:
@@ -127,6 +118,16 @@ class DistinctTexts:
         release(self.spark)
 
 
+class DistinctTexts(Bucketed):
+    """The distinct texts of a column.  Copies (one text may be a third of all rows) are dropped per task
+    before the one shuffle of the texts."""
+
+    def __init__(self, docs: DataFrame, text_col: str = "text"):
+        texts = with_key(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).select(*KEY, "text")
+        once = texts.mapInArrow(_first_of_each, texts.schema).repartition(shuffle_partitions(docs.sparkSession), *KEY)
+        super().__init__(once.mapInArrow(_all_distinct, texts.schema), "texts")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node of ``edges(u, v)`` (longs): root is the least node reachable.
 

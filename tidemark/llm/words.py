@@ -12,6 +12,7 @@ executor.  A window's hash is a multilinear hash of its word hashes, in one or t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,19 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task keeps none of the last."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
 def _random_odd(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, n, dtype=np.uint64) * _U(2) + _U(1)
 
