@@ -282,6 +282,17 @@ def _order_struct(carry: tuple[str, ...]):
     return F.struct(*fields)
 
 
+def members_by_size(wanted: DataFrame, lib: DataFrame) -> DataFrame:
+    """J7, all members: every library row whose size is wanted, once each (no pairs)."""
+    return lib.join(_materialize(key_set(wanted, ["file_size"])), "file_size", "left_semi")
+
+
+def members_by_prefix(wanted: DataFrame, lib: DataFrame) -> DataFrame:
+    """J8, all members: every library row whose (size, prefix hash) is wanted, once each."""
+    keys = ["file_size", "prefix_hash"]
+    return lib.join(_materialize(key_set(wanted, keys)), keys, "left_semi")
+
+
 def lookup_by_size(lake: DataFrame, lib: DataFrame, carry: tuple[str, ...] = ("full_path",)) -> DataFrame:
     """For each lake row, how many library files share its size and the first of them
     (lowest position).  Pairs are never materialised: the library is reduced to one row per size

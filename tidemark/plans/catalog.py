@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables.
 
-Sides: the lake is the odd ``doc_id`` rows of ``documents``, the library the even ones (every
-row takes part; the parity only assigns a side).  Each row is one item: its bytes are the UTF-8
+Sides: where a query compares two sides, the lake is the odd ``doc_id`` rows of ``documents`` and the
+library the even ones (every row takes part; the parity only assigns a side); other queries take all
+documents as lake items.  Each row is one item: its bytes are the UTF-8
 text, its path ``<root>/<source>/<doc_id>/doc_<doc_id % 100>.txt`` so that file names collide
 and the copy plan meets conflicts.  Every query runs over the whole tables.
 """
@@ -18,6 +19,7 @@ from ..operators import dedup as dd
 from ..operators import metrics as mt
 from ..operators.routing import route_files
 from ..sources.manifest_io import manifest_counts, parse_manifest
+from ..sources.manifest_io import processed_paths as processed_paths_of
 from ..sources.tables import table_manifest
 from ..streaming.incremental import resume
 from ..session import materialize
@@ -92,10 +94,16 @@ def _null_some_hashes(m: DataFrame) -> DataFrame:
     ).withColumn("full_hash", F.when(F.col("doc_id") % 11 != 0, F.col("full_hash")))
 
 
-def processed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def every_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as lake items: for queries that need no second side."""
+    return _doc_manifest(documents(spark, sf_dir), LAKE_ROOT)
+
+
+def processed_paths(spark: SparkSession, sf_dir: str, lake: DataFrame | None = None) -> DataFrame:
     """Stand-in for a prior manifest: lake paths of the documents that ``labels`` covers."""
     labels = _read(spark, sf_dir, "labels").select("doc_id")
-    lake, _ = lake_library(spark, sf_dir)
+    if lake is None:
+        lake, _ = lake_library(spark, sf_dir)
     return lake.join(labels, "doc_id", "left_semi")
 
 
@@ -149,8 +157,8 @@ def q_extension_filter_exact(spark, sf_dir):
 
 
 def q_route_counts(spark, sf_dir):
-    lake, _ = lake_library(spark, sf_dir)
-    routed = route_files(lake, processed_paths(spark, sf_dir), ROUTE_THRESHOLD)
+    lake = every_item(spark, sf_dir)
+    routed = route_files(lake, processed_paths(spark, sf_dir, lake), ROUTE_THRESHOLD)
     return mt.route_summary(routed)
 
 
@@ -158,23 +166,19 @@ def q_route_counts(spark, sf_dir):
 
 
 def q_unique_sizes(spark, sf_dir):
-    _, lib = lake_library(spark, sf_dir)
-    return mt.unique_sizes(lib)
+    return mt.unique_sizes(every_item(spark, sf_dir))
 
 
 def q_size_groups(spark, sf_dir):
-    _, lib = lake_library(spark, sf_dir)
-    return mt.size_groups(lib)
+    return mt.size_groups(every_item(spark, sf_dir))
 
 
 def q_prefix_groups(spark, sf_dir):
-    _, lib = lake_library(spark, sf_dir)
-    return mt.prefix_groups(lib)
+    return mt.prefix_groups(every_item(spark, sf_dir))
 
 
 def q_full_groups(spark, sf_dir):
-    _, lib = lake_library(spark, sf_dir)
-    return mt.full_groups(lib, carry=("doc_id",))
+    return mt.full_groups(every_item(spark, sf_dir), carry=("doc_id",))
 
 
 # --- J1-J5 ------------------------------------------------------------------------------
@@ -276,6 +280,27 @@ def q_lookup_full(spark, sf_dir):
     return cmp.lookup_by_full_hash(lake, lib, carry=("doc_id",)).select("doc_id", "library_doc_id")
 
 
+def q_lookup_size_members(spark, sf_dir):
+    lake, lib = lake_library(spark, sf_dir)
+    return cmp.members_by_size(lake, lib).select("doc_id", "file_size")
+
+
+def q_lookup_prefix_members(spark, sf_dir):
+    lake, lib = lake_library(spark, sf_dir)
+    return cmp.members_by_prefix(lake, lib).select("doc_id", "file_size", "prefix_hash")
+
+
+def q_content_hashes_md5(spark, sf_dir):
+    """The same manifest with another digest."""
+    rows = table_manifest(documents(spark, sf_dir), "text", LAKE_ROOT, doc_relative_path(), "doc_id", keep=("doc_id",), hasher="md5")
+    return rows.select("doc_id", "prefix_hash", "full_hash")
+
+
+def q_processed_set(spark, sf_dir):
+    """The distinct paths of a manifest."""
+    return processed_paths_of(_manifest_text(spark, sf_dir))
+
+
 def q_matched_in_library(spark, sf_dir):
     lake, lib = lake_plus_altered(spark, sf_dir)
     flagged = cmp.classify(lake, lib)
@@ -332,8 +357,8 @@ def q_duplicates_report_content(spark, sf_dir):
 
 
 def q_resume_anti(spark, sf_dir):
-    lake, _ = lake_library(spark, sf_dir)
-    return resume(lake, processed_paths(spark, sf_dir)).select("doc_id")
+    lake = every_item(spark, sf_dir)
+    return resume(lake, processed_paths(spark, sf_dir, lake)).select("doc_id")
 
 
 def q_resume_merge(spark, sf_dir):
@@ -351,7 +376,7 @@ def q_resume_merge(spark, sf_dir):
 def _manifest_text(spark, sf_dir):
     """Manifest rows as text, as a CSV read with an all-string schema gives them: a size that is
     not a number when doc_id % 13 = 0, a short row (no file name and beyond) when % 17 = 0."""
-    lake, _ = lake_library(spark, sf_dir)
+    lake = every_item(spark, sf_dir)
     short = F.col("doc_id") % 17 == 0
     return lake.select(
         "relative_path",
@@ -380,8 +405,10 @@ def q_manifest_count(spark, sf_dir):
 # --- C1-C7, J11, J12, W3, A8, A9 --------------------------------------------------------
 
 
-def _plan(spark, sf_dir, mode):
-    lake, _ = lake_library(spark, sf_dir)
+def _plan(spark, sf_dir, mode, ties=False):
+    lake = every_item(spark, sf_dir)
+    if ties:  # every row at the same position: paths decide who is first
+        lake = lake.withColumn("position", F.lit(0).cast("bigint"))
     gone = _read(spark, sf_dir, "labels").where(F.col("toxic") == 1).select("doc_id")
     sources = lake.join(gone, "doc_id", "left_anti").select("full_path")
     existing = _read(spark, sf_dir, "benchmark").select(
@@ -405,6 +432,14 @@ def q_copy_plan_rename(spark, sf_dir):
     return _plan(spark, sf_dir, "rename").select(*_PLAN_OUT)
 
 
+def q_copy_plan_rename_ties(spark, sf_dir):
+    return _plan(spark, sf_dir, "rename", ties=True).select(*_PLAN_OUT)
+
+
+def q_copy_plan_overwrite_ties(spark, sf_dir):
+    return _plan(spark, sf_dir, "overwrite", ties=True).select(*_PLAN_OUT)
+
+
 def q_copy_summary(spark, sf_dir):
     return mt.copy_summary(_plan(spark, sf_dir, "rename"))
 
@@ -520,7 +555,13 @@ QUERIES = {
     "copy_plan_skip": q_copy_plan_skip,
     "copy_plan_overwrite": q_copy_plan_overwrite,
     "copy_plan_rename": q_copy_plan_rename,
+    "copy_plan_rename_ties": q_copy_plan_rename_ties,
+    "copy_plan_overwrite_ties": q_copy_plan_overwrite_ties,
     "copy_summary": q_copy_summary,
+    "lookup_size_members": q_lookup_size_members,
+    "lookup_prefix_members": q_lookup_prefix_members,
+    "content_hashes_md5": q_content_hashes_md5,
+    "processed_set": q_processed_set,
     "analyze_documents": q_analyze_documents,
     "analyze_documents_tiered": q_analyze_documents_tiered,
     "analyze_pages": q_analyze_pages,

@@ -32,6 +32,10 @@ LL = f"""WITH mk AS ({_mk('documents')}),
   lake AS (SELECT *, '/lake/' || relative_path AS full_path FROM mk WHERE doc_id % 2 = 1),
   lib AS (SELECT *, '/library/' || relative_path AS full_path FROM mk WHERE doc_id % 2 = 0)"""
 
+# every document is a lake item
+EVERY = f"""WITH mk AS ({_mk('documents')}),
+  lake AS (SELECT *, '/lake/' || relative_path AS full_path FROM mk)"""
+
 # lake plus the rows altered in their last byte
 LL2 = f"""WITH {ALT},
   mk AS ({_mk('documents')}),
@@ -133,7 +137,7 @@ SELECT doc_id, filename, lower({_suffix('filename')}) AS file_extension FROM r2
 WHERE ({cond}) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.full_path = r2.full_path)"""
 
 
-PLAN_BASE = f"""{LL},
+PLAN_BASE = f"""{EVERY},
   gone AS (SELECT doc_id FROM labels WHERE toxic = 1),
   src AS (SELECT full_path FROM lake WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = lake.doc_id)),
   exn AS (SELECT DISTINCT 'doc_' || CAST(item_id % 100 AS VARCHAR) || '.txt' AS filename FROM benchmark),
@@ -180,7 +184,11 @@ PLAN_RENAME_CTE = f"""{PLAN_BASE},
 PLAN_RENAME = f"""{PLAN_RENAME_CTE}
 {_plan_select('name', 'o')}"""
 
-MANIFEST_TEXT = f"""{LL},
+# all positions tied: the path decides
+PLAN_OVERWRITE_TIES = PLAN_OVERWRITE.replace("min(doc_id)", "min(relative_path)").replace("max(doc_id)", "max(relative_path)").replace("doc_id <> last_pos", "relative_path <> last_pos")
+PLAN_RENAME_TIES = PLAN_RENAME.replace("min(doc_id)", "min(relative_path)").replace("max(doc_id)", "max(relative_path)").replace("doc_id = first_pos", "relative_path = first_pos")
+
+MANIFEST_TEXT = f"""{EVERY},
   t AS (SELECT relative_path,
                CASE WHEN doc_id % 17 <> 0 THEN filename END AS filename,
                CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'n/a' ELSE CAST(file_size AS VARCHAR) END AS file_size,
@@ -212,18 +220,18 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'lake' ELSE 'library' END AS side,
     "content_hashes": f"""WITH mk AS ({_mk('documents')}) SELECT doc_id, file_size, prefix_hash, full_hash FROM mk""",
     "extension_filter": _ext_query(_any_ext_ci),
     "extension_filter_exact": _ext_query(_any_ext_cs),
-    "route_counts": f"""{LL},
+    "route_counts": f"""{EVERY},
   processed AS (SELECT full_path FROM lake WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = lake.doc_id))
 SELECT route, count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS total_bytes FROM (
   SELECT CASE WHEN EXISTS (SELECT 1 FROM processed p WHERE p.full_path = lake.full_path) THEN 'skip'
               WHEN file_size >= {ROUTE_THRESHOLD} THEN 'large' ELSE 'small' END AS route, file_size FROM lake)
 GROUP BY route""",
-    "unique_sizes": f"{LL} SELECT DISTINCT file_size FROM lib",
-    "size_groups": f"""{LL} SELECT file_size, count(*) AS n_files, min(doc_id) AS first_position, max(doc_id) AS last_position
-FROM lib GROUP BY file_size""",
-    "prefix_groups": f"""{LL} SELECT file_size, prefix_hash, count(*) AS n_files FROM lib WHERE prefix_hash IS NOT NULL
+    "unique_sizes": f"{EVERY} SELECT DISTINCT file_size FROM lake",
+    "size_groups": f"""{EVERY} SELECT file_size, count(*) AS n_files, min(doc_id) AS first_position, max(doc_id) AS last_position
+FROM lake GROUP BY file_size""",
+    "prefix_groups": f"""{EVERY} SELECT file_size, prefix_hash, count(*) AS n_files FROM lake WHERE prefix_hash IS NOT NULL
 GROUP BY file_size, prefix_hash""",
-    "full_groups": f"""{LL} SELECT full_hash, count(*) AS n_files, max(doc_id) AS doc_id FROM lib
+    "full_groups": f"""{EVERY} SELECT full_hash, count(*) AS n_files, max(doc_id) AS doc_id FROM lake
 WHERE full_hash IS NOT NULL GROUP BY full_hash""",
     "stage1_unique": f"""{LL} SELECT doc_id, file_size FROM lake
 WHERE NOT EXISTS (SELECT 1 FROM lib WHERE lib.file_size = lake.file_size)""",
@@ -288,7 +296,7 @@ SELECT doc_id, stage, method FROM r WHERE rn = 1""",
 SELECT doc_id, stage FROM r WHERE rn = 1""",
     "duplicates_report_content": f"""{MISSING_PLAIN}, {_content('missing')}
 {REPORT_SELECT}""",
-    "resume_anti": f"""{LL},
+    "resume_anti": f"""{EVERY},
   processed AS (SELECT full_path FROM lake WHERE EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = lake.doc_id))
 SELECT doc_id FROM lake WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.full_path = lake.full_path)""",
     "resume_merge": f"""{MISSING_PLAIN},
@@ -311,6 +319,13 @@ SELECT count(*) AS total, count(*) FILTER (WHERE reason IS NULL) AS valid,
     "copy_plan_skip": PLAN_SKIP,
     "copy_plan_overwrite": PLAN_OVERWRITE,
     "copy_plan_rename": PLAN_RENAME,
+    "copy_plan_rename_ties": PLAN_RENAME_TIES,
+    "copy_plan_overwrite_ties": PLAN_OVERWRITE_TIES,
+    "lookup_size_members": f"{LL} SELECT doc_id, file_size FROM lib WHERE file_size IN (SELECT file_size FROM lake)",
+    "lookup_prefix_members": f"""{LL} SELECT doc_id, file_size, prefix_hash FROM lib
+WHERE EXISTS (SELECT 1 FROM lake WHERE lake.file_size = lib.file_size AND lake.prefix_hash = lib.prefix_hash)""",
+    "content_hashes_md5": "SELECT doc_id, md5(encode(text)[1:1024]) AS prefix_hash, md5(encode(text)) AS full_hash FROM documents",
+    "processed_set": f"{MANIFEST_TEXT} SELECT DISTINCT full_path FROM t WHERE full_path IS NOT NULL",
     "copy_summary": f"""{PLAN_RENAME_CTE},
   pl AS ({_plan_select('name', 'o')})
 SELECT count(*) AS total, count(*) FILTER (WHERE success) AS success,
