@@ -50,7 +50,7 @@ _PIVOT, _MEMBER, _SIZE = 0, 2, 4
 _MET = "kind int, key long, xa long, xb long, pa long, pb long, far boolean"
 _PAIR = ["xa", "xb", "pa", "pb"]
 #: buckets of up to this many members are compared inside one task
-SMALL = 64
+SMALL = 256
 #: members of one pivot handled together when large buckets are divided
 CHUNK = 512
 
@@ -429,7 +429,10 @@ def similar_groups(
         # at most SMALL members each
         of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
         inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
-        links = staged(links.unionByName(_decide(inside, sets, num, den, "inside").where("not far").select(*_PAIR)), "links", small=True)
+        more = _decide(inside, sets, num, den, "inside").where("not far").select(*_PAIR)
+        settled = more.isEmpty()
+        if not settled:
+            links = staged(links.unionByName(more), "links", small=True)
         todo = staged(_next_keys(verified, parts), "keys", small=True)
         if todo.isEmpty():
             break
@@ -438,7 +441,7 @@ def similar_groups(
     # the least id of each component
     least = ids.groupBy(*KEY).agg(F.min("id").alias("least"))
     kept.drop()
-    member = _parts(links).join(least, KEY)
+    member = (parts if settled else _parts(links)).join(least, KEY)
     of_part = member.groupBy("part").agg(F.min("least").alias("component"))
     grouped = member.join(of_part, "part").select(*KEY, "component")
     per_text = staged(
