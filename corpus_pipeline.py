@@ -7,6 +7,8 @@ written as Parquet in the shared folder and read back as the next one's input.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,32 @@ from tidemark.llm.langid import UNDETERMINED, identify
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import one_of_each_group
 from tidemark.llm.packing import pack
-from tidemark.llm.tables import staged
+from tidemark.llm.tables import delete_scratch, made, staged
 
 #: a text goes if no language holds this share of its words
 MIN_SHARE = 0.35
 
 
+_left: list[str] = []  # scratch tables of the stage before
+
+
+def stage(f):
+    """A stage begins after its predecessor's rows were written and read back, so what the predecessor kept
+    in the shared folder on the way can go."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_scratch(spark, _left)
+        _left.clear()
+        before = len(made)
+        out = f(spark, docs, sf_dir)
+        _left.extend(made[before:])
+        return out
+
+    return run_stage
+
+
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a language; the others keep their rows, a NULL ``lang`` is filled in."""
     found = identify(docs, docs, id_col=None)
@@ -28,6 +50,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+@stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; a text of which no word is left goes."""
     done = dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
@@ -36,16 +59,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group (five words a shingle, similarity of 0.8 or more)."""
     return one_of_each_group(docs, size=5, num=80, den=100)
 
 
+@stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents with a verbatim window of a benchmark item."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
+@stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The plan of the packed sequences: one row per piece of a document."""
     return pack(docs)
@@ -65,6 +91,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES:
+        docs = staged(step(spark, docs, sf_dir), name)
     return docs

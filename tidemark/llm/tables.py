@@ -25,7 +25,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     root = ensure_checkpoint_dir(spark, allow_local=local)
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
+
+
+#: scratch tables made by this driver, in order
+made: list[str] = []
+
+
+def delete_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; every result read from them must be written by then."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    release(spark)
 
 
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
@@ -113,9 +127,7 @@ class Bucketed:
     def drop(self) -> None:
         """Forget the table and delete its files; every result read from it must be written by then."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        release(self.spark)
+        delete_scratch(self.spark, [self.path])
 
 
 class DistinctTexts(Bucketed):
