@@ -338,3 +338,22 @@ def test_templates_are_counted_by_host_and_page(spark):
     assert not {pages._template_hash("b.com", x) for x in pages.walk(root)} & found
 
 
+def test_counts_decide_inside_and_outside_of_articles(spark):
+    r = random.Random(6)
+    words = vocabulary(6)
+    say = lambda n: sentence(r, words, n)
+    data = []
+    for i in range(8):  # the text stands beside a teaser article, and a template inside an article
+        teaser, a, b = say(6), say(40), say(50)
+        data.append((f"http://t.com/{i}", f"<article><p>{teaser}</p></article><div>{a}</div><section>about t</section>", f"{teaser} {a}"))
+        data.append((f"http://in.com/{i}", f"<article><h1>{teaser}</h1><p>{a}</p><p>read more on in.com</p><p>{b}</p><p>all rights kept</p></article>", f"{teaser} {a} {b}"))
+    shared = [say(30) for _ in range(9)]
+    for i in range(8):  # near copies of an article: a changed paragraph each
+        own = [*shared[:i], say(30), *shared[i + 1 :]]
+        data.append((f"http://copy.com/{i}", "<main>" + "".join(f"<p>{p}</p>" for p in own) + "</main>", " ".join(own)))
+    a, b = say(5), say(40)  # nothing to count
+    data.append(("http://one.com/", f"<article>{a}</article><div>{b}</div>", f"{a} {b}"))
+    p = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(data)], "page_id long, url string, html string")
+    for limit in (pages.SEND_LIMIT, 0):
+        got = {x["page_id"]: x["text"] for x in collect(pages.main_text(p, send_limit=limit))}
+        assert [got[i] for i in range(len(data))] == [t for *_, t in data]

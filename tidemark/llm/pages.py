@@ -4,11 +4,15 @@ What a site repeats is not the article: menus, headers, footers, sidebars and no
 page after page of one host.  Every element subtree is hashed (tag, class, text and children); Spark
 counts, per host, on how many different pages each hash occurs; subtrees found on many are deleted
 from the pages of that host.  Pages with the same body count once, so copies of one page do not turn
-its article into a template, and the article's own paragraphs are never counted.
+its article into a template.  What stands inside ``article`` or ``main`` is counted too, but there it must
+come back among different text: near copies of one article share their paragraphs and also the text around
+them.  The text around a subtree is named by the longest other block of its article.
 
 What a host repeats too rarely to be seen (a small site, an advert that changes) is left to the
-element's own name and class words: navigation, forms, adverts, reader comments and the like.  On
-pages that mark their article (``article`` or ``main``) the text outside of it is no article.
+element's own name and class words: navigation, forms, adverts, reader comments and the like.  Text
+outside ``article`` and ``main`` stays unless it is a template or so marked.  Only on a host with fewer
+than ``min_pages`` different pages, where nothing can be counted, the text outside goes if the page's
+articles hold at least as much text.
 
 The counts leave Spark only as the hashes of the templates.  Up to ``SEND_LIMIT`` of them (8 bytes
 each) are sent to the tasks; beyond that each page is joined with its own templates instead.
@@ -46,8 +50,6 @@ NOT_ARTICLE_WORDS = frozenset(
     "newsletter subscribe subscription footer contentinfo complementary search toolbar widget skip pagination".split()
 )
 ARTICLE = ("article", "main")
-#: elements whose text is the article's own when they stand inside it
-TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tr td th figure figcaption article main br hr".split())
 
 _HOST = re.compile(r"://([^/?#]*)")
 
@@ -74,41 +76,81 @@ def _template_hash(host: str, node: Node) -> int:
     return xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass") + b"\0" + node.digest.to_bytes(8, "little")) - (1 << 63)
 
 
+def _host_hash(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def _countable(node: Node) -> bool:
-    """Subtrees that can be a template: blocks with text that are not the article's own text."""
-    if node.n_text == 0 or node.tag in INLINE or node.tag in ("#root", "html", "body", "head", *ARTICLE):
-        return False
-    return not (node.tag in TEXT_BLOCKS and _in_article(node))
+    """Subtrees that can be a template: blocks with text."""
+    return node.n_text > 0 and node.tag not in INLINE and node.tag not in ("#root", "html", "body", "head", *ARTICLE)
+
+
+def _around(article: Node):
+    """(subtree, longest block of the article outside of it) of each countable subtree; 0 where it is all."""
+    order, leaves, first = [], [], {}
+    todo: list[tuple[Node, bool]] = [(article, False)]
+    while todo:
+        x, done = todo.pop()
+        if done:
+            if first[id(x)] == len(leaves):  # no block inside
+                leaves.append((x.n_text, x.digest))
+            order.append((x, first[id(x)], len(leaves)))
+            continue
+        if _countable(x):
+            first[id(x)] = len(leaves)
+            todo.append((x, True))
+        todo.extend((p, False) for p in reversed(x.parts) if not isinstance(p, str))
+    none = (0, 0)
+    before, after = [none], [none]
+    for leaf in leaves:
+        before.append(max(before[-1], leaf))
+    for leaf in reversed(leaves):
+        after.append(max(after[-1], leaf))
+    for x, lo, hi in order:
+        yield x, max(before[lo], after[len(leaves) - hi])[1] - (1 << 63)
 
 
 def _subtrees(batches):
-    """(host, template, page) of each page's subtrees; the NULL template stands for the page itself."""
+    """(host, template, page, around) of each page's subtrees; the NULL template stands for the page itself."""
     for batch in batches:
-        host_out, template, page = [], [], []
+        host_out, template, page, around = [], [], [], []
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             host = host_of(url)
-            hh = xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) - (1 << 63)
+            hh = _host_hash(host)
             root = parse(source or "")
             main = [x for x in walk(root) if x.tag in ARTICLE] or [x for x in walk(root) if x.tag == "body"] or [root]
             body = xxhash.xxh3_64_intdigest("\n".join(b for x in main for b in blocks(x, lambda _: False)).encode("utf-8", "surrogatepass")) - (1 << 63)
-            found = {_template_hash(host, x) for x in walk(root) if _countable(x)}
+            found = {_template_hash(host, x): body for x in walk(root) if _countable(x)}
+            for article in main:
+                if article.tag in ARTICLE:
+                    found.update((_template_hash(host, x), a) for x, a in _around(article))
             host_out += [hh] * (len(found) + 1)
             template += [*found, None]
             page += [body] * (len(found) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(host_out, pa.int64()), pa.array(template, pa.int64()), pa.array(page, pa.int64())], names=["host", "template", "page"])
+            around += [*found.values(), body]
+        columns = {"host": host_out, "template": template, "page": page, "around": around}
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(template) hashes of the subtrees that recur across the pages of their host."""
+    """(template) hashes of the subtrees that recur across the pages of their host, and of the hosts with enough
+    pages to count (``_host_hash``)."""
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    each = rows.mapInArrow(_subtrees, "host long, template long, page long").groupBy("host", "template", "page").agg(F.count(F.lit(1)).alias("copies"))
-    n = staged(each.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= min_pages) | F.col("template").isNull()), "subtrees")
+    each = rows.mapInArrow(_subtrees, "host long, template long, page long, around long").groupBy("host", "template", "page").agg(F.min("around").alias("around"))
+    # pages by the text around the subtree
+    by_text = each.groupBy("host", "template", "around").agg(F.count(F.lit(1)).alias("pages"))
+    counts = by_text.groupBy("host", "template").agg(F.sum("pages").alias("n"), F.count(F.lit(1)).alias("n_around"))
+    n = staged(counts.where(f"n >= {min_pages} or template is null"), "subtrees")
     total = n.where("template is null").select("host", F.col("n").alias("n_pages"))
-    return n.where("template is not null").join(total, "host").where(F.col("n") >= F.col("n_pages") * min_share).select("template")
+    # among different text on most of its pages
+    spread = n.where(f"template is not null and n_around >= {min_pages} and 2 * n_around >= n")
+    found = spread.join(total, "host").where(F.col("n") >= F.col("n_pages") * min_share).select("template")
+    return found.unionByName(total.where(f"n_pages >= {min_pages}").select(F.col("host").alias("template")))
 
 
 def extract(source: str | None, host: str, templates) -> str:
-    """The article of one page; ``templates(hash)`` says whether a subtree is a template."""
+    """The article of one page; ``templates(hash)`` says whether a subtree is a template, and whether the host's
+    pages could be counted."""
     if not source:
         return ""
     root = parse(source)
@@ -116,20 +158,20 @@ def extract(source: str | None, host: str, templates) -> str:
     def gone(node: Node) -> bool:
         return _marked(node) or node.tag == "header" and not _in_article(node) or _countable(node) and templates(_template_hash(host, node))
 
-    marked = [x for x in walk(root) if x.tag in ARTICLE and not x.words & NOT_ARTICLE_WORDS]
-    if marked:
-        kept = set(map(id, marked))
-        chosen, todo = [], [root]
-        while todo:  # the outermost marked articles that nothing removed holds
-            x = todo.pop()
-            if id(x) in kept:
-                chosen.append(x)
-            elif not gone(x):
-                todo.extend(p for p in reversed(x.parts) if not isinstance(p, str))
-        found = [b for x in chosen for b in blocks(x, gone)]
-        if found:
-            return " ".join(found)
-    return " ".join(blocks(root, gone))
+    whole = blocks(root, gone)
+    if templates(_host_hash(host)):
+        return " ".join(whole)
+    kept = {id(x) for x in walk(root) if x.tag in ARTICLE and not x.words & NOT_ARTICLE_WORDS}
+    chosen, todo = [], [root]
+    while todo:  # the outermost marked articles that nothing removed holds
+        x = todo.pop()
+        if id(x) in kept:
+            chosen.append(x)
+        elif not gone(x):
+            todo.extend(p for p in reversed(x.parts) if not isinstance(p, str))
+    found = [b for x in chosen for b in blocks(x, gone)]
+    size = sum(map(len, found))
+    return " ".join(found if found and 2 * size >= sum(map(len, whole)) else whole)
 
 
 def _extract(templates):
@@ -163,7 +205,7 @@ def _page_templates(batches):
         cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ka", "kb", "url", "html")]
         for ka, kb, url, source in zip(*cols):
             host = host_of(url)
-            found = {_template_hash(host, x) for x in walk(parse(source or "")) if _countable(x)}
+            found = {_template_hash(host, x) for x in walk(parse(source or "")) if _countable(x)} | {_host_hash(host)}
             a += [ka] * len(found)
             b += [kb] * len(found)
             t += found
