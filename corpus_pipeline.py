@@ -52,8 +52,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; a text of which no word is left goes."""
-    done = dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Removes repeated lines, short ones too; a text of which no word is left goes."""
+    done = dedup_lines(docs, min_words=1).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

@@ -77,3 +77,9 @@ def test_the_rest_imports_without_the_subpackage(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split(" ", 1)[1].strip() == "[]" and int(done.stdout.split()[0]) > 40
+
+
+def test_short_lines_repeat_only_once(spark):
+    docs = spark.createDataFrame([(1, "Les.\nown one"), (2, "own two\nLes."), (3, "own three\n\u4e00\u4e8c\u4e09"), (4, "\u4e00\u4e8c\u4e09\nown  four")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in collect(corpus_pipeline.line_dedup(spark, docs, SF))}
+    assert got == {1: "Les.\nown one", 2: "own two", 3: "own three\n\u4e00\u4e8c\u4e09", 4: "own  four"}
