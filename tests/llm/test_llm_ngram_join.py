@@ -99,3 +99,20 @@ def test_components_of_a_long_chain(spark):
     random.Random(1).shuffle(edges)
     got = {r["node"]: r["root"] for r in collect(components(spark.createDataFrame(edges, "u long, v long")))}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_exactly_one_row_of_each_group(spark):
+    r = random.Random(12)
+    words = vocabulary(12)
+    a, b, c, d = (sentence(r, words, 60) for _ in range(4))
+    data = [(5, a, "x"), (9, a + " end", "x"), (5, b, "x"), (3, b + " end", "x")]  # one id on two texts
+    data += [(20, c, "x"), (20, c, "y"), (21, c, "x"), (20, c, "x")]  # repeated rows
+    data += [(None, d, "x"), (None, d, "x"), (None, d + " end", "x")]  # NULL ids
+    data += [(30, "", "x"), (30, " ", "x"), (None, None, "x")]  # no words
+    for limit in (ngram_join.SEND_LIMIT, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ngram_join, "SEND_LIMIT", limit)
+            got = Counter((x["doc_id"], x["text"]) for x in collect(one_of_each_group(spark.createDataFrame(data, "doc_id long, text string, ka string").repartition(3))))
+        without = Counter({(30, ""): 1, (30, " "): 1, (None, None): 1})
+        first = got - without
+        assert without <= got and first in [Counter({(5, a): 1, (3, b + " end"): 1, (20, c): 1, (None, x): 1}) for x in (d, d + " end")]

@@ -394,17 +394,12 @@ def _next_keys(verified: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.groupBy(*group).cogroup(counts.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary")
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100,
-) -> DataFrame:
-    """One row per input row: id, ``n_shingles`` (its set's size) and ``component_id`` (the least
-    id that links reach from it, its own included)."""
-    spark = docs.sparkSession
+def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
+    """((ka, kb, n_shingles) of the texts of ``rows(id, text)``, (ka, kb, part) of those with links)."""
+    spark = rows.sparkSession
     n = shuffle_partitions(spark)
     buckets = 2 * n
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = DistinctTexts(rows)
-    ids = with_key(rows).select("id", *KEY)
     dealt = texts.table.mapInArrow(_sketches(size, num, den, buckets), _ENTRY).repartition(n, "bucket")
     met = staged(dealt.mapInArrow(_meet, _MET), "met")
     del dealt
@@ -438,25 +433,62 @@ def similar_groups(
             break
         level = todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET)
         members = _members(staged(level, "level"))
+    kept.drop()
+    return sizes, parts if settled else _parts(links)
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100,
+) -> DataFrame:
+    """One row per input row: id, ``n_shingles`` (its set's size) and ``component_id`` (the least
+    id that links reach from it, its own included)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = with_key(rows).select("id", *KEY)
+    sizes, parts = _components_of_texts(rows, size, num, den)
     # the least id of each component
     least = ids.groupBy(*KEY).agg(F.min("id").alias("least"))
-    kept.drop()
-    member = (parts if settled else _parts(links)).join(least, KEY)
+    member = parts.join(least, KEY)
     of_part = member.groupBy("part").agg(F.min("least").alias("component"))
     grouped = member.join(of_part, "part").select(*KEY, "component")
     per_text = staged(
         least.join(sizes, KEY).join(grouped, KEY, "left").select(*KEY, "n_shingles", F.coalesce("component", "least").alias("component")), "groups"
     )
-    release(spark)
+    release(docs.sparkSession)
     return ids.join(per_text, KEY).select(
         F.col("id").alias(id_col), "n_shingles",
         F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"),
     )
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group (own columns, own order of columns);
-    repeated rows with one id stay or go together, and rows with a NULL id stay."""
-    groups = similar_groups(docs, id_col, text_col, **options)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+#: most rows with copies that are sent to the tasks
+SEND_LIMIT = 100_000
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component of linked texts (own columns, own order of columns): that of the least id
+    (NULL comes last), then of the least text key; of rows that agree in id and text one stays.
+
+    Rows whose text has no words are similar to nothing and all stay."""
+    sizes, parts = _components_of_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size, num, den)
+    src = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = with_key(docs.toDF(*src.values()), src[text_col])
+    has_words = F.coalesce(F.col(src[text_col]).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = rows.select(F.col(src[id_col]).alias("_id"), *KEY, has_words.alias("words"))
+    own = staged(own.groupBy("_id", *KEY, "words").agg(F.count(F.lit(1)).alias("copies")), "rows")
+    first = own.where("words").groupBy(*KEY).agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", *KEY, "copies")).alias("first"))
+    texts = first.join(parts, KEY, "left")
+    linked = texts.where("part is not null").groupBy("part").agg(F.min("first").alias("first"))
+    pick = ["_id", F.col("ka").alias("_ka"), F.col("kb").alias("_kb"), "copies"]
+    chosen = texts.where("part is null").select("first.*").unionByName(linked.select("first.*")).select(*pick)
+    chosen = staged(chosen.unionByName(own.where("not words").select("_id", *pick[1:3], F.lit(1).cast("long").alias("copies"))), "chosen")
+
+    def of(these: DataFrame) -> DataFrame:
+        same = rows[src[id_col]].eqNullSafe(these["_id"]) & (rows["ka"] == these["_ka"]) & (rows["kb"] == these["_kb"])
+        return rows.join(these, same, "left_semi")
+
+    out = of(chosen.where("copies = 1"))
+    repeated = chosen.where("copies > 1")
+    n = repeated.count()
+    if n:
+        out = out.unionByName(of(F.broadcast(repeated) if n <= SEND_LIMIT else repeated).dropDuplicates([src[id_col], *KEY]))
+    return out.select(*[F.col(a).alias(c) for c, a in src.items()])
