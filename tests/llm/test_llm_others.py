@@ -357,3 +357,10 @@ def test_counts_decide_inside_and_outside_of_articles(spark):
     for limit in (pages.SEND_LIMIT, 0):
         got = {x["page_id"]: x["text"] for x in collect(pages.main_text(p, send_limit=limit))}
         assert [got[i] for i in range(len(data))] == [t for *_, t in data]
+
+
+def test_language_sample_counts_copies_of_a_text_once(spark):
+    r = random.Random(9)
+    data = [("the same text over and over", "aa")] * 6000 + [(speak(r, "aa", 12), "aa") for _ in range(600)] + [(speak(r, "bb", 12), "bb") for _ in range(30)]
+    sample = Counter(lang for lang, _ in langid.sample_labelled(spark.createDataFrame(data, "text string, lang string"), "text", "lang", texts=200))
+    assert sample["aa"] > 130 and sample["bb"] == 30

@@ -326,14 +326,16 @@ def _predict(model, with_spans: bool):
 
 
 def sample_labelled(labelled: DataFrame, text_col: str, lang_col: str, texts: int = SAMPLE_TEXTS, words: int = SAMPLE_WORDS) -> list[tuple[str, str]]:
-    """The bounded training sample: about ``texts`` rows per language and ``words`` words of each."""
+    """The bounded training sample: about ``texts`` different texts per language and ``words`` words of each."""
     t = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    count = {r["lang"]: r["n"] for r in t.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
+    # copies of a text are one choice, so the rate is that of the different texts
+    h = F.xxhash64(F.lit(41), "text")
+    count = {r["lang"]: r["n"] for r in t.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()}
     if len(count) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not count:
         return []
-    u = F.pmod(F.xxhash64(F.lit(41), "text"), F.lit(1 << 40)) / float(1 << 40)
+    u = F.pmod(h, F.lit(1 << 40)) / float(1 << 40)
     rate = F.create_map(*[F.lit(x) for k, n in count.items() for x in (k, min(1.0, texts / n))])
     chosen = t.where(u < F.element_at(rate, F.col("lang")))
     # a piece of the text: ``words`` words from a place chosen by a hash
@@ -341,18 +343,24 @@ def sample_labelled(labelled: DataFrame, text_col: str, lang_col: str, texts: in
     piece = chosen.select("lang", w.alias("w"), F.xxhash64(F.lit(43), "text").alias("h"))
     at = F.pmod(F.col("h"), F.greatest(F.size("w") - words, F.lit(0)) + 1) + 1
     piece = piece.select("lang", F.array_join(F.slice("w", at.cast("int"), words), " ").alias("piece")).distinct()
-    # the rates make this bound all but certain; it also holds where one text has very many copies
+    # the rates make this bound all but certain
     rows = piece.limit(4 * texts * len(count)).collect()
     return sorted((r["lang"], r["piece"]) for r in rows)
 
 
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", **sample) -> Model | None:
+    """The model of the rows to learn from; None if no labelled text has a letter."""
+    return train(sample_labelled(labelled, text_col, lang_col, **sample))
+
+
 def identify(
-    docs: DataFrame, labelled: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False, **sample,
+    docs: DataFrame, labelled: DataFrame | Model | None, id_col: str | None = "doc_id", text_col: str = "text", lang_col: str = "lang", with_spans: bool = False, **sample,
 ) -> DataFrame:
     """One row per input row: id (all columns if ``id_col`` is None), ``lang_pred``, ``score`` and, on
-    request, ``spans`` (word ranges by language).  ``labelled`` holds the rows to learn from."""
+    request, ``spans`` (word ranges by language).  ``labelled`` holds the rows to learn from, or is
+    what ``learn`` made of them."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(sample_labelled(labelled, text_col, lang_col, **sample)))
+    model = spark.sparkContext.broadcast(learn(labelled, text_col, lang_col, **sample) if isinstance(labelled, DataFrame) else labelled)
     own = docs.columns if id_col is None else [id_col]
     src = {c: f"_c{i}" for i, c in enumerate(own)}
     df = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in src.items()], F.col(text_col).cast("string").alias("_text"))
