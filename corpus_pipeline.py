@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontam import decontaminate
-from tidemark.llm.langid import UNDETERMINED, identify
+from tidemark.llm.langid import UNDETERMINED, identify, learn
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import one_of_each_group
 from tidemark.llm.packing import pack
@@ -44,8 +44,12 @@ def stage(f):
 
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language; the others keep their rows, a NULL ``lang`` is filled in."""
-    found = identify(docs, docs, id_col=None)
+    """Rejects texts without a language; the others keep their rows, a NULL ``lang`` is filled in.  Without a
+    labelled text there is nothing to tell languages by, and texts with a letter stay."""
+    model = learn(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, model, id_col=None)
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SHARE))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

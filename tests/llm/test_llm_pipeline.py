@@ -83,3 +83,17 @@ def test_short_lines_repeat_only_once(spark):
     docs = spark.createDataFrame([(1, "Les.\nown one"), (2, "own two\nLes."), (3, "own three\n\u4e00\u4e8c\u4e09"), (4, "\u4e00\u4e8c\u4e09\nown  four")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in collect(corpus_pipeline.line_dedup(spark, docs, SF))}
     assert got == {1: "Les.\nown one", 2: "own two", 3: "own three\n\u4e00\u4e8c\u4e09", 4: "own  four"}
+
+
+def test_texts_with_letters_stay_without_labels(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    left = Counter(r["text"] for r in collect(corpus_pipeline.language_id(spark, docs, SF)))
+    assert left == Counter(r["text"] for r in collect(docs) if any(c.isalpha() for c in r["text"] or ""))
+
+
+def test_stages_take_labelled_awkward_documents(spark):
+    docs = documents(spark).selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then 'xx' when doc_id % 3 = 0 then 'yy' end as lang")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.count() > 20, name
