@@ -364,3 +364,9 @@ def test_language_sample_counts_copies_of_a_text_once(spark):
     data = [("the same text over and over", "aa")] * 6000 + [(speak(r, "aa", 12), "aa") for _ in range(600)] + [(speak(r, "bb", 12), "bb") for _ in range(30)]
     sample = Counter(lang for lang, _ in langid.sample_labelled(spark.createDataFrame(data, "text string, lang string"), "text", "lang", texts=200))
     assert sample["aa"] > 130 and sample["bb"] == 30
+
+
+def test_urls_without_a_host_meet_the_pattern_rules(spark):
+    data = [(1, "file:///casino/x"), (2, "file:///home/x"), (3, "file://")]
+    got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in collect(url_rules.judge(spark.createDataFrame(data, "page_id long, url string")))}
+    assert got == {(i, *url_verdict(u)) for i, u in data} and any(x[-1] == "block" for x in got)

@@ -105,7 +105,7 @@ def judge(
     # each different url is judged once
     urls = rows.select("url").where("url is not null").distinct()
     host, path = host_and_path(F.col("url"))
-    urls = urls.select("url", host.alias("host"), path.alias("path")).where("host <> ''")
+    urls = urls.select("url", host.alias("host"), path.alias("path")).where("host <> '' or path <> ''")
     urls = urls.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     filed = rule_index(urls, rules)
     index = spark.createDataFrame(
