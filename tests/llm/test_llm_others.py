@@ -370,3 +370,11 @@ def test_urls_without_a_host_meet_the_pattern_rules(spark):
     data = [(1, "file:///casino/x"), (2, "file:///home/x"), (3, "file://")]
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in collect(url_rules.judge(spark.createDataFrame(data, "page_id long, url string")))}
     assert got == {(i, *url_verdict(u)) for i, u in data} and any(x[-1] == "block" for x in got)
+
+
+def test_decontamination_carries_one_slice_at_a_time(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "v w x y z")], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, f"item{i} " * 40) for i in range(20)] + [(99, "b c d")], "item_id long, text string")
+    found = decontam.find_matches(docs, tests, slice_limit=500)
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1  # the summary
+    assert {r["doc_id"]: r["contaminated"] for r in collect(found)} == {1: True, 2: False}

@@ -15,7 +15,9 @@ letter.  A window is ``window`` consecutive words of an item; an item with fewer
 one window as a whole.
 
 The test set travels to the tasks in slices of at most ``SLICE_LIMIT`` bytes, so what is sent at once
-has a fixed bound whatever the test set's size; the training text is never shuffled.
+has a fixed bound whatever the test set's size; the training text is never shuffled.  With several slices
+the rows with one slice's matches are written to the shared folder before the next is fetched, so no job
+carries more than one.
 
 Defined results: NULL and empty texts have no words and no hits; items without words match
 nothing; repeated documents each get their row, repeated items count once by id; a NULL item id is
@@ -33,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import delete_scratch, made, staged
 from .words import LOWER
 
 WINDOW = 10
@@ -178,7 +181,7 @@ def _summary(batches):
 
 def _test_slices(tests: DataFrame, item_col: str, text_col: str, limit: int):
     """The distinct items, in slices of at most ``limit`` bytes of text each (one longer item is a
-    slice of its own); only one slice at a time is on the driver."""
+    slice of its own), and whether there are several; only one slice at a time is on the driver."""
     t = tests.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
     total = t.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-2 * int(total) // limit)) if total > limit else 1
@@ -189,9 +192,9 @@ def _test_slices(tests: DataFrame, item_col: str, text_col: str, limit: int):
         for i, (_, text) in enumerate(rows):  # an uneven slice is cut again
             size += len(text)
             if size > limit and i > held:
-                yield rows[held:i]
+                yield rows[held:i], n > 1
                 held, size = i, len(text)
-        yield rows[held:]
+        yield rows[held:], n > 1
 
 
 def find_matches(
@@ -209,8 +212,13 @@ def find_matches(
         *[F.col(f"`{c}`").alias(a) for c, a in src.items()], F.col(text_col).cast("string").alias("_text"),
         F.lit(0).cast("long").alias("_n_words"), F.lit(None).cast(_MATCHES_DDL).alias("_matches"),
     )
-    for items in _test_slices(tests, item_col, item_text_col, slice_limit):
+    spark, last = docs.sparkSession, []
+    for items, several in _test_slices(tests, item_col, item_text_col, slice_limit):
         df = df.mapInArrow(_searcher(items, window), df.schema)
+        if several:
+            df = staged(df, "matches")
+            delete_scratch(spark, last)
+            last = made[-1:]
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name not in ("_text", "_n_words"))
     out = df.mapInArrow(_summary, f"{kept}, _n_words long, _n_hit long, _n_items long, _sha string, _longest int")
     return out.select(
