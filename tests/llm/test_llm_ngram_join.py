@@ -116,3 +116,19 @@ def test_exactly_one_row_of_each_group(spark):
         without = Counter({(30, ""): 1, (30, " "): 1, (None, None): 1})
         first = got - without
         assert without <= got and first in [Counter({(5, a): 1, (3, b + " end"): 1, (20, c): 1, (None, x): 1}) for x in (d, d + " end")]
+
+
+def test_low_thresholds_lose_no_link(spark):
+    r = random.Random(13)
+    words = vocabulary(13)
+    data = []
+    for i in range(0, 60, 2):  # one text of a pair holds the other: 8/13, 5/8, 2/5, 3/9, ...
+        w = list(dict.fromkeys(r.choice(words) for _ in range(60)))
+        few, many = ((8, 13), (5, 8), (13, 21), (2, 5), (3, 9), (7, 20))[i // 2 % 6]
+        data += [(i, " ".join(w[:few])), (i + 1, " ".join(w[:many]))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for num in (60, 33):
+        got = collect(similar_groups(docs, size=1, num=num, den=100))
+        assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(data, 1, num, 100)
+    with pytest.raises(ValueError):
+        bands(0, 100)

@@ -49,8 +49,11 @@ class Bands:
     most (1 - t) / t * a: ``most(k)`` is the largest such difference in band k.
     """
 
-    def __init__(self, num: int, den: int, ratio: float = 1.5):
+    def __init__(self, num: int, den: int):
+        if not 0 < num <= den:
+            raise ValueError("needs a threshold above 0, at most 1")
         self.num, self.den = num, den
+        ratio = max(1.5, den / num)  # a partner is at most one band below
         lows = [1]
         while lows[-1] < 1 << 40:
             lows.append(max(lows[-1] + 1, int(lows[-1] * ratio)))
