@@ -7,13 +7,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import find_matches
+from .fim import fill_in_middle, restored
 from .langid import identify
 from .line_dedup import dedup_lines
 from .ngram_join import similar_groups
 from .packing import pack
 from .pages import main_text
 from .quality import quality
+from .runs import periodic_runs
 from .substring import repeated_passages
+from .tables import scratch_path
+from .token_file import read_documents, write_token_ids
 from .url_rules import judge
 from .warc import audit, layout
 
@@ -192,6 +196,87 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def _planted_periods(docs: DataFrame) -> DataFrame:
+    """The documents of the query's contract: a tenth of them with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    split = docs.select("doc_id", "text", words.alias("w"), g.alias("g")).withColumn("n", F.size("w").cast("long"))
+    split = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    split = split.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    places = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    periodic = F.concat_ws(" ", F.slice("w", 1, F.col("a").cast("int")), places)
+    return split.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_planted_periods(_read(spark, sf_dir, "documents")))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("r.l")
+    return out.select(
+        "doc_id", "n_runs", F.col("r.start").alias("start"), length.alias("length"), F.col("r.period").alias("period"),
+        F.floor(1000 * length / F.col("r.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+# crc32 bit by bit: a byte is taken in, then eight shifts
+_CRC32 = """xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPLIT}) AS w, {_CRC32} AS h FROM documents),
+n AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g FROM d),
+a AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM n),
+t AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_concat(w[1:a], list_transform(range(a, n), lambda i: w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1])) ELSE w END AS w FROM a),
+words AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM t),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT doc_id, s, length, min(q) AS q FROM stretches GROUP BY doc_id, s, length),
+best AS (
+  SELECT doc_id, count(*) AS n_runs, first(s ORDER BY length DESC, s, q) AS "start", max(length) AS length, first(q ORDER BY length DESC, s, q) AS period,
+    string_agg(s || ',' || length || ',' || q || chr(10), '' ORDER BY s, q) AS list FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, "start", length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle(_read(spark, sf_dir, "documents"), seed="7", unit="line", rate=100, spm_rate=50)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (
+  SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS h1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS h2,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(h1, h2)], '') AS pre, array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS mid,
+    array_to_string(u[greatest(h1, h2) + 1:], '') AS suf FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _read(spark, sf_dir, "documents")
+    written = write_token_ids(docs, scratch_path(spark, "token_ids"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_documents(written, docs.schema["doc_id"].dataType.simpleString())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -205,6 +290,9 @@ QUERIES = {
         op8_ngram_jaccard_join,
         op9_benchmark_decontamination,
         op10_substring_dedup,
+        op11_periodic_runs,
+        op12_fill_in_middle,
+        op13_token_ids,
     )
 }
 
@@ -215,4 +303,6 @@ ORACLE: dict[str, str] = {
     "op8_ngram_jaccard_join": OP8_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
