@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from edge import WORD, collect, documents, texts
@@ -199,14 +200,19 @@ def test_token_files_hold_all_ids_in_order(spark):
 
 def test_whole_texts_and_words_give_the_same_ids(spark):
     r = random.Random(8)
-    marks = [" ", "\n", "\x0b", "\x0c", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "'s", "'", "a", "B", "é", "é", "́", "7", "½", "-", "ǅ", "İ", "Σ", "ß", "中", "<|endoftext|>", "<|", "\U0001f600", "ͅ", "ﬁ"]
+    marks = [" ", "\n", "\x0b", "\x0c", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "'s", "'", "a", "B", "é", "é", "́", "7", "½", "-", "ǅ", "İ", "Σ", "ß", "中", "<|endoftext|>", "<|", "\U0001f600", "ͅ", "ﬁ", "\x02"]
     values = ["".join(r.choice(marks) for _ in range(r.randint(0, 60))) for _ in range(3000)]
     with open(TOKENIZER, encoding="utf-8") as f:
         content = f.read()
-    data = [v.encode() for v in values]
+    letters = [c for c in map(chr, range(0x41, 0x260)) if c.isprintable()]
+    values += ["".join(r.choice([*letters, " ", "́", "."]) for _ in range(30)) for _ in range(2000)]
+    values += [" ".join(c + x for c in letters for x in ("", "a", "A.", "!?", "́", "'s", ")-")), " ".join("x" + c for c in letters)]
+    data = pa.array([*values, None, "", " \n"])
     a, n = token_file._Encoder(content, 1, True).encode(data)
     b, m = token_file._Encoder(content, 1, False).encode(data)
     assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+    plain = pa.array([v.replace("\x02", "") for v in values])  # many words encoded together
+    assert token_file._Encoder(content, 1, True).encode(plain)[0].tolist() == token_file._Encoder(content, 1, False).encode(plain)[0].tolist()
 
 
 def test_token_files_of_nothing_and_damage(spark, tmp_path):

@@ -13,7 +13,7 @@ the offset of every block and the end of every document: any range of ids is rea
 3. Reading.  The manifest gives each file's first id, so files are read apart from each other, a few blocks at a
    time.
 
-Words are encoded once per task and remembered (``WORDS_HELD`` of them): the tokenizer's pieces never reach
+Words are encoded once per worker process and remembered (``WORDS_HELD`` of them): the tokenizer's pieces never reach
 over ASCII white space, so a text's ids are those of its words in order.  ``by_words=False`` encodes whole texts
 instead, for tokenizers whose pieces do.
 
@@ -24,15 +24,21 @@ manifest without rows; ids may be of any type that can be sorted; other columns
 
 from __future__ import annotations
 
+import functools
 import io
+import itertools
+import json
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +52,9 @@ BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 26
 #: blocks that a reader holds at once
 READ_BLOCKS = 32
-#: words whose ids a task remembers
-WORDS_HELD = 300_000
+#: words and their pieces whose ids a worker process remembers
+WORDS_HELD = 500_000
+PIECES_HELD = 400_000
 
 _MAGIC = b"TMIDS\x00\x00\x01"
 #: width, ids of a block, ids, blocks, place and length of the document index, checksum of the footer
@@ -202,55 +209,128 @@ class TokenFile:
         self.file.close()
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+# fixed values: a normaliser and a pre-tokenizer, as tokenizer files state them, under which letters and punctuation are pieces
+_FOLDS = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Latin letters that stay one letter in lower case and in NFC, whatever stands beside them
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250" and unicodedata.normalize("NFC", c) == c)
+#: a run of them, and punctuation that ends a word
+_PLAIN = re.compile(rf"([{_LETTERS}]*)([.,;:!?%&*$#()]*)")
+
+
 class _Encoder:
-    """Flat ids of many texts, each followed by the end id."""
+    """Flat ids of many texts, each followed by the end id.
+
+    Words of letters with punctuation at the end are, for a tokenizer that folds case and separates both, two pieces
+    that its model encodes; other words go through the whole tokenizer, many of them together."""
+
+    #: stands between words that are encoded together; words that hold it are encoded apart
+    MARK = "\x02"
+    #: words encoded together
+    TOGETHER = 1000
 
     def __init__(self, tokenizer_json: str, end_id: int, by_words: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.end_id, self.by_words = end_id, by_words
+        self.pieces: dict[str, tuple[int, ...]] = {"": ()}
+        alone, a, ab = (self._ids([x])[0].tolist() for x in (self.MARK, "a", f"a {self.MARK} a"))
+        self.mark = alone[0] if len(alone) == 1 and ab == [*a, *alone, *a] else None
+        parts = json.loads(tokenizer_json)
+        self.plain = parts["normalizer"] == _FOLDS and parts["pre_tokenizer"] == _SPLITS
+        if self.plain:  # the model's spelling of each character
+            spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.spelling = str.maketrans({c: "".join(p for p, _ in spell(c)) for c in {*_LETTERS, *".,;:!?%&*$#()"}})
         self._forget()
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _forget(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        each = [np.array(e.ids, "<u4") for e in found]
-        base = len(self.place)
-        self.place.update((w, base + k) for k, w in enumerate(words))
+        self.number = _Numbers({None: 0})
+        self.number.new = []
+        self.first, self.ids = np.array([0, 1]), np.array([self.end_id], "<u4")
+        if len(self.pieces) > PIECES_HELD:
+            self.pieces = {"": ()}
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = tuple([t.id for t in self.tokenizer.model.tokenize(piece.translate(self.spelling))])
+        return ids
+
+    def _learn(self) -> None:
+        """The ids of the words numbered last."""
+        words = self.number.new
+        self.number.new = []
+        each: list = [None] * len(words)
+        if self.plain:
+            for k, w in enumerate(words):
+                m = _PLAIN.fullmatch(w)
+                if m:
+                    each[k] = self._piece(m[1].lower()) + self._piece(m[2])
+        rest = [k for k, e in enumerate(each) if e is None]
+        apart = [k for k in rest if self.mark is None or self.MARK in words[k]]
+        for k, ids in zip(apart, self._ids([words[k] for k in apart])):
+            each[k] = ids
+        rest = [k for k in rest if each[k] is None]
+        groups = [rest[k : k + self.TOGETHER] for k in range(0, len(rest), self.TOGETHER)]
+        for group, ids in zip(groups, self._ids([f" {self.MARK} ".join(words[k] for k in g) + f" {self.MARK}" for g in groups])):
+            marks = np.flatnonzero(ids == self.mark)
+            for k, i, j in zip(group, [0, *(marks + 1).tolist()], marks.tolist()):
+                each[k] = ids[i:j]
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(e) for e in each])])
-        self.ids = np.concatenate([self.ids, *each]).astype("<u4")
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(each), np.dtype("<u4"))])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each has)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not self.by_words:
-            found = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-            return np.concatenate([np.array(e, "<u4") for e in found]), np.array([len(e) for e in found], np.int64)
-        words = [t.split() for t in texts]  # bytes: ASCII white space only
-        if len(self.place) > WORDS_HELD:
+            each = [np.append(ids, np.array([self.end_id], "<u4")) for ids in self._ids(texts.to_pylist())]
+            return np.concatenate(each), np.array([len(e) for e in each], np.int64)
+        if len(self.number) > WORDS_HELD:
             self._forget()
-        get = self.place.get
-        new = {w for x in words for w in x if get(w) is None}
-        if new:
-            self._learn(sorted(new))
-        n_words = np.array([len(x) for x in words], np.int64)
-        at = np.fromiter((get(w) for x in words for w in x), np.int64, int(n_words.sum()))
-        # the end id counts as a last word of each text, of one id
-        size = np.insert(self.first[at + 1] - self.first[at], np.cumsum(n_words), 1)
-        start = np.insert(self.first[at], np.cumsum(n_words), -1)
-        bounds = np.concatenate([[0], np.cumsum(n_words + 1)])
+        words = pc.ascii_split_whitespace(texts)  # leaves empty words at the ends, which have no ids
+        n_words = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        number = np.fromiter(map(self.number.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        if self.number.new:
+            self._learn()
+        at = number[coded.indices.to_numpy()]
+        # the end id is a last word of each text, number 0
+        ends = np.cumsum(n_words + 1)
+        every = np.zeros(len(at) + len(ends), np.int64)
+        is_word = np.ones(len(every), bool)
+        is_word[ends - 1] = False
+        every[is_word] = at
+        first = self.first[every]
+        size = self.first[every + 1] - first
         to = np.concatenate([[0], np.cumsum(size)])
-        out = np.full(int(to[-1]), self.end_id, "<u4")
-        word = start >= 0
-        source = np.repeat(start[word] - to[:-1][word], size[word])
-        holds = np.ones(len(out), bool)
-        holds[to[:-1][~word]] = False
-        here = np.flatnonzero(holds)
-        out[here] = self.ids[here + source]
-        return out, np.diff(to[bounds])
+        source = np.repeat(first - to[:-1], size)
+        source += np.arange(len(source))
+        return self.ids[source], np.diff(np.concatenate([[0], to[ends]]))
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(tokenizer_json: str, end_id: int, by_words: bool) -> _Encoder:
+    """One encoder for all tasks of a worker process."""
+    return _Encoder(tokenizer_json, end_id, by_words)
 
 
 def _write_files(tokenizer_json, folder: str, width: int, end_id: int, by_words: bool, file_ids: int, block_ids: int):
@@ -267,11 +347,10 @@ def _write_files(tokenizer_json, folder: str, width: int, end_id: int, by_words:
                 writer = None
 
         for batch in batches:
-            encoder = encoder or _Encoder(tokenizer_json.value, end_id, by_words)
+            encoder = encoder or _encoder(tokenizer_json.value, end_id, by_words)
             ids, column = batch.column(0), batch.column(1)
-            data, off = utf8(column)
-            for lo, hi in row_slices(off, min(SLICE_BYTES, file_ids)):
-                flat, counts = encoder.encode([data[a:b].tobytes() for a, b in zip(off[lo:hi], off[lo + 1 : hi + 1])])
+            for lo, hi in row_slices(utf8(column)[1], min(4 * SLICE_BYTES, file_ids)):
+                flat, counts = encoder.encode(column.slice(lo, hi - lo))
                 if writer is not None and writer.n_ids + len(flat) > file_ids:
                     finish()
                 if writer is None:
