@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
-from .tables import KEY, Bucketed, DistinctTexts, components, pack_columns, release, shuffle_partitions, staged, unpack_columns, with_key
+from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, pack_columns, recorded, release, shuffle_partitions, staged, unpack_columns, with_key
 from .words import give_back, mix, row_slices, utf8
 
 _U = np.uint64
@@ -366,8 +366,11 @@ def _parts(links: DataFrame) -> DataFrame:
     nodes = staged(ends.withColumn("node", F.monotonically_increasing_id()), "nodes", small=True)
     u = nodes.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("node").alias("u"))
     v = nodes.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("node").alias("v"))
-    roots = components(links.join(u, ["xa", "xb"]).join(v, ["pa", "pb"]).select("u", "v"))
-    return staged(nodes.join(roots, "node").select(*KEY, F.col("root").alias("part")), "parts", small=True)
+    with recorded() as rounds:
+        roots = components(links.join(u, ["xa", "xb"]).join(v, ["pa", "pb"]).select("u", "v"))
+    parts = staged(nodes.join(roots, "node").select(*KEY, F.col("root").alias("part")), "parts", small=True)
+    delete_scratch(links.sparkSession, [nodes._scratch, *rounds])
+    return parts
 
 
 def _with_part(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -391,7 +394,9 @@ def _next_keys(verified: DataFrame, parts: DataFrame) -> DataFrame:
     group = ["pa", "pb", "chunk"]
     counts = pairs.where("chunk = 0").groupBy("pa", "pb").applyInArrow(_element_counts, "pa long, pb long, chunks long, elements binary, counts binary")
     counts = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    return pairs.groupBy(*group).cogroup(counts.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary")
+    keys = staged(pairs.groupBy(*group).cogroup(counts.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary"), "keys", small=True)
+    discard(pairs)
+    return keys
 
 
 def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
@@ -403,8 +408,9 @@ def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
     dealt = texts.table.mapInArrow(_sketches(size, num, den, buckets), _ENTRY).repartition(n, "bucket")
     met = staged(dealt.mapInArrow(_meet, _MET), "met")
     del dealt
-    sizes = met.where(F.col("kind") == _SIZE).select(F.col("xa").alias("ka"), F.col("xb").alias("kb"), F.col("key").alias("n_shingles"))
+    sizes = staged(met.where(F.col("kind") == _SIZE).select(F.col("xa").alias("ka"), F.col("xb").alias("kb"), F.col("key").alias("n_shingles")), "sizes", small=True)
     members = staged(_members(met), "members")
+    discard(met)
     weight = staged(_centrality(members), "weight", small=True)
     ends = weight.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"))
     kept = Bucketed(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
@@ -412,29 +418,43 @@ def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
     texts.drop()
     links = parts = None
     while True:
-        members = _buckets(members, weight, parts, "buckets")
-        stars = members.where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
+        buckets_of = _buckets(members, weight, parts, "buckets")
+        discard(members)
+        stars = buckets_of.where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
         verified = _decide(stars, sets, num, den, "stars")
         near = verified.where("not far").select(*_PAIR)
-        links = near if links is None else staged(links.unionByName(near), "links", small=True)
-        parts = _parts(links)
-        labelled = staged(_with_part(members.where(F.col("n").between(3, SMALL)), parts), "labelled", small=True)
+        links, parts = _more_links(links, parts, near)
+        labelled = staged(_with_part(buckets_of.where(F.col("n").between(3, SMALL)), parts), "labelled", small=True)
+        discard(buckets_of)
         mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
         light = sets.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("n").alias("size"), "sketch")
         # at most SMALL members each
         of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
         inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
-        more = _decide(inside, sets, num, den, "inside").where("not far").select(*_PAIR)
-        settled = more.isEmpty()
-        if not settled:
-            links = staged(links.unionByName(more), "links", small=True)
-        todo = staged(_next_keys(verified, parts), "keys", small=True)
+        more = _decide(inside, sets, num, den, "inside")
+        todo = _next_keys(verified, parts)
+        discard(verified, labelled)
+        found = more.where("not far").select(*_PAIR)
+        if not found.isEmpty():
+            links, parts = _more_links(links, parts, found)
+        discard(more)
         if todo.isEmpty():
             break
-        level = todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET)
-        members = _members(staged(level, "level"))
+        level = staged(todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET), "level")
+        discard(todo)
+        members = staged(_members(level), "members")
+        discard(level)
     kept.drop()
-    return sizes, parts if settled else _parts(links)
+    discard(weight, todo, links)
+    return sizes, parts
+
+
+def _more_links(links: DataFrame | None, parts: DataFrame | None, found: DataFrame):
+    """All links with those found, and the components they make; what they replace is deleted."""
+    every = staged(found if links is None else links.unionByName(found), "links", small=True)
+    now = _parts(every)
+    discard(links, parts)
+    return every, now
 
 
 def similar_groups(

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -18,40 +20,106 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+_recording: ContextVar[tuple[list[str], ...]] = ContextVar("llm_scratch", default=())
+_roots: dict[str, str] = {}  # by application
+
+
+def _root(spark: SparkSession) -> str:
+    """This application's folder of scratch tables, deleted when the application ends.  Only a local session without
+    a shared folder gets one of its own; a cluster session without it is an error."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        shared = ensure_checkpoint_dir(spark, allow_local=local)
+        if not shared:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"{shared.rstrip('/')}/llm-{app}-{uuid.uuid4().hex[:8]}"
+        p, fs = _hadoop(spark, path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _roots[app] = path
+    return _roots[app]
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder.  Only a local session without that setting gets a folder
-    of its own; a cluster session without it is an error."""
-    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-    root = ensure_checkpoint_dir(spark, allow_local=local)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{root.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    made.append(path)
+    """A new path in the shared folder."""
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _recording.get():
+        paths.append(path)
     return path
 
 
-#: scratch tables made by this driver, in order
-made: list[str] = []
+@contextmanager
+def recorded():
+    """The paths of the scratch tables made inside, for ``delete_scratch`` once the results read from them are written."""
+    paths: list[str] = []
+    token = _recording.set((*_recording.get(), paths))
+    try:
+        yield paths
+    finally:
+        _recording.reset(token)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch tables made inside at its end; results must be written by then."""
+    with recorded() as paths:
+        try:
+            yield
+        finally:
+            delete_scratch(spark, paths)
 
 
 def delete_scratch(spark: SparkSession, paths: list[str]) -> None:
     """Delete scratch tables; every result read from them must be written by then."""
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p, fs = _hadoop(spark, path)
+        fs.delete(p, True)
     release(spark)
 
 
+#: Spark deletes the shuffle files of an execution at its end
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """The shuffle files of what is written inside go when it is written; nothing reads them again, and they would
+    stay until the JVM's next collection but one."""
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back (``small``: nothing worth releasing)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     schema = df.schema
     del df
     if not small:
         release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete frames that ``staged`` returned, as soon as all that is read from them is written."""
+    for df in frames:
+        if df is not None:
+            p, fs = _hadoop(df.sparkSession, df._scratch)
+            fs.delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -117,7 +185,8 @@ class Bucketed:
         self.spark = df.sparkSession
         self.name = f"llm_{name}_{uuid.uuid4().hex}"
         self.path = scratch_path(self.spark, name)
-        df.write.bucketBy(shuffle_partitions(self.spark), *KEY).option("path", self.path).saveAsTable(self.name)
+        with shuffles_freed(self.spark):
+            df.write.bucketBy(shuffle_partitions(self.spark), *KEY).option("path", self.path).saveAsTable(self.name)
         release(self.spark)
 
     @property
