@@ -15,17 +15,25 @@ def levenshtein(a, b):
     return row[-1]
 
 
-def brute(data, min_words=5, edit_words=8):
+def near(w, e):
+    """At most one edit apart: in words from eight words on, else in characters from sixteen characters on."""
+    if w == e:
+        return True
+    if (len(w) >= 8) != (len(e) >= 8):
+        return False
+    a, b = (w, e) if len(w) >= 8 else (" ".join(w), " ".join(e))
+    return (len(w) >= 8 or min(len(a), len(b)) >= 16) and abs(len(a) - len(b)) <= 1 and levenshtein(a, b) <= 1
+
+
+def brute(data):
     """data: (id, text) in order; the expected texts."""
     earlier, out = [], []
     for _, t in data:
         lines, kept, gone = (t.split("\n") if t else []), [], 0
         for line in lines:
             w = WORD.findall(line)
-            again = len(w) >= min_words and any(
-                w == e or min(len(w), len(e)) >= edit_words and abs(len(w) - len(e)) <= 1 and levenshtein(w, e) <= 1 for e in earlier
-            )
-            if len(w) >= min_words:
+            again = bool(w) and any(near(w, e) for e in earlier)
+            if w:
                 earlier.append(w)
             gone += again
             if not again:
@@ -34,6 +42,23 @@ def brute(data, min_words=5, edit_words=8):
     return out
 
 
+def respell(r, line):
+    """Some characters put in, cut or replaced."""
+    for _ in range(r.choice((0, 0, 1, 1, 2))):
+        i = r.randrange(len(line) + 1)
+        line = line[:i] + r.choice(["", "x", " ", "\u4e2d", "\U0001f600"]) + line[i + r.choice((0, 1, 1)) :]
+    return line
+
+
+def short_corpus(seed=7):
+    """Lines of one to fourteen words, lines without spaces, and variants of them by characters."""
+    r = random.Random(seed)
+    words = vocabulary(seed, 60)
+    base = [sentence(r, words, n) for n in range(1, 15) for _ in range(3)]
+    base += ["".join(r.choice("\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03") for _ in range(n)) for n in (3, 8, 15, 16, 17, 40, 300)]
+    return ["\n".join(respell(r, r.choice(base)) for _ in range(r.randint(0, 5))) for _ in range(90)]
+
+
 def corpus(seed=2):
     r = random.Random(seed)
     words = vocabulary(seed, 60)
@@ -70,13 +95,26 @@ def test_against_brute_force(spark):
     assert all(r["kb"] == "k" and r["_c0"] == "c" and r["part"] == 3 for r in found.values())
 
 
+def test_short_lines_and_lines_without_spaces_against_brute_force(spark):
+    docs = spark.createDataFrame(list(enumerate(short_corpus())), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r for r in collect(dedup_lines(docs))}
+    data = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    expected = brute(data)
+    assert [(found[d]["text"], found[d]["n_lines"], found[d]["n_removed"]) for d, _ in data] == expected
+    exact, seen = 0, set()
+    for line in (x for _, t in data for x in t.split("\n")):
+        exact += line in seen
+        seen.add(line)
+    assert sum(x[2] for x in expected) > exact + 10
+
+
 def test_repeated_rows_and_null_ids(spark):
     long = "one two three four five six seven eight nine"
     data = rows([long + "\nshort", long.replace("nine", "ten"), "a b c d e\nx"])
     data += [data[2], data[2], (None, *data[0][1:]), (None, "f g h i j", *data[0][2:])]
     got = sorted(((r["doc_id"], r["text"], r["n_removed"]) for r in collect(dedup_lines(spark.createDataFrame(data, SCHEMA).repartition(4)))), key=str)
     # the earliest copy of a repeated row stays; rows without an id come last
-    assert got == sorted([(0, long + "\nshort", 0), (1, "", 1), (2, "a b c d e\nx", 0), (2, "x", 1), (2, "x", 1), (None, "short", 1), (None, "f g h i j", 0)], key=str)
+    assert got == sorted([(0, long + "\nshort", 0), (1, "", 1), (2, "a b c d e\nx", 0), (2, "", 2), (2, "", 2), (None, "", 2), (None, "f g h i j", 0)], key=str)
 
 
 def test_awkward_documents_and_empty_table(spark):

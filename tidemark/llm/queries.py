@@ -69,7 +69,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return found.drop("matches", "longest_match")
+    return found.drop("matches", "spans", "longest_match")
 
 
 OP10_SQL = f"""
@@ -138,14 +138,17 @@ OP3_SQL = rf"""
 WITH pieces AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS n, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')),
 lines AS (
   SELECT doc_id, n, w, row_number() OVER (ORDER BY doc_id, n) AS place
-  FROM (SELECT doc_id, n, regexp_extract_all(line, {_SPLIT}) AS w FROM pieces) WHERE len(w) >= 5),
+  FROM (SELECT doc_id, n, regexp_extract_all(line, {_SPLIT}) AS w FROM pieces) WHERE len(w) >= 1),
 same AS (SELECT array_to_string(w, ' ') AS k, min(place) AS place FROM lines GROUP BY k),
+short AS (SELECT place, array_to_string(w, ' ') AS s FROM lines WHERE len(w) < 8 AND length(array_to_string(w, ' ')) >= 16),
 forms AS (
   SELECT place, array_to_string(list_concat(list_concat(w[1:i - 1], [chr(9)]), w[i + 1:]), ' ') AS k
   FROM (SELECT place, w, unnest(range(1, len(w) + 1)) AS i FROM lines WHERE len(w) >= 8)
   UNION ALL
   SELECT place, array_to_string(list_concat(list_concat(w[1:i], [chr(9)]), w[i + 1:]), ' ') AS k
-  FROM (SELECT place, w, unnest(range(0, len(w) + 1)) AS i FROM lines WHERE len(w) >= 8)),
+  FROM (SELECT place, w, unnest(range(0, len(w) + 1)) AS i FROM lines WHERE len(w) >= 8)
+  UNION ALL SELECT place, s[1:i - 1] || chr(10) || s[i + 1:] AS k FROM (SELECT place, s, unnest(range(1, length(s) + 1)) AS i FROM short)
+  UNION ALL SELECT place, s[1:i] || chr(10) || s[i + 1:] AS k FROM (SELECT place, s, unnest(range(0, length(s) + 1)) AS i FROM short)),
 near AS (SELECT k, min(place) AS place FROM forms GROUP BY k HAVING count(*) > 1),
 gone AS (
   SELECT l.place FROM lines l JOIN same s ON s.k = array_to_string(l.w, ' ') WHERE s.place < l.place
