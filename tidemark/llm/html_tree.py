@@ -30,13 +30,16 @@ _QUOTE_OR_END = re.compile(r"[\"'>]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "words", "parts", "digest", "n_text")
+    __slots__ = ("tag", "parent", "words", "parts", "digest", "n_text", "n_link", "place")
 
     def __init__(self, tag: str, parent: Node | None, words: frozenset[str]):
         self.tag, self.parent, self.words = tag, parent, words
         self.parts: list[Node | str] = []
         self.digest = 0
-        self.n_text = 0
+        self.n_text = 0  # characters of text, and those of them in links
+        self.n_link = 0
+        #: names the path of tags and class words from the root
+        self.place = xxhash.xxh3_64_intdigest(f"{parent.place if parent else 0} {tag} {' '.join(sorted(words))}")
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -155,7 +158,7 @@ def _end_tag(tag: str, stack: list[Node], close) -> None:
 
 def _finish(node: Node) -> None:
     h = xxhash.xxh3_64(node.tag + " " + " ".join(sorted(node.words)))
-    total = 0
+    total = links = 0
     for p in node.parts:
         if isinstance(p, str):
             s = " ".join(p.split())
@@ -167,7 +170,8 @@ def _finish(node: Node) -> None:
             h.update(b"e")
             h.update(p.digest.to_bytes(8, "little"))
             total += p.n_text
-    node.digest, node.n_text = h.intdigest(), total
+            links += p.n_link
+    node.digest, node.n_text, node.n_link = h.intdigest(), total, total if node.tag == "a" else links
 
 
 def blocks(root: Node, gone) -> list[str]:

@@ -1,18 +1,21 @@
 """HTML extraction by site template removal.
 
-What a site repeats is not the article: menus, headers, footers, sidebars and notices come back on
-page after page of one host.  Every element subtree is hashed (tag, class, text and children); Spark
-counts, per host, on how many different pages each hash occurs; subtrees found on many are deleted
-from the pages of that host.  Pages with the same body count once, so copies of one page do not turn
-its article into a template.  What stands inside ``article`` or ``main`` is counted too, but there it must
-come back among different text: near copies of one article share their paragraphs and also the text around
-them.  The text around a subtree is named by the longest other block of its article.
-
-What a host repeats too rarely to be seen (a small site, an advert that changes) is left to the
-element's own name and class words: navigation, forms, adverts, reader comments and the like.  Text
-outside ``article`` and ``main`` stays unless it is a template or so marked.  Only on a host with fewer
-than ``min_pages`` different pages, where nothing can be counted, the text outside goes if the page's
-articles hold at least as much text.
+What a site repeats at one place of its pages is not the article: menus, headers, footers, sidebars and notices.  Every
+element subtree is hashed (tag, class, text and children) and named with its place (the path of tags and class words from
+the root).  Spark counts, per host, on how many different pages each hash stands at its place, and deletes it there
+
+- if it stands on at least ``MIN_SHARE`` of the host's pages that have the place, or
+- if the place rotates: at least ``MIN_SHARE`` of all that the host's pages have there recurs, as with a menu or an
+  advert drawn from some versions.  Only containers go by this; single paragraphs, list items and cells do not.
+
+Both rules are shares, alike on hosts of any size; what stands on one page only is no template.  Headings are never
+templates by themselves.  Inside ``article`` and ``main`` recurrence proves nothing (recipes all say "Method"), so there only
+subtrees go of which half of the text are links.  Pages with the same body count once, so copies of one page do not turn
+its text into a template.
+
+What a host shows too rarely to be counted (a page of its own, an advert that changes) is left to the
+element's own name and class words: navigation, forms, adverts, reader comments and the like
+(``by_words=False`` leaves these rules out).
 
 The counts leave Spark only as the hashes of the templates.  Up to ``SEND_LIMIT`` of them (8 bytes
 each) are sent to the tasks; beyond that each page is joined with its own templates instead.
@@ -20,7 +23,8 @@ each) are sent to the tasks; beyond that each page is joined with its own templa
 Defined results: NULL or empty html gives an empty text; a NULL url or one without a host is one
 host of its own (the empty one); broken or cut off html is read as far as it goes; a page of any length
 is read whole; repeated rows each get their row; an empty table gives no rows; other columns are
-ignored whatever their names.
+ignored whatever their names.  Known limit: on a host where near copies of one page are most of all pages,
+their shared paragraphs outside of ``article`` and ``main`` are templates.
 """
 
 from __future__ import annotations
@@ -36,9 +40,8 @@ from pyspark.sql import functions as F
 from .html_tree import INLINE, Node, blocks, parse, walk
 from .tables import KEY, staged
 
-#: a template occurs on this many different pages of its host, and on this share of them
-MIN_PAGES = 3
-MIN_SHARE = 0.002
+#: share of the pages with a place on which a template stands there
+MIN_SHARE = 0.5
 #: most template hashes sent to the tasks (8 bytes each)
 SEND_LIMIT = 2_000_000
 
@@ -50,6 +53,9 @@ NOT_ARTICLE_WORDS = frozenset(
     "newsletter subscribe subscription footer contentinfo complementary search toolbar widget skip pagination".split()
 )
 ARTICLE = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: blocks that are no containers
+PIECES = frozenset("p li dt dd td th tr caption figcaption blockquote pre address summary legend".split())
 
 _HOST = re.compile(r"://([^/?#]*)")
 
@@ -71,110 +77,77 @@ def _in_article(node: Node) -> bool:
     return False
 
 
-def _template_hash(host: str, node: Node) -> int:
-    """One number for a subtree on a host (the same subtree on another host is another)."""
-    return xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass") + b"\0" + node.digest.to_bytes(8, "little")) - (1 << 63)
+def _signed(h: int) -> int:
+    return h - (1 << 63)
 
 
 def _host_hash(host: str) -> int:
-    return xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def _countable(node: Node) -> bool:
-    """Subtrees that can be a template: blocks with text."""
-    return node.n_text > 0 and node.tag not in INLINE and node.tag not in ("#root", "html", "body", "head", *ARTICLE)
-
-
-def _around(article: Node):
-    """(subtree, longest block of the article outside of it) of each countable subtree; 0 where it is all."""
-    order, leaves, first = [], [], {}
-    todo: list[tuple[Node, bool]] = [(article, False)]
-    while todo:
-        x, done = todo.pop()
-        if done:
-            if first[id(x)] == len(leaves):  # no block inside
-                leaves.append((x.n_text, x.digest))
-            order.append((x, first[id(x)], len(leaves)))
-            continue
-        if _countable(x):
-            first[id(x)] = len(leaves)
-            todo.append((x, True))
-        todo.extend((p, False) for p in reversed(x.parts) if not isinstance(p, str))
-    none = (0, 0)
-    before, after = [none], [none]
-    for leaf in leaves:
-        before.append(max(before[-1], leaf))
-    for leaf in reversed(leaves):
-        after.append(max(after[-1], leaf))
-    for x, lo, hi in order:
-        yield x, max(before[lo], after[len(leaves) - hi])[1] - (1 << 63)
+    return _signed(xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass")))
+
+
+def template_hash(host: str, node: Node) -> int:
+    """One number for a subtree at its place on a host."""
+    return _signed(xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass") + b"\0" + node.place.to_bytes(8, "little") + node.digest.to_bytes(8, "little")))
+
+
+def countable(node: Node) -> bool:
+    """Subtrees that can be a template: blocks with text, no headings; in an article mostly links."""
+    if not node.n_text or node.tag in INLINE or node.tag in HEADINGS or node.tag in ("#root", "html", "body", "head", *ARTICLE):
+        return False
+    return 2 * node.n_link >= node.n_text or not _in_article(node)
+
+
+def _body(root: Node) -> int:
+    """Names a page by the text of its articles, or of its whole body."""
+    main = [x for x in walk(root) if x.tag in ARTICLE] or [x for x in walk(root) if x.tag == "body"] or [root]
+    return _signed(xxhash.xxh3_64_intdigest("\n".join(b for x in main for b in blocks(x, lambda _: False)).encode("utf-8", "surrogatepass")))
 
 
 def _subtrees(batches):
-    """(host, template, page, around) of each page's subtrees; the NULL template stands for the page itself."""
+    """(host, place, template, piece, page) of each page's subtrees; a NULL template stands for the place itself."""
     for batch in batches:
-        host_out, template, page, around = [], [], [], []
+        columns: dict[str, list] = {"host": [], "place": [], "template": [], "piece": [], "page": []}
         for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             host = host_of(url)
-            hh = _host_hash(host)
             root = parse(source or "")
-            main = [x for x in walk(root) if x.tag in ARTICLE] or [x for x in walk(root) if x.tag == "body"] or [root]
-            body = xxhash.xxh3_64_intdigest("\n".join(b for x in main for b in blocks(x, lambda _: False)).encode("utf-8", "surrogatepass")) - (1 << 63)
-            found = {_template_hash(host, x): body for x in walk(root) if _countable(x)}
-            for article in main:
-                if article.tag in ARTICLE:
-                    found.update((_template_hash(host, x), a) for x, a in _around(article))
-            host_out += [hh] * (len(found) + 1)
-            template += [*found, None]
-            page += [body] * (len(found) + 1)
-            around += [*found.values(), body]
-        columns = {"host": host_out, "template": template, "page": page, "around": around}
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
-
-
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(template) hashes of the subtrees that recur across the pages of their host, and of the hosts with enough
-    pages to count (``_host_hash``)."""
+            found = {(_signed(x.place), template_hash(host, x), x.tag in PIECES) for x in walk(root) if countable(x)}
+            found |= {(place, None, piece) for place, _, piece in found}
+            for name, values in zip(columns, ([_host_hash(host)] * len(found), *(zip(*found) if found else ((), (), ())), [_body(root)] * len(found))):
+                columns[name].extend(values)
+        kinds = {"piece": pa.bool_()}
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in columns.items()], names=list(columns))
+
+
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_share: float = MIN_SHARE) -> DataFrame:
+    """(template) hashes of the subtrees that recur at their place across the pages of their host."""
     rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    each = rows.mapInArrow(_subtrees, "host long, template long, page long, around long").groupBy("host", "template", "page").agg(F.min("around").alias("around"))
-    # pages by the text around the subtree
-    by_text = each.groupBy("host", "template", "around").agg(F.count(F.lit(1)).alias("pages"))
-    counts = by_text.groupBy("host", "template").agg(F.sum("pages").alias("n"), F.count(F.lit(1)).alias("n_around"))
-    n = staged(counts.where(f"n >= {min_pages} or template is null"), "subtrees")
-    total = n.where("template is null").select("host", F.col("n").alias("n_pages"))
-    # among different text on most of its pages
-    spread = n.where(f"template is not null and n_around >= {min_pages} and 2 * n_around >= n")
-    found = spread.join(total, "host").where(F.col("n") >= F.col("n_pages") * min_share).select("template")
-    return found.unionByName(total.where(f"n_pages >= {min_pages}").select(F.col("host").alias("template")))
-
-
-def extract(source: str | None, host: str, templates) -> str:
-    """The article of one page; ``templates(hash)`` says whether a subtree is a template, and whether the host's
-    pages could be counted."""
+    each = rows.mapInArrow(_subtrees, "host long, place long, template long, piece boolean, page long").distinct()
+    n = staged(each.groupBy("host", "place", "template", "piece").agg(F.count(F.lit(1)).alias("n")), "subtrees")
+    of_place = n.groupBy("host", "place").agg(
+        F.sum(F.when(F.col("template").isNull(), F.col("n"))).alias("pages"),
+        F.sum(F.when(F.col("template").isNotNull(), F.col("n"))).alias("all"),
+        F.sum(F.when(F.col("template").isNotNull() & (F.col("n") > 1), F.col("n"))).alias("again"),
+    )
+    found = n.where("template is not null and n > 1").join(of_place, ["host", "place"])
+    often = F.col("n") >= F.col("pages") * min_share
+    rotates = ~F.col("piece") & (F.col("again") >= F.col("all") * min_share)
+    return found.where(often | rotates).select("template")
+
+
+def extract(source: str | None, host: str, templates, by_words: bool = True) -> str:
+    """The article of one page; ``templates(hash)`` says whether a subtree is a template."""
     if not source:
         return ""
-    root = parse(source)
 
     def gone(node: Node) -> bool:
-        return _marked(node) or node.tag == "header" and not _in_article(node) or _countable(node) and templates(_template_hash(host, node))
-
-    whole = blocks(root, gone)
-    if templates(_host_hash(host)):
-        return " ".join(whole)
-    kept = {id(x) for x in walk(root) if x.tag in ARTICLE and not x.words & NOT_ARTICLE_WORDS}
-    chosen, todo = [], [root]
-    while todo:  # the outermost marked articles that nothing removed holds
-        x = todo.pop()
-        if id(x) in kept:
-            chosen.append(x)
-        elif not gone(x):
-            todo.extend(p for p in reversed(x.parts) if not isinstance(p, str))
-    found = [b for x in chosen for b in blocks(x, gone)]
-    size = sum(map(len, found))
-    return " ".join(found if found and 2 * size >= sum(map(len, whole)) else whole)
-
-
-def _extract(templates):
+        if by_words and (_marked(node) or node.tag == "header" and not _in_article(node)):
+            return True
+        return node.tag == "head" or countable(node) and templates(template_hash(host, node))
+
+    return " ".join(blocks(parse(source), gone))
+
+
+def _extract(templates, by_words: bool):
     """Adds the text; ``templates``: broadcast sorted hashes, or None to read them from the row."""
 
     def run(batches):
@@ -189,7 +162,7 @@ def _extract(templates):
                 else:
                     every = templates.value
                     test = lambda h: (k := int(np.searchsorted(every, h))) < len(every) and every[k] == h  # noqa: E731,B023
-                out.append(extract(source, host_of(url), test))
+                out.append(extract(source, host_of(url), test, by_words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("url")), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=["id", "url", "text", "n_chars"],
@@ -205,25 +178,27 @@ def _page_templates(batches):
         cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("ka", "kb", "url", "html")]
         for ka, kb, url, source in zip(*cols):
             host = host_of(url)
-            found = {_template_hash(host, x) for x in walk(parse(source or "")) if _countable(x)} | {_host_hash(host)}
+            found = {template_hash(host, x) for x in walk(parse(source or "")) if countable(x)}
             a += [ka] * len(found)
             b += [kb] * len(found)
             t += found
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(t, pa.int64())], names=[*KEY, "template"])
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", send_limit: int = SEND_LIMIT, **template_options) -> DataFrame:
+def main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", send_limit: int = SEND_LIMIT, by_words: bool = True, min_share: float = MIN_SHARE,
+) -> DataFrame:
     """One row per page: id, url, ``text`` and ``n_chars``."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    templates = staged(site_templates(rows, "url", "html", **template_options), "templates")
-    kind = rows.schema["id"].dataType.simpleString()
+    templates = staged(site_templates(rows, "url", "html", min_share), "templates")
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, url string, text string, n_chars long"
     if templates.count() <= send_limit:
-        sent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in templates.collect()], np.int64)))
-        out = rows.mapInArrow(_extract(sent), f"id {kind}, url string, text string, n_chars long")
+        sent = spark.sparkContext.broadcast(np.sort(templates.toArrow().column(0).to_numpy()))
+        out = rows.mapInArrow(_extract(sent, by_words), schema)
     else:
         keyed = rows.withColumns({"ka": F.xxhash64("url", "html"), "kb": F.xxhash64(F.lit(0x5EED), "url", "html")})
         own = keyed.mapInArrow(_page_templates, "ka long, kb long, template long").join(templates, "template", "left_semi")
-        own = own.groupBy(*KEY).agg(F.collect_set("template").alias("templates"))
-        out = keyed.join(own, KEY, "left").select("id", "url", "html", "templates").mapInArrow(_extract(None), f"id {kind}, url string, text string, n_chars long")
+        own = staged(own.groupBy(*KEY).agg(F.collect_set("template").alias("templates")), "own_templates")
+        out = keyed.join(own, KEY, "left").select("id", "url", "html", "templates").mapInArrow(_extract(None, by_words), schema)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
