@@ -8,6 +8,7 @@ written as Parquet in the shared folder and read back as the next one's input.
 from __future__ import annotations
 
 import functools
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +18,27 @@ from tidemark.llm.langid import UNDETERMINED, identify, learn
 from tidemark.llm.line_dedup import dedup_lines
 from tidemark.llm.ngram_join import one_of_each_group
 from tidemark.llm.packing import pack
-from tidemark.llm.tables import delete_scratch, made, staged
+from tidemark.llm.tables import delete_scratch, recorded, staged
 
 #: a text goes if no language holds this share of its words
 MIN_SHARE = 0.35
 
 
-_left: list[str] = []  # scratch tables of the stage before
+#: scratch tables of the stage before, by application, thread and data
+_left: dict[tuple, list[str]] = {}
 
 
 def stage(f):
-    """A stage begins after its predecessor's rows were written and read back, so what the predecessor kept
-    in the shared folder on the way can go."""
+    """A stage begins after its predecessor's rows were written and read back, so what the predecessor of the same
+    pipeline kept in the shared folder on the way can go."""
 
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete_scratch(spark, _left)
-        _left.clear()
-        before = len(made)
-        out = f(spark, docs, sf_dir)
-        _left.extend(made[before:])
+        pipeline = (spark.sparkContext.applicationId, threading.get_ident(), sf_dir)
+        delete_scratch(spark, _left.pop(pipeline, []))
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        _left[pipeline] = paths
         return out
 
     return run_stage
@@ -56,8 +58,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines, short ones too; a text of which no word is left goes."""
-    done = dedup_lines(docs, min_words=1).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Removes repeated and nearly repeated lines; a text of which no word is left goes."""
+    done = dedup_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
