@@ -38,7 +38,7 @@ def test_analyze_then_copy(spark, tmp_path):
     rel = sorted(r["relative_path"] for r in good.collect())
     assert rel == ["d1/big.pdf", "head.pdf", "only.epub", "pref.pdf"]  # d2/big.pdf is a duplicate of d1
     dup_dir = out + "_duplicates"
-    assert os.path.isdir(dup_dir)
+    assert os.path.isfile(dup_dir)
     results, summary = copy_manifest(spark, out, str(tmp_path / "import"), mode="rename")
     s = summary.first()
     assert (s["total"], s["success"], s["failed"]) == (4, 4, 0)

@@ -48,3 +48,29 @@ def test_document_scan_prunes_columns(spark):
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plan)
     assert schemas == ["struct<doc_id:bigint,text:string>"]
     assert "lang" not in plan and "n_chars" not in plan
+
+
+def test_staged_cascade_joins_the_lake_once_a_stage(spark, mk):
+    """The lake's rows meet the library's keys in one join per stage, whose result is pinned; nothing is hashed twice."""
+    from tidemark.session import materialize
+
+    lake = mk([(f"a{i}.pdf", i % 7, f"p{i % 5}", f"f{i % 3}") for i in range(60)])
+    lib = mk([(f"l{i}.pdf", i % 4, f"p{i % 3}", f"f{i % 2}") for i in range(20)], root="/library")
+    plans, hashed = [], []
+
+    def pin(df):
+        plans.append(_plan(df))
+        return materialize(df)
+
+    def add(df, stage):
+        hashed.append(stage)
+        return df
+
+    out = cmp.classify_staged(lake, lib, add, materialize=pin)
+    joins = [p for p in plans if "LeftOuter" in p]
+    assert len(joins) == 3 and all(p.count("Join") == 1 for p in joins) and hashed == ["1k", "full"]
+    # what is left is a union of the pinned rows
+    assert "Join" not in _plan(out)
+    want = cmp.classify(lake, lib)
+    key = ("full_path", "stage", "stage_no", "processing_status")
+    assert sorted(map(tuple, out.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))

@@ -206,3 +206,38 @@ def test_unreadable_state_is_an_error(spark, tmp_path):
     (tmp_path / "state/part-0.parquet").write_bytes(hashlib.sha256(b"").digest())
     with pytest.raises(Exception):
         read_state(spark, str(tmp_path / "state")).count()
+
+
+# --- resumed runs look at what the files are now ---------------------------------------------------
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_resume_analyses_changed_files_anew_and_drops_vanished_ones(spark, tmp_path, fmt):
+    lake, lib, out = tmp_path / "lake", tmp_path / "lib", str(tmp_path / "missing")
+    put(lib / "z.pdf", "library content")
+    put(lake / "a.pdf", "abc")
+    put(lake / "same_size.pdf", "12345")
+    put(lake / "gone.pdf", "goes away")
+    put(lake / "kept.pdf", "stays as it is")
+    run_analysis(spark, str(lake), str(lib), out, fmt=fmt)
+    assert read_manifest(spark, out, fmt)[0].count() == 4
+    # rewritten with content that the library has now, also at equal size; one path is gone
+    put(lake / "a.pdf", "library content")
+    put(lake / "same_size.pdf", "54321")
+    put(lib / "y.pdf", "54321")
+    later = os.stat(lake / "same_size.pdf").st_mtime + 5
+    os.utime(lake / "same_size.pdf", (later, later))
+    (lake / "gone.pdf").unlink()
+    counts = run_analysis(spark, str(lake), str(lib), out, fmt=fmt, resume_from=out)
+    assert [r["filename"] for r in read_manifest(spark, out, fmt)[0].collect()] == ["kept.pdf"]
+    assert (counts["prior_changed"], counts["prior_vanished"], counts["written"]) == (2, 1, 1)
+
+
+def test_a_changed_item_that_is_still_missing_has_its_new_size(spark, tmp_path):
+    lake, lib, out = tmp_path / "lake", tmp_path / "lib", str(tmp_path / "missing")
+    put(lib / "z.pdf", "l")
+    put(lake / "a.pdf", "abc")
+    run_analysis(spark, str(lake), str(lib), out)
+    put(lake / "a.pdf", "longer now")
+    run_analysis(spark, str(lake), str(lib), out, resume_from=out)
+    assert [r["file_size"] for r in read_manifest(spark, out)[0].collect()] == [10]

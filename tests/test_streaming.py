@@ -32,7 +32,7 @@ def test_two_waves(spark, tmp_path):
 
 
 def test_library_digests_are_cached_across_batches(spark, tmp_path):
-    from tidemark.streaming.ingest import library_cache_path
+    from tidemark.streaming.ingest import read_library
 
     lake, lib = tmp_path / "lake", tmp_path / "lib"
     content = b"L" * 2000
@@ -41,7 +41,7 @@ def test_library_digests_are_cached_across_batches(spark, tmp_path):
     library = materialize(scan_manifest(spark, str(lib)))
     state, ckpt = str(tmp_path / "state"), str(tmp_path / "ckpt")
     start_ingest(spark, str(lake), library, state, ckpt).awaitTermination()
-    cached = spark.read.parquet(library_cache_path(state)).collect()
+    cached = read_library(spark, state).where("full_hash is not null").collect()
     assert {r["full_path"] for r in cached} == {str(lib / "book.pdf")}
     assert read_state(spark, state).count() == 0
     # the library file can no longer be read: only the cached digest can show that the next

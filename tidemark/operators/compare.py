@@ -217,15 +217,18 @@ def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: st
             .withColumn("processing_status", st.processing_status(F.lit(stage)))
         )
 
-    # key sets of each stage are pinned (one row per key) so AQE can split a hot lake key
-    sizes = _materialize(key_set(lib, ["file_size"]))
-    unique1, cand1 = stage_size(lake, lib, sizes)
+    # key sets of each stage are pinned (one row per key) so AQE can split a hot lake key; the flagged rows of each
+    # stage are pinned too: both outcomes and the library's pruning read them, the lake is joined once a stage
+    f1 = _flagged(lake, _materialize(key_set(lib, ["file_size"])), ["file_size"], pin)
+    unique1, cand1 = f1.where("_hit is null").drop("_hit"), f1.where("_hit").drop("_hit")
     cand1h, lib2 = _hash_together(cand1, prune_library_by_size(lib, cand1), "1k", add_hashes, pin)
-    prefixes = _materialize(key_set(lib2, ["file_size", "prefix_hash"]))
-    unique2, cand2 = stage_prefix(cand1h, lib2, on_unhashed, keys=prefixes)
+    f2 = _flagged(cand1h, _materialize(key_set(lib2, ["file_size", "prefix_hash"])), ["file_size", "prefix_hash"], pin)
+    unique2, cand2 = f2.where("_hit is null").drop("_hit"), f2.where("_hit").drop("_hit")
     cand2h, lib3 = _hash_together(cand2, prune_library_by_prefix(lib2, cand2), "full", add_hashes, pin)
-    fulls = _materialize(key_set(lib3, ["file_size", "full_hash"]))
-    unique3, dup3 = stage_full(cand2h, lib3, on_unhashed, keys=fulls)
+    f3 = _flagged(cand2h, _materialize(key_set(lib3, ["file_size", "full_hash"])), ["file_size", "full_hash"], pin)
+    unique3, dup3 = f3.where("_hit is null").drop("_hit"), f3.where("_hit").drop("_hit")
+    if on_unhashed == "drop":
+        unique2, unique3 = unique2.where("prefix_hash is not null"), unique3.where("full_hash is not null")
     if hashed_library is not None:
         hashed_library.extend([lib2, lib3])
     parts = [
@@ -249,6 +252,11 @@ def classify_staged(lake: DataFrame, lib: DataFrame, add_hashes, on_unhashed: st
     return out
 
 
+def _flagged(rows: DataFrame, distinct_keys: DataFrame, keys: list[str], pin) -> DataFrame:
+    """``rows`` with ``_hit``: TRUE where the library has the key, else NULL (one left join, pinned)."""
+    return pin(rows.join(distinct_keys.withColumn("_hit", F.lit(True)), keys, "left").select(*rows.columns, "_hit"))
+
+
 def _hash_together(lake_rows: DataFrame, lib_rows: DataFrame, stage: str, add_hashes, pin):
     """Hash the lake candidates and the library rows of one stage in a single reader pass (one
     set of byte-balanced tasks, one pin), then split them by side again."""

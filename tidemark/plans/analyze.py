@@ -28,6 +28,7 @@ class AnalyzeResult:
     duplicates: DataFrame  # duplicates report (empty when dedup='none')
     summary: DataFrame  # files and bytes per stage (A5)
     dedup_summary: DataFrame | None  # before / after / removed (A7)
+    changes: DataFrame | None = None  # of a resumed run: prior paths that changed or vanished
 
 
 def analyze(
@@ -123,19 +124,20 @@ def run_analysis(
     exts = DEFAULT_EXTENSIONS if extensions is None else extensions
     threshold = LARGE_FILE_BYTES if large_threshold is None else large_threshold
     add = file_hasher(hasher, large_threshold=threshold)
-    lake = _materialize(scan_manifest(spark, lake_root, exts, include_hidden=include_hidden))
-    lib = _materialize(scan_manifest(spark, library_root, exts, include_hidden=include_hidden))
+    lake = _materialize(scan_manifest(spark, lake_root, exts, include_hidden=include_hidden, with_time=True))
+    lib = _materialize(scan_manifest(spark, library_root, exts, include_hidden=include_hidden, with_time=True))
     prior = None
     if resume_from is not None:
         if not path_exists(spark, resume_from):
             raise FileNotFoundError(f"Manifest to resume from does not exist: {resume_from}")
         prior, _ = read_manifest(spark, resume_from, fmt)
         check_hasher(prior, hasher)
-        prior = prior.select(*[c for c in lake.columns if c in prior.columns])
+        stamp = ["processed_at"] if "processed_at" in prior.columns else []
+        prior = prior.select(*[c for c in lake.columns if c in prior.columns], *stamp)
         for c in lake.columns:
             if c not in prior.columns:
                 prior = prior.withColumn(c, F.lit(None).cast(lake.schema[c].dataType))
-        prior = _materialize(prior.select(*lake.columns))  # ``output`` may be the same manifest
+        prior = _materialize(prior.select(*lake.columns, *stamp))  # ``output`` may be the same manifest
         res = resume_merge(lake, lib, prior, dedup=dedup, on_unhashed=on_unhashed,
                            add_hashes=add)
     else:
@@ -145,6 +147,8 @@ def run_analysis(
     write_duplicates(res.duplicates, output + "_duplicates")
     counts = {r["stage"]: int(r["n_files"]) for r in res.summary.collect()}
     counts["written"] = missing.count()
+    if res.changes is not None:
+        counts.update({f"prior_{r['change']}": int(r["count"]) for r in res.changes.groupBy("change").count().collect()})
     routed = route_files(lake, prior.select("full_path") if prior is not None else None, threshold)
     for r in route_summary(routed).collect():
         counts[f"route_{r['route']}"] = int(r["n_files"])

@@ -21,6 +21,7 @@ from ..operators.routing import route_files
 from ..sources.manifest_io import manifest_counts, parse_manifest
 from ..sources.manifest_io import processed_paths as processed_paths_of
 from ..sources.tables import table_manifest
+from ..streaming.delta import advance
 from ..streaming.incremental import resume
 from ..session import materialize
 from .analyze import analyze
@@ -370,6 +371,36 @@ def q_resume_merge(spark, sf_dir):
     return merged.missing.select("doc_id", "stage")
 
 
+def two_waves(spark, waves, libraries):
+    """R2 over tables: the lake's rows with their outcome after each wave came and the library became the next one."""
+    lake = library = None
+    for new, library_now in zip(waves, libraries):
+        lake, library, _ = advance(lake, library, new, library_now)
+    return lake
+
+
+def _waves(spark, sf_dir):
+    """Odd documents arrive in two waves; between them a tenth of the library's documents go and others come."""
+    lake, lib = lake_library(spark, sf_dir)
+    d = F.col("doc_id")
+    return [lake.where(d % 4 == 1), lake.where(d % 4 == 3)], [lib.where(d % 6 != 0), lib.where(d % 10 != 0)]
+
+
+def q_ingest_two_waves(spark, sf_dir):
+    state = two_waves(spark, *_waves(spark, sf_dir))
+    recorded = state.where(F.col("outcome") == "missing").groupBy("file_size", "full_hash").agg(F.count(F.lit(1)).alias("n_recorded"))
+    same = state.where(F.col("outcome") != "in_library").groupBy("file_size", "full_hash").agg(F.count(F.lit(1)).alias("n_items"))
+    return recorded.join(same, ["file_size", "full_hash"]).select("file_size", "full_hash", "n_recorded", "n_items")
+
+
+def q_ingest_changes(spark, sf_dir):
+    """The second step's signed changes: contents whose last library copy went, and contents that came to the library."""
+    (first, second), (before, after) = _waves(spark, sf_dir)
+    lake, library, _ = advance(None, None, first.unionByName(second), before)
+    events = advance(lake, library, first.limit(0), after)[2]
+    return events.select("sign", "file_size", "full_hash")
+
+
 # --- S6, S8 -----------------------------------------------------------------------------
 
 
@@ -549,6 +580,8 @@ QUERIES = {
     "duplicates_report_content": q_duplicates_report_content,
     "resume_anti": q_resume_anti,
     "resume_merge": q_resume_merge,
+    "ingest_two_waves": q_ingest_two_waves,
+    "ingest_changes": q_ingest_changes,
     "manifest_rejects": q_manifest_rejects,
     "manifest_parsed": q_manifest_parsed,
     "manifest_count": q_manifest_count,

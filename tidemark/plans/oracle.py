@@ -307,6 +307,15 @@ SELECT doc_id FROM lake WHERE NOT EXISTS (SELECT 1 FROM processed p WHERE p.full
     SELECT m.doc_id, m.stage, row_number() OVER (PARTITION BY full_hash ORDER BY p.doc_id IS NULL, stage_no, full_path, m.doc_id) AS rn
     FROM missing m LEFT JOIN prior p ON p.doc_id = m.doc_id)
 SELECT doc_id, stage FROM ranked WHERE rn = 1""",
+    "ingest_two_waves": f"""{LL}
+SELECT file_size, full_hash, CAST(1 AS BIGINT) AS n_recorded, count(*) AS n_items FROM lake l
+WHERE NOT EXISTS (SELECT 1 FROM lib b WHERE b.full_hash = l.full_hash AND b.doc_id % 10 <> 0) GROUP BY file_size, full_hash""",
+    "ingest_changes": f"""{LL},
+  contents AS (
+    SELECT DISTINCT file_size, full_hash,
+      EXISTS (SELECT 1 FROM lib b WHERE b.full_hash = l.full_hash AND b.doc_id % 6 <> 0) AS had,
+      EXISTS (SELECT 1 FROM lib b WHERE b.full_hash = l.full_hash AND b.doc_id % 10 <> 0) AS has FROM lake l)
+SELECT CAST(CASE WHEN has THEN -1 ELSE 1 END AS INTEGER) AS sign, file_size, full_hash FROM contents WHERE had <> has""",
     "manifest_rejects": f"""{MANIFEST_TEXT}
 SELECT relative_path, file_size, reason FROM tf WHERE reason IS NOT NULL""",
     "manifest_parsed": f"""{MANIFEST_TEXT}

@@ -155,8 +155,8 @@ def list_files_binary(spark: SparkSession, root: str, glob: str | None = None) -
 
 
 def manifest_from_listing(listing: DataFrame, root: str, extensions=DEFAULT_EXTENSIONS,
-                          case_sensitive: bool = False) -> DataFrame:
-    """S2 + P1: filter by extension and derive the manifest columns.  Manifest order is the order of
+                          case_sensitive: bool = False, with_time: bool = False) -> DataFrame:
+    """S2 + P1: filter by extension and derive the manifest columns (``with_time``: ``mtime_ms`` last).  Manifest order is the order of
     ``full_path``, whatever the listing's partitions, so every position is 0 here and readers that need one
     row of many break ties by path."""
     root = fs.normalize(root)
@@ -179,6 +179,7 @@ def manifest_from_listing(listing: DataFrame, root: str, extensions=DEFAULT_EXTE
         F.lit(None).cast("string").alias("full_hash"),
         F.lit(0).cast("bigint").alias("position"),
         F.lit(None).cast("string").alias("error_message"),
+        *([F.col("mtime_ms")] if with_time else []),
     )
 
 
@@ -189,6 +190,7 @@ def scan_manifest(
     exclude: DataFrame | None = None,
     case_sensitive: bool = False,
     include_hidden: bool = True,
+    with_time: bool = False,
 ) -> DataFrame:
     """Manifest of the files below ``root`` whose extension is requested.
 
@@ -197,7 +199,7 @@ def scan_manifest(
     root = fs.normalize(root)
     check_root(root)
     listing = list_files(spark, root) if include_hidden else list_files_binary(spark, root)
-    m = manifest_from_listing(listing, root, extensions, case_sensitive)
+    m = manifest_from_listing(listing, root, extensions, case_sensitive, with_time)
     if exclude is not None:
         m = m.join(exclude.select("full_path").distinct(), "full_path", "left_anti")
     return m
