@@ -45,7 +45,7 @@ def test_library_changes_between_batches_equal_a_full_run(spark, tmp_path):
     for i, c in enumerate(r.sample(contents, 9)):
         _w(lib / f"l{i}.pdf", c)
     seen = retracted = 0
-    for batch in range(6):
+    for batch in range(4):
         new = []
         for i in range(r.randint(0, 5)):
             p = lake / f"w{batch}" / f"{i}.pdf"
