@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
-from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, pack_columns, recorded, release, shuffle_partitions, staged, unpack_columns, with_key
+from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, pack_columns, recorded, release, shuffle_partitions, staged, staged_parts, unpack_columns, with_key
 from .words import give_back, mix, row_slices, utf8
 
 _U = np.uint64
@@ -271,6 +271,14 @@ def _set_rows(size: int):
     return run
 
 
+class Sets(Bucketed):
+    """(ka, kb, n, sketch, set) of texts; ``elements`` counts the members of all sets."""
+
+    def __init__(self, texts: DataFrame, size: int):
+        super().__init__(texts.mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
+        self.elements = self.table.agg(F.sum("n")).first()[0] or 0
+
+
 def _most(n, m, num: int, den: int):
     """The largest symmetric difference of linked sets of sizes n and m."""
     return (den - num) * (n + m) // (den + num)
@@ -289,7 +297,7 @@ def _possible(num: int, den: int):
                 x, p = (np.frombuffer(col(c)[i].as_buffer(), np.uint8) for c in ("xs", "ps"))
                 size = min(len(x), len(p))
                 keep[i] = int(np.bitwise_count(fold(x, size) ^ fold(p, size)).sum()) <= most[i]
-            yield batch.filter(pa.array(keep, pa.bool_())).select([*_PAIR, "large"])
+            yield batch.filter(pa.array(keep, pa.bool_())).select([*_PAIR, "large", "xn"])
 
     return run
 
@@ -347,17 +355,28 @@ def _verify(num: int, den: int):
     return run
 
 
-def _decide(pairs: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame:
-    """The pairs (x, p, large) that the sketches let through, with the verdict of the exact sets."""
-    light, full = ("n", "sketch"), ("set",)
+def _decide(pairs: DataFrame, kept: Sets, num: int, den: int, name: str) -> DataFrame:
+    """The pairs (x, p, large) that the sketches let through, with the verdict of the exact sets.
+
+    A text may be in many pairs, and each moves its set to the partner's: pairs are decided in slices that
+    move about as many bytes of sets as all texts have, however many pairs there are."""
 
     def side(cols, end, new):
-        return sets.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), *[F.col(c).alias(f"{end}{k}") for c, k in zip(cols, new)])
+        return kept.table.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), *[F.col(c).alias(f"{end}{k}") for c, k in zip(cols, new)])
 
+    light, full = ("n", "sketch"), ("set",)
     both = pairs.join(side(light, "x", ("n", "s")), ["xa", "xb"]).join(side(light, "p", ("n", "s")), ["pa", "pb"])
-    both = both.mapInArrow(_possible(num, den), "xa long, xb long, pa long, pb long, large boolean")
-    both = both.join(side(full, "x", ("_set",)), ["xa", "xb"]).join(side(full, "p", ("_set",)), ["pa", "pb"])
-    return staged(both.mapInArrow(_verify(num, den), "xa long, xb long, pa long, pb long, large boolean, far boolean, difference binary, least int"), name)
+    possible = staged(both.mapInArrow(_possible(num, den), "xa long, xb long, pa long, pb long, large boolean, xn long"), "possible", small=True)
+    slices = -(-(possible.agg(F.sum("xn")).first()[0] or 0) // kept.elements) if kept.elements else 0
+
+    def verdicts(these: DataFrame) -> DataFrame:
+        sets = these.drop("xn").join(side(full, "x", ("_set",)), ["xa", "xb"]).join(side(full, "p", ("_set",)), ["pa", "pb"])
+        return sets.mapInArrow(_verify(num, den), "xa long, xb long, pa long, pb long, large boolean, far boolean, difference binary, least int")
+
+    sliced = (possible.where(F.pmod(F.xxhash64(*_PAIR), F.lit(slices)) == i) for i in range(slices)) if slices > 1 else (possible,)
+    out = staged_parts(map(verdicts, sliced), name)
+    discard(possible)
+    return out
 
 
 def _parts(links: DataFrame) -> DataFrame:
@@ -413,25 +432,24 @@ def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
     discard(met)
     weight = staged(_centrality(members), "weight", small=True)
     ends = weight.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"))
-    kept = Bucketed(texts.table.join(ends, KEY, "left_semi").mapInArrow(_set_rows(size), "ka long, kb long, n long, sketch binary, set binary"), "sets")
-    sets = kept.table
+    kept = Sets(texts.table.join(ends, KEY, "left_semi"), size)
     texts.drop()
     links = parts = None
     while True:
         buckets_of = _buckets(members, weight, parts, "buckets")
         discard(members)
         stars = buckets_of.where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
-        verified = _decide(stars, sets, num, den, "stars")
+        verified = _decide(stars, kept, num, den, "stars")
         near = verified.where("not far").select(*_PAIR)
         links, parts = _more_links(links, parts, near)
         labelled = staged(_with_part(buckets_of.where(F.col("n").between(3, SMALL)), parts), "labelled", small=True)
         discard(buckets_of)
         mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-        light = sets.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("n").alias("size"), "sketch")
+        light = kept.table.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("n").alias("size"), "sketch")
         # at most SMALL members each
         of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
         inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
-        more = _decide(inside, sets, num, den, "inside")
+        more = _decide(inside, kept, num, den, "inside")
         todo = _next_keys(verified, parts)
         discard(verified, labelled)
         found = more.where("not far").select(*_PAIR)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -114,6 +115,21 @@ def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return out
 
 
+def staged_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """Frames of one schema written one after another into one scratch table; the shuffle files of each go before
+    the next begins, so the disk holds those of one part at a time."""
+    path = None
+    for df in parts:
+        spark, schema = df.sparkSession, df.schema
+        path = path or scratch_path(spark, name)
+        with shuffles_freed(spark):
+            df.write.mode("append").parquet(path)
+    release(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete frames that ``staged`` returned, as soon as all that is read from them is written."""
     for df in frames:
