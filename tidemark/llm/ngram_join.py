@@ -326,55 +326,75 @@ def _inside_buckets(num: int, den: int):
     return run
 
 
+def _set_pairs(batch):
+    for x, p in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("x_set", "p_set"))):
+        yield np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(p.as_buffer(), "<u8")
+
+
 def _verify(num: int, den: int):
-    """Decides each pair on its sets.  For large buckets also the member's difference set, and the least
-    overlap with the difference set of any partner that the next round is to find."""
+    """Decides each pair on its sets.  Also the least overlap of the member's difference set with that of any
+    partner that the next round is to find."""
 
     def run(batches):
         for batch in batches:
-            col = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731,B023
-            far, difference, leasts = [], [], []
-            for x, p, large in zip(col("x_set"), col("p_set"), col("large").to_pylist()):
-                x, p = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(p.as_buffer(), "<u8")
-                d = np.setxor1d(x, p, assume_unique=True)
-                both = (len(x) + len(p) - len(d)) // 2
+            far, leasts = [], []
+            for x, p in _set_pairs(batch):
+                differ = len(np.setxor1d(x, p, assume_unique=True))
+                both = (len(x) + len(p) - differ) // 2
                 linked = den * both >= num * (len(x) + len(p) - both)
                 if linked:  # a far partner shares more than num / (num + den) of the difference
-                    least = num * len(d) // (num + den) + 1
+                    least = num * differ // (num + den) + 1
                 else:  # any partner differs from x in at most this many shingles
-                    least = max(1, len(d) - (den - num) * len(x) // num)
+                    least = max(1, differ - (den - num) * len(x) // num)
                 far.append(not linked)
-                difference.append(d.tobytes() if large else None)
                 leasts.append(least)
             give_back()
-            yield pa.RecordBatch.from_arrays(
-                [*(col(c) for c in (*_PAIR, "large")), pa.array(far, pa.bool_()), pa.array(difference, pa.binary()), pa.array(leasts, pa.int32())],
-                names=[*_PAIR, "large", "far", "difference", "least"],
-            )
+            kept = batch.select([*_PAIR, "large", "xn"])
+            yield kept.append_column("far", pa.array(far, pa.bool_())).append_column("least", pa.array(leasts, pa.int32()))
 
     return run
 
 
-def _decide(pairs: DataFrame, kept: Sets, num: int, den: int, name: str) -> DataFrame:
-    """The pairs (x, p, large) that the sketches let through, with the verdict of the exact sets.
+def _difference(batches):
+    """Adds the difference set of each pair."""
+    for batch in batches:
+        difference = [np.setxor1d(x, p, assume_unique=True).tobytes() for x, p in _set_pairs(batch)]
+        give_back()
+        yield batch.select([*_PAIR, "far", "least", "chunks", "chunk"]).append_column("difference", pa.array(difference, pa.binary()))
+
+
+def _slices_of(pairs: DataFrame, kept: Sets) -> int:
+    """In how many slices pairs are to be joined with their sets."""
+    return max(1, -(-(pairs.agg(F.sum("xn")).first()[0] or 0) // max(1, kept.elements)))
 
-    A text may be in many pairs, and each moves its set to the partner's: pairs are decided in slices that
-    move about as many bytes of sets as all texts have, however many pairs there are."""
 
-    def side(cols, end, new):
-        return kept.table.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), *[F.col(c).alias(f"{end}{k}") for c, k in zip(cols, new)])
+def _slice(pairs: DataFrame, by: list[str], slices: int, i: int) -> DataFrame:
+    return pairs.where(F.pmod(F.xxhash64(*by), F.lit(slices)) == i) if slices > 1 else pairs
 
-    light, full = ("n", "sketch"), ("set",)
-    both = pairs.join(side(light, "x", ("n", "s")), ["xa", "xb"]).join(side(light, "p", ("n", "s")), ["pa", "pb"])
-    possible = staged(both.mapInArrow(_possible(num, den), "xa long, xb long, pa long, pb long, large boolean, xn long"), "possible", small=True)
-    slices = -(-(possible.agg(F.sum("xn")).first()[0] or 0) // kept.elements) if kept.elements else 0
 
-    def verdicts(these: DataFrame) -> DataFrame:
-        sets = these.drop("xn").join(side(full, "x", ("_set",)), ["xa", "xb"]).join(side(full, "p", ("_set",)), ["pa", "pb"])
-        return sets.mapInArrow(_verify(num, den), "xa long, xb long, pa long, pb long, large boolean, far boolean, difference binary, least int")
+def _on_sets(pairs: DataFrame, kept: Sets, task, schema: str, name: str) -> DataFrame:
+    """``task`` over the pairs (x, p, xn, ...) with both sets.
 
-    sliced = (possible.where(F.pmod(F.xxhash64(*_PAIR), F.lit(slices)) == i) for i in range(slices)) if slices > 1 else (possible,)
-    out = staged_parts(map(verdicts, sliced), name)
+    A text may be in many pairs, and each moves its set to the partner's: pairs go in slices that move about as
+    many bytes of sets as all texts have, however many pairs there are."""
+
+    def both(these: DataFrame) -> DataFrame:
+        for end in "xp":
+            own = kept.table.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), F.col("set").alias(f"{end}_set"))
+            these = these.join(own, [f"{end}a", f"{end}b"])
+        return these.mapInArrow(task, schema)
+
+    slices = _slices_of(pairs, kept)
+    return staged_parts((both(_slice(pairs, _PAIR, slices, i)) for i in range(slices)), name)
+
+
+def _decide(pairs: DataFrame, kept: Sets, num: int, den: int, name: str) -> DataFrame:
+    """The pairs (x, p, large) that the sketches let through, with the verdict of the exact sets."""
+    for end in "xp":
+        own = kept.table.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), F.col("n").alias(f"{end}n"), F.col("sketch").alias(f"{end}s"))
+        pairs = pairs.join(own, [f"{end}a", f"{end}b"])
+    possible = staged(pairs.mapInArrow(_possible(num, den), "xa long, xb long, pa long, pb long, large boolean, xn long"), "possible", small=True)
+    out = _on_sets(possible, kept, _verify(num, den), "xa long, xb long, pa long, pb long, large boolean, xn long, far boolean, least int", name)
     discard(possible)
     return out
 
@@ -398,22 +418,34 @@ def _with_part(members: DataFrame, parts: DataFrame) -> DataFrame:
     return members.join(of, ["xa", "xb"], "left").withColumn("part", F.coalesce("part", "xa"))
 
 
-def _next_keys(verified: DataFrame, parts: DataFrame) -> DataFrame:
+def _next_keys(verified: DataFrame, parts: DataFrame, kept: Sets) -> DataFrame:
     """(x, far, keys) of the members of large buckets whose pivot has a far member and members of several
     components.
 
     The elements of a pivot's members are ordered by how often they occur in some ``CHUNK`` of the members
     (any order gives the same links; rare elements first make small buckets).  Members are taken ``CHUNK``
-    at a time, so a pivot with any number of them is no large group."""
+    at a time, so a pivot with any number of them is no large group.  Difference sets are made for these members
+    only, some pivots at a time."""
     large = _with_part(verified.where("large"), parts)
     of = large.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any_far"), F.min("part").alias("lo"), F.max("part").alias("hi"))
     of = of.where("members > 1 and any_far and lo <> hi").select("pa", "pb", F.ceil(F.col("members") / CHUNK).alias("chunks"))
-    pairs = large.join(of, ["pa", "pb"]).select(*_PAIR, "far", "difference", "least", "chunks")
-    pairs = staged(pairs.withColumn("chunk", F.pmod(F.xxhash64("xa", "xb"), F.col("chunks"))), "open")
+    pairs = large.join(of, ["pa", "pb"]).select(*_PAIR, "far", "least", "chunks", "xn")
+    pairs = staged(pairs.withColumn("chunk", F.pmod(F.xxhash64("xa", "xb"), F.col("chunks"))), "open", small=True)
+    slices = _slices_of(pairs, kept)
     group = ["pa", "pb", "chunk"]
-    counts = pairs.where("chunk = 0").groupBy("pa", "pb").applyInArrow(_element_counts, "pa long, pb long, chunks long, elements binary, counts binary")
-    counts = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    keys = staged(pairs.groupBy(*group).cogroup(counts.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary"), "keys", small=True)
+
+    def keys_of_slices():
+        for i in range(slices):
+            differ = _on_sets(
+                _slice(pairs, ["pa", "pb"], slices, i), kept, _difference,
+                "xa long, xb long, pa long, pb long, far boolean, least int, chunks long, chunk long, difference binary", "differ",
+            )
+            counts = differ.where("chunk = 0").groupBy("pa", "pb").applyInArrow(_element_counts, "pa long, pb long, chunks long, elements binary, counts binary")
+            counts = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+            yield differ.groupBy(*group).cogroup(counts.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary")
+            discard(differ)
+
+    keys = staged_parts(keys_of_slices(), "keys")
     discard(pairs)
     return keys
 
@@ -450,7 +482,7 @@ def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
         of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
         inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
         more = _decide(inside, kept, num, den, "inside")
-        todo = _next_keys(verified, parts)
+        todo = _next_keys(verified, parts, kept)
         discard(verified, labelled)
         found = more.where("not far").select(*_PAIR)
         if not found.isEmpty():
