@@ -132,3 +132,27 @@ def test_low_thresholds_lose_no_link(spark):
         assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(data, 1, num, 100)
     with pytest.raises(ValueError):
         bands(0, 100)
+
+
+def test_pairs_and_difference_sets_in_slices(spark, monkeypatch):
+    """Large buckets whose pairs are decided, and whose difference sets are made, in several slices."""
+    one_go, rows = ngram_join._slices_of, []
+    next_keys = ngram_join._next_keys
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "CHUNK", 8)
+    monkeypatch.setattr(ngram_join, "_slices_of", lambda pairs, kept: max(2, one_go(pairs, kept)))
+
+    def counted(*args):
+        keys = next_keys(*args)
+        rows.append(keys.count())
+        return keys
+
+    monkeypatch.setattr(ngram_join, "_next_keys", counted)
+    r = random.Random(8)
+    passage = [f"s{i}" for i in range(14)]
+    texts = family(members=20) + [" ".join(passage + [f"o{r.randrange(4000)}" for _ in range(30)]) for _ in range(40)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[21::3]]  # near copies that share the passage with all others
+    data = list(enumerate(texts))
+    got = collect(similar_groups(spark.createDataFrame(data, "doc_id long, text string"), size=4, num=85, den=100))
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(data, 4, 85, 100)
+    assert sum(rows) > 0
