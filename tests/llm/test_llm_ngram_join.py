@@ -156,3 +156,48 @@ def test_pairs_and_difference_sets_in_slices(spark, monkeypatch):
     got = collect(similar_groups(spark.createDataFrame(data, "doc_id long, text string"), size=4, num=85, den=100))
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(data, 4, 85, 100)
     assert sum(rows) > 0
+
+
+def test_no_difference_set_is_written_and_batches_are_small(spark, monkeypatch):
+    """Difference sets move to their pivot's task only; wide rows go to the workers few at a time."""
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(batch), []
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+
+    def recording(f):
+        def g(*args, **kwargs):
+            out = f(*args, **kwargs)
+            seen.append((args[1], out.columns, spark.conf.get(batch)))
+            return out
+
+        return g
+
+    for name in ("staged", "staged_parts"):
+        monkeypatch.setattr(ngram_join, name, recording(getattr(ngram_join, name)))
+    passage = [f"s{i}" for i in range(14)]
+    r = random.Random(8)
+    texts = [" ".join(passage + [f"o{r.randrange(4000)}" for _ in range(30)]) for _ in range(40)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[::3]]
+    data = list(enumerate(texts))
+    got = collect(similar_groups(spark.createDataFrame(data, "doc_id long, text string"), size=4, num=85, den=100))
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(data, 4, 85, 100)
+    inside = [x for x in seen if x[0] != "groups"]
+    assert "keys" in [name for name, _, _ in inside] and all("difference" not in columns for _, columns, _ in inside)
+    assert all(int(size) <= 8 << 20 for _, _, size in inside) and spark.conf.get(batch) == before
+
+
+def test_elements_of_one_member_are_no_keys():
+    def table(chunks, members):
+        as_set = lambda x: np.array(x, "<u8").tobytes()
+        of = pa.table({"xa": [1, 2, 3], "xb": [0] * 3, "far": [True] * 3, "least": [1] * 3, "x_set": [as_set(x) for x in members]})
+        pivot = pa.table({"p_set": [as_set([1, 2, 3])], "chunks": [chunks], "elements": pa.array([None], pa.binary()), "counts": pa.array([None], pa.binary())})
+        key = (pa.scalar(7), pa.scalar(8))
+        counts = ngram_join._element_counts(key, of, pivot)
+        for c in ("elements", "counts"):
+            pivot = pivot.set_column(pivot.column_names.index(c), c, counts.column(c))
+        return {r["xa"]: set(np.frombuffer(r["keys"], "<u8").tolist()) for r in ngram_join._first_elements(key, of, pivot).to_pylist()}
+
+    members = [[1, 2, 3, 10, 11], [1, 2, 3, 11, 12], [1, 2, 3, 13]]
+    some, every = table(1, members), table(2, members)  # with further chunks an element may be another's too
+    assert set(some) == {1, 2} and len(some[1]) == 1 and some[1] == some[2] == every[1] & every[2]
+    assert {x: len(k) for x, k in every.items()} == {1: 2, 2: 2, 3: 1}

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
-from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, pack_columns, recorded, release, shuffle_partitions, staged, staged_parts, unpack_columns, with_key
+from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, pack_columns, recorded, release, shuffle_partitions, small_batches, staged, staged_parts, unpack_columns, with_key
 from .words import give_back, mix, row_slices, utf8
 
 _U = np.uint64
@@ -147,32 +147,39 @@ def _differences(buckets: int):
     return run
 
 
-def _element_counts(key, table):
+def _difference_sets(members, pivot):
+    """The difference set of each member's set and the pivot's."""
+    p = np.frombuffer(pivot.column("p_set")[0].as_buffer(), "<u8")
+    return [np.setxor1d(np.frombuffer(x.as_buffer(), "<u8"), p, assume_unique=True) for x in members.column("x_set")]
+
+
+def _element_counts(key, members, pivot):
     """How many of some of a pivot's members have each element in their difference sets (elements of
     two or more)."""
-    e, n = np.unique(np.concatenate([np.frombuffer(d, "<u8") for d in table.column("difference").to_pylist()]), return_counts=True)
+    e, n = np.unique(np.concatenate(_difference_sets(members, pivot)), return_counts=True)
     e, n = e[n > 1], n[n > 1]
     return pa.table({
-        "pa": pa.array([key[0].as_py()], pa.int64()), "pb": pa.array([key[1].as_py()], pa.int64()), "chunks": table.column("chunks")[:1].combine_chunks(),
+        "pa": pa.array([key[0].as_py()], pa.int64()), "pb": pa.array([key[1].as_py()], pa.int64()),
         "elements": pa.array([e.tobytes()], pa.binary()), "counts": pa.array([n.astype("<u4").tobytes()], pa.binary()),
     })
 
 
-def _first_elements(key, pairs, counts):
-    """The keys of each member: the first elements of its difference set, rare ones first."""
-    if counts.num_rows:
-        known, n = np.frombuffer(counts.column("elements")[0].as_py(), "<u8"), np.frombuffer(counts.column("counts")[0].as_py(), "<u4")
-    else:
-        known, n = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+def _first_elements(key, members, pivot):
+    """The keys of each member: the first elements of its difference set, rare ones first.  Where all members were
+    counted, an element that only one of them has meets nothing and is no key."""
+    known, n = (np.frombuffer(pivot.column(c)[0].as_py() or b"", t) for c, t in (("elements", "<u8"), ("counts", "<u4")))
+    all_counted = pivot.column("chunks")[0].as_py() == 1
+    tag = mix(np.array([key[0].as_py()], np.int64).view(np.uint64) ^ mix(np.array([key[1].as_py()], np.int64).view(np.uint64)))
     keys = []
-    for a, b, d, least in zip(*(pairs.column(c).to_pylist() for c in ("pa", "pb", "difference", "least"))):
-        d = np.frombuffer(d, "<u8")
+    for d, least in zip(_difference_sets(members, pivot), members.column("least").to_pylist()):
         at = np.minimum(np.searchsorted(known, d), max(len(known) - 1, 0))
         often = np.where(known[at] == d, n[at], 0) if len(known) else np.zeros(len(d), np.uint32)
-        d = d[np.lexsort([d, often])][: max(0, len(d) - least + 1)]
-        tag = mix(np.array([a], np.int64).view(np.uint64) ^ mix(np.array([b], np.int64).view(np.uint64)))
-        keys.append(mix(d ^ tag).tobytes())
-    return pa.table({**{c: pairs.column(c) for c in ("xa", "xb", "far")}, "keys": pa.array(keys, pa.binary())})
+        first = np.lexsort([d, often])[: max(0, len(d) - least + 1)]
+        if all_counted:
+            first = first[often[first] > 0]
+        keys.append(mix(d[first] ^ tag).tobytes())
+    some = pa.array([len(k) > 0 for k in keys], pa.bool_())
+    return pa.table({**{c: members.column(c) for c in ("xa", "xb", "far")}, "keys": pa.array(keys, pa.binary())}).filter(some)
 
 
 def _meet(batches):
@@ -355,14 +362,6 @@ def _verify(num: int, den: int):
     return run
 
 
-def _difference(batches):
-    """Adds the difference set of each pair."""
-    for batch in batches:
-        difference = [np.setxor1d(x, p, assume_unique=True).tobytes() for x, p in _set_pairs(batch)]
-        give_back()
-        yield batch.select([*_PAIR, "far", "least", "chunks", "chunk"]).append_column("difference", pa.array(difference, pa.binary()))
-
-
 def _slices_of(pairs: DataFrame, kept: Sets) -> int:
     """In how many slices pairs are to be joined with their sets."""
     return max(1, -(-(pairs.agg(F.sum("xn")).first()[0] or 0) // max(1, kept.elements)))
@@ -424,8 +423,8 @@ def _next_keys(verified: DataFrame, parts: DataFrame, kept: Sets) -> DataFrame:
 
     The elements of a pivot's members are ordered by how often they occur in some ``CHUNK`` of the members
     (any order gives the same links; rare elements first make small buckets).  Members are taken ``CHUNK``
-    at a time, so a pivot with any number of them is no large group.  Difference sets are made for these members
-    only, some pivots at a time."""
+    at a time, so a pivot with any number of them is no large group.  The members' sets meet the pivot's there, some
+    pivots at a time, and difference sets are never written."""
     large = _with_part(verified.where("large"), parts)
     of = large.groupBy("pa", "pb").agg(F.count(F.lit(1)).alias("members"), F.max("far").alias("any_far"), F.min("part").alias("lo"), F.max("part").alias("hi"))
     of = of.where("members > 1 and any_far and lo <> hi").select("pa", "pb", F.ceil(F.col("members") / CHUNK).alias("chunks"))
@@ -433,17 +432,19 @@ def _next_keys(verified: DataFrame, parts: DataFrame, kept: Sets) -> DataFrame:
     pairs = staged(pairs.withColumn("chunk", F.pmod(F.xxhash64("xa", "xb"), F.col("chunks"))), "open", small=True)
     slices = _slices_of(pairs, kept)
     group = ["pa", "pb", "chunk"]
+    x_sets = kept.table.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("set").alias("x_set"))
+    p_sets = kept.table.select(F.col("ka").alias("pa"), F.col("kb").alias("pb"), F.col("set").alias("p_set"))
 
     def keys_of_slices():
         for i in range(slices):
-            differ = _on_sets(
-                _slice(pairs, ["pa", "pb"], slices, i), kept, _difference,
-                "xa long, xb long, pa long, pb long, far boolean, least int, chunks long, chunk long, difference binary", "differ",
-            )
-            counts = differ.where("chunk = 0").groupBy("pa", "pb").applyInArrow(_element_counts, "pa long, pb long, chunks long, elements binary, counts binary")
-            counts = counts.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-            yield differ.groupBy(*group).cogroup(counts.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary")
-            discard(differ)
+            these = _slice(pairs, ["pa", "pb"], slices, i)
+            members = these.join(x_sets, ["xa", "xb"]).select(*group, "xa", "xb", "far", "least", "x_set")
+            pivots = these.select(*group, "chunks").distinct().join(p_sets, ["pa", "pb"]).toDF("pa", "pb", "chunk", "chunks", "p_set")
+            counts = members.where("chunk = 0").groupBy(*group).cogroup(pivots.where("chunk = 0").groupBy(*group))
+            counts = staged(counts.applyInArrow(_element_counts, "pa long, pb long, elements binary, counts binary"), "counts", small=True)
+            pivots = pivots.join(counts, ["pa", "pb"], "left")
+            yield members.groupBy(*group).cogroup(pivots.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary")
+            discard(counts)
 
     keys = staged_parts(keys_of_slices(), "keys")
     discard(pairs)
@@ -452,6 +453,11 @@ def _next_keys(verified: DataFrame, parts: DataFrame, kept: Sets) -> DataFrame:
 
 def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
     """((ka, kb, n_shingles) of the texts of ``rows(id, text)``, (ka, kb, part) of those with links)."""
+    with small_batches(rows.sparkSession):
+        return _linked_texts(rows, size, num, den)
+
+
+def _linked_texts(rows: DataFrame, size: int, num: int, den: int):
     spark = rows.sparkSession
     n = shuffle_partitions(spark)
     buckets = 2 * n

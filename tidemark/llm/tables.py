@@ -100,6 +100,23 @@ def shuffles_freed(spark: SparkSession):
         spark.conf.set(_FREE_SHUFFLES, before)
 
 
+#: Spark sends rows to Python workers in batches of up to this many bytes (and 10,000 rows)
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """What is written inside sends texts and sets to Python workers in small batches: 10,000 wide rows fill both the
+    worker and native memory of the executor, much of which stays taken."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back (``small``: nothing worth releasing)."""
     spark = df.sparkSession
