@@ -11,6 +11,7 @@ from tidemark.llm import ngram_join
 from tidemark.llm.ngram_join import one_of_each_group, similar_groups
 from tidemark.llm.shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
 from tidemark.llm.tables import components
+from tidemark.llm.words import mix
 
 
 def shingles(text, size):
@@ -85,6 +86,31 @@ def test_linked_pairs_share_a_key_and_sketches_bound_the_difference():
     assert linked > 50
 
 
+def test_empty_blocks_of_unrelated_texts_do_not_meet():
+    b = bands(80, 100)
+    n = int(b.low[b.low <= 300][-1])  # a band's smallest sets have the most empty blocks
+    sets = np.sort(np.random.default_rng(4).integers(0, 2**64, (400, n), dtype=np.uint64), axis=1)
+    key = sketch_keys(np.arange(401) * n, sets.ravel(), b)[1]
+    assert np.unique(key, return_counts=True)[1].max() < 8
+
+
+@pytest.mark.parametrize("num", [70, 80, 85])
+def test_linked_sets_with_many_empty_blocks_share_a_key(num):
+    r, b = np.random.default_rng(num), bands(num, 100)
+    for n in (5, 12, 40, 100, 300):
+        blocks = int(b.blocks(b.of(n))[0])
+        pool = np.unique(r.integers(0, 2**64, 400_000, dtype=np.uint64))
+        place = mix(pool ^ np.uint64(0xA5A5A5A5DEADBEEF)) % np.uint64(blocks)
+        for used in {min(blocks, 2), -(-blocks // 3), -(-blocks // 2), blocks}:
+            a = r.permutation(pool[place < used])
+            swap, drop = n * (100 - num) // (100 + num), n * (100 - num) // 100
+            for x in (a[:n], a[swap : n + swap], a[drop:n]):
+                pair = [np.sort(a[:n]), np.sort(x)]
+                assert 100 * len(np.intersect1d(*pair)) >= num * len(np.union1d(*pair))
+                row, key = sketch_keys(np.cumsum([0, *map(len, pair)]), np.concatenate(pair), b)
+                assert np.intersect1d(key[row == 0], key[row == 1]).size
+
+
 def test_one_of_each_group_keeps_own_columns(spark):
     docs = documents(spark)
     kept = one_of_each_group(docs)

@@ -58,6 +58,17 @@ class Bands:
         while lows[-1] < 1 << 40:
             lows.append(max(lows[-1] + 1, int(lows[-1] * ratio)))
         self.low = np.array(lows, np.int64)
+        self.spare = self._spare_share(ratio)
+
+    def _spare_share(self, ratio: float) -> float:
+        """Spare blocks for each block that may differ: enough for the empty blocks (which meet those of any other
+        text) that the smallest sets of a band are to be expected to have, and some more."""
+        if self.num == self.den:
+            return 0.06
+        shingles = self.num / ((self.den - self.num) * ratio)  # of the smallest set for each block that may differ
+        shares = np.arange(6, 101) / 100
+        enough = shares[1.15 * (1 + shares) * np.exp(-shingles / (1 + shares)) <= shares]
+        return float(enough[0]) if len(enough) else 0.06  # for low thresholds none of these shares is enough
 
     def of(self, n):
         return np.searchsorted(self.low, n, side="right") - 1
@@ -69,7 +80,7 @@ class Bands:
         """(blocks, spare) of band k's sketch: of d + 1 + spare blocks at most d differ in a linked
         pair, so more than ``spare`` are equal."""
         d = self.most(k)
-        spare = np.where(d > 0, np.ceil(0.06 * (d + 1)).astype(np.int64) + 2, 0)
+        spare = np.where(d > 0, np.ceil(self.spare * (d + 1)).astype(np.int64) + 2, 0)
         return d + 1 + spare, spare
 
     def of_pairs(self, n):
@@ -93,9 +104,10 @@ def sketch_keys(first: np.ndarray, shingles: np.ndarray, b: Bands):
     sets.  The sketch is sparse and kept by blocks: a block's value is the XOR of a hash of each set
     bit (a bit flipped twice cancels).  The key is the block's value with its band and place.
 
-    Blocks without a set bit say nothing.  At most d blocks of a linked pair differ, so more than
-    ``spare`` are equal; a row leaves its empty blocks out only if it has at most ``spare`` of them,
-    so some key of the pair meets.
+    Blocks without a set bit say nothing: they are alike in unrelated texts, and their keys' buckets grow with the
+    number of texts.  A row leaves its first ``spare`` empty blocks out.  At most d blocks of a linked pair
+    differ, so more than ``spare`` are equal.  If one of these has a set bit, both rows keep it; else all are empty in
+    both, and the last of them has ``spare`` others before it in either row, so both keep that.
     """
     n = np.diff(first)
     rows = np.arange(len(n))
@@ -116,8 +128,8 @@ def sketch_keys(first: np.ndarray, shingles: np.ndarray, b: Bands):
         owner = np.repeat(rows, blocks)
         index = np.arange(len(value)) - base[owner]
         empty = value == 0
-        many = np.bincount(owner[empty], minlength=len(n)) > spare
-        keep = ~empty | many[owner]
+        before = np.cumsum(empty) - empty  # empty blocks before each block
+        keep = ~empty | (before - before[base[owner]] >= spare[owner])
         tag = mix((band[owner].astype(np.uint64) << _U(40)) + index.astype(np.uint64))
         out_row.append(owner[keep])
         out_key.append(mix(value ^ tag)[keep])
