@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from edge import WORD, collect, documents, sentence, vocabulary
 
-from tidemark.llm import ngram_join
+from tidemark.llm import ngram_join, tables
 from tidemark.llm.ngram_join import one_of_each_group, similar_groups
 from tidemark.llm.shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
 from tidemark.llm.tables import components
@@ -227,3 +227,74 @@ def test_elements_of_one_member_are_no_keys():
     some, every = table(1, members), table(2, members)  # with further chunks an element may be another's too
     assert set(some) == {1, 2} and len(some[1]) == 1 and some[1] == some[2] == every[1] & every[2]
     assert {x: len(k) for x, k in every.items()} == {1: 2, 2: 2, 3: 1}
+
+
+def test_scratch_tables_are_written_by_few_tasks(spark, monkeypatch):
+    # one file for each of many shuffle partitions took most of the time of a small join
+    monkeypatch.setattr(tables, "WRITERS_PER_CORE", 1, raising=False)
+    most, plain, files = spark.sparkContext.defaultParallelism, ngram_join.staged, {}
+
+    def counted(df, name, **more):
+        out = plain(df, name, **more)
+        files.setdefault(name, []).append(out.rdd.getNumPartitions() and len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    data = [(i, t) for i, t in enumerate(family(members=20))]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(2 * most + 3))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = collect(similar_groups(documents(spark, data), size=4, num=85, den=100))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(data, 4, 85, 100)
+    files.pop("groups")  # of the result, after the join
+    assert {"met", "members", "weight", "buckets", "possible", "parts"} <= set(files)
+    assert all(n <= most for counts in files.values() for n in counts), files
+
+
+def test_more_links_join_known_components(spark, monkeypatch):
+    plain, worked_on = ngram_join.components, []
+
+    def spied(edges):
+        worked_on.append(sorted(map(tuple, edges.collect())))
+        return plain(edges)
+
+    monkeypatch.setattr(ngram_join, "components", spied)
+    links = lambda *pairs: spark.createDataFrame([(x, -x, p, -p) for x, p in pairs], "xa long, xb long, pa long, pb long")
+
+    def groups(parts):
+        out = {}
+        for r in parts.collect():
+            assert r.kb == -r.ka
+            out.setdefault(r.part, []).append(r.ka)
+        return sorted(sorted(g) for g in out.values())
+
+    parts = ngram_join._more_links(None, links((2, 1), (3, 2), (4, 3), (11, 10), (12, 11), (21, 20)))
+    assert groups(parts) == [[1, 2, 3, 4], [10, 11, 12], [20, 21]]
+    assert len(worked_on.pop()) == 6
+    same = ngram_join._more_links(parts, links((4, 1), (12, 10)))  # inside components: nothing to do
+    assert same is parts and not worked_on
+    parts = ngram_join._more_links(parts, links((4, 2), (12, 4), (31, 30), (41, 20)))
+    assert groups(parts) == [[1, 2, 3, 4, 10, 11, 12], [20, 21, 41], [30, 31]]
+    assert len(worked_on.pop()) == 3  # no link inside a component
+    parts = ngram_join._more_links(parts, links((50, 41), (31, 50), (61, 60)))
+    assert groups(parts) == [[1, 2, 3, 4, 10, 11, 12], [20, 21, 30, 31, 41, 50], [60, 61]]
+    assert ngram_join._more_links(parts, links()) is parts
+
+
+def test_many_rounds_with_new_links_in_each(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 2)  # all larger buckets are divided
+    more, calls = ngram_join._more_links, []
+
+    def counted(parts, found):
+        out = more(parts, found)
+        calls.append(out is not parts)
+        return out
+
+    monkeypatch.setattr(ngram_join, "_more_links", counted)
+    data = [(i, t) for i, t in enumerate(family(seed=11, members=60) + family(seed=12, members=30))]
+    assert collect(similar_groups(documents(spark, data), size=4, num=85, den=100)) == brute(data, 4, 85, 100)
+    assert sum(calls) > 1  # components were joined after the first round

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
-from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, pack_columns, recorded, release, shuffle_partitions, small_batches, staged, staged_parts, unpack_columns, with_key
+from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, few_files, pack_columns, recorded, release, shuffle_partitions, small_batches, staged, staged_parts, unpack_columns, with_key
 from .words import give_back, mix, row_slices, utf8
 
 _U = np.uint64
@@ -49,6 +49,7 @@ _DTYPE = np.dtype([("key", "<u8"), ("pivot", "<u4"), ("text", "<u4"), ("kind", "
 _PIVOT, _MEMBER, _SIZE = 0, 2, 4
 _MET = "kind int, key long, xa long, xb long, pa long, pb long, far boolean"
 _PAIR = ["xa", "xb", "pa", "pb"]
+_KEYS = "xa long, xb long, far boolean, keys binary"
 #: buckets of up to this many members are compared inside one task
 SMALL = 256
 #: members of one pivot handled together when large buckets are divided
@@ -430,6 +431,9 @@ def _next_keys(verified: DataFrame, parts: DataFrame, kept: Sets) -> DataFrame:
     of = of.where("members > 1 and any_far and lo <> hi").select("pa", "pb", F.ceil(F.col("members") / CHUNK).alias("chunks"))
     pairs = large.join(of, ["pa", "pb"]).select(*_PAIR, "far", "least", "chunks", "xn")
     pairs = staged(pairs.withColumn("chunk", F.pmod(F.xxhash64("xa", "xb"), F.col("chunks"))), "open", small=True)
+    if pairs.isEmpty():
+        discard(pairs)
+        return staged(pairs.sparkSession.createDataFrame([], _KEYS), "keys", small=True)
     slices = _slices_of(pairs, kept)
     group = ["pa", "pb", "chunk"]
     x_sets = kept.table.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("set").alias("x_set"))
@@ -443,7 +447,7 @@ def _next_keys(verified: DataFrame, parts: DataFrame, kept: Sets) -> DataFrame:
             counts = members.where("chunk = 0").groupBy(*group).cogroup(pivots.where("chunk = 0").groupBy(*group))
             counts = staged(counts.applyInArrow(_element_counts, "pa long, pb long, elements binary, counts binary"), "counts", small=True)
             pivots = pivots.join(counts, ["pa", "pb"], "left")
-            yield members.groupBy(*group).cogroup(pivots.groupBy(*group)).applyInArrow(_first_elements, "xa long, xb long, far boolean, keys binary")
+            yield members.groupBy(*group).cogroup(pivots.groupBy(*group)).applyInArrow(_first_elements, _KEYS)
             discard(counts)
 
     keys = staged_parts(keys_of_slices(), "keys")
@@ -458,10 +462,14 @@ def _components_of_texts(rows: DataFrame, size: int, num: int, den: int):
 
 
 def _linked_texts(rows: DataFrame, size: int, num: int, den: int):
-    spark = rows.sparkSession
-    n = shuffle_partitions(spark)
-    buckets = 2 * n
     texts = DistinctTexts(rows)
+    with few_files(rows.sparkSession, texts.path):
+        return _links_found(texts, size, num, den)
+
+
+def _links_found(texts: DistinctTexts, size: int, num: int, den: int):
+    n = shuffle_partitions(texts.spark)
+    buckets = 2 * n
     dealt = texts.table.mapInArrow(_sketches(size, num, den, buckets), _ENTRY).repartition(n, "bucket")
     met = staged(dealt.mapInArrow(_meet, _MET), "met")
     del dealt
@@ -472,14 +480,16 @@ def _linked_texts(rows: DataFrame, size: int, num: int, den: int):
     ends = weight.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"))
     kept = Sets(texts.table.join(ends, KEY, "left_semi"), size)
     texts.drop()
-    links = parts = None
+    parts = todo = None
     while True:
         buckets_of = _buckets(members, weight, parts, "buckets")
         discard(members)
+        if parts is not None and buckets_of.isEmpty():
+            discard(buckets_of)
+            break
         stars = buckets_of.where("not (xa = pa and xb = pb)").groupBy(*_PAIR).agg(F.max(F.col("n") > SMALL).alias("large"))
         verified = _decide(stars, kept, num, den, "stars")
-        near = verified.where("not far").select(*_PAIR)
-        links, parts = _more_links(links, parts, near)
+        parts = _more_links(parts, verified.where("not far").select(*_PAIR))
         labelled = staged(_with_part(buckets_of.where(F.col("n").between(3, SMALL)), parts), "labelled", small=True)
         discard(buckets_of)
         mixed = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
@@ -488,12 +498,10 @@ def _linked_texts(rows: DataFrame, size: int, num: int, den: int):
         of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
         inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
         more = _decide(inside, kept, num, den, "inside")
+        parts = _more_links(parts, more.where("not far").select(*_PAIR))
+        discard(more, labelled)
         todo = _next_keys(verified, parts, kept)
-        discard(verified, labelled)
-        found = more.where("not far").select(*_PAIR)
-        if not found.isEmpty():
-            links, parts = _more_links(links, parts, found)
-        discard(more)
+        discard(verified)
         if todo.isEmpty():
             break
         level = staged(todo.mapInArrow(_differences(buckets), _ENTRY).repartition(n, "bucket").mapInArrow(_meet, _MET), "level")
@@ -501,16 +509,42 @@ def _linked_texts(rows: DataFrame, size: int, num: int, den: int):
         members = staged(_members(level), "members")
         discard(level)
     kept.drop()
-    discard(weight, todo, links)
+    discard(weight, todo)
     return sizes, parts
 
 
-def _more_links(links: DataFrame | None, parts: DataFrame | None, found: DataFrame):
-    """All links with those found, and the components they make; what they replace is deleted."""
-    every = staged(found if links is None else links.unionByName(found), "links", small=True)
-    now = _parts(every)
-    discard(links, parts)
-    return every, now
+def _more_links(parts: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components that the links found make with those known; what they replace is deleted.
+
+    Known components are single nodes here, so the work is that of the links between different ones."""
+    if parts is None:
+        links = staged(found, "links", small=True)
+        parts = _parts(links)
+        discard(links)
+        return parts
+    for end in "xp":
+        of = parts.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), F.col("part").alias(f"{end}_part"))
+        found = found.join(of, [f"{end}a", f"{end}b"], "left")
+    links = staged(found.where("x_part is null or p_part is null or x_part <> p_part"), "links", small=True)
+    if links.isEmpty():
+        discard(links)
+        return parts
+    # texts without links up to now get numbers above all in use
+    ends = [links.where(f"{end}_part is null").select(F.col(f"{end}a").alias("ka"), F.col(f"{end}b").alias("kb")) for end in "xp"]
+    above = parts.agg(F.max("part")).first()[0]
+    above = 0 if above is None else above + 1
+    first = staged(ends[0].unionByName(ends[1]).distinct().withColumn("node", F.monotonically_increasing_id() + F.lit(above)), "nodes", small=True)
+    edges = links
+    for end, node in zip("xp", "uv"):
+        of = first.select(F.col("ka").alias(f"{end}a"), F.col("kb").alias(f"{end}b"), F.col("node").alias(node))
+        edges = edges.join(of, [f"{end}a", f"{end}b"], "left").withColumn(node, F.coalesce(f"{end}_part", node))
+    with recorded() as rounds:
+        roots = components(edges.select("u", "v"))
+    nodes = parts.withColumnRenamed("part", "node").unionByName(first)
+    now = staged(nodes.join(roots, "node", "left").select(*KEY, F.coalesce("root", "node").alias("part")), "parts", small=True)
+    discard(parts, links, first)
+    delete_scratch(parts.sparkSession, rounds)
+    return now
 
 
 def similar_groups(

@@ -117,12 +117,36 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
         spark.conf.set(_BATCH, before)
 
 
+_writers: ContextVar[int | None] = ContextVar("llm_writers", default=None)
+#: tasks that write a scratch table for each core, and bytes of the texts for each of these tasks
+WRITERS_PER_CORE, WRITER_BYTES = 4, 8 << 20
+
+
+@contextmanager
+def few_files(spark: SparkSession, path: str):
+    """Scratch tables made inside, none much larger than the table at ``path``, are written by as many tasks as keep all
+    cores busy, and more where that table is large; not by one for each shuffle partition, each with a file of its own.
+    A task then takes several partitions, one after another, so that it holds no more than before."""
+    p, fs = _hadoop(spark, path)
+    size = fs.getContentSummary(p).getLength()
+    token = _writers.set(max(WRITERS_PER_CORE * spark.sparkContext.defaultParallelism, -(-size // WRITER_BYTES)))
+    try:
+        yield
+    finally:
+        _writers.reset(token)
+
+
+def _for_writing(df: DataFrame) -> DataFrame:
+    n = _writers.get()
+    return df.coalesce(n) if n else df
+
+
 def staged(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back (``small``: nothing worth releasing)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with shuffles_freed(spark):
-        df.write.parquet(path)
+        _for_writing(df).write.parquet(path)
     schema = df.schema
     del df
     if not small:
@@ -140,7 +164,7 @@ def staged_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
         spark, schema = df.sparkSession, df.schema
         path = path or scratch_path(spark, name)
         with shuffles_freed(spark):
-            df.write.mode("append").parquet(path)
+            _for_writing(df).write.mode("append").parquet(path)
     release(spark)
     out = spark.read.schema(schema).parquet(path)
     out._scratch = path
