@@ -9,7 +9,7 @@ from edge import WORD, collect, documents, sentence, vocabulary
 
 from tidemark.llm import ngram_join, tables
 from tidemark.llm.ngram_join import one_of_each_group, similar_groups
-from tidemark.llm.shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
+from tidemark.llm.shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys, sketches
 from tidemark.llm.tables import components
 from tidemark.llm.words import mix
 
@@ -299,3 +299,62 @@ def test_many_rounds_with_new_links_in_each(spark, monkeypatch):
     got = collect(similar_groups(spark.createDataFrame(data, "doc_id long, text string"), size=4, num=85, den=100))
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute(data, 4, 85, 100)
     assert sum(calls) > 1  # components were joined after the first round
+
+
+def test_keys_left_out_lose_no_link():
+    """Whatever the common order, a linked pair shares a key that both texts keep."""
+    values = family(9, 60) + family(10, 20)
+    first, s = shingle_sets(pa.array(values), 4)
+    b = bands(85, 100)
+    row, key, left = sketches(first, s, b)
+    assert all(np.array_equal(x, y) for x, y in zip((row, key), sketch_keys(first, s, b))) and left.max() > 0
+    sets = [set(s[i:j].tolist()) for i, j in zip(first[:-1], first[1:])]
+    names, count = np.unique(key, return_counts=True)
+    rank = np.random.default_rng(5).permutation(len(names))
+    for order in (np.lexsort([names, -count]), np.lexsort([names, count]), rank):
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        keys = []
+        for i in range(len(values)):
+            own = key[row == i]
+            own = own[np.argsort(place[np.searchsorted(names, own)])]
+            keys.append({int(k) for odd in (0, 1) for k in own[own >> np.uint64(63) == odd][left[i, odd] :]})
+        linked = [(i, j) for i in range(len(values)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+        assert len(linked) > 50 and all(keys[i] & keys[j] for i, j in linked)
+
+
+def _with_steps(spark, monkeypatch, data):
+    """The result as counts, and how many rows of which scratch tables were written."""
+    plain, written = ngram_join.staged, {}
+
+    def counted(df, name, **more):
+        out = plain(df, name, **more)
+        written.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", counted)
+    got = collect(similar_groups(spark.createDataFrame(data, "doc_id long, text string"), size=4, num=85, den=100))
+    return Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), written
+
+
+def test_many_unrelated_texts_with_a_passage_take_one_round(spark, monkeypatch):
+    # the texts of a large bucket moved all their sets to the pivot's and went on to many small rounds
+    monkeypatch.setattr(ngram_join, "SMALL", 16)
+    r = random.Random(21)
+    passage = [f"s{i}" for i in range(9)]
+    texts = [" ".join(passage + [f"o{r.randrange(10**6)}" for _ in range(60)]) for _ in range(400)]
+    texts += [t.rsplit(" ", 1)[0] + " end" for t in texts[::40]]
+    data = list(enumerate(texts))
+    got, written = _with_steps(spark, monkeypatch, data)
+    assert got == brute(data, 4, 85, 100)
+    assert "level" not in written and max(written["possible"]) < 100, written
+
+
+@pytest.mark.parametrize("small,listed", [(64, 3), (2, 1 << 15)])
+def test_buckets_with_many_possible_pairs_are_divided(spark, monkeypatch, small, listed):
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    monkeypatch.setattr(ngram_join, "LISTED", listed)
+    data = list(enumerate(family(seed=11, members=50) + family(seed=12, members=30)))
+    got, written = _with_steps(spark, monkeypatch, data)
+    assert got == brute(data, 4, 85, 100)
+    assert "level" in written

@@ -7,13 +7,14 @@ by the connected components of the links.
    size per size band.  The Hamming distance of two sketches is a lower bound of the symmetric
    difference of the sets, so a linked pair has equal blocks: texts meet under their blocks' keys.
    Keys are dealt out as packed arrays after a local round in each batch: a key that a third of all texts
-   share sends one entry per batch.
+   share sends one entry per batch.  A linked pair has more equal blocks than one, so each text then leaves out
+   some keys that most texts share: unrelated texts with a passage or a common phrase in common seldom meet.
 2. Stars.  The members of a key's bucket are compared with one of them, the pivot: work linear in the
    bucket whatever its size; the pivot is the most central member.  A second, dense sketch rejects most pairs, the exact sets decide the rest.
    Most buckets are copies of one another or of one text, and now lie in one component.
 3. Small buckets (up to ``SMALL`` members) whose members are still in different components compare
    these members by their dense sketches inside one task; what the bound lets through is decided on the
-   exact sets.
+   exact sets.  A bucket that would list more than ``LISTED`` pairs is treated as a large one.
 4. Large buckets are divided.  Relative to the pivot a member is its difference set, and the
    symmetric difference of two members is that of their difference sets.  A link with a "far" member
    (one that does not link with the pivot) needs a known least overlap of the difference sets, so both hold a
@@ -34,24 +35,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shingles import bands, dense_sketches, fold, shingle_sets, sketch_keys
+from .shingles import bands, dense_sketches, fold, shingle_sets, sketches
 from .tables import KEY, Bucketed, DistinctTexts, components, delete_scratch, discard, few_files, pack_columns, recorded, release, shuffle_partitions, small_batches, staged, staged_parts, unpack_columns, with_key
 from .words import give_back, mix, row_slices, utf8
 
 _U = np.uint64
 _ENTRY = "bucket int, owners binary, entries binary"
 #: kind 0 and 1: a key's local pivot (1: some local member is far); 2 and 3: a member and its local
-#: pivot (3: some local member is far); 4: the size of a text's set
+#: pivot (3: some local member is far); 4: the size of a text's set and the keys that it may leave out
 _DTYPE = np.dtype([("key", "<u8"), ("pivot", "<u4"), ("text", "<u4"), ("kind", "u1")])
 _PIVOT, _MEMBER, _SIZE = 0, 2, 4
 _MET = "kind int, key long, xa long, xb long, pa long, pb long, far boolean"
 _PAIR = ["xa", "xb", "pa", "pb"]
 _KEYS = "xa long, xb long, far boolean, keys binary"
-#: buckets of up to this many members are compared inside one task
-SMALL = 256
+#: of the key of kind 4: the size, then the numbers of keys of even and of odd bands
+_SIZE_BITS, _LEFT_BITS = 42, 10
+#: buckets of up to this many members are compared inside one task, unless more than ``LISTED`` pairs of one are possible
+SMALL = 4096
+LISTED = 1 << 15
 #: members of one pivot handled together when large buckets are divided
 CHUNK = 512
 
@@ -117,13 +121,14 @@ def _sketches(size: int, num: int, den: int, buckets: int):
         b = bands(num, den)
         for batch in batches:
             owners = _longs(batch, KEY)
-            rows, keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            rows, keys, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for lo, part in _slices(batch.column(batch.schema.get_field_index("text"))):
                 first, shingles = shingle_sets(part, size)
-                row, key = sketch_keys(first, shingles, b)
+                row, key, left = sketches(first, shingles, b)
                 rows.append(row + lo)
                 keys.append(key)
-                sizes.append(np.diff(first))
+                even, odd = np.minimum(left, (1 << _LEFT_BITS) - 1).astype(np.uint64).T  # leaving out fewer loses nothing
+                sizes.append(np.diff(first).astype(np.uint64) | even << _U(_SIZE_BITS) | odd << _U(_SIZE_BITS + _LEFT_BITS))
             row = np.concatenate(rows)
             yield from _deal(owners, row, np.concatenate(keys), np.ones(len(row), bool), buckets, np.concatenate(sizes))
             del rows, keys, row
@@ -245,6 +250,15 @@ def _members(met: DataFrame) -> DataFrame:
     return g.where("gfar").select("key", F.col("la").alias("xa"), F.col("lb").alias("xb")).unionByName(m.select("key", "xa", "xb")).unionByName(own)
 
 
+def _rarer_keys(members: DataFrame, left: DataFrame) -> DataFrame:
+    """The members without the keys that a text may leave out (``shingles.sketches``): those of the largest buckets."""
+    n = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    odd = F.col("key") < 0
+    place = F.row_number().over(Window.partitionBy("xa", "xb", odd).orderBy(F.desc("n"), "key"))
+    m = members.join(n, "key").join(left, ["xa", "xb"], "left").withColumn("place", place)
+    return m.where(F.col("place") > F.coalesce(F.when(odd, F.col("odd")).otherwise(F.col("even")), F.lit(0))).select("key", "xa", "xb")
+
+
 def _centrality(members: DataFrame) -> DataFrame:
     """(xa, xb, weight): a text weighs more the more and the larger buckets it shares.  The text that others
     are copies of shares all its blocks with most of them, and makes the best pivot."""
@@ -311,12 +325,15 @@ def _possible(num: int, den: int):
 
 
 def _inside_buckets(num: int, den: int):
-    """Pairs of a bucket's members in different components that the sketches do not rule out."""
+    """Pairs of a bucket's members in different components that the sketches do not rule out; of a bucket with more
+    than ``listed`` of them only the key."""
+    listed = LISTED
 
     def run(batches):
         for batch in batches:
-            found = []
-            for members in batch.column(batch.schema.get_field_index("members")).to_pylist():
+            found, dense = [], []
+            for key, column in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("key", "members"))):
+                members, before = column.as_py(), len(found)
                 n = np.array([x["n"] for x in members], np.int64)
                 part = np.array([x["part"] for x in members], np.int64)
                 size = min(len(x["sketch"]) for x in members)
@@ -328,8 +345,13 @@ def _inside_buckets(num: int, den: int):
                     a = (members[i]["xa"], members[i]["xb"])
                     for j in np.flatnonzero(ok):
                         b = (members[i + 1 + j]["xa"], members[i + 1 + j]["xb"])
-                        found.append((*max(a, b), *min(a, b), False))
-            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.int64()) for k in range(4)), pa.array([False] * len(found), pa.bool_())], names=[*_PAIR, "large"])
+                        found.append((*max(a, b), *min(a, b)))
+                    if len(found) - before > listed:
+                        del found[before:]
+                        dense.append(key.as_py())
+                        break
+            rows = [(None, *f) for f in found] + [(k, None, None, None, None) for k in dense]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["dense", *_PAIR])
 
     return run
 
@@ -473,9 +495,13 @@ def _links_found(texts: DistinctTexts, size: int, num: int, den: int):
     dealt = texts.table.mapInArrow(_sketches(size, num, den, buckets), _ENTRY).repartition(n, "bucket")
     met = staged(dealt.mapInArrow(_meet, _MET), "met")
     del dealt
-    sizes = staged(met.where(F.col("kind") == _SIZE).select(F.col("xa").alias("ka"), F.col("xb").alias("kb"), F.col("key").alias("n_shingles")), "sizes", small=True)
-    members = staged(_members(met), "members")
-    discard(met)
+    of_texts = met.where(F.col("kind") == _SIZE)
+    low = lambda c, bits: c.bitwiseAND(F.lit((1 << bits) - 1))
+    sizes = staged(of_texts.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"), low(F.col("key"), _SIZE_BITS).alias("n_shingles")), "sizes", small=True)
+    left = of_texts.select("xa", "xb", *(low(F.shiftright("key", _SIZE_BITS + i * _LEFT_BITS), _LEFT_BITS).alias(c) for i, c in enumerate(("even", "odd"))))
+    shared = staged(_members(met), "shared")
+    members = staged(_rarer_keys(shared, left.where("even > 0 or odd > 0")), "members")
+    discard(met, shared)
     weight = staged(_centrality(members), "weight", small=True)
     ends = weight.select(F.col("xa").alias("ka"), F.col("xb").alias("kb"))
     kept = Sets(texts.table.join(ends, KEY, "left_semi"), size)
@@ -496,10 +522,17 @@ def _links_found(texts: DistinctTexts, size: int, num: int, den: int):
         light = kept.table.select(F.col("ka").alias("xa"), F.col("kb").alias("xb"), F.col("n").alias("size"), "sketch")
         # at most SMALL members each
         of_key = labelled.join(mixed, "key").join(light, ["xa", "xb"]).groupBy("key").agg(F.collect_list(F.struct("xa", "xb", "part", F.col("size").alias("n"), "sketch")).alias("members"))
-        inside = of_key.mapInArrow(_inside_buckets(num, den), "xa long, xb long, pa long, pb long, large boolean").distinct()
-        more = _decide(inside, kept, num, den, "inside")
+        found = staged(of_key.mapInArrow(_inside_buckets(num, den), "dense long, xa long, xb long, pa long, pb long"), "found", small=True)
+        more = _decide(found.where("dense is null").select(*_PAIR, F.lit(False).alias("large")).distinct(), kept, num, den, "inside")
         parts = _more_links(parts, more.where("not far").select(*_PAIR))
-        discard(more, labelled)
+        dense = found.where("dense is not null").select(F.col("dense").alias("key"))
+        if not dense.isEmpty():
+            rays = labelled.join(dense, "key").where("not (xa = pa and xb = pb)").select(*_PAIR, F.lit(True).alias("large")).distinct()
+            again = _decide(rays, kept, num, den, "dense")
+            both = staged(verified.where("large").unionByName(again).dropDuplicates(_PAIR), "stars", small=True)
+            discard(verified, again)
+            verified = both
+        discard(more, labelled, found)
         todo = _next_keys(verified, parts, kept)
         discard(verified)
         if todo.isEmpty():

@@ -97,7 +97,13 @@ def bands(num: int, den: int) -> Bands:
 
 
 def sketch_keys(first: np.ndarray, shingles: np.ndarray, b: Bands):
-    """(row, key): the block keys of every row's parity sketches, one sketch for each band of the row.
+    """(row, key): the block keys of every row's parity sketches, one sketch for each band of the row."""
+    return sketches(first, shingles, b)[:2]
+
+
+def sketches(first: np.ndarray, shingles: np.ndarray, b: Bands):
+    """(row, key, left): ``sketch_keys`` and, for each row, how many more of its keys of even and of odd bands it may
+    leave out.  A key's highest bit is set in odd bands; a row has one even band and one odd at most.
 
     A sketch has one bit for each 32-bit value in each of its blocks; every shingle flips one bit, so
     the number of bits in which two sketches differ never exceeds the symmetric difference of the
@@ -108,6 +114,11 @@ def sketch_keys(first: np.ndarray, shingles: np.ndarray, b: Bands):
     number of texts.  A row leaves its first ``spare`` empty blocks out.  At most d blocks of a linked pair
     differ, so more than ``spare`` are equal.  If one of these has a set bit, both rows keep it; else all are empty in
     both, and the last of them has ``spare`` others before it in either row, so both keep that.
+
+    The same holds for any order of blocks and their values, say the empty ones first and then the rest by how many
+    texts have their keys: the last of the equal blocks in that order has ``spare`` others before it in either row.  So
+    a row with e empty blocks may also leave out the first ``spare - e`` of its other keys, in an order that is the
+    same for all rows.
     """
     n = np.diff(first)
     rows = np.arange(len(n))
@@ -116,6 +127,7 @@ def sketch_keys(first: np.ndarray, shingles: np.ndarray, b: Bands):
     where = mix(shingles ^ _U(0xA5A5A5A5DEADBEEF))
     own, below = b.of_pairs(np.maximum(n, 1))
     out_row, out_key = [], []
+    left = np.zeros((len(n), 2), np.int64)
     for band, member in ((own, n > 0), (np.maximum(own - 1, 0), below & (n > 0))):
         blocks, spare = b.blocks(band)
         blocks = np.where(member, blocks, 0)
@@ -132,8 +144,10 @@ def sketch_keys(first: np.ndarray, shingles: np.ndarray, b: Bands):
         keep = ~empty | (before - before[base[owner]] >= spare[owner])
         tag = mix((band[owner].astype(np.uint64) << _U(40)) + index.astype(np.uint64))
         out_row.append(owner[keep])
-        out_key.append(mix(value ^ tag)[keep])
-    return np.concatenate(out_row), np.concatenate(out_key)
+        odd = (band & 1).astype(np.uint64)
+        out_key.append((mix(value ^ tag) >> _U(1) | odd[owner] << _U(63))[keep])
+        left[member, (band & 1)[member]] = np.maximum(0, spare - np.bincount(owner[empty], minlength=len(n)))[member]
+    return np.concatenate(out_row), np.concatenate(out_key), left
 
 
 def dense_sketches(first: np.ndarray, shingles: np.ndarray) -> list[bytes]:
